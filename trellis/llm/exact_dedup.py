@@ -24,7 +24,11 @@ from pyspark.sql import types as T
 
 from trellis.llm.common import lower_ascii, materialize, shared_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, and no space set aside for each of many small stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(c: Column) -> Column:
@@ -49,18 +53,19 @@ def track(stream: DataFrame, checkpoint: str, id_col: str = "doc_id", text_col:
     spark = stream.sparkSession
     keyed = _rows(stream, id_col, text_col, digest)
     seen = keyed.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("group_size"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        if not spark.read.format("state-metadata").load(checkpoint).take(1):
+            return spark.createDataFrame([], T.StructType([T.StructField("digest", T.StringType()), *seen.select("group_size", "keep").schema.fields]))
+        state = spark.read.format("statestore").load(checkpoint)
+        digest_name, (keep, count) = state.schema["key"].dataType.names[0], state.schema["value"].dataType.names
+        return materialize(state.select(F.col("key")[digest_name].alias("digest"), F.col("value")[count].alias("group_size"), F.col("value")[keep].alias("keep")), "exact-dedup-state")
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
-    if not spark.read.format("state-metadata").load(checkpoint).take(1):
-        return spark.createDataFrame([], T.StructType([T.StructField("digest", T.StringType()), *seen.select("group_size", "keep").schema.fields]))
-    state = spark.read.format("statestore").load(checkpoint)
-    keep, count = state.schema["value"].dataType.names
-    return state.select(F.col("key").getField(state.schema["key"].dataType.names[0]).alias("digest"), F.col("value").getField(count).alias("group_size"), F.col("value").getField(keep).alias("keep"))
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -70,7 +75,6 @@ def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
     table = spark.read.parquet(path)
     either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a stream takes one file as well as a folder of them
     state = track(spark.readStream.schema(table.schema).parquet(either), checkpoint or shared_dir(spark, "exact-dedup"), id_col, text_col, digest)
-    state = materialize(state, "exact-dedup-state")
     rows = _rows(table, id_col, text_col, digest)
 
     # Full bytes on hits: rows of one digest must share one text.
