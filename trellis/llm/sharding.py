@@ -76,9 +76,13 @@ def _sample(keyed: DataFrame, total: int, expect: int, seed: int) -> list[Key]:
 
 
 def _quantiles(sample: list[Key], parts: int, whole: bool) -> list[Key]:
-    """Boundaries that cut the sample in ``parts``; with ``whole`` only between different h."""
-    cuts = (sample[len(sample) * i // parts] for i in range(1, parts)) if sample else ()
-    return sorted({(h, -(1 << 63)) if whole else (h, g) for h, g in cuts})
+    """Boundaries that cut the sample in ``parts``; with ``whole`` only between different h,
+    and on both sides of an h that several quantiles fall into."""
+    cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    if not whole:
+        return sorted(set(cuts))
+    heavy = {x[0] + 1 for x, y in zip(cuts, cuts[1:], strict=False) if x[0] == y[0] < (1 << 63) - 1}
+    return [(h, -(1 << 63)) for h in sorted({h for h, _ in cuts} | heavy)]
 
 
 def _measure(ranged: DataFrame) -> dict[int, dict]:
@@ -107,8 +111,8 @@ def splitters(keyed: DataFrame, shards: int, per_shard: int = 64, oversample: in
             hi = bounds[i] if i < len(bounds) else ((1 << 63) - 1, (1 << 63) - 1)
             own = drawn[bisect.bisect_left(drawn, lo) : bisect.bisect_left(drawn, hi)]
             more |= set(_quantiles(own, int(np.ceil(r["bytes"] / fair)), r["h0"] < r["h1"]))
-            if r["h0"] < r["h1"] and not more & set(own):
-                more |= {(r["h1"], -(1 << 63))}  # sets the last group apart, so that every round gets further
+            if r["h0"] < r["h1"]:
+                more |= {(r["h1"], -(1 << 63))}  # the last group alone, so that every round gets further
         bounds = sorted(set(bounds) | more)
     shard_of, first, so_far, slots = [], {}, 0, [0] * shards
     for i in range(len(bounds) + 1):
