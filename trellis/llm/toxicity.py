@@ -161,6 +161,13 @@ def learn(train: DataFrame, alpha: float = 20.0, z_min: float = 3.0) -> Weights:
     return Weights(hashes, scores, max(0.05, hit / pos), base)
 
 
+def _by_row(row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The positions of each row that has any."""
+    rows, cut = np.unique(row, return_index=True)
+    for r, i, j in zip(rows.tolist(), cut, np.append(cut[1:], len(at)), strict=True):
+        yield r, at[i:j]
+
+
 def _scan(model: Weights):
     """Arrow function: per row n tokens, best segment, its start and end, all segments' scores."""
 
@@ -173,8 +180,7 @@ def _scan(model: Weights):
                 s = token_scores(w, model)
                 at = np.flatnonzero(s > 0)
                 first = textvec.run_starts(w.count)
-                rows, cut = np.unique(w.row[at], return_index=True)
-                for r, own in zip(rows.tolist(), np.split(at, cut[1:]), strict=True):
+                for r, own in _by_row(w.row[at], at):
                     segs[w.rows[0] + r] = maximal_segments(own - first[r], s[own], int(w.count[r]), model.drift)
             yield _summary(b, n, segs, model)
 
@@ -242,8 +248,7 @@ def calibrate(train: DataFrame, model: Weights) -> Weights:
                 first = textvec.run_starts(w.count)
                 out: list[list[float]] = [[] for _ in w.count]
                 gains: list[list[float]] = [[] for _ in w.count]
-                rows, cut = np.unique(w.row[at], return_index=True)
-                for r, own in zip(rows.tolist(), np.split(at, cut[1:]), strict=True):
+                for r, own in _by_row(w.row[at], at):
                     out[r] = [x.score for x in maximal_segments(own - first[r], s[own], int(w.count[r]), model.drift)]
                     gains[r] = s[own].tolist()
                 yield pa.RecordBatch.from_arrays([b.column("toxic")[w.rows[0] : w.rows[1]], pa.array(w.count.astype(np.int64)), pa.array(out, pa.list_(pa.float64())), pa.array(gains, pa.list_(pa.float64()))], ["toxic", "n", "segs", "gains"])
