@@ -164,7 +164,8 @@ def learn(train: DataFrame, alpha: float = 20.0, z_min: float = 3.0) -> Weights:
 def _by_row(row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The positions of each row that has any."""
     rows, cut = np.unique(row, return_index=True)
-    for r, i, j in zip(rows.tolist(), cut, np.append(cut[1:], len(at)), strict=True):
+    ends = np.append(cut, len(at))[1:]
+    for r, i, j in zip(rows.tolist(), cut, ends, strict=True):
         yield r, at[i:j]
 
 
