@@ -152,7 +152,8 @@ def learn(train: DataFrame, alpha: float = 20.0, z_min: float = 3.0) -> Weights:
         p, n = own.pos.to_numpy(float) + alpha * prior, own.neg.to_numpy(float) + alpha * (1 - prior)
         rho = p / (p + n)
         delta = logit(rho) - logit(base)
-        good = (delta > 1) & (delta / np.sqrt(1 / p + 1 / n) >= z_min)
+        spread = np.sqrt(1 / (own.pos.to_numpy(float) + alpha * base) + 1 / (own.neg.to_numpy(float) + alpha * (1 - base)))
+        good = (delta > 1) & (delta / spread >= z_min)
         above = (h, rho)
         hashes.append(h)
         scores.append(np.where(good, delta, 0.0))
