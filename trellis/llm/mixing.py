@@ -148,7 +148,7 @@ def _placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: s
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], sum(sizes), limit)
     sources = [Source(r["source"], i, r["words"], g, -(-r["words"] // block)) for i, (r, g) in enumerate(zip(found, goal, strict=True))]
     known = spark.createDataFrame([(s.name, s.index, s.words, s.target) for s in sources], "name string, sid int, source_size long, target double")
-    spread = max(1, math.ceil(sum(r["rows"] for r in found) / 20_000))
+    spread = max(1, math.ceil(sum(r["rows"] for r in found) / 4_000))
     own = (
         sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name")))
         .drop("name")
@@ -176,7 +176,7 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     placed, sources = _placed_documents(docs, id_col, text_col, source_col, weights, limit, block, max_sources)
     uses = placements(spark, sources, per_shard, limit, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     key = ["sid", "pos", "doc_id", "h", "dup", "size", "source_size", "target"]
-    joined = pieces(placed, block).join(uses, ["sid", "block"], "left")
+    joined = pieces(placed, block).join(uses.hint("merge"), ["sid", "block"], "left")  # the draws look small, the slots are not
     taken = F.coalesce(F.sum((F.col("b") - F.col("a")) * F.col("uses")), F.lit(0)).cast("long").alias("taken")
     return joined.groupBy(*key).agg(taken).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -204,14 +204,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     used = placements(spark, sources, per_shard, limit, seed).select("sid", "block", "pass")
     spans = (
         pieces(placed.where("size > 0"), block)
-        .join(used, ["sid", "block"])
+        .join(used.hint("merge"), ["sid", "block"])
         .groupBy("doc_id", "h", "source", "dup", "size", "pass")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))).alias("cuts"), F.sum(F.col("b") - F.col("a")).alias("words"))
         .select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "h", "source", "dup", "size", "cuts", "words")])
     )
     whole = F.col("_mix_words") == F.col("_mix_size")
     texts = docs.withColumn("_mix_key", F.xxhash64(text_col)).withColumn("_mix_nth", F.row_number().over(Window.partitionBy(id_col, "_mix_key", source_col).orderBy(F.lit(0))))
-    both = texts.join(spans, texts[id_col].eqNullSafe(spans["_mix_doc_id"]) & (texts["_mix_key"] == spans["_mix_h"]) & texts[source_col].eqNullSafe(spans["_mix_source"]) & (texts["_mix_nth"] == spans["_mix_dup"]))
+    both = texts.join(spans.hint("merge"), texts[id_col].eqNullSafe(spans["_mix_doc_id"]) & (texts["_mix_key"] == spans["_mix_h"]) & texts[source_col].eqNullSafe(spans["_mix_source"]) & (texts["_mix_nth"] == spans["_mix_dup"]))
     out = both.where(whole).unionByName(both.where(~whole).withColumn(text_col, F.pandas_udf(_cut, T.StringType())(F.col(text_col), F.col("_mix_cuts"))))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
