@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm import textvec
@@ -232,6 +232,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band:
     return named.join(size, "comp").select("doc_id", "h", F.col("one.doc_id").alias("class_id"), "class_size", (F.col("rowid") == F.col("one.rowid")).alias("kept"), "n_words")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, with all their columns."""
+    stay = classes(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("doc_id").alias("_near_id"), F.col("h").alias("_near_h"))
+    own = docs.withColumn("_near_key", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    found = own.join(stay, own[id_col].eqNullSafe(stay["_near_id"]) & (own["_near_key"] == stay["_near_h"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col, "_near_key").orderBy(F.lit(1)))
+    return found.withColumn("_near_nth", nth).where("_near_nth = 1").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: near-duplicate classes of all documents."""
     return classes(table(spark, sf_dir, "documents")).drop("h")

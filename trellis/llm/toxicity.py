@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.llm import textvec
 from trellis.llm.common import arrow_batches, fold, materialize, table
@@ -170,21 +171,21 @@ def _by_row(row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]
         yield r, at[i:j]
 
 
-def _scan(model: Weights):
-    """Arrow function: per row n tokens, best segment, its start and end, all segments' scores."""
+def _scan(model: Weights, text_col: str, out: str):
+    """Arrow function that adds to each row what its segments say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = np.zeros(len(b), np.int64)
             segs: list[list[Segment]] = [[] for _ in range(len(b))]
-            for w in textvec.words(b.column("text"), True, True):
+            for w in textvec.words(b.column(text_col), True, True):
                 n[w.rows[0] : w.rows[1]] = w.count
                 s = token_scores(w, model)
                 at = np.flatnonzero(s > 0)
                 first = textvec.run_starts(w.count)
                 for r, own in _by_row(w.row[at], at):
                     segs[w.rows[0] + r] = maximal_segments(own - first[r], s[own], int(w.count[r]), model.drift)
-            yield _summary(b, n, segs, model)
+            yield pa.RecordBatch.from_arrays([*b.columns, _summary(n, segs, model)], [*b.schema.names, out])
 
     return run
 
@@ -208,13 +209,12 @@ def _probability(model: Weights, n: int, segs: list[Segment]) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, a + b * x1 + c * x2))))
 
 
-OUT = "doc_id {id}, score double, n_tokens long, n_segments int, best_start int, best_end int, best_score double, best_e double"
+FOUND = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_segments", T.IntegerType()), T.StructField("best_start", T.IntegerType()), T.StructField("best_end", T.IntegerType()), T.StructField("best_score", T.DoubleType()), T.StructField("best_e", T.DoubleType())])
 
 
-def _summary(b: pa.RecordBatch, n: np.ndarray, segs: list[list[Segment]], model: Weights) -> pa.RecordBatch:
+def _summary(n: np.ndarray, segs: list[list[Segment]], model: Weights) -> pa.Array:
     best = [max(s, key=lambda x: (x.score, -x.start), default=None) for s in segs]
     cols = [
-        b.column("doc_id"),
         pa.array([_probability(model, int(k), s) for k, s in zip(n, segs, strict=True)], pa.float64()),
         pa.array(n),
         pa.array([sum(_evalue(model, int(k), x.score) < 1 for x in s) for k, s in zip(n, segs, strict=True)], pa.int32()),
@@ -223,7 +223,7 @@ def _summary(b: pa.RecordBatch, n: np.ndarray, segs: list[list[Segment]], model:
         pa.array([x and x.score for x in best], pa.float64()),
         pa.array([x and _evalue(model, int(k), x.score) for k, x in zip(n, best, strict=True)], pa.float64()),
     ]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "n_tokens", "n_segments", "best_start", "best_end", "best_score", "best_e"])
+    return pa.StructArray.from_arrays(cols, FOUND.names)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -295,15 +295,15 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return calibrate(train, learn(train))
 
 
-def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, n_tokens, n_segments (E below 1), best_start, best_end (tokens), best_score, best_e."""
+def annotate(docs: DataFrame, model: Weights, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with a struct ``out``: score, n_tokens, n_segments (those with E below 1), and
+    first and last token, score and E of the best segment."""
     arrow_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_scan(model), OUT.format(id=own.schema["doc_id"].dataType.simpleString()))
+    return docs.mapInArrow(_scan(model, text_col, out), T.StructType([*docs.schema.fields, T.StructField(out, FOUND)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: toxicity of all documents."""
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, train_model(docs, table(spark, sf_dir, "labels")))
+    out = annotate(docs.select("doc_id", "text"), train_model(docs, table(spark, sf_dir, "labels"))).select("doc_id", "toxicity.*")
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_tokens", "n_segments", "best_start", "best_end", "best_score", "best_e")
