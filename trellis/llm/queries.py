@@ -1,11 +1,12 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from trellis.llm import decontam, exact_dedup, mixing, near_dedup, sharding, toxicity
+from trellis.llm import decontam, exact_dedup, lm, mixing, near_dedup, sharding, toxicity
 
 QUERIES = {
     "op2_sampled_splitters": sharding.query,
     "op3_dart_minhash": near_dedup.query,
     "op5_multinomial_mixing": mixing.query,
+    "op6_kneser_ney": lm.query,
     "op7_latent_decontamination": decontam.query,
     "op9_streaming_exact_dedup": exact_dedup.query,
     "op10_segment_toxicity": toxicity.query,
