@@ -1,13 +1,15 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from trellis.llm import decontam, exact_dedup, lm, mixing, near_dedup, sharding, toxicity
+from trellis.llm import decontam, exact_dedup, lm, mixing, near_dedup, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op2_sampled_splitters": sharding.query,
     "op3_dart_minhash": near_dedup.query,
+    "op4_longest_match_counts": token_counts.query,
     "op5_multinomial_mixing": mixing.query,
     "op6_kneser_ney": lm.query,
     "op7_latent_decontamination": decontam.query,
+    "op8_hierarchical_quality": quality.query,
     "op9_streaming_exact_dedup": exact_dedup.query,
     "op10_segment_toxicity": toxicity.query,
 }
