@@ -1,8 +1,9 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from trellis.llm import decontam, exact_dedup, lm, mixing, near_dedup, quality, sharding, token_counts, toxicity
+from trellis.llm import decontam, exact_dedup, line_dedup, lm, mixing, near_dedup, quality, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_deletion_neighbourhood": line_dedup.query,
     "op2_sampled_splitters": sharding.query,
     "op3_dart_minhash": near_dedup.query,
     "op4_longest_match_counts": token_counts.query,
