@@ -10,10 +10,12 @@ empty coordinate throw again with the bound doubled, which changes no filled one
 
 Signatures are cut into bands. First, texts with the same words fall together by a 128-bit
 digest, whatever the size of the group. Then each text is compared with the smallest of
-each of its buckets, which joins most classes at linear cost; then, in buckets that still
-hold several classes, texts of different classes are compared with each other. A bucket
-with more than ``wide`` texts is first divided by a second band, so it holds only
-texts that agree in two. Every comparison is of the whole shingle sets. Classes are the
+each of its buckets, which joins most classes at linear cost. Buckets that still hold
+several classes are looked at again: those of at most ``wide`` texts by all pairs across
+classes; larger ones are divided by each of the next four bands, as texts at or above the
+threshold rarely share one band alone, and then treated alike; what is still larger is
+compared with four rotating leaders a bucket. So the pairs are at most a few for each text
+and band, whatever the size of the groups. Every comparison is of the whole shingle sets. Classes are the
 connected components of the pairs at or above ``threshold``.
 
 Defined results: null and empty texts are one class of their own; texts of one to four
@@ -196,13 +198,39 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(could).select("a", "b", (same / (nx + ny - same)).alias("sim")).where(F.col("sim") >= threshold - 1e-9)
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band: int = 6, weights: str = "set", wide: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _open(label: DataFrame, wide: int) -> DataFrame:
+    """Members (key, band, v, comp) of buckets with several classes; narrow: few members."""
+    mixed = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
+    return materialize(label.join(mixed.select("key", (F.col("m") <= wide).alias("narrow")), "key"), "near-open")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _across(label: DataFrame) -> DataFrame:
+    """All pairs of different classes of each bucket; buckets are of bounded size here."""
+    lists = label.groupBy("key").agg(F.collect_list(F.struct("v", "comp")).alias("m"))
+    first = lists.select("m", F.explode("m").alias("x"))
+    both = first.select("x", F.explode(F.filter("m", lambda y: (y["v"] > F.col("x.v")) & (y["comp"] != F.col("x.comp")))).alias("y"))
+    return both.select(*_pair("x.v", "y.v"))
+
+
+def _rotated(label: DataFrame, leaders: int = 4) -> DataFrame:
+    """Each member with ``leaders`` members of its bucket picked by different hashes."""
+    picks = F.array(*[F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("o"), "v", "comp")).alias(f"l{i}") for i in range(leaders)]).alias("picks")
+    led = label.groupBy("key").agg(picks)
+    both = label.join(led, "key").select("v", "comp", F.explode("picks").alias("l")).where(F.col("comp") != F.col("l.comp"))
+    return both.select(*_pair("v", "l.v"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band: int = 6, weights: str = "set", wide: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, h (hash of the text), class_id, class_size, kept, n_words."""
     arrow_batches(docs.sparkSession)
     signed = materialize(signatures(docs, bands, per_band, weights, id_col, text_col).withColumn("rowid", F.monotonically_increasing_id()), "near-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "rowid"))
     reps = materialize(signed.where("n > 0").groupBy("v").agg(first.alias("one"), F.any_value("keys").alias("keys")), "near-texts")
-    member = reps.select("v", F.explode("keys").alias("key"))
+    member = reps.select("v", F.posexplode("keys").alias("band", "key"))
     shared = member.groupBy("key").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1")
     bucket = materialize(member.join(shared, "key"), "near-buckets")
     stars = bucket.where("v <> a").select("a", F.col("v").alias("b")).distinct()
@@ -212,16 +240,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band:
     links = materialize(_links(stars, sets, threshold), "near-links")
     comp = components(links)
 
-    # Buckets that still hold several classes: compare across classes.
-    label = bucket.join(comp, "v", "left").select("key", "v", "n", F.coalesce("comp", "v").alias("comp"))
-    mixed = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_ = materialize(label.join(mixed, "key"), "near-open")
-    narrow = open_.where(F.col("n") <= wide).select("key", "v", "comp")
-    broad = open_.where(F.col("n") > wide).select("key", "v", "comp")
-    second = broad.join(reps.select("v", F.explode("keys").alias("key2")), "v").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "v", "comp").distinct()
-    cross = narrow.unionByName(second)
-    other = cross.select("key", F.col("v").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = cross.withColumnRenamed("v", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select("a", "b").distinct()
+    label = bucket.join(comp, "v", "left").select("key", "band", "v", F.coalesce("comp", "v").alias("comp"))
+    open_ = _open(label, wide)
+    broad = open_.where("not narrow")
+    finer = broad.join(reps.select("v", "keys"), "v").select("key", "v", "comp", F.explode(F.array(*[F.element_at("keys", (F.pmod(F.col("band") + d, F.lit(bands)) + 1).cast("int")) for d in range(1, 5)])).alias("next"))
+    finer = _open(finer.select(F.xxhash64("key", "next").alias("key"), F.lit(0).alias("band"), "v", "comp").distinct(), wide)
+    narrow = open_.where("narrow").unionByName(finer.where("narrow"))
+    pairs = _across(narrow).unionByName(_rotated(broad)).unionByName(_rotated(finer.where("not narrow"))).distinct()
     more = materialize(_links(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "near-links")
     if more.take(1):
         comp = components(links.unionByName(more))
