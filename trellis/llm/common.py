@@ -41,7 +41,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 4000, size: int = 8 << 20) -> None:
     """Keep Arrow batches small enough that a batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.llm.common import arrow_batches, materialize, n_words, table
+from trellis.llm.textvec import give_back
 from trellis.llm.textvec import mix as mix64
 
 WEIGHTS = (5, 2, 1)
@@ -192,7 +193,9 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
                 runs.append([s["a"], s["b"]])
         return "\n".join(t[at[a][0] : at[b - 1][1]] for a, b in runs)
 
-    return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+    out = pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+    give_back()
+    return out
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", weights=WEIGHTS, limit: int = 3, block: int = 128, per_shard: int = 8192, seed: int = 11, max_sources: int = 50_000) -> DataFrame:

@@ -38,7 +38,7 @@ from trellis.llm.common import arrow_batches, materialize, table
 from trellis.llm.graph import components
 
 SHINGLE = 5
-_RANK_BITS, _FRACTION_BITS, _ROWS = 46, 32, 1 << 10
+_RANK_BITS, _FRACTION_BITS, _ROWS = 46, 32, 1 << 8
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 

@@ -1,18 +1,19 @@
 """Words of an Arrow string column as flat numpy arrays of 64-bit hashes.
 
-A batch is walked in slices of about a megabyte of text, so temporaries stay small
+A batch is walked in slices of about half a megabyte of text, so temporaries stay small
 however many or long the texts are (one text is never cut).
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,6 +37,12 @@ def multipliers(n: int) -> np.ndarray:
     return _power
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library; there it is left alone
+    _LIBC = None
+
+
 def _separators(letters_only: bool) -> np.ndarray:
     sep = np.zeros(256, bool)
     sep[[9, 10, 11, 12, 13, 32]] = True
@@ -105,6 +112,14 @@ def words(col: pa.Array, letters_only: bool = False, latin: bool = False, lower:
         row = np.searchsorted(bounds, start, "right") - 1
         yield Words((lo, hi), own, start, end, row, np.bincount(row, minlength=hi - lo), col[lo:hi])
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a Python worker lives on through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
 
 
 def run_starts(counts: np.ndarray) -> np.ndarray:
