@@ -32,12 +32,13 @@ def beam(nodes: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG) ->
     routed = skinny.join(facts, "tree_id").withColumn("_beam", (F.col("_n") >= cfg.min_embedded) & (F.col("_top") == 1))
     scored = vector.similarities(routed.where("_beam").drop("_n", "_top", "_beam"), queries).withColumn("level", F.coalesce("sim", F.lit(0.0)))
     scored = scored.select(*PLACE, "query_text", "node_id", "ord", "parent_id", "sim", "level")
-    picked, front = [], scored.where(F.col("parent_id") == tree.ROOT)
-    for step, k in enumerate((cfg.beam_root, cfg.beam_child, cfg.beam_leaf)):
-        if step:
-            above = picked[-1].select(*PLACE, F.col("node_id").alias("parent_id"))
-            front = scored.join(above, [*PLACE, "parent_id"], "left_semi")
-        picked.append(vector.top(front, k, "level", [*PLACE, "parent_id"], ["ord"]).drop("rank"))
+    # Ranks within a parent don't depend on whether the parent survives, so they are found
+    # once for all parents; the levels are then chained over the few rows that are left.
+    best = vector.top(scored, max(cfg.beam_root, cfg.beam_child, cfg.beam_leaf), "level", [*PLACE, "parent_id"], ["ord"])
+    picked = [best.where((F.col("parent_id") == tree.ROOT) & (F.col("rank") <= cfg.beam_root))]
+    for k in (cfg.beam_child, cfg.beam_leaf):
+        above = picked[-1].select(*PLACE, F.col("node_id").alias("parent_id"))
+        picked.append(best.where(F.col("rank") <= k).join(above, [*PLACE, "parent_id"], "left_semi").select(*best.columns))
     out = picked[0].unionByName(picked[1]).unionByName(picked[2])
     flat = vector.flat_search(routed.where("not _beam").select("tree_id", "node_id", "ord", "embedding"), queries, cfg.flat_k)
     return out.select(*PLACE, "query_text", "node_id", "ord", "sim").unionByName(flat.select(*PLACE, "query_text", "node_id", "ord", "sim"))

@@ -68,7 +68,7 @@ merged AS MATERIALIZED (SELECT * FROM (SELECT query_id, tree_id, node_id, ord, s
 )
 
 CONTEXT = (
-    FUSED.replace("fused AS", "fused AS", 1)
+    FUSED
     + """,
 ranked AS (SELECT m.*, n.embedding, n.parent_id, n.title, n.content FROM merged m JOIN nodes n USING (tree_id, node_id)),
 walk AS (WITH RECURSIVE g AS (
@@ -84,13 +84,6 @@ final AS (SELECT k.* FROM kept k WHERE NOT EXISTS (SELECT 1 FROM kept c WHERE c.
 ctx AS (SELECT query_id, left(string_agg('[' || title || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), 8000) AS context FROM final GROUP BY query_id)"""
 )
 
-#: The four queries as variants of one.
-VARIANTS = HYBRID.replace("sims AS", "queries_v AS (SELECT 1), sims AS", 1)
-
-
-def _nodes_sql(rest: str) -> str:
-    return f"WITH {NODES} {rest}"
-
 
 MARKDOWN = """
 md AS (SELECT 'c' || conv_id AS tree_id, 'intro ' || conv_id || chr(10) || '# conv ' || conv_id || chr(10) ||
@@ -210,8 +203,6 @@ def variant_sql() -> str:
     """FUSED with (query_id, variant_no) = (0, item_id)."""
     head = NODES.replace("CAST(item_id AS BIGINT) AS query_id, 0 AS variant_no, array_to_string", AS_VARIANTS)
     body = FUSED
-    for a in ("lev WHERE parent_id", "FROM lev c JOIN"):
-        assert a in body
     body = body.replace("PARTITION BY query_id, tree_id, parent_id", "PARTITION BY query_id, variant_no, tree_id, parent_id").replace("PARTITION BY c.query_id, c.tree_id, c.parent_id", "PARTITION BY c.query_id, c.variant_no, c.tree_id, c.parent_id").replace("a.query_id = c.query_id AND", "a.query_id = c.query_id AND a.variant_no = c.variant_no AND")
     return f"WITH {head} {body} SELECT {RETRIEVED} FROM fused"
 
@@ -254,6 +245,10 @@ QUERIES = {
     "R04": r_flat,
     "R05": tokens_total,
     "R06": bm25_stats,
+    "R07": lambda s, d: r_hybrid(s, d).select("query_id", "tree_id", "node_id", "bm25"),
+    "R08": lambda s, d: r_hybrid(s, d).select("query_id", "tree_id", "node_id", "lex"),
+    "R09": lambda s, d: r_hybrid(s, d).select("query_id", "tree_id", "node_id", "sem"),
+    "R10": lambda s, d: r_hybrid(s, d).select("query_id", "tree_id", "node_id", "meta"),
     "R11": r_hybrid,
     "R12": r_rerank,
     "R13": lambda s, d: retrieve.single(*_chain(s, d), 5).select("query_id", "tree_id", "node_id", _score(), "rank"),
@@ -300,6 +295,10 @@ SQL = {
     "R04": N + SIMS + " SELECT query_id, tree_id, node_id, round(sim, 6) AS sim, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tree_id ORDER BY round(sim, 9) DESC, ord) AS k FROM sims WHERE sim IS NOT NULL) WHERE k <= 20",
     "R05": "SELECT lang, CAST(sum(len(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS BIGINT) AS tokens FROM documents GROUP BY lang",
     "R06": N + HYBRID + " SELECT query_id, tree_id, count(*) AS n, round(avg(dl), 6) AS avgdl, CAST((SELECT count(DISTINCT term) FROM tf WHERE tf.query_id = st.query_id AND tf.tree_id = st.tree_id) AS BIGINT) AS terms FROM st GROUP BY query_id, tree_id",
+    "R07": N + HYBRID + " SELECT query_id, tree_id, node_id, round(bm25, 6) AS bm25 FROM hybrid",
+    "R08": N + HYBRID + " SELECT query_id, tree_id, node_id, round(lex, 6) AS lex FROM hybrid",
+    "R09": N + HYBRID + " SELECT query_id, tree_id, node_id, round(sem, 6) AS sem FROM hybrid",
+    "R10": N + HYBRID + " SELECT query_id, tree_id, node_id, CAST(0 AS DOUBLE) AS meta FROM hybrid",
     "R11": N + HYBRID + " SELECT query_id, tree_id, node_id, round(sem, 6) AS sem, round(bm25, 6) AS bm25, round(lex, 6) AS lex, CAST(0 AS DOUBLE) AS meta, round(score, 6) AS score FROM hybrid",
     "R12": N + HYBRID + f""", pool AS ({RANK10} WHERE rank <= 20),
         sc2 AS (SELECT pool.* EXCLUDE (score, rank), len(list_intersect(list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+')), regexp_extract_all(lower(left(content, 1500)), '[a-z0-9]+'))) / greatest(len(list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+'))), 1) AS score FROM pool JOIN (SELECT tree_id, node_id, content FROM nodes) USING (tree_id, node_id))

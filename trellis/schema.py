@@ -47,5 +47,6 @@ AUDIT = "ts timestamp, user_id string, action string, detail string"
 META = "doc_id string, filename string, nodes int"
 QUERY_LOG = "ts timestamp, cache_key string, node_ids array<string>, doc_ids array<string>"
 
+#: What is said without an answer, and without documents.
 NOT_FOUND = "I could not find this information in the available documents."
-NO_DOCUMENTS = "No documents have been ingested yet."
+NO_DOCUMENTS = "No documents have been ingested yet. Please upload a document first."

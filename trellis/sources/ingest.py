@@ -63,6 +63,11 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     the levels are walked by a recursive query over variants."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("tree_id"), F.try_parse_json("value").alias("v")).where("v is not null")
     raw.createOrReplaceTempView("trellis_raw_trees")
+    return walk(spark)
+
+
+def walk(spark: SparkSession) -> DataFrame:
+    """Nodes of the variants v in the view trellis_raw_trees (tree_id, v), in pre-order."""
     return spark.sql("""
         WITH RECURSIVE walk(tree_id, v, parent_id, depth, path) AS (
           SELECT tree_id, v, CAST(NULL AS STRING), 0, CAST('' AS STRING) FROM trellis_raw_trees
