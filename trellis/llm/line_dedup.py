@@ -162,7 +162,7 @@ def variants(found: DataFrame, parts: int) -> DataFrame:
     return found.mapInArrow(run, "h1 long, h2 long, full boolean, key long").distinct()
 
 
-def verdicts(docs: DataFrame, parts: int = 4, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines, rows): every line with ``goes``; and the numbered rows (doc, text) they come from."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rowid")).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -172,11 +172,11 @@ def verdicts(docs: DataFrame, parts: int = 4, min_chars: int = 20, id_col: str =
 
     ends = kinds.select("h1", "h2", F.posexplode("keys").alias("part", "end"))
     shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
-    met = ends.join(shared, "end", "left_semi").select("h1", "h2", "part").distinct()
+    met = ends.join(shared.hint("merge"), "end", "left_semi").select("h1", "h2", "part").distinct()
     wanted = materialize(met.groupBy("h1", "h2").agg(F.collect_set("part").alias("parts")).join(kinds.select("h1", "h2", "first"), ["h1", "h2"]), "line-wanted")
     # texts of the lines in question: each document hands out its own
     asked = wanted.groupBy("first.doc").agg(F.collect_list(F.struct(F.col("first.nth").alias("nth"), "h1", "h2", "parts")).alias("asked"))
-    own = rows.select(F.col("doc.rowid").alias("rowid"), "text").join(asked.select(F.col("doc.rowid").alias("rowid"), "asked"), "rowid").withColumn("all", F.split("text", "\n"))
+    own = rows.select(F.col("doc.rowid").alias("rowid"), "text").join(asked.select(F.col("doc.rowid").alias("rowid"), "asked").hint("merge"), "rowid").withColumn("all", F.split("text", "\n"))
     texts = own.select("all", F.explode("asked").alias("a")).select("a.h1", "a.h2", "a.parts", F.element_at("all", (F.col("a.nth") + 1).cast("int")).alias("text"))
     texts = materialize(texts, "line-texts")
 
@@ -194,7 +194,7 @@ def verdicts(docs: DataFrame, parts: int = 4, min_chars: int = 20, id_col: str =
     true = pair.join(left, ["h1", "h2"]).join(right, ["o1", "o2"]).where(F.levenshtein("a", "b", 1).between(0, 1)).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
     kind = materialize(kinds.select("h1", "h2", "first").join(true, ["h1", "h2"], "left"), "line-verdicts")
-    out = each.drop("keys").join(kind, ["h1", "h2"], "left")
+    out = each.drop("keys").join(kind.hint("merge"), ["h1", "h2"], "left")
     goes = F.coalesce(F.col("near") | (F.struct("doc", "nth") != F.col("first")), F.lit(False))
     return out.select("doc", "nth", F.when(F.col("word"), goes).otherwise(False).alias("goes"), F.coalesce("near", F.lit(False)).alias("near")), rows
 
