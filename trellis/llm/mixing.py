@@ -148,7 +148,7 @@ def _placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: s
     sizes = [r["words"] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], sum(sizes), limit)
     sources = [Source(r["source"], i, r["words"], g, -(-r["words"] // block)) for i, (r, g) in enumerate(zip(found, goal, strict=True))]
-    known = spark.createDataFrame([(s.name, s.index, s.words, s.target) for s in sources], "name string, sid int, source_size long, target double")
+    known = spark.createDataFrame([(s.name, s.index, s.words, float(s.target)) for s in sources], "name string, sid int, source_size long, target double")
     spread = max(1, math.ceil(sum(r["rows"] for r in found) / 4_000))
     own = (
         sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name")))
