@@ -94,7 +94,7 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
     from trellis.sources.scratch import folder
 
     path = folder(spark, "texts")
-    fx.markdown(spark, d).coalesce(1).select("text").limit(1).write.text(path)
+    fx.markdown(spark, d).where("tree_id = 'c0'").coalesce(1).select("text").write.text(path)
     found = spark.read.text(path, wholetext=True)
     return found.select(F.length("value").alias("n"))
 
@@ -283,7 +283,24 @@ W_U, W_N = f"WITH {UPLOADS} ", f"WITH {rt.NODES} "
 W_MD, W_I, W_R, W_S, W_L, W_US = f"WITH {rt.MARKDOWN} ", f"WITH {IMAGES} ", f"WITH {REWRITES} ", f"WITH {STATE} ", f"WITH {LOG} ", f"WITH {USERS} "
 DECENT = "length(trim(regexp_replace(coalesce(content, ''), '(?m)^#+\\s+.*$', '', 'g'), ' ' || chr(10) || chr(9) || chr(13))) > 20"
 SUMMARY = "trim(left(regexp_replace(regexp_replace(%s, '(?m)^#+\\s+.*$', ' ', 'g'), '\\s+', ' ', 'g'), 300))"
+
+
+def _fold_sql() -> str:
+    """Summaries level by level: each takes the lines of the level below."""
+    out = W_MD + ", tn AS (SELECT * FROM mdnodes JOIN dp USING (tree_id, node_id)), s4 AS (SELECT *, '' AS summary FROM tn WHERE false)"
+    for k in (3, 2, 1, 0):
+        out += f""", k{k} AS (SELECT tree_id, parent_id AS node_id, string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY ord) AS l FROM s{k + 1} WHERE summary <> '' GROUP BY 1, 2),
+        i{k} AS (SELECT tn.*, left(CASE WHEN {DECENT} AND l IS NOT NULL THEN content || chr(10) || chr(10) || 'Child sections:' || chr(10) || l WHEN l IS NOT NULL THEN l WHEN {DECENT} THEN content END, 5000) AS input FROM tn LEFT JOIN k{k} USING (tree_id, node_id) WHERE depth = {k}),
+        s{k} AS (SELECT * EXCLUDE (input), CASE WHEN input IS NOT NULL THEN coalesce(nullif({SUMMARY % "input"}, ''), 'Summary unavailable for section: ' || title) END AS summary FROM i{k})"""
+    return out + " SELECT tree_id, node_id, summary FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2 UNION ALL FROM s3)"
+
+
 SQL = {
+    "S01": W_MD + "SELECT CAST(length(text) + 1 AS INTEGER) AS n FROM md WHERE tree_id = 'c0'",
+    "M04": _fold_sql(),
+    "M05": f"SELECT item_id, CASE WHEN item_id % 2 = 0 THEN {SUMMARY % 'text'} ELSE 'Summary unavailable for section: item ' || item_id END AS summary FROM benchmark",
+    "M07": W_N + "SELECT tree_id, CAST(sum(CASE WHEN ord % 2 = 0 AND embedding IS NOT NULL THEN len(embedding) ELSE 2 END) AS BIGINT) AS floats FROM nodes WHERE ord < 20 GROUP BY tree_id",
+    "X07": "SELECT event_id, strftime(ts, '%-d %b %Y, %I:%M %p') AS t FROM events",
     "S02": W_MD + "SELECT tree_id || '.md' AS filename, CAST(length(text) AS INTEGER) AS n FROM md",
     "S03": W_U + "SELECT o_orderkey, CASE WHEN mime = 'text/plain' THEN 'type' WHEN lower(regexp_extract(safe, '[^.](\\.[^.]+)$', 1)) NOT IN ('.pdf', '.png', '.jpg') THEN 'extension' WHEN size > 52428800 THEN 'size' WHEN lower(safe) LIKE '%.pdf' AND head <> '%PDF' THEN 'magic' END AS reason FROM v",
     "S04": W_U + "SELECT o_orderkey, safe AS filename FROM v",
