@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Registered queries and their SQL."""
