@@ -13,6 +13,9 @@ where two different lines share them are variants with a deletion inside that pa
 This loses no pair. A hash that many lines share is joined with its earliest line alone, as
 each other line needs one earlier neighbour only; pairs are checked by edit distance.
 
+The input should be a written table (or another with a fixed order of rows), as it is read
+twice and its rows are told apart by their place.
+
 Defined results: null and empty texts have one empty line, which stays; a null id comes
 after all others; repeated rows are told apart by their order in a written table, the later
 one losing its lines; an empty table gives no rows; other columns are kept by :func:`clean`.
