@@ -12,7 +12,7 @@ Signatures are cut into bands. First, texts with the same words fall together by
 digest, whatever the size of the group. Then each text is compared with the smallest of
 each of its buckets, which joins most classes at linear cost. Buckets that still hold
 several classes are looked at again: those of at most ``wide`` texts by all pairs across
-classes; larger ones are divided by each of the next four bands, as texts at or above the
+classes; larger ones are divided by each of the next three bands, as texts at or above the
 threshold rarely share one band alone, and then treated alike; what is still larger is
 compared with four rotating leaders a bucket. So the pairs are at most a few for each text
 and band, whatever the size of the groups. Every comparison is of the whole shingle sets. Classes are the
@@ -243,7 +243,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band:
     label = bucket.join(comp, "v", "left").select("key", "band", "v", F.coalesce("comp", "v").alias("comp"))
     open_ = _open(label, wide)
     broad = open_.where("not narrow")
-    finer = broad.join(reps.select("v", "keys"), "v").select("key", "v", "comp", F.explode(F.array(*[F.element_at("keys", (F.pmod(F.col("band") + d, F.lit(bands)) + 1).cast("int")) for d in range(1, 5)])).alias("next"))
+    finer = broad.join(reps.select("v", "keys"), "v").select("key", "v", "comp", F.explode(F.array(*[F.element_at("keys", (F.pmod(F.col("band") + d, F.lit(bands)) + 1).cast("int")) for d in range(1, 4)])).alias("next"))
     finer = _open(finer.select(F.xxhash64("key", "next").alias("key"), F.lit(0).alias("band"), "v", "comp").distinct(), wide)
     narrow = open_.where("narrow").unionByName(finer.where("narrow"))
     pairs = _across(narrow).unionByName(_rotated(broad)).unionByName(_rotated(finer.where("not narrow"))).distinct()
