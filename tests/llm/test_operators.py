@@ -166,6 +166,20 @@ def test_near_dedup_against_all_pairs(spark, wide):
     assert got == brute_classes(rows)
 
 
+def test_joined_finds_every_pair_at_the_threshold(spark):
+    r = random.Random(5)
+    common = r.sample(range(1 << 40), 60)
+    sets = []
+    for i in range(250):  # a common passage, and a few elements of their own or of a family
+        family = [(1 << 41) + 50 * (i % 9) + k for k in range(r.randint(0, 20))]
+        sets.append(sorted({*common[: r.randint(30, 60)], *family, *((1 << 42) + 1000 * i + k for k in range(r.randint(0, 18)))}))
+    rows = [(bytearray(i.to_bytes(16, "big")), i % 40, s) for i, s in enumerate(sets)]
+    found = near_dedup._joined(spark.createDataFrame(rows, "v binary, c long, items array<long>"), 0.8).collect()
+    got = {(int.from_bytes(x["a"], "big"), int.from_bytes(x["b"], "big")) for x in found}
+    want = {(a, b) for a in range(250) for b in range(a) if a % 40 != b % 40 and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert want and {(b, a) for a, b in want} <= got
+
+
 def test_near_dedup_odd(odd, none):
     rows = near_dedup.classes(odd).collect()
     assert len(rows) == odd.count()

@@ -12,11 +12,12 @@ Signatures are cut into bands. First, texts with the same words fall together by
 digest, whatever the size of the group. Then each text is compared with the smallest of
 each of its buckets, which joins most classes at linear cost. Buckets that still hold
 several classes are looked at again: those of at most ``wide`` texts by all pairs across
-classes; larger ones are divided by each of the next three bands, as texts at or above the
-threshold rarely share one band alone, and then treated alike; what is still larger is
-compared with four rotating leaders a bucket. So the pairs are at most a few for each text
-and band, whatever the size of the groups. Every comparison is of the whole shingle sets. Classes are the
-connected components of the pairs at or above ``threshold``.
+classes; the texts of larger ones by an exact join. Two sets at the threshold share one of
+the first elements of each, in any order that holds for all sets; elements that only one
+class has come first, then rare ones. So texts meet where they share such an element, are
+of different classes and can still reach the threshold by their sizes and the elements'
+places. No bucket is cut, and no link within one is lost. Every comparison is of the whole
+shingle sets. Classes are the connected components of the pairs at or above ``threshold``.
 
 Defined results: null and empty texts are one class of their own; texts of one to four
 words have one shingle, all their words; a class is named by its smallest id (nulls are
@@ -39,6 +40,8 @@ from trellis.llm.graph import components
 
 SHINGLE = 5
 _RANK_BITS, _FRACTION_BITS, _ROWS = 46, 32, 1 << 8
+#: 2 ** 20 cells of one byte are the table of ranks that tasks get.
+_CELL_BITS = 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 
@@ -199,7 +202,7 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _open(label: DataFrame, wide: int) -> DataFrame:
-    """Members (key, band, v, comp) of buckets with several classes; narrow: few members."""
+    """Members (key, v, comp) of buckets with several classes; narrow: few members."""
     mixed = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
     return materialize(label.join(mixed.select("key", (F.col("m") <= wide).alias("narrow")), "key"), "near-open")
 
@@ -216,12 +219,86 @@ def _across(label: DataFrame) -> DataFrame:
     return both.select(*_pair("x.v", "y.v"))
 
 
-def _rotated(label: DataFrame, leaders: int = 4) -> DataFrame:
-    """Each member with ``leaders`` members of its bucket picked by different hashes."""
-    picks = F.array(*[F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("o"), "v", "comp")).alias(f"l{i}") for i in range(leaders)]).alias("picks")
-    led = label.groupBy("key").agg(picks)
-    both = label.join(led, "key").select("v", "comp", F.explode("picks").alias("l")).where(F.col("comp") != F.col("l.comp"))
-    return both.select(*_pair("v", "l.v"))
+def _cells(items: np.ndarray) -> np.ndarray:
+    return (textvec.mix(items.view(np.uint64), 50) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements, row of each, number in each row) of the column ``items``."""
+    lists = b.column("items")
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), n
+
+
+def _ranks(members: DataFrame, parts: int = 16) -> np.ndarray:
+    """A rank for each hashed cell of elements: 0 if all its elements are of one class, else
+    more the more texts hold them. A table of one size, whatever the number of texts."""
+    cut = _CELL_BITS - int(math.log2(parts))
+    kind = "part int, cell binary, low binary, high binary, n binary"
+
+    def merged(cell: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        return [cell[at]] + [f.reduceat(x[order], at) if len(at) else x for f, x in ((np.minimum, low), (np.maximum, high), (np.add, n))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            items, row, _ = _flat(b)
+            own = b.column("c").to_numpy()[row]
+            new = merged(_cells(items), own, own, np.ones(len(own), np.int64))
+            held = merged(*[np.concatenate(x) for x in zip(held, new, strict=True)])
+        bounds = np.searchsorted(held[0] >> cut, np.arange(parts + 1))
+        for i in np.flatnonzero(np.diff(bounds)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([x[bounds[i] : bounds[i + 1]].tobytes()], pa.binary()) for x in held]], ["part", "cell", "low", "high", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            for i in range(b.num_rows):
+                new = [np.frombuffer(b.column(k)[i].as_py(), np.int64) for k in ("cell", "low", "high", "n")]
+                held = merged(*[np.concatenate(x) for x in zip(held, new, strict=True)])
+        cell, low, high, n = held
+        mixed = low != high
+        rank = (1 + np.minimum(200, 8 * np.log2(np.maximum(1, n[mixed])))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([cell[mixed].astype(np.int32).tobytes()], pa.binary()), pa.array([rank.tobytes()], pa.binary())], ["cell", "rank"])
+
+    out = np.zeros(1 << _CELL_BITS, np.uint8)
+    for r in members.select("c", "items").mapInArrow(count, kind).repartition(parts, "part").mapInArrow(add, "cell binary, rank binary").collect():
+        out[np.frombuffer(r["cell"], np.int32)] = np.frombuffer(r["rank"], np.uint8)
+    return out
+
+
+def _prefixes(members: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """(v, c, n, item, place, short): the first elements of each text, by rank and hash, one of
+    which it must share with any text at the threshold (``short``: with any as large). Those
+    of one class alone come first and need no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items, row, n = _flat(b)
+            rank = ranks[_cells(items)]
+            order = np.lexsort((items, rank, row))
+            items, rank = items[order], rank[order]
+            place = np.arange(len(items)) - textvec.run_starts(n)[row]
+            size = n[row]
+            left = size - np.ceil(threshold * size - 1e-6) - place
+            short = size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-6) - place
+            at = np.flatnonzero((left >= 0) & (rank > 0))
+            yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(row[at])), b.column("c").take(pa.array(row[at])), pa.array(size[at]), pa.array(items[at]), pa.array(place[at]), pa.array(short[at] >= 0)], ["v", "c", "n", "item", "place", "short"])
+
+    return members.select("v", "c", "items").mapInArrow(run, "v binary, c long, n long, item long, place long, short boolean")
+
+
+def _joined(members: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of ``members`` (v, c, items) of different classes c that can reach the
+    threshold: an exact join on the elements that such pairs must share."""
+    found = materialize(_prefixes(members, _ranks(members), threshold), "near-prefixes")
+    small = found.where("short").select("item", *[F.col(x).alias(f"{x}1") for x in ("v", "c", "n", "place")])
+    both = found.join(small, "item").where((F.col("c") != F.col("c1")) & (F.col("n1") <= F.col("n")) & (F.col("n1") >= F.lit(threshold) * F.col("n") - 1e-6))
+    most = F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1"))
+    return both.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n1")) - 1e-6).select(*_pair("v", "v1"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band: int = 6, weights: str = "set", wide: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +307,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band:
     signed = materialize(signatures(docs, bands, per_band, weights, id_col, text_col).withColumn("rowid", F.monotonically_increasing_id()), "near-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "rowid"))
     reps = materialize(signed.where("n > 0").groupBy("v").agg(first.alias("one"), F.any_value("keys").alias("keys")), "near-texts")
-    member = reps.select("v", F.posexplode("keys").alias("band", "key"))
+    member = reps.select("v", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1")
     bucket = materialize(member.join(shared, "key"), "near-buckets")
     stars = bucket.where("v <> a").select("a", F.col("v").alias("b")).distinct()
@@ -240,13 +317,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band:
     links = materialize(_links(stars, sets, threshold), "near-links")
     comp = components(links)
 
-    label = bucket.join(comp, "v", "left").select("key", "band", "v", F.coalesce("comp", "v").alias("comp"))
+    label = bucket.join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
     open_ = _open(label, wide)
-    broad = open_.where("not narrow")
-    finer = broad.join(reps.select("v", "keys"), "v").select("key", "v", "comp", F.explode(F.array(*[F.element_at("keys", (F.pmod(F.col("band") + d, F.lit(bands)) + 1).cast("int")) for d in range(1, 4)])).alias("next"))
-    finer = _open(finer.select(F.xxhash64("key", "next").alias("key"), F.lit(0).alias("band"), "v", "comp").distinct(), wide)
-    narrow = open_.where("narrow").unionByName(finer.where("narrow"))
-    pairs = _across(narrow).unionByName(_rotated(broad)).unionByName(_rotated(finer.where("not narrow"))).distinct()
+    # the wide buckets' texts, each once, with the class they have so far
+    broad = open_.where("not narrow").select("v", F.xxhash64("comp").alias("c")).distinct()
+    members = materialize(broad.join(sets, "v").select("v", "c", "items"), "near-wide")
+    pairs = _across(open_.where("narrow")).unionByName(_joined(members, threshold)).distinct()
     more = materialize(_links(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "near-links")
     if more.take(1):
         comp = components(links.unionByName(more))
