@@ -12,7 +12,8 @@ Signatures are cut into bands. First, texts with the same words fall together by
 digest, whatever the size of the group. Then each text is compared with the smallest of
 each of its buckets, which joins most classes at linear cost. Buckets that still hold
 several classes are looked at again: those of at most ``wide`` texts by all pairs across
-classes; the texts of larger ones by an exact join. Two sets at the threshold share one of
+classes; larger ones with four leaders each, which joins most of what belongs together,
+and then the texts of those with several classes left by an exact join. Two sets at the threshold share one of
 the first elements of each, in any order that holds for all sets; elements that only one
 class has come first, then rare ones. So texts meet where they share such an element, are
 of different classes and can still reach the threshold by their sizes and the elements'
@@ -219,6 +220,14 @@ def _across(label: DataFrame) -> DataFrame:
     return both.select(*_pair("x.v", "y.v"))
 
 
+def _rotated(label: DataFrame, leaders: int = 4) -> DataFrame:
+    """Each member with ``leaders`` members of its bucket picked by different hashes."""
+    picks = F.array(*[F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("o"), "v", "comp")).alias(f"l{i}") for i in range(leaders)]).alias("picks")
+    led = label.groupBy("key").agg(picks)
+    both = label.join(led, "key").select("v", "comp", F.explode("picks").alias("l")).where(F.col("comp") != F.col("l.comp"))
+    return both.select(*_pair("v", "l.v"))
+
+
 def _cells(items: np.ndarray) -> np.ndarray:
     return (textvec.mix(items.view(np.uint64), 50) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
 
@@ -319,13 +328,20 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band:
 
     label = bucket.join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
     open_ = _open(label, wide)
-    # the wide buckets' texts, each once, with the class they have so far
-    broad = open_.where("not narrow").select("v", F.xxhash64("comp").alias("c")).distinct()
-    members = materialize(broad.join(sets, "v").select("v", "c", "items"), "near-wide")
-    pairs = _across(open_.where("narrow")).unionByName(_joined(members, threshold)).distinct()
+    broad = open_.where("not narrow")
+    pairs = _across(open_.where("narrow")).unionByName(_rotated(broad)).distinct()
     more = materialize(_links(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "near-links")
     if more.take(1):
-        comp = components(links.unionByName(more))
+        links = links.unionByName(more)
+        comp = components(links)
+
+    # what the leaders left apart in wide buckets: each text once, with the class it has so far
+    label = broad.select("key", "v").join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
+    apart = _open(label, wide).select("v", F.xxhash64("comp").alias("c")).distinct()
+    members = materialize(apart.join(sets, "v").select("v", "c", "items"), "near-wide")
+    rest = materialize(_links(_joined(members, threshold).distinct(), sets, threshold), "near-links")
+    if rest.take(1):
+        comp = components(links.unionByName(rest))
 
     named = signed.select("doc_id", "h", "v", "rowid", F.col("n").alias("n_words")).join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = materialize(named, "near-named")
