@@ -323,6 +323,23 @@ def test_leaks(spark, odd, none):
     assert decontam.leaks(df, bench.where("item_id > 98")).count() == 0
 
 
+def test_weak_share_with_a_short_answer(spark):
+    r = random.Random(8)
+    docs, items, leaked = make(60, 10, 3000), [], set()
+    for i in range(12):
+        answer = ["Paris", "New York", "Rio de Janeiro"][i % 3]
+        w = [f"q{i}x{k}" for k in range(30 - len(answer.split()))]
+        items.append((i, " ".join(w) + ". " + answer + "."))
+        for k in r.sample(range(len(w)), 12):
+            w[k] = f"other{k}"
+        told = i % 4 > 0
+        docs[i] = (i, docs[i][1] + " " + " ".join(w) + ". " + (answer if told else "None") + ". " + docs[i + 20][1], "en", "s", 0)
+        leaked |= {(i, i)} if told else set()
+    hits = decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in hits} == leaked
+    assert all(x["answer"] and 0.55 <= x["lcs"] < 0.7 for x in hits)
+
+
 def test_lcs():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 3, 7, 5, 2])
     assert decontam.lcs_length(a, b) == 3 and decontam.lcs_length(a, b[:0]) == 0
