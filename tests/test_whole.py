@@ -11,7 +11,7 @@ from trellis.plans import control
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["S11"])
+@pytest.mark.parametrize("name", ["S11", "M07"])
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
     for f in os.listdir(SF):
@@ -24,3 +24,11 @@ def test_the_whole_audit_log_is_appended(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(control, "folder", lambda s, label: f"file://{tmp_path}/{label}")
     control.QUERIES["S11"](spark, SF).collect()
     assert spark.read.json(f"{tmp_path}/audit").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_all_nodes_are_embedded(spark, monkeypatch):
+    large = SF.replace("0.001", "0.01")  # more than 20 nodes a tree
+    seen, embed = [], control.ingest.seams.embed
+    monkeypatch.setattr(control.ingest.seams, "embed", lambda nodes, **how: seen.append(nodes.count()) or embed(nodes, **how))
+    control.QUERIES["M07"](spark, large)
+    assert seen == [spark.read.parquet(f"{large}/documents.parquet").count()]

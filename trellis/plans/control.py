@@ -202,7 +202,7 @@ QUERIES = {
     "M04": lambda s, d: summaries(s, d).select("tree_id", "node_id", "summary"),
     "M05": lambda s, d: fx.table(s, d, "benchmark").select("item_id", ingest.seams.extractive_summary(F.concat(F.lit("item "), F.col("item_id").cast("string")), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("# only a header")).alias("summary")),
     "M06": lambda s, d: fx.table(s, d, "benchmark").select("item_id", F.concat(F.lit("SCOPE: s"), F.col("item_id").cast("string"), F.lit("\nTOPICS: a, b\nENTITIES: "), F.left("text", F.lit(5)), F.lit("\nKEYWORDS: k")).alias("t")).select("item_id", *sc.summary_fields(F.col("t"))),
-    "M07": lambda s, d: ingest.seams.embed(fx.nodes(s, d).where("ord < 20").withColumn("embedding", F.when(F.col("ord") % 2 == 0, F.col("embedding"))).select("tree_id", "node_id", "summary", "embedding"), encode=lambda texts: [[float(len(t)), 1.0] for t in texts]).groupBy("tree_id").agg(F.sum(F.size("embedding")).cast("long").alias("floats")),
+    "M07": lambda s, d: ingest.seams.embed(fx.nodes(s, d).withColumn("embedding", F.when(F.col("ord") % 2 == 0, F.col("embedding"))).select("tree_id", "node_id", "ord", "summary", "embedding"), encode=lambda texts: [[float(len(t)), 1.0] for t in texts]).where("ord < 20").groupBy("tree_id").agg(F.sum(F.size("embedding")).cast("long").alias("floats")),
     "M10": lambda s, d: ingest.prompts(s).select("key", F.size("variables").alias("n")),
     "F04": lambda s, d: fx.table(s, d, "documents").select("doc_id", sc.valid_query(F.when(F.col("doc_id") % 9 == 0, " \n ").otherwise(F.col("text"))).alias("ok")),
     "F05": lambda s, d: tasks.active(task_state(s, d)).select("task_id", "status"),
