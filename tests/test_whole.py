@@ -11,7 +11,7 @@ from trellis.plans import control
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["S11", "M07"])
+@pytest.mark.parametrize("name", ["S11", "M07", "S01"])
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
     for f in os.listdir(SF):
@@ -32,3 +32,12 @@ def test_all_nodes_are_embedded(spark, monkeypatch):
     monkeypatch.setattr(control.ingest.seams, "embed", lambda nodes, **how: seen.append(nodes.count()) or embed(nodes, **how))
     control.QUERIES["M07"](spark, large)
     assert seen == [spark.read.parquet(f"{large}/documents.parquet").count()]
+
+
+def test_every_conversation_is_a_file(spark, tmp_path, monkeypatch):
+    seen, read = [], control.ingest.read_texts
+    monkeypatch.setattr(control, "folder", lambda s, label: f"file://{tmp_path}/{label}")
+    monkeypatch.setattr(control.ingest, "read_texts", lambda *a: seen.append(read(*a)) or seen[0])
+    control.QUERIES["S01"](spark, SF).collect()
+    want = control.fx.markdown(spark, SF).select("tree_id", F.length("text") + 1).collect()
+    assert len(want) > 1 and sorted(map(tuple, seen[0].select("tree_id", F.length("text")).collect())) == sorted(map(tuple, want))

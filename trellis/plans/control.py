@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +92,32 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("ts timestamp_ntz, user_id string, action string, detail string, seq long").json(path).where("seq % 10 = 0").groupBy("action").agg(F.count("*").alias("n"))
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """A file for each (name, text), written by the tasks, so the folder has to be a mounted
+    one; under a temporary name first, so a retried task does no harm."""
+    if not path.startswith(("file:", "/")):
+        raise ValueError(f"tasks write the files, so the shared folder must be mounted, not {path}")
+    own = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(own)
+
+    def write(rows) -> None:
+        for r in rows:
+            tmp = f"{own}/.{uuid.uuid4().hex}"
+            with open(tmp, "w", encoding="utf-8", newline="") as f:
+                f.write(r["text"])
+            os.replace(tmp, f"{own}/{r['name']}")
+
+    files.foreachPartition(write)
+
+
 def s01(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation as a file of its own, read by :func:`ingest.read_texts`. The SQL
+    has the length of one; it is taken out of all by an aggregate, as a filter on the name
+    would leave the other files unread."""
     path = folder(spark, "texts")
-    fx.markdown(spark, d).where("tree_id = 'c0'").coalesce(1).select("text").write.text(path)
-    found = spark.read.text(path, wholetext=True)
-    return found.select(F.length("value").alias("n"))
+    write_files(fx.markdown(spark, d).select(F.concat("tree_id", F.lit(".md")).alias("name"), F.concat("text", F.lit("\n")).alias("text")), path)
+    own = F.when(F.col("tree_id") == "c0", F.length("text"))
+    return ingest.read_texts(spark, path).agg(F.max(own).alias("n")).where("n is not null")
 
 
 def doc_ids(spark: SparkSession, d: str) -> DataFrame:
