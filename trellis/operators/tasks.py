@@ -41,12 +41,17 @@ def unfinished(nodes: DataFrame, done: DataFrame) -> DataFrame:
 
 def eta(times: DataFrame, total: int, alpha: float = CONFIG.eta_alpha) -> DataFrame:
     """(task_id, done, ema, eta_seconds) from (task_id, seq, seconds): an exponential moving
-    average that starts with the first time, times what remains. A task has as many rows as
-    its document has nodes."""
-    lists = times.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("seq", "seconds"))).alias("t"))
-    ema = F.aggregate(F.slice("t", 2, 1_000_000_000), F.col("t")[0]["seconds"], lambda s, x: alpha * x["seconds"] + (1 - alpha) * s)
-    done = F.size("t")
-    return lists.select("task_id", done.alias("done"), ema.alias("ema"), (F.greatest(F.lit(total) - done, F.lit(0)) * ema).alias("eta_seconds"))
+    average that starts with the first time, times what remains. A run of times maps an
+    average s to a s + b, and such maps follow on each other, so the times are cut into blocks
+    of about as many rows each, whatever the tasks, and a task is folded over its blocks."""
+    parts = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = times.select("task_id", "seq", "seconds").repartitionByRange(parts, "task_id", "seq").withColumn("block", F.spark_partition_id())
+    lists = rows.groupBy("task_id", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "seconds"))).alias("t"))
+    b = F.aggregate("t", F.lit(0.0), lambda s, x: alpha * x["seconds"] + (1 - alpha) * s)
+    maps = lists.select("task_id", F.struct("block", F.size("t").alias("n"), F.col("t")[0]["seconds"].alias("first"), F.pow(F.lit(1.0 - alpha), F.size("t")).alias("a"), b.alias("b")).alias("m"))
+    folded = maps.groupBy("task_id").agg(F.sort_array(F.collect_list("m")).alias("m"), F.sum("m.n").cast("int").alias("done"))
+    ema = F.aggregate("m", F.col("m")[0]["first"], lambda s, x: x["a"] * s + x["b"])
+    return folded.select("task_id", "done", ema.alias("ema"), (F.greatest(F.lit(total) - F.col("done"), F.lit(0)) * ema).alias("eta_seconds"))
 
 
 def merge_updates(known: DataFrame, updates: DataFrame, fields: list[str]) -> DataFrame:
