@@ -11,7 +11,7 @@ from trellis.plans import control
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["S11", "M07", "S01"])
+@pytest.mark.parametrize("name", ["S11", "M07", "S01", "S08"])
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
     for f in os.listdir(SF):
@@ -41,3 +41,11 @@ def test_every_conversation_is_a_file(spark, tmp_path, monkeypatch):
     control.QUERIES["S01"](spark, SF).collect()
     want = control.fx.markdown(spark, SF).select("tree_id", F.length("text") + 1).collect()
     assert len(want) > 1 and sorted(map(tuple, seen[0].select("tree_id", F.length("text")).collect())) == sorted(map(tuple, want))
+
+
+def test_metadata_comes_from_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(control, "folder", lambda s, label: f"file://{tmp_path}/{label}")
+    got = [tuple(r) for r in control.QUERIES["S08"](spark, SF).collect()]
+    names = os.listdir(tmp_path / "meta")
+    assert "broken.meta.json" in names and sum(n.endswith(".meta.json") for n in names) == len(got) + 1
+    assert got == sorted(got) == sorted(tuple(r) for r in control.rt.meta(spark, SF).collect())

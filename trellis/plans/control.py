@@ -78,20 +78,6 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
     return ingest.read_index(spark, path).groupBy("tree_id").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).cast("long").alias("floats"))
 
 
-def s08(spark: SparkSession, d: str) -> DataFrame:
-    return rt.meta(spark, d).orderBy("doc_id")
-
-
-def s11(spark: SparkSession, d: str) -> DataFrame:
-    """The whole log, appended in two halves and read again; the SQL counts a tenth of it."""
-    path = folder(spark, "audit")
-    log = fx.audit(spark, d)
-    even = F.coalesce(F.col("seq") % 2 == 0, F.lit(True))
-    ingest.append_audit(log.where(even), path)
-    ingest.append_audit(log.where(~even), path)
-    return spark.read.schema("ts timestamp_ntz, user_id string, action string, detail string, seq long").json(path).where("seq % 10 = 0").groupBy("action").agg(F.count("*").alias("n"))
-
-
 def write_files(files: DataFrame, path: str) -> None:
     """A file for each (name, text), written by the tasks, so the folder has to be a mounted
     one; under a temporary name first, so a retried task does no harm."""
@@ -110,6 +96,26 @@ def write_files(files: DataFrame, path: str) -> None:
     files.foreachPartition(write)
 
 
+def s08(spark: SparkSession, d: str) -> DataFrame:
+    """A metadata file for each source, and a broken one, read in path order, which is that
+    of the sources."""
+    path = folder(spark, "meta")
+    name = F.concat(F.lit("doc-"), F.url_encode(F.coalesce("doc_id", F.lit(""))), F.lit(".meta.json"))
+    files = rt.meta(spark, d).select(name.alias("name"), F.to_json(F.struct("doc_id", "filename", "nodes"), {"ignoreNullFields": "false"}).alias("text"))
+    write_files(files.unionByName(spark.range(1).select(F.lit("broken.meta.json").alias("name"), F.lit('{"doc_id": ').alias("text"))), path)
+    return ingest.read_meta(spark, path)
+
+
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log, appended in two halves and read again; the SQL counts a tenth of it."""
+    path = folder(spark, "audit")
+    log = fx.audit(spark, d)
+    even = F.coalesce(F.col("seq") % 2 == 0, F.lit(True))
+    ingest.append_audit(log.where(even), path)
+    ingest.append_audit(log.where(~even), path)
+    return spark.read.schema("ts timestamp_ntz, user_id string, action string, detail string, seq long").json(path).where("seq % 10 = 0").groupBy("action").agg(F.count("*").alias("n"))
+
+
 def s01(spark: SparkSession, d: str) -> DataFrame:
     """Every conversation as a file of its own, read by :func:`ingest.read_texts`. The SQL
     has the length of one; it is taken out of all by an aggregate, as a filter on the name
