@@ -91,6 +91,23 @@ def test_line_dedup_against_all_pairs(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_short_lines_are_joined_by_the_query(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, "\n".join("".join(r.choice("ab é") for _ in range(r.choice([1, 2, 3, 5, 8, 19, 20]))) for _ in range(3)), "en", "s", 0) for i in range(30)]
+    rows += [(30, "nineteen characters", "en", "s", 0), (31, "nineteen character\nx\n\n \nxy", "en", "s", 0)]
+    write(spark.createDataFrame(rows, DOCS), str(tmp_path / "documents.parquet"))
+    want, seen = {}, []
+    for i, t, *_ in rows:
+        want[i] = []
+        for n, line in enumerate(t.split("\n")):
+            if line.strip():
+                if any(line == o or near(line, o) for o in seen):
+                    want[i].append(n)
+                seen.append(line)
+    assert want[31][:1] == [0]
+    assert {x["doc_id"]: list(x["gone"]) for x in line_dedup.query(spark, str(tmp_path)).collect()} == want
+
+
 def test_line_dedup_odd(spark, odd, none):
     out = line_dedup.clean(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -214,6 +214,6 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the lines of each document that go."""
-    found, _ = verdicts(table(spark, sf_dir, "documents"))
+    found, _ = verdicts(table(spark, sf_dir, "documents"), min_chars=0)
     per = found.groupBy("doc").agg(F.count("*").alias("n_lines"), F.sum(F.col("goes").cast("long")).alias("n_gone"), F.sum((F.col("goes") & F.col("near")).cast("long")).alias("n_near"), F.sort_array(F.collect_list(F.when(F.col("goes"), F.col("nth").cast("int")))).alias("gone"))
     return per.select("doc.doc_id", "n_lines", (F.col("n_lines") - F.col("n_gone")).alias("n_kept"), "n_near", "gone")
