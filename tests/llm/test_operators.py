@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellis.llm import decontam, exact_dedup, line_dedup, lm, mixing, near_dedup, quality, sharding, textvec, token_counts, toxicity
+from trellis.llm.common import join_frequent
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,6 +132,42 @@ def test_shards(spark, odd, none):
     assert sharding.shard(none, 4).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_groups_stay_whole_and_shards_are_even(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    rows = sharding.shard(docs, 24).collect()
+    size, group, where = Counter(), Counter(), defaultdict(set)
+    for r in rows:
+        assert r["size"] == len((text[r["doc_id"]] or "").encode()) + 8
+        size[r["shard"]] += r["size"]
+        group[text[r["doc_id"]]] += r["size"]
+        where[text[r["doc_id"]]].add(r["shard"])
+    fair = sum(size.values()) / 24
+    assert len(rows) == len(text) and all(len(where[t]) == 1 for t, n in group.items() if n <= fair)
+    # whole groups, the largest first: no shard is above the mean by more than a small range
+    assert max(size.values()) <= max(1.02 * fair, max(group.values())) and min(size.values()) >= 0.97 * fair
+
+
+def test_large_groups_go_to_as_few_shards_as_hold_them(spark):
+    rows = make(900, 6) + [(i, "one text " * 30, "en", "s", 0) for i in range(5000, 5600)] + [(7, "same row " * 30, "en", "s", 0)] * 300 + [(None, "no id " * 30, "en", "s", 0)] * 300
+    got = sharding.shard(spark.createDataFrame(rows, DOCS), 8).join(spark.createDataFrame(rows, DOCS).select("text", F.crc32("text").alias("text_crc32")).distinct(), "text_crc32").collect()
+    size, group, where = Counter(), Counter(), defaultdict(set)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        group[r["text"]] += r["size"]
+        where[r["text"]].add(r["shard"])
+    fair = sum(size.values()) / 8
+    assert len(got) == len(rows) and max(size.values()) < 1.03 * min(size.values())
+    assert all(len(where[t]) <= math.ceil(n / fair) for t, n in group.items()) and max(map(len, where.values())) > 1
+
+
+def test_shards_take_ids_of_any_type(spark, odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    rows = sharding.shard(named, 4).collect()
+    assert len(rows) == odd.count() and {r["doc_id"] for r in rows} == {r["doc_id"] for r in named.collect()}
+
+
 def test_shards_rerun(spark, odd):
     key = lambda: sorted((r["doc_id"] or -1, r["shard"], r["slot"]) for r in sharding.shard(odd, 4).collect())
     assert key() == key()
@@ -397,6 +434,21 @@ def test_exact_dedup(spark, odd, none, tmp_path):
     assert exact_dedup.dedup(spark, write(none, str(tmp_path / "n"))).count() == 0
 
 
+def test_only_texts_of_hits_are_grouped(spark):
+    rows = spark.createDataFrame([(f"{i % 700:064x}", i) for i in range(1000)], "digest string, n int")
+    hits = rows.groupBy("digest").count().where("count > 1").select("digest")
+    marked = exact_dedup._marked(rows, hits, 25)
+    assert marked.columns == rows.columns and sorted(r["n"] for r in marked.collect()) == [i for i in range(1000) if i % 700 < 300]
+    assert exact_dedup._marked(rows, hits, 1).count() == 1000 and exact_dedup._marked(rows, hits.limit(0), 25).count() == 0
+
+
+def test_frequent_keys_are_joined_apart(spark):
+    rows = spark.createDataFrame([(("hot" if i % 3 else f"k{i}"), i) for i in range(3000)], "k string, n int")
+    facts = rows.groupBy("k").agg(F.count("*").alias("c"), F.min("n").alias("low"))
+    got = join_frequent(rows, facts, ["k"], "c", 3000)
+    assert sorted(map(tuple, got.select("k", "n", "low").collect())) == sorted(map(tuple, rows.join(facts, "k").select("k", "n", "low").collect()))
+
+
 def test_exact_dedup_goes_on(spark, tmp_path):
     """A second run reads new files only, and old digests still count."""
     path, check = str(tmp_path / "d"), str(tmp_path / "c")

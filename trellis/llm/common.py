@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="trellis-"))
             atexit.register(shutil.rmtree, _OWN[0], True)
@@ -41,6 +43,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_frequent(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, pieces: int = 1024) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key, whose column ``count`` says how many of
+    the ``total`` rows have the key. Keys of more than a ``pieces``-th of all rows, of which
+    there are fewer than ``pieces``, are broadcast, so the shuffled join has no hot key."""
+    often = F.col(count) > F.lit(max(1, total // pieces))
+    big = F.broadcast(facts.where(often))
+    rest = rows.join(F.broadcast(facts.where(often).select(*keys)), keys, "left_anti")
+    return rows.join(big, keys).unionByName(rest.join(facts.where(~often), keys))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that ``df`` does not use: ``names``, with underscores before them where needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: orders rows that repeat a key the same way in
+    every run."""
+    plain = [df[f"`{f.name}`"] for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*plain)
+
+
 def arrow_batches(spark: SparkSession, rows: int = 4000, size: int = 8 << 20) -> None:
     """Keep Arrow batches small enough that a batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

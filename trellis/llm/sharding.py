@@ -1,22 +1,26 @@
 """Sharding by sampled splitters.
 
-Records get the key (hash of the text, hash of the id, id). A size-weighted sample of
-keys gives quantile boundaries; records fall into the ranges between them. The exact
-bytes of every range are then counted, ranges that hold too much are subdivided with a
-sample of their own, and runs of consecutive ranges form the shards. All that reaches
-the driver is the sample and one row a range, both bounded by parameters.
-
-Equal texts share the first part of their key, so they stay in one shard. Only a group
-of copies larger than ``split_share`` of a shard is cut further, by the id's hash.
-
-Defined results: a null text has no bytes; a null id counts as 0; an empty table gives
-no rows; repeated rows each get a slot; columns of the input that are not named are
-dropped, so clashing names do no harm.
+Records get the key (hash of the text, hash of the id). A size-weighted sample of keys
+gives quantile boundaries; records fall into the ranges between them. The exact bytes of
+every range are then counted, and ranges that hold too much are subdivided with a sample
+of their own until none does. All that reaches the driver is the sample and one row a
+range, both bounded by parameters.
+
+Ranges are placed, the largest first, in the shard with the fewest bytes so far. Equal
+texts share the first part of their key. The ranges of one group of equal texts, however
+many, are placed together, so the group stays in one shard; only a group of more bytes than
+a shard's fair part is spread, over as few shards as hold it. Slots are numbered range by
+range, so no task holds a whole shard or group.
+
+Defined results: a null text has no bytes; a null id is an id like any other; ids may be of
+any type; an empty table gives no rows; repeated rows each get a slot; columns of the input
+that are not named are dropped, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +35,17 @@ Key = tuple[int, int]
 
 
 def sized_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, h, g): h orders the groups of equal texts, g their members."""
+    """(doc_id, size, text_crc32, h, g): h orders the groups of equal texts, g their members.
+    The last bits of g tell rows of one id apart, so that these can be subdivided too."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 44)
+    own = F.shiftleft(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(17)), 20)
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
-        F.xxhash64(F.coalesce(F.col(id_col), F.lit(0)), F.lit(17)).alias("g"),
+        own.bitwiseOR(row).alias("g"),
     )
 
 
@@ -90,52 +97,80 @@ def _measure(ranged: DataFrame) -> dict[int, dict]:
     return {r["rng"]: r.asDict() for r in rows}
 
 
-def splitters(keyed: DataFrame, shards: int, per_shard: int = 64, oversample: int = 12, split_share: float = 0.02, rounds: int = 4) -> tuple[list[Key], list[int], dict[int, int]]:
-    """(boundaries, shard of each range, first slot of each range)."""
+def splitters(keyed: DataFrame, shards: int, per_shard: int = 64, oversample: int = 12) -> tuple[list[Key], dict[int, tuple[int, int]]]:
+    """(boundaries, shard and first slot of each range)."""
     total = keyed.agg(F.sum("size")).first()[0] or 0
     parts = shards * per_shard
     bounds = _quantiles(_sample(keyed, total, parts * oversample, 1), parts, True)
-    fair, most = total / parts, max(1.0, split_share * total / shards)
-    for k in range(rounds):
+    fair = total / parts
+    seed = 1
+    while True:  # each round cuts every range that is over, so the rounds end
         found = _measure(with_range(keyed, bounds))
-        over = {i: r for i, r in found.items() if r["bytes"] > 1.5 * fair and (r["h0"] < r["h1"] or r["bytes"] > most and r["g0"] < r["g1"])}
-        if not over or k == rounds - 1:
-            break
+        over = {i: r for i, r in found.items() if r["bytes"] > 1.5 * fair and (r["h0"], r["g0"]) < (r["h1"], r["g1"])}
+        if not over:
+            return bounds, _place(found, shards, total)
+        seed += 1
         mass = sum(r["bytes"] for r in over.values())
         want = sum(int(np.ceil(r["bytes"] / fair)) for r in over.values()) * oversample
         inside = with_range(keyed, bounds).where(F.col("rng").isin([int(i) for i in over]))
-        drawn = _sample(inside, mass, want, 2 + k)
+        drawn = _sample(inside, mass, want, seed)
         more: set[Key] = set()
         for i, r in over.items():
             lo = bounds[i - 1] if i else (-(1 << 63), -(1 << 63))
             hi = bounds[i] if i < len(bounds) else ((1 << 63) - 1, (1 << 63) - 1)
             own = drawn[bisect.bisect_left(drawn, lo) : bisect.bisect_left(drawn, hi)]
-            more |= set(_quantiles(own, int(np.ceil(r["bytes"] / fair)), r["h0"] < r["h1"]))
-            if r["h0"] < r["h1"]:
-                more |= {(r["h1"], -(1 << 63))}  # the last group alone, so that every round gets further
+            several = r["h0"] < r["h1"]
+            more |= set(_quantiles(own, int(np.ceil(r["bytes"] / fair)), several))
+            # the last group alone, or the middle of a single one
+            more |= {(r["h1"], -(1 << 63)) if several else (r["h0"], (r["g0"] + r["g1"]) // 2 + 1)}
         bounds = sorted(set(bounds) | more)
-    shard_of, first, so_far, slots = [], {}, 0, [0] * shards
-    for i in range(len(bounds) + 1):
-        r = found.get(i, {"bytes": 0, "n": 0})
-        s = min(shards - 1, int((so_far + r["bytes"] / 2) * shards / max(1, total)))
-        shard_of.append(s)
-        first[i] = slots[s]
-        slots[s] += r["n"]
-        so_far += r["bytes"]
-    return bounds, shard_of, first
+
+
+def _place(found: dict[int, dict], shards: int, total: int) -> dict[int, tuple[int, int]]:
+    """Shard and first slot of each range: ranges of one group together, unless they hold more
+    than a shard's fair part; the largest first, each where the fewest bytes are."""
+    most = max(1.0, total / shards)
+    groups: list[list[int]] = []
+    for i in sorted(found):
+        r, before = found[i], found[groups[-1][-1]] if groups else None
+        if before and before["h0"] == before["h1"] == r["h0"] == r["h1"]:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    units: list[tuple[int, list[int]]] = []
+    for own in groups:
+        size = sum(found[i]["bytes"] for i in own)
+        pieces, so_far = int(np.ceil(size / most)), 0
+        cut: list[list[int]] = [[] for _ in range(pieces)]
+        for i in own:
+            cut[min(pieces - 1, int((so_far + found[i]["bytes"] / 2) * pieces / size))].append(i)
+            so_far += found[i]["bytes"]
+        units += [(sum(found[i]["bytes"] for i in c), c) for c in cut if c]
+    load = [(0, s) for s in range(shards)]
+    shard_of: dict[int, int] = {}
+    for size, own in sorted(units, key=lambda u: (-u[0], u[1])):
+        held, s = heapq.heappop(load)
+        heapq.heappush(load, (held + size, s))
+        shard_of |= dict.fromkeys(own, s)
+    out, slots = {}, [0] * shards
+    for i in sorted(found):
+        s = shard_of[i]
+        out[i] = (s, slots[s])
+        slots[s] += found[i]["n"]
+    return out
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
     ``how``: parameters of :func:`splitters`. Shards get near-equal bytes; slots follow the
-    key order. Slots are numbered range by range, so no task holds a whole shard.
+    key order.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     keyed = materialize(sized_keys(docs, id_col, text_col), "shard-keys")
-    bounds, shard_of, first = splitters(keyed, shards, **how)
-    place = spark.createDataFrame([(i, s, first[i]) for i, s in enumerate(shard_of)], "rng int, shard int, first long")
+    bounds, places = splitters(keyed, shards, **how)
+    place = spark.createDataFrame([(i, s, first) for i, (s, first) in places.items()], "rng int, shard int, first long")
     nth = F.row_number().over(Window.partitionBy("rng").orderBy("h", "g", "doc_id"))
     return (
         with_range(keyed, bounds)
