@@ -4,11 +4,15 @@ A Structured Streaming aggregation without watermark keeps one state row per dig
 the disk-backed state store, and never expires it: the number of rows seen, the largest
 (stable id, content locator) and thereby the row that stays. The state lives with the
 query's checkpoint, so a restarted or grown input only adds to it. Afterwards the state
-is read back as a table; digests that were hit more than once are checked on full bytes,
-and only there, if texts differ under one digest, are they grouped by the text itself.
+is read back as a table. Digests that were hit are checked on full bytes: their texts, and
+only theirs, are grouped by digest and text, which a map task combines before the shuffle.
+Which rows those are is told by a bitmap of the hit digests; it is of one size whatever
+the input, so with very many hits some other texts pass as well, which changes no result.
+If texts differ under one digest, they are grouped by the text itself.
 
 Only DataFrame and SQL functions are used. Equal texts meet as one partial row per map
-task, so a text that makes up a third of all rows is no hot key.
+task, and the few digests with many rows get their keeper by a broadcast of bounded size,
+so a text that makes up a third of all rows is no hot key.
 
 Defined results: a null text counts as empty; of rows that repeat id and text one stays;
 a null id is smaller than any other; an empty table gives no rows; other columns are ignored.
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import lower_ascii, materialize, shared_dir
+from trellis.llm.common import join_frequent, lower_ascii, materialize, shared_dir
 
 #: State on disk, and no space set aside for each of many small stores.
 STATE_CONF = {
@@ -68,25 +72,43 @@ def track(stream: DataFrame, checkpoint: str, id_col: str = "doc_id", text_col:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def _place(digest: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(1 << bits))
+
+
+def _marked(rows: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
+    """Rows whose digest has the place of one of ``hits``, by a bitmap of 2 ** bits places."""
+    p = _place(F.col("digest"), bits)
+    bitmaps = hits.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bitmap"))
+    at = F.bitmap_bit_position(p)
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    both = rows.withColumn("bucket", F.bitmap_bucket_number(p)).join(F.broadcast(bitmaps), "bucket")
+    return both.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, digest: Callable[[Column], Column] = sha256, mark_bits: int = 25) -> DataFrame:
     """One row per row of the Parquet table at ``path``: doc_id, keep_id, group_size, kept,
     text_sha256. ``checkpoint``: keep the stream's state there for later runs; by default a
-    fresh folder below the shared one."""
+    fresh folder below the shared one. ``mark_bits``: size of the bitmap of hits."""
     table = spark.read.parquet(path)
     either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a stream takes one file as well as a folder of them
     state = track(spark.readStream.schema(table.schema).parquet(either), checkpoint or shared_dir(spark, "exact-dedup"), id_col, text_col, digest)
     rows = _rows(table, id_col, text_col, digest)
+    total = state.agg(F.sum("group_size")).first()[0] or 0
 
     # Full bytes on hits: rows of one digest must share one text.
-    texts = rows.groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    texts = _marked(rows, state.where("group_size > 1"), mark_bits).groupBy("digest", "norm").agg(F.count("*").alias("n"))
     clash = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     clash = materialize(clash, "exact-dedup-clash")
 
-    skinny = rows.select("doc_id", "locator", "digest", F.when(digest(F.lit("")).isNotNull(), sha256(F.col("norm"))).alias("text_sha256")) if digest is not sha256 else rows.select("doc_id", "locator", "digest", F.col("digest").alias("text_sha256"))
-    out = skinny.join(state, "digest")
+    sha = F.col("digest") if digest is sha256 else sha256(F.col("norm"))
+    skinny = materialize(rows.select("doc_id", "locator", "digest", sha.alias("text_sha256")), "exact-dedup-rows")
     if clash.take(1):
-        split = rows.join(clash, "digest", "left_semi").groupBy("digest", sha256(F.col("norm")).alias("text_sha256"), "norm").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("group_size"))
-        out = skinny.join(state.join(clash, "digest", "left_anti"), "digest").unionByName(skinny.join(split.drop("norm"), ["digest", "text_sha256"]))
+        split = rows.join(clash, "digest", "left_semi").groupBy("digest", sha256(F.col("norm")).alias("text_sha256"), "norm").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("group_size")).drop("norm")
+        clear = skinny.join(clash, "digest", "left_anti")
+        out = join_frequent(clear, state.join(clash, "digest", "left_anti"), ["digest"], "group_size", total).unionByName(join_frequent(skinny, materialize(split, "exact-dedup-split"), ["digest", "text_sha256"], "group_size", total))
+    else:
+        out = join_frequent(skinny, state, ["digest"], "group_size", total)
     return out.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
