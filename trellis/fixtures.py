@@ -33,8 +33,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a query, with the vector of its number."""
     b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    return b.where("item_id < 4").join(e, b["item_id"] == e["vec_id"]).select(F.col("item_id").cast("long").alias("query_id"), F.lit(0).alias("variant_no"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query_text"), F.col("embedding").alias("query_vec"))
+    return b.join(e, b["item_id"] == e["vec_id"]).select(F.col("item_id").cast("long").alias("query_id"), F.lit(0).alias("variant_no"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query_text"), F.col("embedding").alias("query_vec"))
 
 
 def as_variants(q: DataFrame) -> DataFrame:

@@ -121,16 +121,24 @@ def stage_pct(stage: Column, done: Column, total: Column) -> Column:
     return F.when(stage == "summarising", F.round(20 + done / total * 50, 1)).otherwise(_lookup(STAGE_PCT, stage))
 
 
+#: What a password that breaks a rule is told, in the order of the rules.
+PASSWORD_TOO_LONG = "Password must be at most 72 bytes long for bcrypt."
+PASSWORD_TOO_SHORT = "Password must be at least 8 characters long."
+PASSWORD_NO_UPPER = "Password must contain at least one uppercase letter."
+PASSWORD_NO_LOWER = "Password must contain at least one lowercase letter."
+PASSWORD_NO_DIGIT = "Password must contain at least one digit."
+PASSWORD_NO_SPECIAL = "Password must contain at least one special character."
+
+
 def password_problem(c: Column) -> Column:
-    """The first rule that a password breaks; empty if none."""
-    rule = lambda what: f"Password must {what}."
+    """The first rule that a password breaks; empty if none. Digits of any script count."""
     return (
-        F.when(F.octet_length(c) > 72, rule("be at most 72 bytes long for bcrypt"))
-        .when(F.length(c) < 8, rule("be at least 8 characters long"))
-        .when(~c.rlike("[A-Z]"), rule("contain at least one uppercase letter"))
-        .when(~c.rlike("[a-z]"), rule("contain at least one lowercase letter"))
-        .when(~c.rlike("[0-9]"), rule("contain at least one digit"))
-        .when(~c.rlike(r"""[!@#$%^&*()_+\-=\[\]{};':"\\|,.<>/?]"""), rule("contain at least one special character"))
+        F.when(F.octet_length(c) > 72, PASSWORD_TOO_LONG)
+        .when(F.length(c) < 8, PASSWORD_TOO_SHORT)
+        .when(~c.rlike("[A-Z]"), PASSWORD_NO_UPPER)
+        .when(~c.rlike("[a-z]"), PASSWORD_NO_LOWER)
+        .when(~c.rlike(r"(?U)\d"), PASSWORD_NO_DIGIT)
+        .when(~c.rlike(r"""[!@#$%^&*()_+\-=\[\]{};':"\\|,.<>/?]"""), PASSWORD_NO_SPECIAL)
         .otherwise("")
     )
 
@@ -158,7 +166,7 @@ def valid_username(c: Column) -> Column:
 # Upload and file names
 
 
-#: Image suffixes and types that are taken.
+#: Sets of image suffixes and types that are taken; their order has no meaning.
 IMAGE_SUFFIXES = (".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
 UPLOAD_TYPES = ("application/octet-stream", "application/pdf", "image/bmp", "image/gif", "image/jpeg", "image/jpg", "image/png", "image/tiff", "image/webp")
 CLIENT_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/jpg", "image/webp")
@@ -250,9 +258,12 @@ def trace(original: Column, rewritten: Column, variants: Column) -> Column:
 
 
 def rendered(template: Column, values: dict[str, Column]) -> Column:
-    """A prompt template with its {names} filled in; null if a name is missing."""
-    out, known = template, "|".join(sorted(values))
-    for name, v in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), v)
-    missing = F.size(F.filter(F.regexp_extract_all(template, F.lit(r"\{([a-z_]+)\}"), F.lit(1)), lambda n: ~n.rlike(f"^({known})$"))) > 0
-    return F.when(~missing, out)
+    """A prompt template with its {names} filled in, and {{ and }} as single braces; null if a
+    name or its value is missing. The template is cut once, so braces in values stay."""
+    mark = r"\{\{|\}\}|\{[a-z_]+\}"
+    known = {"{{": F.lit("{"), "}}": F.lit("}")} | {"{" + k + "}": v for k, v in values.items()}
+    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v)])
+    filled = F.transform(F.regexp_extract_all(template, F.lit(mark), F.lit(0)), lambda m: F.try_element_at(table, m))
+    both = F.arrays_zip(F.split(template, mark).alias("plain"), filled.alias("value"))
+    text = F.array_join(F.transform(both, lambda x: F.concat(x["plain"], F.coalesce(x["value"], F.lit("")))), "")
+    return F.when(~F.exists(filled, lambda v: v.isNull()), text)

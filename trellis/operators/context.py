@@ -4,43 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trellis.operators.vector import dot, embedded
 from trellis.schema import CONFIG, NOT_FOUND, RetrievalConfig
+from trellis.sources.scratch import keep
+
+
+PARTS = ["parent_id", "title", "content", "embedding"]
+
+
+def attached(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ranked rows with what the later steps need of their nodes, looked up once."""
+    return ranked if set(PARTS) <= set(ranked.columns) else ranked.join(nodes.select("tree_id", "node_id", *PARTS), ["tree_id", "node_id"])
 
 
 def near_duplicates(ranked: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """Ranked rows less those too close to a better row that was kept; greedy by rank.
     Rows without an embedding always stay and are never compared with."""
-    full = ranked.join(nodes.select("tree_id", "node_id", "embedding", "parent_id"), ["tree_id", "node_id"])
-    row = F.struct("rank", "tree_id", "node_id", "parent_id", "score", "embedding")
-    lists = full.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    row = F.struct("rank", "tree_id", "node_id", "score", *PARTS)
+    lists = attached(ranked, nodes).groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def step(kept, x):
         close = F.exists(kept, lambda k: embedded(k["embedding"]) & embedded(x["embedding"]) & (dot(k["embedding"], x["embedding"]) >= cfg.near_duplicate))
         return F.when(close, kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = F.aggregate("rows", F.slice("rows", 1, 0), step)
-    return lists.select("query_id", F.explode(kept).alias("r")).select("query_id", "r.rank", "r.tree_id", "r.node_id", "r.parent_id", "r.score")
+    return lists.select("query_id", F.explode(kept).alias("r")).select("query_id", "r.*")
 
 
 def prune_parents(kept: DataFrame) -> DataFrame:
     """Kept rows without those that have a kept child."""
-    kids = kept.where(F.col("parent_id").isNotNull()).select("query_id", "tree_id", F.col("parent_id").alias("node_id")).distinct()
-    return kept.join(kids, ["query_id", "tree_id", "node_id"], "left_anti")
+    above = F.collect_set("parent_id").over(Window.partitionBy("query_id", "tree_id"))
+    return kept.withColumn("_above", above).where(~F.array_contains("_above", F.col("node_id"))).drop("_above")
+
+
+def joined_in_order(df: DataFrame, keys: list[str], order: str, text, sep: str, name: str) -> DataFrame:
+    """The texts of each group, in order, as one; for groups of bounded size."""
+    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, text.alias("part")))).alias("parts"))
+    return lists.select(*keys, F.array_join("parts.part", sep).alias(name))
 
 
 def contexts(final: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """(query_id, context): titles and contents in rank order, cut to the limit."""
     part = F.concat(F.lit("["), F.coalesce("title", F.lit("")), F.lit("]\n"), F.coalesce("content", F.lit("")))
-    full = final.join(nodes.select("tree_id", "node_id", "title", "content"), ["tree_id", "node_id"])
-    lists = full.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
-    return lists.select("query_id", F.left(F.array_join("parts.part", "\n\n---\n\n"), F.lit(cfg.context_chars)).alias("context"))
+    whole = joined_in_order(attached(final, nodes), ["query_id"], "rank", part, "\n\n---\n\n", "context")
+    return whole.withColumn("context", F.left("context", F.lit(cfg.context_chars)))
 
 
 def citations(ranked: DataFrame, nodes: DataFrame, meta: DataFrame) -> DataFrame:
     """(query_id, sources): every ranked node in order; the file name falls back to the id."""
-    full = ranked.join(nodes.select("tree_id", "node_id", "title"), ["tree_id", "node_id"]).join(meta.select(F.col("doc_id").alias("tree_id"), "filename"), "tree_id", "left")
+    full = attached(ranked, nodes).join(meta.select(F.col("doc_id").alias("tree_id"), "filename"), "tree_id", "left")
     src = F.struct("rank", F.col("tree_id").alias("doc_id"), "node_id", "title", F.coalesce("filename", "tree_id").alias("filename"))
     return full.groupBy("query_id").agg(F.sort_array(F.collect_list(src)).alias("s")).select("query_id", F.transform("s", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["node_id"].alias("node_id"), x["title"].alias("title"), x["filename"].alias("filename"))).alias("sources"))
 
@@ -53,6 +67,7 @@ def guard(answer):
 def answers(queries: DataFrame, ranked: DataFrame, nodes: DataFrame, meta: DataFrame, generate=None, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """One row a query: context, answer, sources. ``generate`` maps (query text, context) to
     an answer; without one the context is the answer."""
+    ranked = keep(attached(ranked, nodes), "ranked")
     final = prune_parents(near_duplicates(ranked, nodes, cfg))
     asked = queries.groupBy("query_id").agg(F.min_by("query_text", "variant_no").alias("query_text"))
     both = asked.join(contexts(final, nodes, cfg), "query_id", "left").join(citations(ranked, nodes, meta), "query_id", "left")

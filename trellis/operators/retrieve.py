@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from trellis.operators import tree, vector
 from trellis.schema import CONFIG, RetrievalConfig
+from trellis.sources.scratch import keep
 
 QUERY = ["query_id", "variant_no"]
 PLACE = [*QUERY, "tree_id"]
@@ -26,38 +27,59 @@ def scoped(nodes: DataFrame, scope: DataFrame | None) -> DataFrame:
 
 def beam(nodes: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """Candidates of each query and tree: best children of the root, then of each survivor,
-    twice. Trees with few embedded nodes or no child of the root use flat search instead."""
+    twice. Trees with few embedded nodes or no child of the root use flat search instead.
+
+    Work follows the beam: only children of survivors are scored. Survivors of a level are
+    a few rows for each query and tree; they are written down, so that nothing is found
+    twice and the planner knows their size when it joins them with the next level.
+    """
     skinny = nodes.select("tree_id", "node_id", "ord", "parent_id", "embedding")
-    facts = skinny.groupBy("tree_id").agg(F.sum(vector.embedded(F.col("embedding")).cast("int")).alias("_n"), F.max((F.col("parent_id") == tree.ROOT).cast("int")).alias("_top"))
-    routed = skinny.join(facts, "tree_id").withColumn("_beam", (F.col("_n") >= cfg.min_embedded) & (F.col("_top") == 1))
-    scored = vector.similarities(routed.where("_beam").drop("_n", "_top", "_beam"), queries).withColumn("level", F.coalesce("sim", F.lit(0.0)))
-    scored = scored.select(*PLACE, "query_text", "node_id", "ord", "parent_id", "sim", "level")
-    # Ranks within a parent don't depend on whether the parent survives, so they are found
-    # once for all parents; the levels are then chained over the few rows that are left.
-    best = vector.top(scored, max(cfg.beam_root, cfg.beam_child, cfg.beam_leaf), "level", [*PLACE, "parent_id"], ["ord"])
-    picked = [best.where((F.col("parent_id") == tree.ROOT) & (F.col("rank") <= cfg.beam_root))]
-    for k in (cfg.beam_child, cfg.beam_leaf):
-        above = picked[-1].select(*PLACE, F.col("node_id").alias("parent_id"))
-        picked.append(best.where(F.col("rank") <= k).join(above, [*PLACE, "parent_id"], "left_semi").select(*best.columns))
-    out = picked[0].unionByName(picked[1]).unionByName(picked[2])
-    flat = vector.flat_search(routed.where("not _beam").select("tree_id", "node_id", "ord", "embedding"), queries, cfg.flat_k)
-    return out.select(*PLACE, "query_text", "node_id", "ord", "sim").unionByName(flat.select(*PLACE, "query_text", "node_id", "ord", "sim"))
+    facts = skinny.groupBy("tree_id").agg(F.count_if(vector.embedded(F.col("embedding"))).alias("n"), F.bool_or(F.col("parent_id").eqNullSafe(tree.ROOT)).alias("top"))
+    routes = keep(facts.select("tree_id", ((F.col("n") >= cfg.min_embedded) & F.col("top")).alias("beam")), "routes")
+    columns = [*PLACE, "query_text", "node_id", "ord", "sim"]
+    found = []
+    for block in vector.blocks(queries):
+        level = F.coalesce("sim", F.lit(0.0))
+        tops = skinny.where(F.col("parent_id") == tree.ROOT).join(routes.where("beam").select("tree_id"), "tree_id")
+        best = vector.top(vector.scored(tops, block, cfg.beam_root).withColumn("level", level), cfg.beam_root, "level", PLACE, ["ord"])
+        picked = [keep(best.select(*columns, "_q"), "beam")]
+        for last, k in enumerate((cfg.beam_child, cfg.beam_leaf)):
+            above = picked[-1].select(*PLACE, "query_text", "_q", F.col("node_id").alias("parent_id"))
+            kids = vector.paired(skinny.join(above, ["tree_id", "parent_id"]), block).withColumn("level", level)
+            best = vector.top(kids, k, "level", [*PLACE, "parent_id"], ["ord"]).select(*columns, "_q")
+            picked.append(best if last else keep(best, "beam"))
+        flat = vector.flat_top(skinny.join(routes.where("not beam").select("tree_id"), "tree_id"), block, cfg.flat_k)
+        found += [x.select(*columns) for x in (*picked, flat)]
+    if not found:
+        return vector.flat_search(nodes, queries).select(*columns)
+    return keep(vector.union(found), "candidates")
+
+
+def term_counts(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates, a row for each term of the query that the node's summary and title have
+    (term, times in the query, tf; one row with nulls if there is none), with dl, the tokens
+    of the node, and n, avgdl and df over the candidates of the query and tree. All steps keep
+    these together, so they share one shuffle."""
+    text = nodes.select("tree_id", "node_id", F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("title", F.lit(""))).alias("_text"))
+    docs = candidates.join(text, ["tree_id", "node_id"], "left").withColumn("_toks", tokens(F.coalesce("_text", F.lit("")))).withColumn("dl", F.size("_toks").cast("double"))
+    w = Window.partitionBy(*PLACE)
+    docs = docs.withColumn("n", F.count("*").over(w)).withColumn("avgdl", F.avg("dl").over(w)).withColumn("_asked", tokens(F.col("query_text")))
+    times = lambda toks, t: F.size(F.filter(toks, lambda x: x == t))
+    met = F.transform(F.array_intersect("_asked", "_toks"), lambda t: F.struct(t.alias("term"), times("_asked", t).alias("times"), times("_toks", t).alias("tf")))
+    each = docs.withColumn("_m", F.explode_outer(met)).select(*candidates.columns, "dl", "n", "avgdl", "_m.*")
+    return each.withColumn("df", F.count("*").over(Window.partitionBy(*PLACE, "term")))
 
 
 def bm25(candidates: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """Candidates with ``bm25``, from statistics over the candidates of the query and tree."""
-    text = nodes.select("tree_id", "node_id", tokens(F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("title", F.lit("")))).alias("toks"))
-    docs = candidates.join(text, ["tree_id", "node_id"]).withColumn("dl", F.size("toks").cast("double"))
-    key = [*PLACE, "node_id"]
-    w = Window.partitionBy(*PLACE)
-    docs = docs.withColumn("n", F.count("*").over(w)).withColumn("avgdl", F.avg("dl").over(w))
-    tf = docs.select(*key, "dl", "n", "avgdl", F.explode("toks").alias("term")).groupBy(*key, "dl", "n", "avgdl", "term").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy(*PLACE, "term")))
-    asked = candidates.select(*QUERY, "query_text").distinct().select(*QUERY, F.explode(tokens(F.col("query_text"))).alias("term")).groupBy(*QUERY, "term").agg(F.count("*").alias("times"))
+    each = term_counts(candidates, nodes)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("times") * idf * F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
-    got = tf.join(asked, [*QUERY, "term"]).groupBy(*key).agg(F.sum(part).alias("bm25"))
-    return candidates.join(got, key, "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    tf = F.col("tf")
+    part = F.col("times") * idf * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
+    key = [*PLACE, "node_id"]
+    rest = [c for c in candidates.columns if c not in key]
+    out = each.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
+    return out.select(*candidates.columns, "bm25")
 
 
 def hybrid(candidates: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
@@ -88,10 +110,13 @@ def single(nodes: DataFrame, queries: DataFrame, k: int, scorer=None, cfg: Retri
     return rerank(hybrid(beam(nodes, queries, cfg), nodes, cfg), nodes, scorer, k, cfg)
 
 
+def max_over_variants(results: DataFrame) -> DataFrame:
+    return results.groupBy("query_id", "tree_id", "node_id", "ord").agg(F.max("score").alias("score"))
+
+
 def fuse(results: DataFrame, k: int) -> DataFrame:
     """Max over a query's variants; k best of each query and tree."""
-    best = results.groupBy("query_id", "tree_id", "node_id", "ord").agg(F.max("score").alias("score"))
-    return vector.top(best, k, "score", ["query_id", "tree_id"], ["ord"])
+    return vector.top(max_over_variants(results), k, "score", ["query_id", "tree_id"], ["ord"])
 
 
 def merge(fused: DataFrame, k: int, bare_ids: bool = False) -> DataFrame:

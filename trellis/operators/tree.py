@@ -18,17 +18,23 @@ def strip_page_breaks(text: Column) -> Column:
     return F.replace(text, F.lit("<!-- page_break -->"), F.lit("\n"))
 
 
-def split_sections(docs: DataFrame) -> DataFrame:
-    """(tree_id, ord, header_level, title, content) from (tree_id, text).
-
-    A line of one to three # and a blank, outside ``` fences, starts a section that holds it
-    and all lines up to the next such line. Lines before the first header are section 0.
-    """
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """(tree_id, pos, line, is_header, ord) of the lines of (tree_id, text). A line of one to
+    three # and a blank, outside ``` fences, is a header; ord numbers the sections."""
     lines = docs.select("tree_id", F.posexplode(F.split(strip_page_breaks(F.col("text")), "\n")).alias("pos", "line"))
     w = Window.partitionBy("tree_id").orderBy("pos")
     fence = F.sum(F.col("line").startswith("```").cast("int")).over(w) % 2 == 1
     header = F.col("line").rlike("^#{1,3} ") & ~fence
-    marked = lines.withColumn("is_header", header).withColumn("ord", F.sum(F.col("is_header").cast("int")).over(w).cast("int"))
+    return lines.withColumn("is_header", header).withColumn("ord", F.sum(F.col("is_header").cast("int")).over(w).cast("int"))
+
+
+def split_sections(docs: DataFrame) -> DataFrame:
+    """(tree_id, ord, header_level, title, content) from (tree_id, text).
+
+    A header starts a section that holds it and all lines up to the next one. Lines before
+    the first header are section 0.
+    """
+    marked = marked_lines(docs)
     parts = marked.groupBy("tree_id", "ord").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("own"), F.max(F.when(F.col("is_header"), F.col("line"))).alias("head"))
     return parts.select(
         "tree_id",
@@ -73,6 +79,7 @@ def children(nodes: DataFrame, of: DataFrame) -> DataFrame:
 def image_nodes(images: DataFrame, start: Column) -> DataFrame:
     """Nodes for described images (doc_id, page, idx, source, image_type, image_path, width,
     height, description); numbered from ``start`` in page order, without empty descriptions."""
+    # The title and the content of an image node.
     n = start + F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "idx")) - 1
     place = F.when(F.col("source") == "pdf", F.format_string("Page %d", F.col("page"))).otherwise("standalone")
     content = F.format_string("[IMAGE_PATH:%s]\nSource: %s\nPage: %d\nType: %s\nSize: %d×%dpx\n\n%s", "image_path", "source", "page", "image_type", "width", "height", "description")
@@ -81,12 +88,11 @@ def image_nodes(images: DataFrame, start: Column) -> DataFrame:
 
 
 #: Image types a description may name.
-IMAGE_TYPES = ("chart", "diagram", "table", "photo", "map", "screenshot")
+IMAGE_TYPES = ("chart", "diagram", "table", "photo", "screenshot", "map")
 
 
 def parse_vision(raw: Column) -> tuple[Column, Column]:
-    """(description, image_type) of a vision model's answer."""
-    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    skip = F.upper(text) == "SKIP"
-    kind = F.lower(F.regexp_replace(F.regexp_extract(text, r"(?im)^TYPE:(.*)$", 1), r"^\s+|\s+$", ""))
-    return F.when(skip, "").otherwise(text), F.when(~skip & kind.isin(*IMAGE_TYPES), kind).otherwise("image")
+    """(description, image_type) of a vision model's answer, which is kept as it came."""
+    skip = F.upper(F.regexp_replace(raw, r"^\s+|\s+$", "")) == "SKIP"
+    kind = F.lower(F.regexp_replace(F.regexp_extract(raw, r"(?im)^TYPE:(.*)$", 1), r"^\s+|\s+$", ""))
+    return F.when(skip, "").otherwise(raw), F.when(~skip & kind.isin(*IMAGE_TYPES), kind).otherwise("image")

@@ -1,14 +1,33 @@
-"""Inner products over array columns."""
+"""Inner products of nodes and queries.
+
+Queries are the given side of a search. They are collected in blocks of bounded size and
+shipped to the nodes, where a batch of nodes and a block of queries meet in one matrix
+product; blocks follow on each other, so any number of queries can be asked.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Pairs in a batch that a task hands on.
+_PAIRS = 1 << 16
+#: More than two scores can differ by and still be equal when rounded to nine digits.
+_SLACK = 2e-9
+
 
 def dot(a: Column, b: Column) -> Column:
-    """Inner product in double; null if either is null."""
+    """Inner product in double; null if either is null. For a few rows: searches multiply
+    matrices instead."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -22,15 +41,103 @@ def embedded(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0)
 
 
-def similarities(nodes: DataFrame, queries: DataFrame, max_broadcast: int = 20_000) -> DataFrame:
-    """Every query against every node, with ``sim`` (null without an embedding).
+@dataclass
+class Block:
+    """Some queries: id, variant and text of each, and their vectors as the rows of a matrix."""
+
+    query_id: pa.Array
+    variant_no: pa.Array
+    query_text: pa.Array
+    vectors: np.ndarray
+
+
+def blocks(queries: DataFrame, size: int = 20_000) -> list[Block]:
+    """The queries (query_id, variant_no, query_text, query_vec) in blocks of about ``size``;
+    those without a vector find nothing."""
+    own = queries.where(embedded(F.col("query_vec"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("variant_no").cast("int").alias("variant_no"), "query_text", F.col("query_vec").cast("array<double>").alias("query_vec"))
+    rows = own.limit(size + 1).collect()
+    found = [rows]
+    if len(rows) > size:
+        parts = math.ceil(own.count() / size)
+        part = F.pmod(F.xxhash64("query_id", "variant_no"), F.lit(parts))
+        found = [own.where(part == i).collect() for i in range(parts)]
+    return [Block(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), np.array([r[3] for r in rows])) for rows in found if rows]
+
+
+def matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x dim, whether a row has a vector of that length)."""
+    known = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == dim
+    out = np.zeros((len(vectors), dim))
+    if known.any():
+        out[known] = vectors.filter(pa.array(known)).flatten().to_numpy().reshape(-1, dim)
+    return out, known
+
+
+def _asked(nodes: DataFrame, *more: T.StructField) -> T.StructType:
+    plain = [f for f in nodes.schema.fields if f.name != "embedding"]
+    return T.StructType([*plain, T.StructField("query_id", T.LongType()), T.StructField("variant_no", T.IntegerType()), T.StructField("query_text", T.StringType()), T.StructField("_q", T.IntegerType()), T.StructField("sim", T.DoubleType()), *more])
+
+
+def _can_be_top(tree: pa.Array, score: np.ndarray, k: int) -> np.ndarray:
+    """Whether each (node, query) of the batch may be among the k best of its tree."""
+    code = tree.dictionary_encode()
+    code = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    cut = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+    good = np.ones(score.shape, bool)
+    for own in np.split(order, cut[1:]):
+        if len(own) > k:
+            kth = -np.partition(-score[own], k - 1, axis=0)[k - 1]
+            good[own] = score[own] >= kth - _SLACK
+    return good
+
 
-    The queries are the given side of a search and are shipped to the nodes; a set of more
-    than ``max_broadcast`` is left to the planner instead.
-    """
-    side = F.broadcast(queries) if queries.limit(max_broadcast + 1).count() <= max_broadcast else queries
-    sim = F.when(embedded(F.col("embedding")), dot(F.col("embedding"), F.col("query_vec")))
-    return nodes.crossJoin(side).withColumn("sim", sim).drop("query_vec")
+def scored(nodes: DataFrame, block: Block, k: int | None = None, unknown: bool = True) -> DataFrame:
+    """Nodes (less their embedding) with the queries of ``block``, _q (place in the block) and
+    ``sim``, null for a node without a vector; these are left out unless ``unknown``. With
+    ``k``, only what can be among the k best of a query and tree, null counting as 0."""
+    fields = _asked(nodes)
+    plain = [c for c in nodes.columns if c != "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vec, known = matrix(b.column("embedding"), block.vectors.shape[1])
+            step = max(1, _PAIRS // max(1, len(b)))
+            for lo in range(0, len(block.vectors), step):
+                sim = vec @ block.vectors[lo : lo + step].T
+                good = np.ones(sim.shape, bool) if unknown else np.repeat(known[:, None], sim.shape[1], axis=1)
+                if k is not None:
+                    good &= _can_be_top(b.column("tree_id"), np.where(good, sim, -np.inf), k)
+                at, q = np.nonzero(good)
+                who = pa.array(q + lo)
+                cols = [b.column(c).take(pa.array(at)) for c in plain]
+                cols += [block.query_id.take(who), block.variant_no.take(who), block.query_text.take(who), pa.array((q + lo).astype(np.int32)), pa.array(sim[at, q], mask=~known[at])]
+                yield pa.RecordBatch.from_arrays(cols, fields.names)
+
+    return nodes.mapInArrow(run, fields)
+
+
+def paired(rows: DataFrame, block: Block) -> DataFrame:
+    """Rows (less their embedding) with ``sim`` to the query of the block that _q names."""
+    fields = T.StructType([*[f for f in rows.schema.fields if f.name != "embedding"], T.StructField("sim", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vec, known = matrix(b.column("embedding"), block.vectors.shape[1])
+            sim = np.einsum("ij,ij->i", vec, block.vectors[b.column("_q").to_numpy()])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in fields.names[:-1]], pa.array(sim, mask=~known)], fields.names)
+
+    return rows.mapInArrow(run, fields)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def similarities(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every query against every node, with ``sim`` (null without an embedding)."""
+    found = [scored(nodes, b).drop("_q") for b in blocks(queries)]
+    return union(found) if found else nodes.sparkSession.createDataFrame([], _asked(nodes)).drop("_q")
 
 
 def top(df: DataFrame, k: int, by: str, keys: list[str], ties: list[str]) -> DataFrame:
@@ -39,7 +146,15 @@ def top(df: DataFrame, k: int, by: str, keys: list[str], ties: list[str]) -> Dat
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def flat_top(nodes: DataFrame, block: Block, k: int) -> DataFrame:
+    own = nodes.where(embedded(F.col("embedding"))).select("tree_id", "node_id", "ord", "embedding")
+    return top(scored(own, block, k, unknown=False), k, "sim", ["query_id", "variant_no", "tree_id"], ["ord"])
+
+
 def flat_search(nodes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Exact top k of each query and tree among embedded nodes."""
-    scored = similarities(nodes.where(embedded(F.col("embedding"))).select("tree_id", "node_id", "ord", "embedding"), queries).drop("embedding")
-    return top(scored, k, "sim", ["query_id", "variant_no", "tree_id"], ["ord"])
+    found = [flat_top(nodes, b, k).drop("_q") for b in blocks(queries)]
+    if found:
+        return union(found)
+    own = nodes.select("tree_id", "node_id", "ord")
+    return own.sparkSession.createDataFrame([], _asked(own, T.StructField("rank", T.IntegerType()))).drop("_q")

@@ -240,7 +240,6 @@ QUERIES = {
     "F07": lambda s, d: access.user_search(fx.users(s, d), "0012").select("user_id", "username"),
     "F08": lambda s, d: tasks.active(task_state(s, d)).agg(F.count("*").alias("n")),
     "J05": lambda s, d: (lambda n: n.join(n.select("tree_id", F.col("parent_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id"))(fx.nodes(s, d)),
-    "J07": lambda s, d: fx.table(s, d, "benchmark").where("item_id < 4").select("item_id", F.explode(F.array_distinct(rt.retrieve.tokens(F.col("text")))).alias("term")).join(fx.table(s, d, "documents").select("doc_id", F.explode(rt.retrieve.tokens(F.left("text", F.lit(300)))).alias("term")), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")),
     "J08": lambda s, d: access.has_permission(fx.users(s, d), access.role_permissions(s), "cache:manage").select("user_id", "role"),
     "J09": lambda s, d: tokens_table(s, d).join(s.range(0, 100000, 7).select(F.col("id").alias("jti")), "jti", "left_anti").select("jti", "user_id"),
     "J10": lambda s, d: access.live_tokens(tokens_table(s, d), s.range(0, 100000, 7).select(F.col("id").alias("jti")), fx.users(s, d), 1800).select("jti", "user_id", "role"),
@@ -348,7 +347,6 @@ SQL = {
     "F07": W_US + "SELECT user_id, username FROM us WHERE contains(lower(username), '0012') OR contains(email, '0012') OR contains(lower(full_name), '0012')",
     "F08": W_S + "SELECT count(*) AS n FROM state WHERE status NOT IN ('done', 'failed', 'cancelled')",
     "J05": W_N + "SELECT tree_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.tree_id = n.tree_id AND c.parent_id = n.node_id)",
-    "J07": "WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id < 4), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 300)), '[a-z0-9]+')) AS term FROM documents) SELECT item_id, doc_id, count(*) AS n FROM q JOIN t USING (term) GROUP BY ALL",
     "J08": W_US + "SELECT user_id, role FROM us WHERE role IN ('admin', 'manager')",
     "J09": "SELECT event_id AS jti, user_id FROM events WHERE event_id % 7 <> 0 OR event_id >= 100000",
     "J10": W_US + "SELECT event_id AS jti, user_id, role FROM events JOIN us USING (user_id) WHERE event_id % 3600 > 1800 AND (event_id % 7 <> 0 OR event_id >= 100000) AND is_active",

@@ -9,6 +9,7 @@ from trellis import fixtures as fx
 from trellis.functions import scalar
 from trellis.operators import context, retrieve, tree, vector
 from trellis.operators.retrieve import PLACE
+from trellis.sources.scratch import keep
 
 NODES = """
 d AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents),
@@ -23,7 +24,7 @@ nodes AS MATERIALIZED (SELECT tree_id, printf('%04d', ord) AS node_id, ord, head
         CASE WHEN doc_id % 11 <> 0 THEN CAST(e.embedding AS DOUBLE[]) END AS embedding
       FROM p LEFT JOIN embeddings e ON e.vec_id = doc_id % (SELECT count(*) FROM embeddings)),
 queries AS (SELECT CAST(item_id AS BIGINT) AS query_id, 0 AS variant_no, array_to_string(string_split(b.text, ' ')[1:8], ' ') AS query_text,
-        CAST(e.embedding AS DOUBLE[]) AS query_vec FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE item_id < 4)"""
+        CAST(e.embedding AS DOUBLE[]) AS query_vec FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
 
 SIMS = """,
 sims AS MATERIALIZED (SELECT query_id, variant_no, query_text, tree_id, node_id, ord, parent_id,
@@ -111,7 +112,8 @@ def _score(c: str = "score") -> object:
 
 
 def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return fx.nodes(spark, d), fx.queries(spark, d)
+    """The corpus, written as a served one is, and the queries."""
+    return keep(fx.nodes(spark, d), "nodes"), fx.queries(spark, d)
 
 
 def entry_query(spark: SparkSession, d: str) -> DataFrame:
@@ -199,12 +201,12 @@ RANK10 = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, var
 AS_VARIANTS = "CAST(0 AS BIGINT) AS query_id, CAST(item_id AS INTEGER) AS variant_no, array_to_string"
 
 
-def variant_sql() -> str:
-    """FUSED with (query_id, variant_no) = (0, item_id)."""
+def variant_sql(select: str) -> str:
+    """``select`` after FUSED with (query_id, variant_no) = (0, item_id)."""
     head = NODES.replace("CAST(item_id AS BIGINT) AS query_id, 0 AS variant_no, array_to_string", AS_VARIANTS)
     body = FUSED
     body = body.replace("PARTITION BY query_id, tree_id, parent_id", "PARTITION BY query_id, variant_no, tree_id, parent_id").replace("PARTITION BY c.query_id, c.tree_id, c.parent_id", "PARTITION BY c.query_id, c.variant_no, c.tree_id, c.parent_id").replace("a.query_id = c.query_id AND", "a.query_id = c.query_id AND a.variant_no = c.variant_no AND")
-    return f"WITH {head} {body} SELECT {RETRIEVED} FROM fused"
+    return f"WITH {head} {body} {select}"
 
 
 def tokens_total(spark, d):
@@ -214,14 +216,46 @@ def tokens_total(spark, d):
 
 def bm25_stats(spark, d):
     n, q = _chain(spark, d)
-    c = retrieve.beam(n, q)
-    toks = c.join(n.select("tree_id", "node_id", retrieve.tokens(F.concat_ws(" ", "summary", "title")).alias("t")), ["tree_id", "node_id"])
-    return toks.groupBy(*PLACE).agg(F.count("*").alias("n"), F.round(F.avg(F.size("t")), 6).alias("avgdl"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).cast("long").alias("terms")).drop("variant_no")
+    toks = retrieve.beam(n, q).join(n.select("tree_id", "node_id", retrieve.tokens(F.concat_ws(" ", "summary", "title")).alias("t")), ["tree_id", "node_id"])
+    each = toks.select(*PLACE, "node_id", F.explode_outer("t").alias("term"))
+    return each.groupBy(*PLACE).agg(F.count_distinct("node_id").alias("n"), F.round(F.count("term") / F.count_distinct("node_id"), 6).alias("avgdl"), F.count_distinct("term").alias("terms")).drop("variant_no")
 
 
-def kids_of_top(spark, d):
-    n = fx.nodes(spark, d)
-    return tree.children(n, n.where("ord = 1")).select("tree_id", "node_id", "parent_id")
+def _terms(spark, d):
+    n, q = _chain(spark, d)
+    return retrieve.term_counts(retrieve.beam(n, q), n)
+
+
+def near_pairs(spark, d):
+    """Ranked rows and the better kept rows they are too close to."""
+    n, _, ranked, kept = _kept(spark, d)
+    full = context.attached(ranked, n)
+    close = lambda df, x: df.where(vector.embedded(F.col("embedding"))).select("query_id", F.col("rank").alias(x), F.col("embedding").alias(f"_{x}"))
+    both = close(full, "rank").join(close(kept, "kept"), "query_id").where((F.col("kept") < F.col("rank")) & (vector.dot(F.col("_rank"), F.col("_kept")) >= 0.92))
+    return both.select("query_id", "rank", "kept")
+
+
+def flat_over_all(spark, d):
+    n, q = _chain(spark, d)
+    out = vector.top(vector.flat_search(n, q, 10).drop("rank"), 10, "sim", ["query_id"], ["tree_id", "ord"])
+    return out.select("query_id", "tree_id", "node_id", F.round("sim", 6).alias("sim"), "rank")
+
+
+def union_of_levels(spark, d):
+    """The nodes that any variant's beam reaches."""
+    n, q = _chain(spark, d)
+    return retrieve.beam(n, fx.as_variants(q)).select("tree_id", "node_id").distinct()
+
+
+def rank_in_parent(spark, d):
+    n, q = _chain(spark, d)
+    every = vector.similarities(n.select("tree_id", "node_id", "ord", "parent_id", "embedding"), q).withColumn("level", F.coalesce("sim", F.lit(0.0)))
+    return vector.top(every, 2, "level", [*PLACE, "parent_id"], ["ord"]).select("query_id", "tree_id", "parent_id", "node_id", "rank")
+
+
+def kids_of_all(spark, d):
+    n = keep(fx.nodes(spark, d), "nodes")
+    return tree.children(n, n).select("tree_id", "node_id", "parent_id")
 
 
 QUERIES = {
@@ -237,7 +271,7 @@ QUERIES = {
     "T10": lambda s, d: md_nodes(s, d).alias("a").join(s.createDataFrame([("c0", "0001"), ("c1", "0002"), ("c1", "9999")], "tree_id string, node_id string"), ["tree_id", "node_id"]).select("tree_id", "node_id", "title"),
     "T13": lambda s, d: fx.nodes(s, d).drop("content", "embedding").select("tree_id", "node_id", "title", "summary"),
     "F02": lambda s, d: fx.nodes(s, d).where(vector.embedded(F.col("embedding"))).groupBy("tree_id").agg(F.count("*").alias("n")),
-    "J01": kids_of_top,
+    "J01": kids_of_all,
     "J02": lambda s, d: vector.similarities(fx.nodes(s, d).select("tree_id", "node_id", "embedding"), fx.queries(s, d)).select("query_id", "tree_id", "node_id", F.round("sim", 6).alias("sim")),
     "R01": lambda s, d: vector.similarities(fx.nodes(s, d).select("tree_id", "node_id", "embedding"), fx.queries(s, d)).select("query_id", "tree_id", "node_id", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("level")),
     "R02": r_beam,
@@ -268,7 +302,19 @@ QUERIES = {
     "C04": lambda s, d: fx.table(s, d, "benchmark").select("item_id", context.guard(F.when(F.col("item_id") % 3 != 0, F.when(F.col("item_id") % 3 == 1, "  ").otherwise(F.col("text")))).alias("answer")),
     "C05": lambda s, d: (lambda n, q: context.answers(q, retrieve.retrieve(n, q), n, meta(s, d)).select("query_id", "answer"))(*_chain(s, d)),
     "C06": lambda s, d: (lambda n, q: context.citations(retrieve.retrieve(n, q), n, meta(s, d)).select("query_id", F.to_json("sources").alias("sources")))(*_chain(s, d)),
-    "M09": lambda s, d: fx.table(s, d, "benchmark").select("item_id", scalar.rendered(F.lit("Summarise {title}:\n{content}"), {"title": F.concat(F.lit("item "), F.col("item_id").cast("string")), "content": F.col("text")}).alias("prompt")),
+    "M09": lambda s, d: fx.table(s, d, "benchmark").select("item_id", scalar.rendered(F.lit("{{Summarise}} {title}:\n{content}"), {"title": F.concat(F.lit("item {content} {{"), F.col("item_id").cast("string")), "content": F.col("text")}).alias("prompt")),
+    "J06": near_pairs,
+    "J07": lambda s, d: _terms(s, d).where("term is not null").groupBy("query_id", "tree_id", "node_id").agg(F.sum("tf").alias("n")),
+    "A03": lambda s, d: _terms(s, d).select("query_id", "tree_id", F.round("avgdl", 6).alias("avgdl")).distinct(),
+    "A04": lambda s, d: _terms(s, d).where("term is not null").select("query_id", "tree_id", "term", "df").distinct(),
+    "A05": lambda s, d: _terms(s, d).where("term is not null").select("query_id", "tree_id", "node_id", "term", F.col("tf").cast("long").alias("tf")),
+    "A06": lambda s, d: (lambda n, q: retrieve.max_over_variants(retrieve.single(n, fx.as_variants(q), 10)).select("query_id", "tree_id", "node_id", _score()))(*_chain(s, d)),
+    "A07": lambda s, d: context.joined_in_order(md_nodes(s, d), ["tree_id"], "ord", F.col("title"), " / ", "titles"),
+    "O01": flat_over_all,
+    "U01": union_of_levels,
+    "W01": rank_in_parent,
+    "W02": lambda s, d: tree.with_parents(fx.nodes(s, d).select("tree_id", "ord", "header_level")).select("tree_id", "ord", "parent_id"),
+    "W03": lambda s, d: tree.marked_lines(fx.markdown(s, d)).select("tree_id", "pos", "ord", "is_header"),
     "entry": entry_query,
 }
 
@@ -287,7 +333,7 @@ SQL = {
     "T10": MD + "SELECT tree_id, node_id, title FROM mdnodes WHERE (tree_id, node_id) IN (('c0', '0001'), ('c1', '0002'), ('c1', '9999'))",
     "T13": N + "SELECT tree_id, node_id, title, summary FROM nodes",
     "F02": N + "SELECT tree_id, count(*) AS n FROM nodes WHERE embedding IS NOT NULL GROUP BY tree_id",
-    "J01": N + "SELECT tree_id, node_id, parent_id FROM nodes WHERE parent_id = '0001'",
+    "J01": N + "SELECT tree_id, node_id, parent_id FROM nodes n WHERE EXISTS (SELECT 1 FROM nodes p WHERE p.tree_id = n.tree_id AND p.node_id = n.parent_id)",
     "J02": N + SIMS + " SELECT query_id, tree_id, node_id, round(sim, 6) AS sim FROM sims",
     "R01": N + SIMS + " SELECT query_id, tree_id, node_id, round(coalesce(sim, 0), 6) AS level FROM sims",
     "R02": N + BEAM + f" SELECT {BEAMED} FROM beam",
@@ -304,7 +350,7 @@ SQL = {
         sc2 AS (SELECT pool.* EXCLUDE (score, rank), len(list_intersect(list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+')), regexp_extract_all(lower(left(content, 1500)), '[a-z0-9]+'))) / greatest(len(list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+'))), 1) AS score FROM pool JOIN (SELECT tree_id, node_id, content FROM nodes) USING (tree_id, node_id))
         SELECT {RETRIEVED} FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tree_id ORDER BY round(score, 9) DESC, ord) AS rank FROM sc2) WHERE rank <= 5""",
     "R13": N + HYBRID + f" SELECT {RETRIEVED} FROM ({RANK10} WHERE rank <= 5)",
-    "R14": variant_sql(),
+    "R14": variant_sql(f"SELECT {RETRIEVED} FROM fused"),
     "R14_single": N + FUSED + f" SELECT {RETRIEVED} FROM fused",
     "R15": N + FUSED + f" SELECT {RETRIEVED} FROM merged",
     "R15_bare_ids": N + FUSED + f" SELECT {RETRIEVED} FROM (SELECT *  EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, tree_id, ord) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY round(score, 9) DESC, tree_id) AS b FROM fused) WHERE b = 1) WHERE rank <= 5",
@@ -320,5 +366,17 @@ SQL = {
     "C04": "SELECT item_id, CASE WHEN item_id % 3 = 2 THEN text ELSE 'I could not find this information in the available documents.' END AS answer FROM benchmark",
     "C05": N + CONTEXT + " SELECT query_id, coalesce(context, 'I could not find this information in the available documents.') AS answer FROM queries LEFT JOIN ctx USING (query_id)",
     "C06": N + FUSED + f", {META} SELECT query_id, CAST(to_json(list({{'doc_id': tree_id, 'node_id': node_id, 'title': title, 'filename': coalesce(filename, tree_id)}} ORDER BY rank)) AS VARCHAR) AS sources FROM merged JOIN (SELECT tree_id, node_id, title FROM nodes) USING (tree_id, node_id) LEFT JOIN meta ON doc_id = tree_id GROUP BY query_id",
-    "M09": "SELECT item_id, 'Summarise item ' || item_id || ':' || chr(10) || text AS prompt FROM benchmark",
+    "M09": "SELECT item_id, '{Summarise} item {content} {{' || item_id || ':' || chr(10) || text AS prompt FROM benchmark",
+    "J06": N + CONTEXT + " SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, CAST(k.rank AS INTEGER) AS kept FROM ranked r JOIN kept k ON k.query_id = r.query_id AND k.rank < r.rank AND r.embedding IS NOT NULL AND k.embedding IS NOT NULL AND list_inner_product(k.embedding, r.embedding) >= 0.92",
+    "J07": N + HYBRID + " SELECT query_id, tree_id, node_id, CAST(sum(tf) AS BIGINT) AS n FROM df JOIN qt USING (query_id, variant_no, term) GROUP BY query_id, tree_id, node_id",
+    "A03": N + HYBRID + " SELECT DISTINCT query_id, tree_id, round(avgdl, 6) AS avgdl FROM st",
+    "A04": N + HYBRID + " SELECT DISTINCT query_id, tree_id, term, df FROM df JOIN qt USING (query_id, variant_no, term)",
+    "A05": N + HYBRID + " SELECT query_id, tree_id, node_id, term, tf FROM df JOIN qt USING (query_id, variant_no, term)",
+    "A06": variant_sql("SELECT query_id, tree_id, node_id, round(score, 6) AS score FROM best"),
+    "A07": MD + "SELECT tree_id, string_agg(title, ' / ' ORDER BY ord) AS titles FROM mdnodes GROUP BY tree_id",
+    "O01": N + SIMS + " SELECT query_id, tree_id, node_id, round(sim, 6) AS sim, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, tree_id, ord) AS k FROM sims WHERE sim IS NOT NULL) WHERE k <= 10",
+    "U01": variant_sql("SELECT DISTINCT tree_id, node_id FROM beam"),
+    "W01": N + SIMS + " SELECT query_id, tree_id, parent_id, node_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tree_id, parent_id ORDER BY round(coalesce(sim, 0), 9) DESC, ord) AS k FROM sims) WHERE k <= 2",
+    "W02": N + "SELECT n.tree_id, n.ord, coalesce(printf('%04d', max(p.ord)), '0000') AS parent_id FROM nodes n LEFT JOIN nodes p ON p.tree_id = n.tree_id AND p.ord < n.ord AND p.header_level < n.header_level GROUP BY n.tree_id, n.ord",
+    "W03": MD + "SELECT tree_id, CAST(pos - 1 AS INTEGER) AS pos, ord, is_header FROM sg",
 }

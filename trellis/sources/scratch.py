@@ -7,15 +7,28 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: list[str] = []
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one (``spark.checkpoint.dir``); only where none is set,
-    as in tests, below a temporary one of this machine, removed at exit."""
+    """A fresh folder below the shared one (``spark.checkpoint.dir``); only where none is set
+    in a local session, as in tests, below a temporary one of this machine, removed at exit."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        own = tempfile.mkdtemp(prefix="trellis-")
-        atexit.register(shutil.rmtree, own, True)
-        base = f"file://{own}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="trellis-"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
+        base = f"file://{_OWN[0]}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read back, so that it is worked out once,
+    whatever is built on it, and the planner knows its size."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
