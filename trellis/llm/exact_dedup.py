@@ -86,7 +86,7 @@ def _marked(rows: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
     return both.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, digest: Callable[[Column], Column] = sha256, mark_bits: int = 25) -> DataFrame:
+def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, digest: Callable[[Column], Column] = sha256, mark_bits: int = 24) -> DataFrame:
     """One row per row of the Parquet table at ``path``: doc_id, keep_id, group_size, kept,
     text_sha256. ``checkpoint``: keep the stream's state there for later runs; by default a
     fresh folder below the shared one. ``mark_bits``: size of the bitmap of hits."""
