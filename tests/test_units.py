@@ -1,8 +1,12 @@
 """Literal cases of the operators, with results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from trellis import seams
+from trellis.functions import images
 from trellis.functions import scalar as sc
 from trellis.operators import access, cache, context, retrieve, tasks, tree, vector
 from trellis.sources import ingest
@@ -110,6 +114,70 @@ def test_vision_answers(spark):
     parse = lambda raw: one(spark, F.struct(*[c.alias(n) for c, n in zip(tree.parse_vision(F.lit(raw)), "ab", strict=True)]))
     assert tuple(parse(" skip ")) == ("", "image")
     assert parse("x\nTYPE: chart\nTYPE: map")["b"] == "chart" and parse("TYPE: painting")["b"] == "image"
+    assert tuple(parse(" TYPE: map\n")) == (" TYPE: map\n", "image")
+
+
+def test_prompts_are_filled_once(spark):
+    fill = lambda t, **v: one(spark, sc.rendered(F.lit(t), {k: F.lit(x) for k, x in v.items()}))
+    assert fill("A {title} {content}", title="{content}", content="Z") == "A {content} Z"
+    assert fill("{{x}} {title}{title}", title="$1 {{t}}") == "{x} $1 {{t}}$1 {{t}}"
+    assert fill("{title} {other}", title="t") is None and fill("plain", title="t") == "plain" and fill("{title}", title="") == ""
+
+
+def test_image_sizes(spark):
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000000030000012C")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc4\x00\x03a\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01"
+    bmp = b"BM" + bytes(16) + (7).to_bytes(4, "little") + (-9).to_bytes(4, "little", signed=True)
+    got = [images.size(b) for b in (png, b"GIF89a\x05\x00\x06\x00", jpeg, bmp, png[:20], b"\xff\xd8\xff", b"", None)]
+    assert got == [(3, 300), (5, 6), (32, 16), (7, 9), (0, 0), (0, 0), (0, 0), (0, 0)]
+    assert tuple(spark.createDataFrame([(png,)], "c binary").select(images.size_of(F.col("c")).alias("s")).first()["s"]) == (3, 300)
+
+
+def test_conversion_by_suffix(spark):
+    files = spark.createDataFrame([("a.md", b"x"), ("b.PDF", b"%PDF y")], "filename string, content binary")
+    assert [r["text"] for r in ingest.convert(files, {".pdf": lambda c: c.decode()[5:]}).orderBy("filename").collect()] == ["x", "y"]
+    with pytest.raises(Exception, match="no converter"):
+        ingest.convert(files).collect()
+
+
+def test_filled_embeddings_have_length_one(spark):
+    rows = [("t", "1", "ab", None), ("t", "2", "", None), ("t", "3", "abc", [3.0, 0.0]), ("t", "4", "abcd", [])]
+    nodes = spark.createDataFrame(rows, "tree_id string, node_id string, summary string, embedding array<float>")
+    got = {r["node_id"]: r["embedding"] for r in seams.embed(nodes, encode=lambda ts: [[3.0, 4.0] for _ in ts]).collect()}
+    assert got["1"] == got["4"] == pytest.approx([0.6, 0.8]) and got["2"] is None and got["3"] == [3.0, 0.0]
+    table = spark.createDataFrame([("t", "1", [6.0, 8.0]), ("t", "2", [1.0, 1.0])], "tree_id string, node_id string, vector array<float>")
+    got = {r["node_id"]: r["embedding"] for r in seams.embed(nodes, table).collect()}
+    assert got["1"] == pytest.approx([0.6, 0.8]) and not got["2"]
+
+
+def test_models_see_batches(spark):
+    upper = seams.batched(lambda: lambda texts: [t.upper() for t in texts])
+    assert one(spark, upper(F.concat(F.lit("a"), F.lit("b")))) == "AB"
+
+
+def test_blocks_of_queries_find_the_same(spark):
+    r = random.Random(3)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(5)]
+    nodes = spark.createDataFrame([(f"t{i % 3}", f"{i:04d}", i, "0000" if i % 4 == 0 else f"{i - i % 4:04d}", "", "", "", None if i % 7 == 3 else vec()) for i in range(60)], NODE)
+    q = spark.createDataFrame([(i, 0, "q", vec()) for i in range(23)] + [(99, 0, "q", None)], "query_id long, variant_no int, query_text string, query_vec array<float>")
+    parts = vector.blocks(q, 5)
+    assert len(parts) == 5 and sum(len(b.query_id) for b in parts) == 23
+    best = lambda bs: sorted(tuple(x) for b in bs for x in vector.flat_top(nodes, b, 4).select("query_id", "tree_id", "node_id", "rank").collect())
+    want = {}
+    vs = {x["node_id"]: x for x in nodes.collect() if x["embedding"]}
+    for x in q.where("query_vec is not null").collect():
+        for t in ("t0", "t1", "t2"):
+            own = sorted((-round(sum(a * b for a, b in zip(n["embedding"], x["query_vec"])), 9), n["ord"], k) for k, n in vs.items() if n["tree_id"] == t)
+            want |= {(x["query_id"], t, k, i + 1): 0 for i, (_, _, k) in enumerate(own[:4])}
+    assert best(parts) == best(vector.blocks(q)) == sorted(want)
+    assert retrieve.beam(nodes, q.limit(0)).count() == 0 and vector.similarities(nodes, q.limit(0)).count() == 0
+
+
+def test_the_plan_after_the_beam_is_short(spark):
+    from trellis.plans import retrieval
+
+    plan = retrieval.QUERIES["C03"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") < 12 and plan.count("NestedLoop") == plan.count("Cartesian") == 0
 
 
 def test_summaries_bottom_up(spark):

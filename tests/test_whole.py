@@ -11,7 +11,7 @@ from trellis.plans import control
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["S11", "M07", "S01", "S08"])
+@pytest.mark.parametrize("name", ["S11", "M07", "S01", "S02", "S08", "S13", "S14", "P06", "X08"])
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
     for f in os.listdir(SF):

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis import fixtures as fx
@@ -47,15 +44,15 @@ def images(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_quantity") * 6).cast("int").alias("height"),
         F.when(F.col("l_linenumber") == 1, "standalone").otherwise("pdf").alias("source"),
         F.concat(F.lit("/img/"), F.col("l_orderkey").cast("string"), F.lit(".png")).alias("image_path"),
-        F.when(F.col("l_returnflag") == "N", F.concat(F.lit("TYPE: Chart\nA chart of "), F.col("l_linestatus"))).when(F.col("l_returnflag") == "R", " skip ").otherwise("A scene\ntype: Painting\nTYPE: map").alias("raw"),
+        F.when(F.col("l_returnflag") == "N", F.concat(F.lit("TYPE: Chart\nA chart of "), F.col("l_linestatus"), F.lit(" \n"))).when(F.col("l_returnflag") == "R", " skip ").otherwise("A scene\ntype: Painting\nTYPE: map").alias("raw"),
     )
 
 
 IMAGES = """im AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS doc_id, l_partkey AS page, l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + CAST(floor(l_quantity) AS BIGINT) AS idx, CAST(floor(l_quantity * 8) AS INTEGER) AS width, CAST(floor(l_quantity * 6) AS INTEGER) AS height,
   CASE WHEN l_linenumber = 1 THEN 'standalone' ELSE 'pdf' END AS source, '/img/' || l_orderkey || '.png' AS image_path,
-  CASE l_returnflag WHEN 'N' THEN 'TYPE: Chart' || chr(10) || 'A chart of ' || l_linestatus WHEN 'R' THEN ' skip ' ELSE 'A scene' || chr(10) || 'type: Painting' || chr(10) || 'TYPE: map' END AS raw FROM lineitem),
+  CASE l_returnflag WHEN 'N' THEN 'TYPE: Chart' || chr(10) || 'A chart of ' || l_linestatus || ' ' || chr(10) WHEN 'R' THEN ' skip ' ELSE 'A scene' || chr(10) || 'type: Painting' || chr(10) || 'TYPE: map' END AS raw FROM lineitem),
 cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, idx) AS n FROM im WHERE width >= 100 AND height >= 100) WHERE n <= 50),
-ps AS (SELECT *, CASE WHEN upper(trim(raw)) = 'SKIP' THEN '' ELSE trim(raw) END AS description, CASE WHEN upper(trim(raw)) <> 'SKIP' AND starts_with(raw, 'TYPE: Chart') THEN 'chart' ELSE 'image' END AS image_type FROM cp)"""
+ps AS (SELECT *, CASE WHEN upper(trim(raw)) = 'SKIP' THEN '' ELSE raw END AS description, CASE WHEN upper(trim(raw)) <> 'SKIP' AND starts_with(raw, 'TYPE: Chart') THEN 'chart' ELSE 'image' END AS image_type FROM cp)"""
 
 
 def described(spark, d):
@@ -78,22 +75,17 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
     return ingest.read_index(spark, path).groupBy("tree_id").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).cast("long").alias("floats"))
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """A file for each (name, text), written by the tasks, so the folder has to be a mounted
-    one; under a temporary name first, so a retried task does no harm."""
-    if not path.startswith(("file:", "/")):
-        raise ValueError(f"tasks write the files, so the shared folder must be mounted, not {path}")
-    own = "/" + path.removeprefix("file:").lstrip("/")
-    os.makedirs(own)
-
-    def write(rows) -> None:
-        for r in rows:
-            tmp = f"{own}/.{uuid.uuid4().hex}"
-            with open(tmp, "w", encoding="utf-8", newline="") as f:
-                f.write(r["text"])
-            os.replace(tmp, f"{own}/{r['name']}")
-
-    files.foreachPartition(write)
+def s02(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as Markdown files and benchmark items as PDF ones, read as bytes, taken if
+    their first bytes are right, and converted; the PDF converter is the caller's, here one
+    for the bytes that are written."""
+    path = folder(spark, "uploads")
+    notes = fx.markdown(spark, d).select(F.concat("tree_id", F.lit(".md")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    items = fx.table(spark, d, "benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit(".pdf")).alias("name"), F.encode(F.concat(F.when(F.col("item_id") % 10 != 9, "%PDF-1.4\n").otherwise("other"), F.col("text")), "UTF-8").alias("content"))
+    ingest.write_files(notes.unionByName(items), path)
+    files = ingest.read_binary(spark, path).withColumn("mime", F.lit("application/pdf"))
+    taken = files.where(F.col("filename").endswith(".md") | sc.reject_reason(F.col("mime"), F.col("filename"), F.col("size"), F.col("head")).isNull())
+    return ingest.convert(taken, {".pdf": lambda c: "# PDF\n" + c.removeprefix(b"%PDF-1.4\n").decode()}).select("filename", F.length("text").alias("n"), F.md5("text").alias("h"))
 
 
 def s08(spark: SparkSession, d: str) -> DataFrame:
@@ -101,29 +93,68 @@ def s08(spark: SparkSession, d: str) -> DataFrame:
     of the sources."""
     path = folder(spark, "meta")
     name = F.concat(F.lit("doc-"), F.url_encode(F.coalesce("doc_id", F.lit(""))), F.lit(".meta.json"))
-    files = rt.meta(spark, d).select(name.alias("name"), F.to_json(F.struct("doc_id", "filename", "nodes"), {"ignoreNullFields": "false"}).alias("text"))
-    write_files(files.unionByName(spark.range(1).select(F.lit("broken.meta.json").alias("name"), F.lit('{"doc_id": ').alias("text"))), path)
+    files = rt.meta(spark, d).select(name.alias("name"), F.to_json(F.struct("doc_id", "filename", "nodes"), {"ignoreNullFields": "false"}).alias("content"))
+    ingest.write_files(files.unionByName(spark.range(1).select(F.lit("broken.meta.json").alias("name"), F.lit('{"doc_id": ').alias("content"))), path)
     return ingest.read_meta(spark, path)
 
 
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    """The whole log, appended in two halves and read again; the SQL counts a tenth of it."""
+    """The whole log, appended in two halves and read again."""
     path = folder(spark, "audit")
     log = fx.audit(spark, d)
     even = F.coalesce(F.col("seq") % 2 == 0, F.lit(True))
     ingest.append_audit(log.where(even), path)
     ingest.append_audit(log.where(~even), path)
-    return spark.read.schema("ts timestamp_ntz, user_id string, action string, detail string, seq long").json(path).where("seq % 10 = 0").groupBy("action").agg(F.count("*").alias("n"))
+    return spark.read.schema("ts timestamp_ntz, user_id string, action string, detail string, seq long").json(path).groupBy("action").agg(F.count("*").alias("n"), F.max("ts").alias("last"), F.sum(F.length("detail")).alias("chars"))
 
 
 def s01(spark: SparkSession, d: str) -> DataFrame:
-    """Every conversation as a file of its own, read by :func:`ingest.read_texts`. The SQL
-    has the length of one; it is taken out of all by an aggregate, as a filter on the name
-    would leave the other files unread."""
+    """Every conversation as a file of its own, read by :func:`ingest.read_texts`."""
     path = folder(spark, "texts")
-    write_files(fx.markdown(spark, d).select(F.concat("tree_id", F.lit(".md")).alias("name"), F.concat("text", F.lit("\n")).alias("text")), path)
-    own = F.when(F.col("tree_id") == "c0", F.length("text"))
-    return ingest.read_texts(spark, path).agg(F.max(own).alias("n")).where("n is not null")
+    ingest.write_files(fx.markdown(spark, d).select(F.concat("tree_id", F.lit(".md")).alias("name"), F.concat("text", F.lit("\n")).alias("content")), path)
+    return ingest.read_texts(spark, path).select("tree_id", F.length("text").alias("n"), F.md5("text").alias("h"))
+
+
+#: The first bytes of a PNG image, up to its size, as hex digits.
+PNG_HEAD = "89504E470D0A1A0A0000000D49484452"
+
+
+def png(width: Column, height: Column) -> Column:
+    return F.concat(F.unhex(F.lit(PNG_HEAD)), F.unhex(F.lpad(F.hex(width), 8, "0")), F.unhex(F.lpad(F.hex(height), 8, "0")))
+
+
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    """Images of each order's document as bytes, extracted and capped for each of 50 uploads."""
+    found = images(spark, d).select("doc_id", "page", "idx", F.concat(F.col("page").cast("string"), F.lit(" "), F.col("idx").cast("string"), F.lit(" "), F.hex(png(F.col("width"), F.col("height")))).alias("line"), F.floor(F.col("idx") / 1_000_000).alias("part"))
+    files = found.groupBy("doc_id", "part").agg(F.encode(F.array_join(F.collect_list("line"), "\n"), "UTF-8").alias("content"))
+
+    def extractor(content: bytes) -> list[tuple[int, int, bytes]]:
+        return [(int(a), int(b), bytes.fromhex(c)) for a, b, c in (x.split() for x in content.decode().split("\n"))]
+
+    return ingest.capped_images(ingest.extract_images(files, extractor)).select("doc_id", "page", "idx", "width", "height")
+
+
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    """Image files with readable and with broken first bytes."""
+    k = F.col("o_orderkey")
+    files = uploads(spark, d).select("o_orderkey", F.concat(F.lit("img/"), k.cast("string")).alias("path"), F.concat(k.cast("string"), F.lit(".png")).alias("filename"), F.when(k % 7 != 0, png(k % 900 + 1, k % 700 + 1)).otherwise(F.unhex(F.lit("00FF"))).alias("content"))
+    says = lambda p: F.concat(F.lit("TYPE: "), F.when(p.endswith("3"), "Map").otherwise("photo"), F.lit("\n"), p)
+    return ingest.standalone_images(files, says).select("doc_id", "page", "idx", "source", "image_type", "image_path", "width", "height", "description")
+
+
+def m07(spark: SparkSession, d: str) -> DataFrame:
+    """Missing embeddings of all nodes from an encoder, scaled to length one."""
+    n = fx.nodes(spark, d).withColumn("embedding", F.when(F.col("ord") % 2 == 0, F.col("embedding")))
+    done = ingest.seams.embed(n.select("tree_id", "node_id", "ord", "summary", "embedding"), encode=lambda texts: [[float(len(t)), 10.0] for t in texts])
+    at = lambda i: F.round(F.try_element_at("embedding", F.lit(i)).cast("double"), 6)
+    return done.select("tree_id", "node_id", F.size("embedding").alias("dim"), at(1).alias("v1"), at(2).alias("v2"))
+
+
+def no_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What scopes with and without documents are told."""
+    asked = fx.table(spark, d, "documents").select(F.col("source").alias("scope")).distinct().unionByName(spark.createDataFrame([("missing",), ("src",)], "scope string"))
+    held = fx.table(spark, d, "documents").groupBy(F.col("source").alias("scope")).agg(F.count("*").alias("n"))
+    return asked.join(held, "scope", "left").select("scope", F.when(F.coalesce("n", F.lit(0)) == 0, NO_DOCUMENTS).alias("answer"))
 
 
 def doc_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -205,12 +236,12 @@ def _val(spark, d):
 
 def _pw(spark, d):
     k = F.col("c_custkey")
-    return fx.table(spark, d, "customer").select("c_custkey", F.when(k % 6 == 0, F.repeat(F.lit("é"), 40)).when(k % 6 == 1, "Ab1!").when(k % 6 == 2, "abcdefg1!").when(k % 6 == 3, "ABCDEFG1!").when(k % 6 == 4, F.concat(F.lit("Abcdefg!"), F.col("c_mktsegment"))).otherwise(F.concat(F.lit("Abcdefg1"), F.when(k % 7 == 0, "?").otherwise(""))).alias("pw"))
+    return fx.table(spark, d, "customer").select("c_custkey", F.when(k % 6 == 0, F.repeat(F.lit("é"), 40)).when(k % 6 == 1, "Ab1!").when(k % 6 == 2, "abcdefg1!").when(k % 6 == 3, "ABCDEFG1!").when(k % 6 == 4, F.concat(F.lit("Abcdefg!"), F.col("c_mktsegment"))).otherwise(F.concat(F.lit("Abcdefg"), F.when(k % 4 == 1, "1").otherwise("٣"), F.when(k % 7 == 0, "?").otherwise(""))).alias("pw"))
 
 
 QUERIES = {
     "S01": s01,
-    "S02": lambda s, d: ingest.convert(fx.markdown(s, d).select(F.concat("tree_id", F.lit(".md")).alias("filename"), F.encode("text", "UTF-8").alias("content"))).select("filename", F.length("text").alias("n")),
+    "S02": s02,
     "S03": lambda s, d: uploads(s, d).select("o_orderkey", sc.reject_reason(F.col("mime"), F.col("filename"), F.col("size"), F.col("head")).alias("reason")),
     "S04": lambda s, d: uploads(s, d).select("o_orderkey", sc.safe_filename(F.col("filename")).alias("filename")),
     "S05": lambda s, d: uploads(s, d).select("o_orderkey", sc.client_reject(F.col("mime"), F.col("size")).alias("reason")),
@@ -221,8 +252,8 @@ QUERIES = {
     "S10": lambda s, d: fx.nodes(s, d).select("tree_id").distinct().orderBy("tree_id"),
     "S11": s11,
     "S12": lambda s, d: access.audit_tail(fx.audit(s, d), 100, "7").select("user_id", "action", "detail", "seq"),
-    "S13": lambda s, d: ingest.capped_images(images(s, d)).select("doc_id", "page", "idx", "width", "height"),
-    "S14": lambda s, d: ingest.standalone_images(uploads(s, d).select(F.col("filename").alias("path"), "filename"), lambda p: F.concat(F.lit("TYPE: photo\n"), p)).groupBy("image_type", "source").agg(F.count("*").alias("n")),
+    "S13": s13,
+    "S14": s14,
     "S15": lambda s, d: doc_ids(s, d).where(sc.is_doc_id(F.col("id"))).select("doc_id", "id"),
     "T11": lambda s, d: tree.image_nodes(described(s, d), F.lit(100)).select("tree_id", "ord", "node_id", "title", "content", "summary"),
     "T12": lambda s, d: described(s, d).select("doc_id", "idx", "description", "image_type"),
@@ -232,7 +263,7 @@ QUERIES = {
     "M04": lambda s, d: summaries(s, d).select("tree_id", "node_id", "summary"),
     "M05": lambda s, d: fx.table(s, d, "benchmark").select("item_id", ingest.seams.extractive_summary(F.concat(F.lit("item "), F.col("item_id").cast("string")), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("# only a header")).alias("summary")),
     "M06": lambda s, d: fx.table(s, d, "benchmark").select("item_id", F.concat(F.lit("SCOPE: s"), F.col("item_id").cast("string"), F.lit("\nTOPICS: a, b\nENTITIES: "), F.left("text", F.lit(5)), F.lit("\nKEYWORDS: k")).alias("t")).select("item_id", *sc.summary_fields(F.col("t"))),
-    "M07": lambda s, d: ingest.seams.embed(fx.nodes(s, d).withColumn("embedding", F.when(F.col("ord") % 2 == 0, F.col("embedding"))).select("tree_id", "node_id", "ord", "summary", "embedding"), encode=lambda texts: [[float(len(t)), 1.0] for t in texts]).where("ord < 20").groupBy("tree_id").agg(F.sum(F.size("embedding")).cast("long").alias("floats")),
+    "M07": m07,
     "M10": lambda s, d: ingest.prompts(s).select("key", F.size("variables").alias("n")),
     "F04": lambda s, d: fx.table(s, d, "documents").select("doc_id", sc.valid_query(F.when(F.col("doc_id") % 9 == 0, " \n ").otherwise(F.col("text"))).alias("ok")),
     "F05": lambda s, d: tasks.active(task_state(s, d)).select("task_id", "status"),
@@ -249,12 +280,13 @@ QUERIES = {
     "Q04": lambda s, d: fx.table(s, d, "benchmark").select("item_id", F.array_join(sc.json_list(F.concat(F.lit('```json\n["a'), F.col("item_id").cast("string"), F.when(F.col("item_id") % 3 == 0, "").otherwise('"'), F.lit(', "b"]\n```'))), "|").alias("v")),
     "Q05": lambda s, d: fx.table(s, d, "customer").select("c_custkey", sc.cache_key(F.concat(F.lit("  What's "), F.col("c_name"), F.lit("?! ("), F.col("c_mktsegment"), F.lit(")  ")), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("b"), F.lit("a")))).alias("key")),
     "Q06": lambda s, d: rewrites(s, d).select("item_id", sc.trace(F.col("query"), sc.guarded_rewrite(F.col("query"), F.col("rewritten")), sc.clean_variants(F.col("query"), F.col("variants"))).alias("trace")),
-    "C07": lambda s, d: fx.table(s, d, "documents").where("doc_id < 0").agg(F.when(F.count("*") == 0, F.lit(NO_DOCUMENTS)).alias("answer")),
+    "C07": no_documents,
     "A01": lambda s, d: fx.users(s, d).agg(F.count("*").alias("users"), F.count_if("is_active").alias("active")),
     "A02": lambda s, d: rt.meta(s, d).agg(F.sum("nodes").alias("nodes")),
     "A08": lambda s, d: tasks.eta(eta_times(s, d), 100).select("task_id", "done", F.round("ema", 6).alias("ema"), F.round("eta_seconds", 5).alias("eta")),
     "A09": lambda s, d: fx.nodes(s, d).groupBy("depth").agg(F.count("*").alias("n")),
-    "O02": lambda s, d: fx.users(s, d).orderBy("created_at", "user_id").limit(20).select("user_id", "created_at"),
+    "O02": lambda s, d: task_state(s, d).orderBy(F.col("updated_at").desc(), "task_id").select("task_id", "updated_at"),
+    "O02_users": lambda s, d: fx.users(s, d).orderBy("created_at", "user_id").select("user_id", "created_at"),
     "O03": lambda s, d: fx.audit(s, d).orderBy(F.col("seq").desc()).limit(50).orderBy("seq").select("seq", "action"),
     "U02": lambda s, d: access.role_permissions(s).select("permission").distinct().orderBy("permission"),
     "U03": lambda s, d: (lambda n: n.select("tree_id", "node_id").join(n.where("ord % 2 = 0").select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi"))(fx.nodes(s, d)),
@@ -315,12 +347,12 @@ def _fold_sql() -> str:
 
 
 SQL = {
-    "S01": W_MD + "SELECT CAST(length(text) + 1 AS INTEGER) AS n FROM md WHERE tree_id = 'c0'",
+    "S01": W_MD + "SELECT tree_id, CAST(length(text) + 1 AS INTEGER) AS n, md5(text || chr(10)) AS h FROM md",
     "M04": _fold_sql(),
     "M05": f"SELECT item_id, CASE WHEN item_id % 2 = 0 THEN {SUMMARY % 'text'} ELSE 'Summary unavailable for section: item ' || item_id END AS summary FROM benchmark",
-    "M07": W_N + "SELECT tree_id, CAST(sum(CASE WHEN ord % 2 = 0 AND embedding IS NOT NULL THEN len(embedding) ELSE 2 END) AS BIGINT) AS floats FROM nodes WHERE ord < 20 GROUP BY tree_id",
+    "M07": W_N + ", v AS (SELECT tree_id, node_id, CASE WHEN ord % 2 = 0 AND embedding IS NOT NULL THEN embedding WHEN summary <> '' THEN [CAST(CAST(length(summary) / sqrt(length(summary) * length(summary) + 100.0 :: DOUBLE) AS FLOAT) AS DOUBLE), CAST(CAST(10 / sqrt(length(summary) * length(summary) + 100.0 :: DOUBLE) AS FLOAT) AS DOUBLE)] END AS e FROM nodes) SELECT tree_id, node_id, CAST(len(e) AS INTEGER) AS dim, round(e[1], 6) AS v1, round(e[2], 6) AS v2 FROM v",
     "X07": "SELECT event_id, strftime(ts, '%-d %b %Y, %I:%M %p') AS t FROM events",
-    "S02": W_MD + "SELECT tree_id || '.md' AS filename, CAST(length(text) AS INTEGER) AS n FROM md",
+    "S02": W_MD + "SELECT tree_id || '.md' AS filename, CAST(length(text) AS INTEGER) AS n, md5(text) AS h FROM md UNION ALL SELECT 'item' || item_id || '.pdf', CAST(length(text) + 6 AS INTEGER), md5('# PDF' || chr(10) || text) FROM benchmark WHERE item_id % 10 <> 9",
     "S03": W_U + "SELECT o_orderkey, CASE WHEN mime = 'text/plain' THEN 'type' WHEN lower(regexp_extract(safe, '[^.](\\.[^.]+)$', 1)) NOT IN ('.pdf', '.png', '.jpg') THEN 'extension' WHEN size > 52428800 THEN 'size' WHEN lower(safe) LIKE '%.pdf' AND head <> '%PDF' THEN 'magic' END AS reason FROM v",
     "S04": W_U + "SELECT o_orderkey, safe AS filename FROM v",
     "S05": W_U + "SELECT o_orderkey, CASE WHEN mime NOT IN ('application/pdf', 'image/png', 'image/webp') THEN 'Only PDF and image files (PNG, JPG, JPEG, WEBP) are supported.' WHEN size > 52428800 THEN 'File is too large. Maximum size is 50.0 MB.' WHEN size = 0 THEN 'File is empty.' END AS reason FROM v",
@@ -329,10 +361,10 @@ SQL = {
     "S08": f"WITH {rt.META} SELECT * FROM meta ORDER BY doc_id",
     "S09": f"WITH {rt.META} SELECT string_agg(filename, ', ' ORDER BY doc_id) AS titles FROM meta WHERE filename <> ''",
     "S10": "SELECT DISTINCT source AS tree_id FROM documents ORDER BY 1",
-    "S11": "SELECT event_type AS action, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1",
+    "S11": "SELECT event_type AS action, count(*) AS n, max(ts) AS last, CAST(sum(length(props)) AS BIGINT) AS chars FROM events GROUP BY 1",
     "S12": "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS action, props AS detail, event_id AS seq FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 100",
     "S13": W_I + "SELECT doc_id, page, idx, width, height FROM cp",
-    "S14": "SELECT 'photo' AS image_type, 'standalone' AS source, count(*) AS n FROM orders",
+    "S14": "SELECT o_orderkey || '.png' AS doc_id, 1 AS page, 0 AS idx, 'standalone' AS source, CASE WHEN o_orderkey % 10 = 3 THEN 'map' ELSE 'photo' END AS image_type, 'img/' || o_orderkey AS image_path, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 900 + 1 ELSE 0 END AS INTEGER) AS width, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 700 + 1 ELSE 0 END AS INTEGER) AS height, 'TYPE: ' || CASE WHEN o_orderkey % 10 = 3 THEN 'Map' ELSE 'photo' END || chr(10) || 'img/' || o_orderkey AS description FROM orders",
     "S15": "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS id FROM documents WHERE doc_id % 4 = 0",
     "T11": W_I + "SELECT doc_id AS tree_id, CAST(o AS INTEGER) AS ord, printf('%04d', o) AS node_id, 'Image — ' || CASE WHEN source = 'pdf' THEN 'Page ' || page ELSE 'standalone' END || ' (' || image_type || ')' AS title, '[IMAGE_PATH:' || image_path || ']' || chr(10) || 'Source: ' || source || chr(10) || 'Page: ' || page || chr(10) || 'Type: ' || image_type || chr(10) || 'Size: ' || width || '×' || height || 'px' || chr(10) || chr(10) || description AS content, description AS summary FROM (SELECT *, 99 + row_number() OVER (PARTITION BY doc_id ORDER BY page, idx) AS o FROM ps WHERE description <> '')",
     "T12": W_I + "SELECT doc_id, idx, description, image_type FROM ps",
@@ -356,12 +388,13 @@ SQL = {
     "Q04": "SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN 'a' || item_id || '|b' END AS v FROM benchmark",
     "Q05": "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower('  What''s ' || c_name || '?! (' || c_mktsegment || ')  '), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) || CASE WHEN c_custkey % 2 = 0 THEN '||a,b' ELSE '' END AS key FROM customer",
     "Q06": W_R + "SELECT item_id, 'Original: ' || query || chr(10) || 'Rewritten: ' || chosen || chr(10) || 'Variants (' || len(variants) || '): ' || array_to_string(variants, ' | ') AS trace FROM g",
-    "C07": "SELECT 'No documents have been ingested yet. Please upload a document first.' AS answer",
+    "C07": "SELECT DISTINCT source AS scope, CAST(NULL AS VARCHAR) AS answer FROM documents UNION ALL SELECT s, 'No documents have been ingested yet. Please upload a document first.' FROM (VALUES ('missing'), ('src')) t(s)",
     "A01": W_US + "SELECT count(*) AS users, count(*) FILTER (is_active) AS active FROM us",
     "A02": "SELECT count(*) + count(DISTINCT source) AS nodes FROM documents",
     "A08": "WITH RECURSIVE t AS (SELECT CAST(user_id AS VARCHAR) AS task_id, value AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'view'), e AS (SELECT task_id, i, s AS ema FROM t WHERE i = 1 UNION ALL SELECT t.task_id, t.i, 0.3 * t.s + 0.7 * e.ema FROM e JOIN t ON t.task_id = e.task_id AND t.i = e.i + 1) SELECT task_id, CAST(max(i) AS INTEGER) AS done, round(arg_max(ema, i), 6) AS ema, round(greatest(100 - max(i), 0) * arg_max(ema, i), 5) AS eta FROM e GROUP BY task_id",
     "A09": W_N + "SELECT header_level AS depth, count(*) AS n FROM nodes GROUP BY 1",
-    "O02": W_US + "SELECT user_id, created_at FROM us ORDER BY created_at, user_id LIMIT 20",
+    "O02": W_S + "SELECT task_id, updated_at FROM state ORDER BY updated_at DESC, task_id",
+    "O02_users": W_US + "SELECT user_id, created_at FROM us ORDER BY created_at, user_id",
     "O03": "SELECT seq, action FROM (SELECT event_id AS seq, event_type AS action FROM events ORDER BY 1 DESC LIMIT 50) ORDER BY seq",
     "U02": f"WITH {PERMS} SELECT DISTINCT permission FROM perm ORDER BY 1",
     "U03": W_N + "SELECT tree_id, node_id FROM nodes WHERE ord % 2 = 0",
@@ -398,4 +431,13 @@ SQL = {
     "G05": W_US + "SELECT user_id, username, CASE WHEN user_id % 10 = 0 THEN 'viewer' ELSE role END AS role, created_at FROM us WHERE user_id % 5 <> 0 OR user_id % 2 = 0",
     "G06": "SELECT count(*) AS live FROM events WHERE event_id % 3600 > 1800",
     "G07": "SELECT event_type AS action, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1",
+    "X08": "WITH p AS (SELECT item_id, regexp_split_to_array(text, '(?i)(?:the|an\\.)') AS b, regexp_extract_all(text, '(?i)(?:the|an\\.)') AS f FROM benchmark), i AS (SELECT item_id, b, f, unnest(range(1, len(b) + 1)) AS k FROM p) SELECT item_id, b[k] AS text, false AS highlight FROM i UNION ALL SELECT item_id, f[k], true FROM i WHERE f[k] IS NOT NULL",
+    # in the cache: at most 20 keys since, its own among them; then the time to live, key by key
+    "P06": "WITH RECURSIVE " + LOG + """, o AS (SELECT *, row_number() OVER (ORDER BY "at", seq) AS rn FROM lg),
+        w AS (SELECT *, lag(rn) OVER (PARTITION BY cache_key ORDER BY rn) AS prev, row_number() OVER (PARTITION BY cache_key ORDER BY rn) AS i FROM o),
+        held AS (SELECT w.rn, count(DISTINCT x.cache_key) <= 20 AS held FROM w JOIN o x ON x.rn >= w.prev AND x.rn < w.rn AND (x.cache_key <> w.cache_key OR x.rn = w.prev) GROUP BY w.rn),
+        k AS (SELECT w.*, coalesce(held, false) AS held FROM w LEFT JOIN held USING (rn)),
+        r AS (SELECT cache_key, i, seq, "at" AS stored, false AS hit FROM k WHERE i = 1
+              UNION ALL SELECT k.cache_key, k.i, k.seq, CASE WHEN k.held AND k."at" - r.stored < 36000 THEN r.stored ELSE k."at" END, k.held AND k."at" - r.stored < 36000 FROM r JOIN k ON k.cache_key = r.cache_key AND k.i = r.i + 1)
+        SELECT seq, hit FROM r""",
 }

@@ -41,11 +41,7 @@ class RetrievalConfig:
 
 CONFIG = RetrievalConfig()
 
-NODES = "tree_id string, node_id string, ord int, parent_id string, depth int, header_level int, title string, content string, summary string, embedding array<float>, kind string"
-TASK_EVENTS = "task_id string, doc_id string, filename string, ts timestamp, status string, stage string, pct double, nodes_done int, total_nodes int, current_node string, eta_seconds double, error string"
-AUDIT = "ts timestamp, user_id string, action string, detail string"
 META = "doc_id string, filename string, nodes int"
-QUERY_LOG = "ts timestamp, cache_key string, node_ids array<string>, doc_ids array<string>"
 
 #: What is said without an answer, and without documents.
 NOT_FOUND = "I could not find this information in the available documents."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellis import schema, seams
-from trellis.functions import scalar
+from trellis.functions import images, scalar
 from trellis.operators import tree
 
 
@@ -26,34 +28,67 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), F.decode(F.substring("content", 1, 4), "ISO-8859-1").alias("head"), "content")
 
 
-def convert(files: DataFrame, converter: Callable[[bytes, str], str] | None = None) -> DataFrame:
-    """(filename, text) by a converter of documents to Markdown; text files need none."""
+def write_files(files: DataFrame, path: str) -> None:
+    """A file for each (name, content), written by the tasks, so the folder has to be a mounted
+    one; under a temporary name first, so a retried task does no harm."""
+    if not path.startswith(("file:", "/")):
+        raise ValueError(f"tasks write the files, so the shared folder must be mounted, not {path}")
+    own = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(own)
+
+    def write(rows) -> None:
+        for r in rows:
+            tmp = f"{own}/.{uuid.uuid4().hex}"
+            with open(tmp, "wb") as f:
+                f.write(r["content"])
+            os.replace(tmp, f"{own}/{r['name']}")
+
+    files.select("name", F.col("content").cast("binary").alias("content")).foreachPartition(write)
 
-    def plain(content: bytes, filename: str) -> str:
-        if not filename.lower().endswith((".md", ".txt")):
-            raise ValueError(f"no converter for {filename}")
-        return content.decode("utf-8")
 
-    own = converter or plain
+def convert(files: DataFrame, converters: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(filename, text) of (filename, content), by a converter to Markdown for each suffix;
+    text files need none. A suffix without a converter is an error."""
+    own = {".md": bytes.decode, ".txt": bytes.decode} | (converters or {})
+
+    def one(content: bytes, filename: str) -> str:
+        end = os.path.splitext(filename)[1].lower()
+        if end not in own:
+            raise ValueError(f"no converter for {filename}")
+        return own[end](content)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"filename": b["filename"], "text": [own(c, n) for c, n in zip(b["content"], b["filename"], strict=True)]})
+            yield pd.DataFrame({"filename": b["filename"], "text": [one(c, n) for c, n in zip(b["content"], b["filename"], strict=True)]})
 
     return files.select("filename", "content").mapInPandas(run, "filename string, text string")
 
 
-def capped_images(images: DataFrame, cfg: schema.RetrievalConfig = schema.CONFIG) -> DataFrame:
+def extract_images(files: DataFrame, extractor: Callable[[bytes], list[tuple[int, int, bytes]]]) -> DataFrame:
+    """(doc_id, page, idx, width, height, image) out of (doc_id, content), by an extractor that
+    gives page, place and bytes of each image in a document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, page, idx, *images.size(image), image) for d, c in zip(b["doc_id"], b["content"], strict=True) for page, idx, image in extractor(c)]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "idx", "width", "height", "image"])
+
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page long, idx long, width int, height int, image binary")
+
+
+def capped_images(found: DataFrame, cfg: schema.RetrievalConfig = schema.CONFIG) -> DataFrame:
     """Images of some size, the first ``max_images`` of each document in page order."""
-    big = images.where((F.col("width") >= cfg.min_image_px) & (F.col("height") >= cfg.min_image_px))
+    big = found.where((F.col("width") >= cfg.min_image_px) & (F.col("height") >= cfg.min_image_px))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "idx"))
     return big.withColumn("_n", n).where(F.col("_n") <= cfg.max_images).drop("_n")
 
 
 def standalone_images(files: DataFrame, describe: Callable[[Column], Column]) -> DataFrame:
-    """Image files as image rows: page 1, place 0; sizes unknown (0) without a decoder."""
-    text, kind = tree.parse_vision(describe(F.col("path")))
-    return files.select(F.col("filename").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("idx"), F.lit("standalone").alias("source"), kind.alias("image_type"), F.col("path").alias("image_path"), F.lit(0).alias("width"), F.lit(0).alias("height"), text.alias("description"))
+    """Image files (path, filename, content) as image rows: page 1, place 0; a size of 0 if
+    the first bytes do not tell it."""
+    sized = files.withColumn("_size", images.size_of(F.col("content"))).withColumn("_raw", describe(F.col("path")))
+    text, kind = tree.parse_vision(F.col("_raw"))
+    return sized.select(F.col("filename").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("idx"), F.lit("standalone").alias("source"), kind.alias("image_type"), F.col("path").alias("image_path"), "_size.width", "_size.height", text.alias("description"))
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +162,9 @@ def titles(meta: DataFrame) -> DataFrame:
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
+    """One JSON object an entry; times keep their microseconds."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    entries.write.mode("append").option("timestampNTZFormat", micros).option("timestampFormat", micros + "XXX").json(path)
 
 
 def summarise(nodes: DataFrame, summariser: Callable[[Column, Column], Column] = seams.extractive_summary, max_depth: int | None = None, scratch: str | None = None, cfg: schema.RetrievalConfig = schema.CONFIG) -> DataFrame:
