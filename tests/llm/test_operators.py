@@ -306,6 +306,54 @@ def test_mixture(spark, odd, none):
     assert mixing.takes(none).count() == 0
 
 
+def test_draws_are_the_same_in_any_range_and_end_at_the_total():
+    wanted = np.array([1, 0, 700, 20_000, 13])
+    every = list(mixing.draws(wanted, 37, 5, 0, 37))
+    assert [k for k, *_ in every] == list(range(37)) and (sum(n for *_, n in every) == wanted).all()
+    assert all((a[1] + a[2] == b[1]).all() and (a[2] >= 0).all() for a, b in zip(every, every[1:]))
+    assert {int(n.sum()) for *_, n in every} <= {wanted.sum() // 37, wanted.sum() // 37 + 1}
+    some = list(mixing.draws(wanted, 37, 5, 11, 14))
+    assert [k for k, *_ in some] == [11, 12, 13] and all((x[2] == every[x[0]][2]).all() for x in some)
+    assert np.std([n[2] for *_, n in every]) > 1  # drawn, not dealt
+
+
+def test_mixture_against_brute_force(spark, odd):
+    docs = odd.unionByName(spark.createDataFrame([(*x, 7, "x") for x in make(300, 17)], DOCS + ", size int, keys string"))
+    placed, sources = mixing._placed_documents(docs, "doc_id", "text", "source", (5, 2, 1), 3, 16, 50)
+    rows, uses = placed.collect(), mixing.placements(spark, sources, 64, 3, 11).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sid"]].append(r)
+    for sid, own in by.items():  # positions are a gapless line
+        at = 0
+        for r in sorted(own, key=lambda r: (r["pos"], r["size"])):
+            assert r["pos"] == at
+            at += r["size"]
+        assert at == sources[sid].words
+    n = Counter((u["sid"], u["block"]) for u in uses)
+    turns = {(u["sid"], u["block"], u["pass"]) for u in uses}
+    assert len(turns) == len(uses) and max(n.values()) <= 3
+    word = {sid: np.repeat([n[sid, b] for b in range(sources[sid].blocks)], sources[sid].block) for sid in by}
+    want = Counter((r["doc_id"], r["size"], int(word[r["sid"]][r["pos"] : r["pos"] + r["size"]].sum())) for r in rows)
+    got = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.takes(docs, block=16, per_shard=64, max_sources=50).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_sources_come_near_their_targets(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    rows = mixing.takes(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r["t"] / r["g"] - 1) < 0.01 for r in rows)
+
+
+def test_mixing_clashes(spark, odd):
+    docs = odd.withColumn("_mix_key", F.lit("k")).withColumn("_mix_words", F.lit(None).cast("int")).withColumn("pos", F.lit(1)).withColumn("block", F.lit("b"))
+    out = mixing.mixed(docs, block=16)
+    assert out.columns == docs.columns and out.where("_mix_key <> 'k' or _mix_words is not null or block <> 'b'").count() == 0
+    plain = Counter((r["doc_id"], r["text"]) for r in mixing.mixed(odd, block=16).collect())
+    assert sum(plain.values()) == out.count()
+
+
 # Language model
 
 
