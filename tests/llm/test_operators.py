@@ -186,11 +186,12 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert (few > 0).all()
 
 
-def brute_classes(rows, threshold=0.8):
+def brute_classes(rows, threshold=0.8, weights="count"):
     sets = {}
     for i, t in rows:
         w = low(t).split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+        own = [tuple(w[j : j + 5]) for j in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
+        sets[i] = Counter(own) if weights == "count" else Counter(set(own))
     up = {i: i for i in sets}
 
     def root(x):
@@ -201,23 +202,41 @@ def brute_classes(rows, threshold=0.8):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+            if a < b and (sets[a] & sets[b]).total() >= threshold * (sets[a] | sets[b]).total():
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("wide", [12, 1])
-def test_near_dedup_against_all_pairs(spark, wide):
+@pytest.mark.parametrize(("wide", "weights"), [(12, "count"), (1, "count"), (12, "set")])
+def test_near_dedup_against_all_pairs(spark, wide, weights):
     r = random.Random(8)
     rows = [(i, t) for i, t, *_ in make(60, 2)]
+    rows += [(60 + i, f"{t} {t} {t}") for i, t in rows[:8]]  # once and three times: equal as sets, not as multisets
     for i in range(100):
-        w = r.choice(rows[:60])[1].split()
+        w = r.choice(rows[:68])[1].split()
         for _ in range(r.randint(0, 3)):
             w[r.randrange(len(w))] = "zz" + str(r.randint(0, 9))
         rows.append((100 + i, " ".join(w)))
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide).collect()}
-    assert got == brute_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide, weights=weights).collect()}
+    assert got == brute_classes(rows, weights=weights)
+
+
+@pytest.mark.parametrize("weights", ["count", "set"])
+def test_large_classes_and_many_copies(spark, weights):
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    rows = [(i, " ".join(base)) for i in range(400)] + [(400 + i, " ".join([*base, f"n{i}"])) for i in range(300)] + [(700 + i, " ".join(f"u{i}x{k}" for k in range(20))) for i in range(500)]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), weights=weights).collect()
+    assert len(got) == 1200 and all((x["class_id"], x["class_size"]) == ((0, 700) if x["doc_id"] < 700 else (x["doc_id"], 1)) for x in got)
+    assert [x["doc_id"] for x in got if x["kept"] and x["class_id"] == 0] == [0]
+
+
+def test_keep_one_is_stable_and_takes_clashing_names(spark):
+    rows = [(1, "same text of five words", k, "a", 3) for k in (5, 2, 9)] + [(None, "other text", 1, "b", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int, _near_key string, _near_nth int")
+    one, two = (sorted(map(repr, near_dedup.keep_one(x).collect())) for x in (df, df.orderBy(F.col("extra").desc()).repartition(3)))
+    assert one == two and len(one) == 2 and near_dedup.keep_one(df).columns == df.columns
 
 
 def test_joined_finds_every_pair_at_the_threshold(spark):

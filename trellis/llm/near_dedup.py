@@ -1,6 +1,7 @@
 """Near-duplicate classes by DartMinHash and banding.
 
-Texts are sets (or, with ``weights="count"``, multisets) of shingles of five words. Every
+Texts are multisets (or, with ``weights="set"``, sets) of shingles of five words, and a
+shingle weighs as much as it occurs. Every
 element owns a plane of weight and rank over which a fixed hash throws darts, one expected
 in each unit cell. A text takes the darts under its elements' weights whose rank is below
 a bound chosen so that about k ln k + 2k darts fall in; each dart belongs to one of k
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm import textvec
-from trellis.llm.common import arrow_batches, materialize, table
+from trellis.llm.common import arrow_batches, fresh, join_frequent, materialize, row_hash, table
 from trellis.llm.graph import components
 
 SHINGLE = 5
@@ -202,10 +203,10 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(could).select("a", "b", (same / (nx + ny - same)).alias("sim")).where(F.col("sim") >= threshold - 1e-9)
 
 
-def _open(label: DataFrame, wide: int) -> DataFrame:
-    """Members (key, v, comp) of buckets with several classes; narrow: few members."""
+def _open(label: DataFrame, wide: int, total: int) -> DataFrame:
+    """Members (key, v, comp, m) of buckets with several classes and m members; narrow: few."""
     mixed = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-    return materialize(label.join(mixed.select("key", (F.col("m") <= wide).alias("narrow")), "key"), "near-open")
+    return materialize(join_frequent(label, mixed.select("key", "m", (F.col("m") <= wide).alias("narrow")), ["key"], "m", total), "near-open")
 
 
 def _pair(x: str, y: str) -> list:
@@ -220,11 +221,11 @@ def _across(label: DataFrame) -> DataFrame:
     return both.select(*_pair("x.v", "y.v"))
 
 
-def _rotated(label: DataFrame, leaders: int = 4) -> DataFrame:
+def _rotated(label: DataFrame, total: int, leaders: int = 4) -> DataFrame:
     """Each member with ``leaders`` members of its bucket picked by different hashes."""
     picks = F.array(*[F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("o"), "v", "comp")).alias(f"l{i}") for i in range(leaders)]).alias("picks")
-    led = label.groupBy("key").agg(picks)
-    both = label.join(led, "key").select("v", "comp", F.explode("picks").alias("l")).where(F.col("comp") != F.col("l.comp"))
+    led = label.groupBy("key").agg(picks, F.max("m").alias("m"))
+    both = join_frequent(label.select("key", "v", "comp"), led, ["key"], "m", total).select("v", "comp", F.explode("picks").alias("l")).where(F.col("comp") != F.col("l.comp"))
     return both.select(*_pair("v", "l.v"))
 
 
@@ -310,26 +311,27 @@ def _joined(members: DataFrame, threshold: float) -> DataFrame:
     return both.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n1")) - 1e-6).select(*_pair("v", "v1"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band: int = 6, weights: str = "set", wide: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band: int = 6, weights: str = "count", wide: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, h (hash of the text), class_id, class_size, kept, n_words."""
     arrow_batches(docs.sparkSession)
     signed = materialize(signatures(docs, bands, per_band, weights, id_col, text_col).withColumn("rowid", F.monotonically_increasing_id()), "near-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "rowid"))
-    reps = materialize(signed.where("n > 0").groupBy("v").agg(first.alias("one"), F.any_value("keys").alias("keys")), "near-texts")
-    member = reps.select("v", F.explode("keys").alias("key"))
+    texts = materialize(signed.groupBy("v").agg(first.alias("one"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")), "near-texts")
+    rows, kinds = (r[0] or 0 for r in texts.agg(F.array(F.sum("copies"), F.count("*")).alias("n")).select(F.explode("n")).collect())
+    member = texts.where("n > 0").select("v", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1")
-    bucket = materialize(member.join(shared, "key"), "near-buckets")
+    bucket = materialize(join_frequent(member, shared, ["key"], "n", kinds), "near-buckets")
     stars = bucket.where("v <> a").select("a", F.col("v").alias("b")).distinct()
     met = bucket.select("v").distinct()
-    wanted = reps.join(met, "v").select("v", "one.doc_id", "one.h")
+    wanted = texts.join(met, "v").select("v", "one.doc_id", "one.h")
     sets = materialize(_sets(docs, wanted, weights, id_col, text_col), "near-sets")
     links = materialize(_links(stars, sets, threshold), "near-links")
     comp = components(links)
 
-    label = bucket.join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
-    open_ = _open(label, wide)
+    label = materialize(bucket.join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp")), "near-labels")
+    open_ = _open(label, wide, kinds)
     broad = open_.where("not narrow")
-    pairs = _across(open_.where("narrow")).unionByName(_rotated(broad)).distinct()
+    pairs = _across(open_.where("narrow")).unionByName(_rotated(broad, kinds)).distinct()
     more = materialize(_links(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "near-links")
     if more.take(1):
         links = links.unionByName(more)
@@ -337,25 +339,30 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 30, per_band:
 
     # what the leaders left apart in wide buckets: each text once, with the class it has so far
     label = broad.select("key", "v").join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
-    apart = _open(label, wide).select("v", F.xxhash64("comp").alias("c")).distinct()
+    apart = _open(label, wide, kinds).select("v", F.xxhash64("comp").alias("c")).distinct()
     members = materialize(apart.join(sets, "v").select("v", "c", "items"), "near-wide")
     rest = materialize(_links(_joined(members, threshold).distinct(), sets, threshold), "near-links")
     if rest.take(1):
         comp = components(links.unionByName(rest))
 
-    named = signed.select("doc_id", "h", "v", "rowid", F.col("n").alias("n_words")).join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    named = materialize(named, "near-named")
-    size = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rowid")).alias("one"), F.count("*").alias("class_size"))
-    return named.join(size, "comp").select("doc_id", "h", F.col("one.doc_id").alias("class_id"), "class_size", (F.col("rowid") == F.col("one.rowid")).alias("kept"), "n_words")
+    # classes are summed over texts, then given to each text and each row; large classes and
+    # texts with many copies get theirs by a broadcast of bounded size
+    named = materialize(texts.select("v", "one", "copies").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v")), "near-named")
+    size = named.groupBy("comp").agg(F.min("one").alias("one"), F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
+    each = materialize(join_frequent(named.select("v", "copies", "comp"), size, ["comp"], "texts", kinds).select("v", "copies", "one", "class_size"), "near-classes")
+    out = join_frequent(signed.select("doc_id", "h", "v", "rowid", F.col("n").alias("n_words")), each, ["v"], "copies", rows)
+    return out.select("doc_id", "h", F.col("one.doc_id").alias("class_id"), "class_size", (F.col("rowid") == F.col("one.rowid")).alias("kept"), "n_words")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, with all their columns."""
-    stay = classes(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("doc_id").alias("_near_id"), F.col("h").alias("_near_h"))
-    own = docs.withColumn("_near_key", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    found = own.join(stay, own[id_col].eqNullSafe(stay["_near_id"]) & (own["_near_key"] == stay["_near_h"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, "_near_key").orderBy(F.lit(1)))
-    return found.withColumn("_near_nth", nth).where("_near_nth = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay: one of each class, with all their columns. Of rows with
+    the same id and text the first by a hash of all columns stays."""
+    id_, h_, key_, row_, nth_ = fresh(docs, "_near_id", "_near_h", "_near_key", "_near_row", "_near_nth")
+    stay = classes(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("doc_id").alias(id_), F.col("h").alias(h_))
+    own = docs.withColumn(key_, F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn(row_, row_hash(docs))
+    found = own.join(stay, own[id_col].eqNullSafe(stay[id_]) & (own[key_] == stay[h_]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col, key_).orderBy(row_))
+    return found.withColumn(nth_, nth).where(F.col(nth_) == 1).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
