@@ -386,8 +386,11 @@ def test_language_model_against_formula(spark, odd, none):
     ahead = Counter(w for _, w in pairs)
 
     def cuts(counts):
-        k = [sum(x == i for x in counts) for i in (1, 2, 3, 4)]
-        return lm._discounts(k)
+        """Modified Kneser-Ney discounts out of how many counts are 1, 2, 3 and 4."""
+        k1, k2, k3, k4 = (sum(x == i for x in counts) for i in (1, 2, 3, 4))
+        y = k1 / (k1 + 2 * k2)
+        raw = (1 - 2 * y * k2 / k1, 2 - 3 * y * k3 / k2 if k2 else 1.0, 3 - 4 * y * k4 / k3 if k3 else 1.5)
+        return (0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(raw)))
 
     d1, d2 = cuts([x for w, x in ahead.items() if w is not None]), cuts(pairs.values())
     rest = sum(d1[min(3, x)] for x in ahead.values()) / len(pairs)
@@ -412,6 +415,22 @@ def test_language_model_against_formula(spark, odd, none):
     assert lm.score(odd, empty).where("n_known > 0").count() == 0 and lm.score(none, model).count() == 0
 
 
+@pytest.mark.parametrize("part_tokens", [50, 400, 10**6])
+def test_scores_do_not_depend_on_the_parts(spark, monkeypatch, part_tokens):
+    monkeypatch.setattr(lm, "MAPPED", 3)
+    docs = spark.createDataFrame([(i, "the " * (i % 7) + t, *x) for i, t, *x in make(60, 21, 90)], DOCS)
+    key = lambda m: {r["doc_id"]: (r["n_known"], round(r["score"], 9)) for r in lm.score(docs, m).collect()}
+    some = lm.train(docs.where("doc_id % 4 > 0"), part_tokens=part_tokens)
+    assert part_tokens > 50 or len(some.hot) > 1
+    assert key(some) == key(lm.train(docs.where("doc_id % 4 > 0"), part_tokens=3000)) and len(lm._open) <= 3
+
+
+def test_counts_are_summed_in_64_bits():
+    big = np.array([3_000_000_000, 3_000_000_000], np.uint32)
+    keys, counts = lm._summed(np.array([7, 7], np.uint64), big)
+    assert counts.tolist() == [6_000_000_000] and lm._small(counts).dtype == np.uint64 and lm._small(counts // 9).dtype == np.uint32
+
+
 def test_probabilities_sum_to_one(spark):
     model = lm.train(spark.createDataFrame([("a b a c",), ("b a",), ("a b c c d",)], "text string"))
     for before in ("", "a ", "c ", "zz "):

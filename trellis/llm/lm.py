@@ -6,15 +6,19 @@ within the task and packed small, to parts by key; one group of a part adds them
 writes sorted arrays to the shared folder. The first pass gives the vocabulary (hash,
 count); a word's id is its place in the sorted hashes. The second gives the pairs, with the
 key id of the context << 32 | id of the word, and the number of different pairs that end in
-each word. Pairs go to parts by context, so the number of continuations of a context is
-known where it is stored; contexts so frequent that they would fill a part are spread over
-all parts by word instead, and only their sums meet.
+each word. Parts of pairs are ranges of context ids, which are in hashed order, so what
+follows a context lies together and its kinds (continuations seen once, twice, more) are an
+array by id. Contexts so frequent that they would fill a part are spread over all parts by
+word instead, and only their sums meet.
 
-Scoring. Workers map the arrays, look up the sorted keys of a batch at once, and never hold
-the model in their own memory. The number of parts grows with the input.
+Scoring. Workers map the arrays and look up the distinct words, contexts and pairs of a
+slice of texts, each in ascending order, part by part as they occur; the model is never in
+their own memory. The number of parts grows with the input. The driver gets two numbers a
+part, and the sums of the frequent contexts, of which there are fewer than parts.
 
 The shared folder has to be a mounted one (``file:``), as memory mapping needs a file.
 Files are written under a temporary name and renamed, so a retried task does no harm.
+Counts are summed in 64 bits; more words than ids have bits for are an error.
 
 Defined results: a null or empty text is the end token alone; with no training text every
 token is unknown; repeated rows count and are scored each; other columns are ignored.
@@ -23,8 +27,10 @@ token is unknown; repeated rows count and are scored each; other columns are ign
 from __future__ import annotations
 
 import math
+import mmap
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +44,9 @@ from trellis.llm.common import arrow_batches, fold, materialize, shared_dir, tab
 
 PACKED = "part int, n long, keys binary, counts binary"
 FLUSH = 2_000_000
-_ID = np.uint64(32)
+#: Bytes of text that are looked up at once, and arrays that a worker keeps mapped.
+SLICE, MAPPED = 1 << 21, 4096
+_ID, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 @dataclass
@@ -47,22 +55,22 @@ class Model:
 
     path: str
     parts: int
-    sizes: list[int]  # words in each vocabulary part
+    words: int = 0
     tokens: int = 0
     texts: int = 0
     discounts: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0,) * 4, (0.0,) * 4)
     kinds: int = 0  # different pairs
     end_before: int = 0  # different words before the end
     unigram_rest: float = 1.0
-    hot: dict[int, tuple[int, ...]] = field(default_factory=dict)  # context id: continuations seen once, twice, more
-
-    @property
-    def words(self) -> int:
-        return sum(self.sizes)
+    hot: dict[int, tuple[int, ...]] = field(default_factory=dict)  # context id: its kinds
 
     @property
     def offsets(self) -> np.ndarray:
-        return np.append(0, np.cumsum(self.sizes))
+        """The first id of each vocabulary part, and the number of words."""
+        return _load(self.path, "offsets")
+
+    def first_context(self, part: int) -> int:
+        return -(-part * (self.words + 2) // self.parts)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -79,23 +87,23 @@ def _unpack(raw: bytes, n: int, kind: type) -> np.ndarray:
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
-        return keys, np.zeros(0, np.uint32)
+        return keys, np.zeros(0, np.int64)
     if counts is None:
         keys = np.sort(keys)
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint32)
+        return keys[at], np.diff(np.append(at, len(keys)))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[at], np.add.reduceat(counts, at).astype(np.uint32)
+    return keys[at], np.add.reduceat(counts.astype(np.int64), at)
 
 
-def _emit(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row for each part that any of the (ascending) keys goes to."""
+def _emit(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that any of the (ascending) keys goes to. Counts of one task."""
     order = np.argsort(part, kind="stable")
-    keys, counts = keys[order], counts[order]
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = [(p, int(j - i), _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+    keys, counts, part = keys[order], counts[order].astype(np.uint32), part[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    rows = [(int(part[i]), int(j - i), _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[i:j])) for i, j in zip(at, np.append(at, len(part))[1:], strict=True)]
     cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["part", "n", "keys", "counts"])
 
@@ -108,6 +116,11 @@ def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def _small(counts: np.ndarray) -> np.ndarray:
+    """In 32 bits if they fit."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
+
+
 def _save(path: str, name: str, x: np.ndarray) -> None:
     tmp = f"{path}/.{name}-{uuid.uuid4().hex}"
     with open(tmp, "wb") as f:
@@ -115,17 +128,34 @@ def _save(path: str, name: str, x: np.ndarray) -> None:
     os.replace(tmp, f"{path}/{name}.npy")
 
 
-_open: dict[str, np.ndarray] = {}
+_open: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def _mapped(at: str) -> np.ndarray:
+    """The array of a file, mapped into memory without keeping the file open."""
+    with open(at, "rb") as f:
+        version = np.lib.format.read_magic(f)
+        shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        if not math.prod(shape):
+            return np.zeros(shape, kind)
+        try:
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        except TypeError:  # before Python 3.13
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        return np.frombuffer(raw, kind, math.prod(shape), f.tell()).reshape(shape)
 
 
 def _load(path: str, name: str) -> np.ndarray:
-    """The array, mapped into memory once a worker."""
+    """The array, mapped once while it is among those last used; empty if there is none."""
     at = f"{path}/{name}.npy"
-    if at not in _open:
-        if not os.path.exists(at):
-            return np.zeros(0, np.uint64)
-        x = np.load(at, mmap_mode="r") if os.path.getsize(at) > 128 else np.load(at)
-        _open[at] = x if len(x) else np.zeros(0, x.dtype)
+    if at in _open:
+        _open.move_to_end(at)
+        return _open[at]
+    if not os.path.exists(at):
+        return np.zeros(0, np.uint64)
+    _open[at] = _mapped(at)
+    if len(_open) > MAPPED:
+        _open.popitem(last=False)
     return _open[at]
 
 
@@ -140,56 +170,68 @@ def _part_of_hash(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> _ID) * np.uint64(parts) >> _ID).astype(np.int64)
 
 
-def _flushing(batches: Iterator[pa.RecordBatch], keys_of: Callable, part_of: Callable, parts: int) -> Iterator[pa.RecordBatch]:
+def _flushing(batches: Iterator[pa.RecordBatch], keys_of: Callable, part_of: Callable) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for b in batches:
-        for w in textvec.words(b.column("text")):
+        for w in textvec.words(b.column("text"), size=SLICE):
             held.append(keys_of(w))
             size += len(held[-1])
             if size >= FLUSH:
                 keys, counts = _summed(np.concatenate(held), None)
-                yield _emit(keys, counts, part_of(keys), parts)
+                yield _emit(keys, counts, part_of(keys))
                 held, size = [], 0
     if size:
         keys, counts = _summed(np.concatenate(held), None)
-        yield _emit(keys, counts, part_of(keys), parts)
+        yield _emit(keys, counts, part_of(keys))
+
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first, last + 1) of each run of equal parts."""
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    yield from zip(part[at].tolist(), at.tolist(), np.append(at, len(part))[1:].tolist(), strict=True)
+
+
+def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``known``, whether found) of ascending keys."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
 
 def word_ids(h: np.ndarray, model: Model) -> np.ndarray:
-    """Vocabulary ids; the number of words + 2 for an unknown one."""
+    """Vocabulary ids of ascending hashes; the number of words + 2 for an unknown one."""
     out = np.full(len(h), model.words + 2, np.int64)
-    order = np.argsort(h)
-    sorted_h = h[order]
-    part = _part_of_hash(sorted_h, model.parts)
-    cut = np.searchsorted(part, np.arange(model.parts + 1))
-    for p in range(model.parts):
-        i, j = cut[p], cut[p + 1]
-        if i < j and model.sizes[p]:
-            known = _load(model.path, f"words-{p}")
-            at = np.minimum(np.searchsorted(known, sorted_h[i:j]), len(known) - 1)
-            hit = known[at] == sorted_h[i:j]
-            out[order[i:j][hit]] = at[hit] + model.offsets[p]
+    for p, i, j in _runs(_part_of_hash(h, model.parts)):
+        at, hit = _find(_load(model.path, f"words-{p}"), h[i:j])
+        out[i:j][hit] = at[hit] + model.offsets[p]
     return out
 
 
-def _by_id(ids: np.ndarray, model: Model, name: str, kind: type = np.int64) -> np.ndarray:
-    """Entries of an array in vocabulary parts; 0 for other ids."""
-    out = np.zeros(len(ids), kind)
-    part = np.searchsorted(model.offsets, ids, "right") - 1
-    for p in np.unique(part[(ids < model.words)]):
-        own = (part == p) & (ids < model.words)
+def _by_id(ids: np.ndarray, model: Model, name: str) -> np.ndarray:
+    """Entries of an array in vocabulary parts, for ids whose words are in ascending order of
+    their hashes; 0 for other ids."""
+    out = np.zeros(len(ids), np.int64)
+    known = np.flatnonzero(ids < model.words)
+    for p, i, j in _runs(np.searchsorted(model.offsets, ids[known], "right") - 1):
         x = _load(model.path, f"{name}-{p}")
         if len(x):
-            out[own] = x[ids[own] - model.offsets[p]]
+            out[known[i:j]] = x[ids[known[i:j]] - model.offsets[p]]
     return out
 
 
-def _pairs(w: textvec.Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context id, token id) of each token of the slice, and the tokens of each row. The
-    end has the number of words as its id, the start that number + 1."""
+def _distinct(w: textvec.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the slice's distinct words, in order of their hashes; which each word is)."""
+    h, back = np.unique(w.hashes(), return_inverse=True)
+    return word_ids(h, model), back
+
+
+def _pairs(w: textvec.Words, ids_of: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context id, token id) of each token of the slice, and the tokens of each row, from
+    the ids of its words. The end has the number of words as its id, the start one more."""
     at, ends, n = _streams(w)
     ids = np.empty(int(n.sum()), np.int64)
-    ids[at] = word_ids(w.hashes(), model)
+    ids[at] = ids_of
     ids[ends] = model.words
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -197,10 +239,22 @@ def _pairs(w: textvec.Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
     return before, ids, n
 
 
+def _part_of_context(ctx: np.ndarray, model: Model) -> np.ndarray:
+    return ctx.astype(np.int64) * model.parts // (model.words + 2)
+
+
+def _is_hot(ctx: np.ndarray, model: Model) -> np.ndarray:
+    hot = np.array(sorted(model.hot), np.uint64)
+    return _find(hot, ctx)[1]
+
+
+def _spread(keys: np.ndarray, model: Model) -> np.ndarray:
+    return _part_of_hash(textvec.mix(keys, 40), model.parts)
+
+
 def _part_of_pair(keys: np.ndarray, model: Model) -> np.ndarray:
     ctx = keys >> _ID
-    spread = np.array(sorted(model.hot), np.uint64)
-    return _part_of_hash(textvec.mix(np.where(np.isin(ctx, spread), keys, ctx), 40), model.parts)
+    return np.where(_is_hot(ctx, model), _spread(keys, model), _part_of_context(ctx, model))
 
 
 def _discounts(n: list[int]) -> tuple[float, ...]:
@@ -215,6 +269,11 @@ def _count_counts(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
+def _sums(df: DataFrame, n: int) -> list[int]:
+    """Sums of the entries of the column ``facts``."""
+    return [int(x or 0) for x in df.agg(*[F.sum(F.col("facts")[i]) for i in range(n)]).first()]
+
+
 def train(docs: DataFrame, text_col: str = "text", part_tokens: int = 2_000_000) -> Model:
     """Count ``docs`` and write the arrays. ``part_tokens``: about so many tokens a part."""
     spark = docs.sparkSession
@@ -227,74 +286,84 @@ def train(docs: DataFrame, text_col: str = "text", part_tokens: int = 2_000_000)
     path = "/" + where.removeprefix("file:").lstrip("/")
     os.makedirs(path)
     parts = max(8, math.ceil(size[0] / 6 / part_tokens))
-    model = Model(path, parts, [0] * parts, texts=size[1])
+    model = Model(path, parts, texts=size[1])
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _flushing(batches, lambda w: w.hashes(), lambda k: _part_of_hash(k, parts), parts)
+        return _flushing(batches, lambda w: w.hashes(), lambda k: _part_of_hash(k, parts))
 
     def add_words(group: pa.Table) -> pa.Table:
         p = group.column("part")[0].as_py()
         keys, counts = _merged(group)
         _save(path, f"words-{p}", keys)
-        _save(path, f"counts-{p}", counts)
-        top = np.argsort(counts)[::-1][: 4 * parts]
-        return pa.table({"part": pa.array([p], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum(dtype=np.int64))], "top": pa.array([top.tolist()], pa.list_(pa.int64())), "top_n": pa.array([counts[top].astype(np.int64).tolist()], pa.list_(pa.int64()))})
-
-    found = texts.mapInArrow(vocabulary, PACKED).groupBy("part").applyInArrow(add_words, "part int, n long, tokens long, top array<long>, top_n array<long>").collect()
-    for r in found:
-        model.sizes[r["part"]] = r["n"]
-    model.tokens = sum(r["tokens"] for r in found) + model.texts
-    most = model.tokens / (4 * parts)
-    hot = [int(model.offsets[r["part"]]) + i for r in found for i, c in zip(r["top"], r["top_n"], strict=True) if c > most]
+        _save(path, f"counts-{p}", _small(counts))
+        return pa.table({"part": pa.array([p], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())]})
+
+    sizes = np.zeros(parts, np.int64)
+    model.tokens = model.texts
+    for r in texts.mapInArrow(vocabulary, PACKED).groupBy("part").applyInArrow(add_words, "part int, n long, tokens long").collect():
+        sizes[r["part"]] = r["n"]
+        model.tokens += r["tokens"]
+    model.words = int(sizes.sum())
+    if model.words + 3 >= 1 << 32:
+        raise ValueError(f"{model.words} words are more than ids of 32 bits tell apart")
+    _save(path, "offsets", np.append(0, np.cumsum(sizes)))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [np.flatnonzero(_load(path, f"counts-{p}") > model.tokens / parts) + model.offsets[p] for p in b.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).astype(np.int64) if at else [], pa.int64())], ["id"])
+
+    tasks = max(1, min(parts, spark.sparkContext.defaultParallelism))
+    hot = [r["id"] for r in spark.range(0, parts, 1, tasks).mapInArrow(frequent, "id long").collect()]
     model.hot = dict.fromkeys([*hot, model.words + 1], (0, 0, 0))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys(w: textvec.Words) -> np.ndarray:
-            before, ids, _ = _pairs(w, model)
+            ids, back = _distinct(w, model)
+            before, ids, _ = _pairs(w, ids[back], model)
             return (before.astype(np.uint64) << _ID) | ids.astype(np.uint64)
 
-        return _flushing(batches, keys, lambda k: _part_of_pair(k, model), parts)
+        return _flushing(batches, keys, lambda k: _part_of_pair(k, model))
 
     def add_pairs(group: pa.Table) -> pa.Table:
         p = group.column("part")[0].as_py()
         keys, counts = _merged(group)
         _save(path, f"pairs-{p}", keys)
-        _save(path, f"pair-counts-{p}", counts)
+        _save(path, f"pair-counts-{p}", _small(counts))
         ctx = keys >> _ID
         at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
-        kinds = np.stack([np.add.reduceat(k.astype(np.uint32), at) for k in (counts == 1, counts == 2, counts > 2)], axis=1)
-        _save(path, f"contexts-{p}", ctx[at])
-        _save(path, f"kinds-{p}", kinds)
-        spread = np.isin(ctx[at], np.array(sorted(model.hot), np.uint64))
-        word, before = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
+        kinds = np.stack([np.add.reduceat(k.astype(np.int64), at) for k in (counts == 1, counts == 2, counts > 2)], axis=1)
+        own = ~_is_hot(ctx[at], model)
+        lo = model.first_context(p)
+        table = np.zeros((model.first_context(p + 1) - lo, 3), np.uint32)
+        table[ctx[at][own].astype(np.int64) - lo] = kinds[own]
+        _save(path, f"kinds-{p}", table)
+        word, before = np.unique(keys & _LOW, return_counts=True)
         last = word == model.words
-        send = _emit(word[~last], before[~last].astype(np.uint32), np.searchsorted(model.offsets, word[~last], "right") - 1, parts)
+        sent = pa.Table.from_batches([_emit(word[~last], before[~last], np.searchsorted(model.offsets, word[~last], "right") - 1)])
         facts = [len(keys), int(before[last].sum()), *_count_counts(counts)]
-        hot_rows = [[int(c), *map(int, k)] for c, k in zip(ctx[at][spread], kinds[spread], strict=True)]
-        sent = pa.Table.from_batches([send])
-        empty = pa.array([None] * len(sent), pa.list_(pa.int64()))
-        sent = sent.append_column("facts", empty).append_column("hot", pa.array([None] * len(sent), pa.list_(pa.list_(pa.int64()))))
-        own = pa.table({"part": pa.array([-1], pa.int32()), "n": pa.array([0], pa.int64()), "keys": pa.array([None], pa.binary()), "counts": pa.array([None], pa.binary()), "facts": pa.array([facts], pa.list_(pa.int64())), "hot": pa.array([hot_rows], pa.list_(pa.list_(pa.int64())))})
-        return pa.concat_tables([sent, own])
+        hot_rows = [[int(c), *map(int, k)] for c, k in zip(ctx[at][~own], kinds[~own], strict=True)]
+        sent = sent.append_column("facts", pa.array([None] * len(sent), pa.list_(pa.int64()))).append_column("hot", pa.array([None] * len(sent), pa.list_(pa.list_(pa.int64()))))
+        told = pa.table({"part": pa.array([-1], pa.int32()), "n": pa.array([0], pa.int64()), "keys": pa.array([None], pa.binary()), "counts": pa.array([None], pa.binary()), "facts": pa.array([facts], pa.list_(pa.int64())), "hot": pa.array([hot_rows], pa.list_(pa.list_(pa.int64())))})
+        return pa.concat_tables([sent, told])
 
     second = materialize(texts.mapInArrow(pairs, PACKED).groupBy("part").applyInArrow(add_pairs, PACKED + ", facts array<long>, hot array<array<long>>"), "lm-before")
-    facts = second.where("part < 0").select("facts", "hot").collect()
-    sums = np.array([r["facts"] for r in facts] or [[0] * 6]).sum(axis=0)
-    model.kinds, model.end_before = int(sums[0]), int(sums[1])
-    for r in facts:
-        for c, *k in r["hot"]:
-            model.hot[c] = tuple(x + y for x, y in zip(model.hot[c], k, strict=True))
+    sums = _sums(second.where("part < 0"), 6)
+    model.kinds, model.end_before = sums[0], sums[1]
+    for c, *k in second.where("part < 0").select(F.explode("hot").alias("h")).groupBy(F.col("h")[0]).agg(*[F.sum(F.col("h")[i]) for i in (1, 2, 3)]).collect():
+        model.hot[c] = tuple(k)
 
     def add_before(group: pa.Table) -> pa.Table:
         p = group.column("part")[0].as_py()
         ids, n = _merged(group)
-        out = np.zeros(model.sizes[p], np.uint32)
-        out[ids.astype(np.int64) - model.offsets[p]] = n
-        _save(path, f"before-{p}", out)
+        lo, hi = model.offsets[p : p + 2]
+        out = np.zeros(hi - lo, np.int64)
+        out[ids.astype(np.int64) - lo] = n
+        _save(path, f"before-{p}", _small(out))
         return pa.table({"part": pa.array([p], pa.int32()), "facts": pa.array([[*_count_counts(n), int((n > 2).sum())]], pa.list_(pa.int64()))})
 
-    ends = np.array([r["facts"] for r in second.where("part >= 0").select("part", "n", "keys", "counts").groupBy("part").applyInArrow(add_before, "part int, facts array<long>").collect()] or [[0] * 5]).sum(axis=0)
-    model.discounts = (_discounts([int(x) for x in ends[:4]]), _discounts([int(x) for x in sums[2:6]]))
+    ends = _sums(second.where("part >= 0").select("part", "n", "keys", "counts").groupBy("part").applyInArrow(add_before, "part int, facts array<long>"), 5)
+    model.discounts = (_discounts(ends[:4]), _discounts(sums[2:6]))
     d = model.discounts[0]
     end_d = d[min(3, model.end_before)]
     model.unigram_rest = (d[1] * ends[0] + d[2] * ends[1] + d[3] * ends[4] + end_d) / model.kinds if model.kinds else 1.0
@@ -305,45 +374,67 @@ def _discounted(c: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     return np.maximum(0.0, c - np.array(d)[np.minimum(c, 3)])
 
 
+def _rest(ctx: np.ndarray, model: Model) -> np.ndarray:
+    """What a context's discounts leave for the lower order, for ascending context ids."""
+    d = np.array(model.discounts[1][1:])
+    out = np.zeros(len(ctx))
+    known = np.flatnonzero(ctx < model.words + 2)
+    for p, i, j in _runs(_part_of_context(ctx[known], model)):
+        x = _load(model.path, f"kinds-{p}")
+        if len(x):
+            out[known[i:j]] = x[ctx[known[i:j]] - model.first_context(p)] @ d
+    for i in np.flatnonzero(_is_hot(ctx.astype(np.uint64), model)):
+        out[i] = np.dot(model.hot[int(ctx[i])], d)
+    return out
+
+
+def _pair_counts(keys: np.ndarray, model: Model) -> np.ndarray:
+    """Counts of ascending pairs; 0 for an unknown one."""
+    out = np.zeros(len(keys), np.int64)
+    ctx = keys >> _ID
+    hot = _is_hot(ctx, model)
+    cold = np.flatnonzero(~hot)
+    spread = np.flatnonzero(hot)
+    part = _spread(keys[spread], model)
+    order = np.argsort(part, kind="stable")
+    for at, part in ((cold, _part_of_context(ctx[cold], model)), (spread[order], part[order])):
+        for p, i, j in _runs(part):
+            place, hit = _find(_load(model.path, f"pairs-{p}"), keys[at[i:j]])
+            if hit.any():
+                out[at[i:j][hit]] = _load(model.path, f"pair-counts-{p}")[place[hit]]
+    return out
+
+
 def token_scores(w: textvec.Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(probability, count, tokens of each row, first token of each row) of a slice."""
-    before, ids, n = _pairs(w, model)
+    """(probability, count, tokens of each row, first token of each row) of a slice. Distinct
+    words, and after them the end and the start, are looked up once, and so are pairs."""
     size = model.words
-    count = _by_id(ids, model, "counts")
-    count[ids == size] = model.texts
-    ahead = _by_id(ids, model, "before")
-    ahead[ids == size] = model.end_before
+    ids, back = _distinct(w, model)
+    kind = len(ids)  # the end is kind, the start kind + 1
+    count = np.append(_by_id(ids, model, "counts"), [model.texts, model.texts])
+    ahead = np.append(_by_id(ids, model, "before"), [model.end_before, 0])
+    ids = np.append(ids, [size, size + 1])
+    order = np.argsort(ids, kind="stable")
+    rest = np.empty(len(ids))
+    rest[order] = _rest(ids[order], model)
     uniform = 1 / (size + 2)  # all words, the end, and one for all unknown ones
     p1 = _discounted(ahead, model.discounts[0]) / max(1, model.kinds) + model.unigram_rest * uniform
-    total = _by_id(before, model, "counts")
-    total[before == size + 1] = model.texts
-    p = p1.copy()
-    keys = (before.astype(np.uint64) << _ID) | ids.astype(np.uint64)
-    use = np.flatnonzero(total > 0)
-    if len(use):
-        part = _part_of_pair(keys[use], model)
-        order = np.lexsort((keys[use], part))
-        use, part = use[order], part[order]
-        cut = np.searchsorted(part, np.arange(model.parts + 1))
-        d = model.discounts[1]
-        rest, seen = np.zeros(len(use)), np.zeros(len(use), np.int64)
-        for q in range(model.parts):
-            i, j = cut[q], cut[q + 1]
-            known = _load(model.path, f"pairs-{q}")
-            if i == j or not len(known):
-                continue
-            k = keys[use[i:j]]
-            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-            hit = known[at] == k
-            seen[i:j][hit] = _load(model.path, f"pair-counts-{q}")[at[hit]]
-            contexts = _load(model.path, f"contexts-{q}")
-            at = np.minimum(np.searchsorted(contexts, k >> _ID), len(contexts) - 1)
-            hit = contexts[at] == k >> _ID
-            rest[i:j][hit] = _load(model.path, f"kinds-{q}")[at[hit]] @ np.array(d[1:])
-        for c, k in model.hot.items():
-            rest[before[use] == c] = float(np.dot(k, d[1:]))
-        p[use] = (_discounted(seen, d) + rest * p1[use]) / total[use]
-    return p, count, n, textvec.run_starts(n)
+
+    at, ends, n = _streams(w)
+    own = np.empty(int(n.sum()), np.int64)
+    own[at] = back
+    own[ends] = kind
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[textvec.run_starts(n)] = kind + 1
+    known = (ids[before] <= size + 1) & (ids[own] <= size) & (count[before] > 0)
+    keys, pair = np.unique((ids[before[known]].astype(np.uint64) << _ID) | ids[own[known]].astype(np.uint64), return_inverse=True)
+    seen = np.zeros(len(own), np.int64)
+    seen[known] = _pair_counts(keys, model)[pair]
+    total = np.where(ids[before] <= size + 1, count[before], 0)
+    p = np.where(total > 0, (_discounted(seen, model.discounts[1]) + rest[before] * p1[own]) / np.maximum(1, total), p1[own])
+    told = np.append(count[: kind + 1], 0)
+    return p, told[own], n, textvec.run_starts(n)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,7 +444,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in textvec.words(b.column("text")):
+            for w in textvec.words(b.column("text"), size=SLICE):
                 p, count, n, first = token_scores(w, model)
                 log = np.add.reduceat(np.log10(p), first)
                 plain = np.add.reduceat(np.log10((count + 1) / base), first)

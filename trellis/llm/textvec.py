@@ -85,8 +85,8 @@ class Words:
         return mix(h, 1 if prefix is None else 2 + prefix)
 
 
-def words(col: pa.Array, letters_only: bool = False, latin: bool = False, lower: bool = True) -> Iterator[Words]:
-    """Slices of ``col`` (null: empty), split at blank, tab, LF, VT, FF, CR, or with
+def words(col: pa.Array, letters_only: bool = False, latin: bool = False, lower: bool = True, size: int = SLICE_BYTES) -> Iterator[Words]:
+    """Slices of ``col`` (null: empty) of about ``size`` bytes, split at blank, tab, LF, VT, FF, CR, or with
     ``letters_only`` at every ASCII character but letters and digits. A-Z are lower-cased
     (unless not ``lower``), with ``latin`` also the two-byte letters from U+00C0 to U+00DE."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
@@ -98,7 +98,7 @@ def words(col: pa.Array, letters_only: bool = False, latin: bool = False, lower:
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None and bufs[2].size else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
         own, bounds = (_LOW[data[off[lo] : off[hi]]] if lower else data[off[lo] : off[hi]]), off[lo : hi + 1] - off[lo]
         if latin and len(own) > 1:
             lead = np.flatnonzero(own[:-1] == 0xC3) + 1
