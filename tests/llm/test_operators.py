@@ -109,6 +109,14 @@ def test_short_lines_are_joined_by_the_query(spark, tmp_path):
     assert {x["doc_id"]: list(x["gone"]) for x in line_dedup.query(spark, str(tmp_path)).collect()} == want
 
 
+def test_line_dedup_takes_ids_and_columns_of_any_kind(spark):
+    rows = [("b", "one line of words\nanother", 1, "x"), ("a", "one line of words\n\nmore", 2, "y"), (None, "one line of wordz", 3, "z"), ("c", None, 4, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _line_row int, _line_gone string")
+    got = {r["_line_row"]: r for r in line_dedup.clean(df, min_chars=0).collect()}
+    assert got[2]["text"] == "one line of words\n\nmore" and got[1]["text"] == "another" and got[3]["text"] == "" and got[4]["text"] is None
+    assert {k: r["_line_gone"] for k, r in got.items()} == {1: "x", 2: "y", 3: "z", 4: None}
+
+
 def test_line_dedup_odd(spark, odd, none):
     out = line_dedup.clean(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -168,6 +176,13 @@ def test_shards_take_ids_of_any_type(spark, odd):
     assert len(rows) == odd.count() and {r["doc_id"] for r in rows} == {r["doc_id"] for r in named.collect()}
 
 
+def test_shards_carry_columns(spark, odd):
+    out = sharding.shard(odd, 4, carry=True)
+    assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "lang", "source", "n_chars", "keys"]
+    same = lambda df: sorted(map(repr, df.select("doc_id", "text", "lang", "source", "n_chars", "keys").collect()))
+    assert same(out) == same(odd) and out.where("size <> octet_length(coalesce(text, '')) + 8").count() == 0
+
+
 def test_shards_rerun(spark, odd):
     key = lambda: sorted((r["doc_id"] or -1, r["shard"], r["slot"]) for r in sharding.shard(odd, 4).collect())
     assert key() == key()
@@ -286,6 +301,19 @@ def test_token_counts_against_greedy(spark, odd, none):
     assert got == want and token_counts.count(none, pieces).count() == 0
 
 
+def test_very_long_words_are_walked():
+    r = random.Random(3)
+    pieces = [b"a", b"b", b"ab", b"aba", b"abab", b"bb", b"ababb", b"c"]
+    a = token_counts.build(pieces, b"")
+    for odd in (b"", b"x"):
+        w = bytes(r.choice(b"abc") for _ in range(300_000)) + odd
+        n, i = 0, 0
+        while i < len(w) and w[i : i + 1] != b"x":
+            i += next(k for k in range(5, 0, -1) if w[i : i + k] in pieces)
+            n += 1
+        assert token_counts.count_pieces(a, np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])).tolist() == [1 if odd else n]
+
+
 def test_unknown_and_long_words():
     a = token_counts.build([b"ab", b"abcd", b"b", b"c"], b"")
     text = np.frombuffer(b"abc" + b"abx" + b"bc" * 1000, np.uint8)
@@ -461,6 +489,51 @@ def test_leaks(spark, odd, none):
     assert {(x["doc_id"], x["item_id"]) for x in decontam.leaks(df, bench).collect()} == leaked
     assert decontam.leaks(odd, bench).count() == 0 and decontam.leaks(none, bench).count() == 0
     assert decontam.leaks(df, bench.where("item_id > 98")).count() == 0
+    key = lambda x: sorted((str(r["doc_id"]), str(r["item_id"]).removeprefix("q")) for r in x.collect())
+    want = sorted((str(a), str(b)) for a, b in leaked)
+    assert key(decontam.leaks(df, bench, max_items=4)) == want  # searched in parts
+    named = bench.withColumn("item_id", F.concat(F.lit("q"), F.col("item_id").cast("string")))
+    assert key(decontam.leaks(df, named)) == want
+    clash = df.withColumn("hits", F.lit("mine")).withColumn("_hits", F.lit(1))
+    kept = decontam.clear(clash, bench)
+    assert kept.columns == clash.columns and kept.where("hits = 'mine' and _hits = 1").count() == 200 - len({a for a, _ in leaked})
+    found = decontam.search(clash, decontam.fit(df, decontam.load(bench)[0]))
+    assert found.where(F.size("hits") > 0).count() == len({a for a, _ in leaked})
+
+
+def test_leaks_against_all_windows(spark):
+    """Every item against every stretch of a document that is as long, without the latent
+    search: what shares ``strong`` of an item's words in order is found."""
+    r = random.Random(16)
+    docs = make(80, 19, 2500)
+    items = [(i, " ".join(r.choice(docs[k][1].split()) for k in r.choices(range(80), k=r.randint(12, 60)))) for i in range(10)]
+    for i in range(0, 80, 2):  # paraphrases: words changed, dropped and put in, from none to all
+        w = items[i % 10][1].split()
+        for _ in range(r.randint(0, len(w))):
+            k = r.randrange(len(w))
+            w[k : k + r.randint(0, 1)] = r.choice([[], [f"new{r.randint(0, 99)}"]])
+        docs[i] = (i, " ".join([docs[i][1], *w, docs[i + 1][1]]), "en", "s", 0)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, old = [0], row
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(row[j], old[j + 1]))
+        return row[-1]
+
+    word = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+    want, wide = set(), set()
+    for i, t, *_ in docs:
+        w = word(t)
+        for j, u in items:
+            x = word(u)
+            if max(common(x, w[k : k + len(x)]) for k in range(max(1, len(w) - len(x) + 1))) >= 0.8 * len(x):
+                want.add((i, j))
+            if common(x, w) >= 0.55 * len(x):
+                wide.add((i, j))
+    hits = {(x["doc_id"], x["item_id"]) for x in decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 5 and want <= hits <= wide
 
 
 def test_weak_share_with_a_short_answer(spark):
@@ -583,5 +656,9 @@ def test_toxic_words_are_found(spark, odd, none, labels):
     assert all((x["score"] >= 0.7) == (x["doc_id"] % 5 == 0) for x in held)
     assert toxicity.annotate(odd, model).where("toxicity.score is null").count() == 0
     assert toxicity.annotate(none, model).count() == 0
+    clash = toxicity.annotate(df.withColumn("Toxicity", F.lit("mine")).withColumn("n", F.lit(1)), model)
+    assert clash.columns == [*df.columns, "n", "toxicity"]
+    scores = {x["doc_id"]: x["score"] for x in out}
+    assert all(x["score"] == scores[x["doc_id"]] for x in clash.select("doc_id", "toxicity.score").collect())
     plain = toxicity.annotate(odd, toxicity.train_model(odd, labels.where("doc_id < 0")))
     assert plain.where("toxicity.score > 0.01").count() == 0

@@ -73,6 +73,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, name: str) -> DataFrame:
+    """``df`` without a column ``name``, in whatever case."""
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() != name.lower()])
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns that can be hashed: orders rows that repeat a key the same way in
     every run."""

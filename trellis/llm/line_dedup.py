@@ -16,8 +16,8 @@ each other line needs one earlier neighbour only; pairs are checked by edit dist
 The input should be a written table (or another with a fixed order of rows), as it is read
 twice and its rows are told apart by their place.
 
-Defined results: null and empty texts have one empty line, which stays; a null id comes
-after all others; repeated rows are told apart by their order in a written table, the later
+Defined results: null and empty texts have one empty line, which stays; ids may be of any
+type that can be ordered; a null id comes after all others; repeated rows are told apart by their order in a written table, the later
 one losing its lines; an empty table gives no rows; other columns are kept by :func:`clean`.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm import textvec
-from trellis.llm.common import arrow_batches, materialize, table
+from trellis.llm.common import arrow_batches, fresh, materialize, table
 
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -128,7 +128,7 @@ def lines(docs: DataFrame, parts: int, min_chars: int) -> DataFrame:
                 cols = _ints(x.nth, x.digest(0), x.digest(1), x.size)
                 yield pa.RecordBatch.from_arrays([b.column("doc")[lo:hi].take(pa.array(x.row)), *cols, pa.array(x.word), lists], ["doc", "nth", "h1", "h2", "size", "word", "keys"])
 
-    return docs.mapInArrow(run, "doc struct<no_id:boolean,doc_id:long,rowid:long>, nth long, h1 long, h2 long, size long, word boolean, keys array<long>")
+    return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, nth long, h1 long, h2 long, size long, word boolean, keys array<long>")
 
 
 def variants(found: DataFrame, parts: int) -> DataFrame:
@@ -168,7 +168,7 @@ def variants(found: DataFrame, parts: int) -> DataFrame:
 def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines, rows): every line with ``goes``; and the numbered rows (doc, text) they come from."""
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rowid")).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rowid")).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     each = materialize(lines(rows, parts, min_chars), "line-all")
     first = F.min(F.struct("doc", "nth")).alias("first")
     kinds = materialize(each.where("word").groupBy("h1", "h2").agg(first, F.any_value("keys").alias("keys")), "line-kinds")
@@ -205,11 +205,12 @@ def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 20, id_col: str =
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the lines that go taken out of their texts. Null texts stay null."""
     found, _ = verdicts(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.where("goes").groupBy(F.col("doc.rowid").alias("_line_row")).agg(F.collect_list("nth").alias("_line_gone"))
-    own = docs.withColumn("_line_row", F.monotonically_increasing_id()).join(gone, "_line_row", "left")
+    row_, gone_ = fresh(docs, "_line_row", "_line_gone")
+    gone = found.where("goes").groupBy(F.col("doc.rowid").alias(row_)).agg(F.collect_list("nth").alias(gone_))
+    own = docs.withColumn(row_, F.monotonically_increasing_id()).join(gone, row_, "left")
     numbered = F.transform(F.split(text_col, "\n"), lambda t, i: F.struct(t.alias("t"), i.cast("long").alias("i")))
-    kept = F.transform(F.filter(numbered, lambda s: ~F.array_contains("_line_gone", s["i"])), lambda s: s["t"])
-    return own.withColumn(text_col, F.when(F.col("_line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    kept = F.transform(F.filter(numbered, lambda s: ~F.array_contains(gone_, s["i"])), lambda s: s["t"])
+    return own.withColumn(text_col, F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

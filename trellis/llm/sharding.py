@@ -14,7 +14,7 @@ range, so no task holds a whole shard or group.
 
 Defined results: a null text has no bytes; a null id is an id like any other; ids may be of
 any type; an empty table gives no rows; repeated rows each get a slot; columns of the input
-that are not named are dropped, so clashing names do no harm.
+that are not named are dropped, or with ``carry`` kept unless they have the name of a result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.llm.common import arrow_batches, materialize, table
 
@@ -34,9 +35,10 @@ ROW_BYTES = 8
 Key = tuple[int, int]
 
 
-def sized_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, h, g): h orders the groups of equal texts, g their members.
-    The last bits of g tell rows of one id apart, so that these can be subdivided too."""
+def sized_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, h, g) and the columns ``carry``: h orders the groups of equal
+    texts, g their members. The last bits of g tell rows of one id apart, so that these can
+    be subdivided too."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 44)
     own = F.shiftleft(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(17)), 20)
@@ -46,6 +48,7 @@ def sized_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         own.bitwiseOR(row).alias("g"),
+        *[F.col(f"`{c}`") for c in carry],
     )
 
 
@@ -70,7 +73,7 @@ def with_range(keyed: DataFrame, bounds: list[Key]) -> DataFrame:
             rng = _range_of(bounds, b.column("h").to_numpy(), b.column("g").to_numpy()) if bounds else np.zeros(len(b), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rng.astype(np.int32))], [*b.schema.names, "rng"])
 
-    return keyed.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema) + ", rng int")
+    return keyed.mapInArrow(assign, T.StructType([*keyed.schema.fields, T.StructField("rng", T.IntegerType())]))
 
 
 def _sample(keyed: DataFrame, total: int, expect: int, seed: int) -> list[Key]:
@@ -160,23 +163,26 @@ def _place(found: dict[int, dict], shards: int, total: int) -> dict[int, tuple[i
     return out
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, **how) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
+    ``carry``: with all other columns of ``docs`` too, less those that have one of these names.
     ``how``: parameters of :func:`splitters`. Shards get near-equal bytes; slots follow the
     key order.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    keyed = materialize(sized_keys(docs, id_col, text_col), "shard-keys")
-    bounds, places = splitters(keyed, shards, **how)
+    named = ("doc_id", "size", "text_crc32", "shard", "slot", "h", "g", "rng", "nth", "first")
+    more = tuple(c for c in docs.columns if c != id_col and c.lower() not in named) if carry else ()
+    keyed = materialize(sized_keys(docs, id_col, text_col, more), "shard-keys")
+    bounds, places = splitters(keyed.select("h", "g", "size"), shards, **how)
     place = spark.createDataFrame([(i, s, first) for i, (s, first) in places.items()], "rng int, shard int, first long")
     nth = F.row_number().over(Window.partitionBy("rng").orderBy("h", "g", "doc_id"))
     return (
         with_range(keyed, bounds)
         .withColumn("nth", nth)
         .join(F.broadcast(place), "rng")
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), *[f"`{c}`" for c in more])
     )
 
 

@@ -19,8 +19,9 @@ result rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from trellis.llm import textvec
 from trellis.llm.common import arrow_batches, table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the query looks for its vocabulary, unless TRELLIS_VOCABULARY names another file.
+VOCABULARY = os.environ.get("TRELLIS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _MEMO, _LONG = 400_000, 256
 
 
@@ -45,10 +47,32 @@ class Automaton:
     pops: np.ndarray
     ends: np.ndarray
     mark: bytes
-
-
-def read_vocabulary(path: str = VOCABULARY, max_pieces: int = 2_000_000) -> list[bytes]:
+    #: The same for words that are walked alone: made on first use.
+    steps: dict[int, int] = field(default_factory=dict)
+    links: list[tuple[int, int]] = field(default_factory=list)
+
+    def walk(self, state: int, count: int, data: bytes) -> tuple[int, int]:
+        """State and count after the bytes of one long word, in plain integers."""
+        if not self.steps:
+            self.steps = dict(zip(self.edge.tolist(), self.to.tolist(), strict=True))
+            self.links = list(zip(self.fail.tolist(), self.pops.tolist(), strict=True))
+        steps, links = self.steps, self.links
+        for c in data:
+            to = steps.get(state * 256 + c)
+            while to is None and state >= 0:
+                state, n = links[state]
+                count += n
+                to = steps.get(state * 256 + c) if state >= 0 else None
+            if state < 0:
+                return state, count
+            state = to
+        return state, count
+
+
+def read_vocabulary(path: str, max_pieces: int = 2_000_000) -> list[bytes]:
     """Pieces of a file of lines "base64 rank"."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}; give the path of a file of lines 'base64 rank'")
     with open(path, "rb") as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
     if len(pieces) > max_pieces:
@@ -124,12 +148,8 @@ def count_pieces(a: Automaton, data: np.ndarray, start: np.ndarray, end: np.ndar
     for p in range(int(min(size[0], _LONG)) if len(size) else 0):
         live = int(np.searchsorted(-size, -p, "left"))  # words longer than p come first
         state[:live] = _step(a, state[:live].copy(), data[start[:live] + p].astype(np.int64), count[:live])
-    for w in np.flatnonzero(size > _LONG):  # few; byte by byte
-        s, k = state[w : w + 1], count[w : w + 1]
-        for c in data[start[w] + _LONG : start[w] + size[w]].tolist():
-            if s[0] < 0:
-                break
-            s[:] = _step(a, s.copy(), np.array([c]), k)
+    for w in np.flatnonzero((size > _LONG) & (state >= 0)):
+        state[w], count[w] = a.walk(int(state[w]), int(count[w]), data[start[w] + _LONG : start[w] + size[w]].tobytes())
     left = np.where(state >= 0, a.ends[state], -1)
     out = np.empty(len(order), np.int64)
     out[order] = np.where(left >= 0, count + left, 1)
@@ -182,4 +202,4 @@ def count(docs: DataFrame, pieces: Iterable[bytes], mark: bytes = b" ", id_col:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: greedy piece counts of all documents."""
-    return count(table(spark, sf_dir, "documents"), read_vocabulary())
+    return count(table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.llm import textvec
-from trellis.llm.common import arrow_batches, fold, materialize, table
+from trellis.llm.common import arrow_batches, fold, materialize, table, without
 
 LEVELS: tuple[int | None, ...] = (4, 5, 6, None)
 
@@ -249,21 +249,25 @@ def calibrate(train: DataFrame, model: Weights) -> Weights:
                 at = np.flatnonzero(s > 0)
                 first = textvec.run_starts(w.count)
                 out: list[list[float]] = [[] for _ in w.count]
-                gains: list[list[float]] = [[] for _ in w.count]
+                gains: list[dict[float, int]] = [{} for _ in w.count]
                 for r, own in _by_row(w.row[at], at):
                     out[r] = [x.score for x in maximal_segments(own - first[r], s[own], int(w.count[r]), model.drift)]
-                    gains[r] = s[own].tolist()
-                yield pa.RecordBatch.from_arrays([b.column("toxic")[w.rows[0] : w.rows[1]], pa.array(w.count.astype(np.int64)), pa.array(out, pa.list_(pa.float64())), pa.array(gains, pa.list_(pa.float64()))], ["toxic", "n", "segs", "gains"])
+                    gains[r] = dict(zip(*(x.tolist() for x in np.unique(s[own], return_counts=True)), strict=True))
+                yield pa.RecordBatch.from_arrays([b.column("toxic")[w.rows[0] : w.rows[1]], pa.array(w.count.astype(np.int64)), pa.array(out, pa.list_(pa.float64())), pa.array([list(g.items()) for g in gains], pa.map_(pa.float64(), pa.int64()))], ["toxic", "n", "segs", "gains"])
 
-    rows = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(segments, "toxic int, n long, segs array<double>, gains array<double>").collect()
+    rows = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(segments, "toxic int, n long, segs array<double>, gains map<double,bigint>").collect()
     clean = [r for r in rows if not r["toxic"]]
     tokens = sum(r["n"] for r in clean)
-    gains = np.array([g for r in clean for g in r["gains"]])
+    gains: dict[float, int] = {}
+    for r in clean:
+        for g, n in r["gains"].items():
+            gains[g] = gains.get(g, 0) + n
     # lam solves sum p_i exp(lam s_i) = 1 over the clean tokens; one more token of the mean
     # weight is added, so that weights that no clean text has still leave a finite law
-    seen = np.concatenate([gains, [np.mean(np.concatenate([s[s > 0] for s in model.scores])) if any((s > 0).any() for s in model.scores) else 1.0]])
+    more = np.mean(np.concatenate([s[s > 0] for s in model.scores])) if any((s > 0).any() for s in model.scores) else 1.0
+    seen, often = np.array([*gains, more]), np.array([*gains.values(), 1.0])
     share = 1 / max(2, tokens + 1)
-    f = lambda lam: share * np.exp(np.minimum(700, lam * seen)).sum() + max(0.0, 1 - share * len(seen)) * math.exp(-lam * model.drift) - 1
+    f = lambda lam: share * (often * np.exp(np.minimum(700, lam * seen))).sum() + max(0.0, 1 - share * often.sum()) * math.exp(-lam * model.drift) - 1
     lo, hi = 1e-6, 1.0
     while f(hi) < 0 and hi < 64:
         hi *= 2
@@ -272,7 +276,7 @@ def calibrate(train: DataFrame, model: Weights) -> Weights:
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
     model.lam = min(5.0, max(0.05, hi))
     scores = np.array([s for r in clean for s in r["segs"]])
-    cut = float(np.median(scores)) if len(scores) else float(seen.mean())
+    cut = float(np.median(scores)) if len(scores) else float(np.average(seen, weights=often))
     model.k = max(1, (scores >= cut).sum()) / (max(1, tokens) * math.exp(-model.lam * cut))
     x = np.array([_evidence(model, r["n"], [Segment(0, 0, s) for s in r["segs"]]) for r in rows]).reshape(-1, 2)
     y = np.array([float(r["toxic"]) for r in rows])
@@ -297,9 +301,10 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def annotate(docs: DataFrame, model: Weights, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``out``: score, n_tokens, n_segments (those with E below 1), and
-    first and last token, score and E of the best segment."""
+    first and last token, score and E of the best segment; a column of that name is replaced."""
     arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(_scan(model, text_col, out), T.StructType([*docs.schema.fields, T.StructField(out, FOUND)]))
+    own = without(docs, out)
+    return own.mapInArrow(_scan(model, text_col, out), T.StructType([*own.schema.fields, T.StructField(out, FOUND)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
