@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import decontam, mixing, near_dedup, sharding, toxicity
-from trellis.llm.common import materialize, table
+from trellis.llm.common import fresh, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the segment scores reject (0.7 or more) go."""
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.annotate(docs, model, out="_toxicity").where(F.col("_toxicity.score") < 0.7).select(*docs.columns)
+    (found,) = fresh(docs, "_toxicity")
+    return toxicity.annotate(docs, model, out=found).where(F.col(f"{found}.score") < 0.7).drop(found)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    bench = decontam.load(table(spark, sf_dir, "benchmark"))
-    if len(bench.ids):
-        decontam.fit(docs, bench)
-    return decontam.search(docs, bench, out="_hits").where(F.size("_hits") == 0).select(*docs.columns)
+    return decontam.clear(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row of the mixture."""
-    return sharding.shard(docs, 24).withColumn("law", F.lit("bytes"))
+    """The rows of the mixture, whole, with their shard and slot."""
+    return sharding.shard(docs, 24, carry=True).withColumn("law", F.lit("bytes"))
 
 
 STAGES = [
