@@ -13,8 +13,8 @@ SETTINGS = {
 
 
 def session(master: str | None = None, app: str = "trellis", **conf: str) -> SparkSession:
-    """A session with the engine's settings; ``conf`` uses underscores for dots."""
+    """A session with the engine's settings and those of ``conf``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=SETTINGS | {k.replace("_", "."): v for k, v in conf.items()}).getOrCreate()
+    return builder.config(map=SETTINGS | conf).getOrCreate()
