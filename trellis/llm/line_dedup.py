@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm import textvec
-from trellis.llm.common import arrow_batches, fresh, materialize, table
+from trellis.llm.common import arrow_batches, fresh, join_frequent, materialize, table
 
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -171,11 +171,13 @@ def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 20, id_col: str =
     rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rowid")).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     each = materialize(lines(rows, parts, min_chars), "line-all")
     first = F.min(F.struct("doc", "nth")).alias("first")
-    kinds = materialize(each.where("word").groupBy("h1", "h2").agg(first, F.any_value("keys").alias("keys")), "line-kinds")
+    kinds = materialize(each.where("word").groupBy("h1", "h2").agg(first, F.any_value("keys").alias("keys"), F.count("*").alias("times")), "line-kinds")
+    n_lines, n_ends = (r[0] or 0 for r in kinds.agg(F.array(F.sum("times"), F.sum(F.size("keys"))).alias("n")).select(F.explode("n")).collect())
 
+    # a line, its ends and its variants may be very frequent: such keys are joined apart
     ends = kinds.select("h1", "h2", F.posexplode("keys").alias("part", "end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
-    met = ends.join(shared.hint("merge"), "end", "left_semi").select("h1", "h2", "part").distinct()
+    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1")
+    met = join_frequent(ends, shared, ["end"], "n", n_ends).select("h1", "h2", "part").distinct()
     wanted = materialize(met.groupBy("h1", "h2").agg(F.collect_set("part").alias("parts")).join(kinds.select("h1", "h2", "first"), ["h1", "h2"]), "line-wanted")
     # texts of the lines in question: each document hands out its own
     asked = wanted.groupBy("first.doc").agg(F.collect_list(F.struct(F.col("first.nth").alias("nth"), "h1", "h2", "parts")).alias("asked"))
@@ -183,12 +185,11 @@ def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 20, id_col: str =
     texts = own.select("all", F.explode("asked").alias("a")).select("a.h1", "a.h2", "a.parts", F.element_at("all", (F.col("a.nth") + 1).cast("int")).alias("text"))
     texts = materialize(texts, "line-texts")
 
-    emitted = materialize(variants(texts.select("h1", "h2", "text", F.explode("parts").alias("part")), parts), "line-variants")
-    order = kinds.select("h1", "h2", "first")
-    keyed = emitted.join(order, ["h1", "h2"])
+    emitted = variants(texts.select("h1", "h2", "text", F.explode("parts").alias("part")), parts)
+    keyed = materialize(emitted.join(kinds.select("h1", "h2", "first"), ["h1", "h2"]), "line-variants")
     # the earliest with each hash: of the lines themselves, and of those less a character
     early = keyed.groupBy("key").agg(F.min(F.when(F.col("full"), F.struct("first", "h1", "h2"))).alias("whole"), F.min(F.when(~F.col("full"), F.struct("first", "h1", "h2"))).alias("less"), F.count("*").alias("n")).where("n > 1")
-    near = keyed.join(early, "key")
+    near = join_frequent(keyed, early, ["key"], "n", keyed.count())
     # a whole line meets lines less a character; those meet the whole line and each other
     pair = near.withColumn("other", F.explode(F.array_compact(F.when(F.col("full"), F.array("less")).otherwise(F.array("whole", "less"))))).where(F.col("other.first") < F.col("first"))
     pair = pair.select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
@@ -196,10 +197,11 @@ def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 20, id_col: str =
     right = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("b"))
     true = pair.join(left, ["h1", "h2"]).join(right, ["o1", "o2"]).where(F.levenshtein("a", "b", 1).between(0, 1)).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
-    kind = materialize(kinds.select("h1", "h2", "first").join(true, ["h1", "h2"], "left"), "line-verdicts")
-    out = each.drop("keys").join(kind.hint("merge"), ["h1", "h2"], "left")
+    kind = materialize(kinds.select("h1", "h2", "first", "times").join(true, ["h1", "h2"], "left"), "line-verdicts")
+    plain = each.drop("keys")
     goes = F.coalesce(F.col("near") | (F.struct("doc", "nth") != F.col("first")), F.lit(False))
-    return out.select("doc", "nth", F.when(F.col("word"), goes).otherwise(False).alias("goes"), F.coalesce("near", F.lit(False)).alias("near")), rows
+    told = join_frequent(plain.where("word"), kind, ["h1", "h2"], "times", n_lines).select("doc", "nth", goes.alias("goes"), F.coalesce("near", F.lit(False)).alias("near"))
+    return told.unionByName(plain.where("not word").select("doc", "nth", F.lit(False).alias("goes"), F.lit(False).alias("near"))), rows
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
