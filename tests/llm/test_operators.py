@@ -571,6 +571,38 @@ def test_quality_and_sites(spark, odd, none, labels):
     assert quality.score(odd, labels.where("doc_id < 0")).where("score is null").count() == 0
 
 
+def test_sites_against_formula(spark):
+    """Site shares and scores recomputed from each row's own evidence and the labels."""
+    r = random.Random(27)
+    rows = [(i, t if r.random() < (0.9 if i % 5 else 0.2) else "!!! ### " * 10, r.choice(["en", "de"]) if i % 7 else None, f"s{i % 5}" if i % 11 else None, 0) for i, t, *_ in make(260, 26)]
+    marks = [(i, int("#" not in rows[i][1]), 0) for i in range(0, 260, 2)]
+    got = {x["doc_id"]: x for x in quality.score(spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    label = {i: q for i, q, _ in marks if zlib.crc32(str(i).encode()) % 3 != 1}
+    own = {i: (1.0, float(label[i])) if i in label else (0.2, 0.2 * got[i]["evidence"]) for i in got}
+    total = lambda keep: tuple(sum(x) for x in zip(*[own[i] for i in own if keep(rows[i])])) or (0.0, 0.0)
+
+    def precision(sites):
+        sites = [(n, k, m) for n, k, m in sites if n > 0]
+        n, n2 = sum(x[0] for x in sites), sum(x[0] ** 2 for x in sites)
+        v = sum(x[0] * x[2] * (1 - x[2]) for x in sites) / n
+        between = (sum(x[0] * (x[1] / x[0] - x[2]) ** 2 for x in sites) - (len(sites) - 1) * v) / (n - n2 / n)
+        return min(1e4, max(1.0, v / between - 1)) if between > 0 and v > 0 else 1e4
+
+    n, k = total(lambda x: True)
+    mu = k / n
+    hosts = {h: total(lambda x, h=h: x[3] == h) for h in {x[3] for x in rows}}
+    paths = {p: total(lambda x, p=p: (x[3], x[2]) == p) for p in {(x[3], x[2]) for x in rows}}
+    s_host = precision([(a, b, mu) for a, b in hosts.values()])
+    s_path = precision([(a, b, hosts[p[0]][1] / hosts[p[0]][0]) for p, (a, b) in paths.items()])
+    logit = lambda p: math.log(p / (1 - p))
+    for i, x in got.items():
+        (hn, hk), (pn, pk), (wt, good) = hosts[rows[i][3]], paths[rows[i][3], rows[i][2]], own[i]
+        mean = (hk - good + s_host * mu) / (hn - wt + s_host)
+        site = min(1 - 1e-6, max(1e-6, (pk - good + s_path * mean) / (pn - wt + s_path)))
+        assert x["site"] == pytest.approx(site) and x["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(-(logit(min(1 - 1e-6, max(1e-6, x["evidence"]))) + logit(site) - logit(mu)))))
+
+
 # Exact dedup
 
 
@@ -639,6 +671,40 @@ def test_maximal_segments_against_all():
         assert sorted(round(x.score, 6) for x in got) == sorted(split(0, n))
 
 
+def test_weights_against_counting(spark):
+    """Log-odds of words from distinct (word, next word) contexts, shrunk level by level."""
+    r = random.Random(23)
+    texts = []
+    for i, t, *_ in make(160, 24, 300):
+        w = t.split()
+        if i % 4 == 0:
+            for _ in range(3):
+                w.insert(r.randint(0, len(w)), r.choice(["moronic", "morons", "scumbag", "lostia", "abcdefg"]))
+        texts.append((" ".join(w), i % 4 == 0))
+    model = toxicity.learn(spark.createDataFrame([(t, int(y)) for t, y in texts] + [(None, 0), ("", 1)], "text string, toxic int"))
+    seen = {(y, w, n) for t, y in texts for w, n in zip(t.split(), [*t.split()[1:], None])}
+    cut = lambda w, k: (w if k is None else w.encode()[:k].decode("utf-8", "surrogateescape"))
+    pos = [Counter(cut(w, k) for y, w, _ in seen if y) for k in toxicity.LEVELS]
+    neg = [Counter(cut(w, k) for y, w, _ in seen if not y) for k in toxicity.LEVELS]
+    base = sum(pos[-1].values()) / len(seen)
+    logit = lambda p: math.log(p / (1 - p))
+    want = {}
+    for word in {w for _, w, _ in seen}:
+        if not any(p[cut(w, k)] >= 4 and p[cut(w, k)] > 2.5 * base * (p[cut(w, k)] + n[cut(w, k)]) for w in {w for _, w, _ in seen} if cut(w, 4) == cut(word, 4) for p, n, k in zip(pos, neg, toxicity.LEVELS)):
+            continue  # nothing that starts as it does tells anything
+        rho = base
+        for p, n, k in zip(pos, neg, toxicity.LEVELS):
+            a, b = p[cut(word, k)], n[cut(word, k)]
+            rho = (a + 20 * rho) / (a + b + 20)
+            gain = logit(rho) - logit(base)
+            z = gain / math.sqrt(1 / (a + 20 * base) + 1 / (b + 20 * (1 - base)))
+            want[word] = gain if gain > 1 and z >= 3 else 0.0
+    words = sorted({w for _, w, _ in seen})
+    got = toxicity.token_scores(next(textvec.words(pa.array([" ".join(words)]), True, True)), model)
+    assert {w for w, g in zip(words, got) if g > 0} >= {"moronic", "morons", "scumbag", "lostia"}
+    assert list(got) == pytest.approx([want.get(w, 0.0) for w in words])
+
+
 def test_toxic_words_are_found(spark, odd, none, labels):
     r = random.Random(1)
     rows, marks = [], []

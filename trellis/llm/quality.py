@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import textvec
-from trellis.llm.common import arrow_batches, fold, materialize, table
+from trellis.llm.common import arrow_batches, fold, join_frequent, materialize, table
 
 NAMES = ("log_words", "word_length", "symbols", "upper", "digits", "distinct", "repeats", "short", "line_length", "wide")
 
@@ -137,17 +137,17 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     seen = own.mapInArrow(run, f"doc_id {kind}, host string, path string, p double").join(known, "doc_id", "left")
     seen = materialize(seen.withColumn("wt", F.when(F.col("y").isNull(), soft).otherwise(1.0)).withColumn("good", F.col("wt") * F.coalesce("y", "p")), "quality-evidence")
 
-    paths = seen.groupBy("host", "path").agg(F.sum("wt").alias("n"), F.sum("good").alias("k"))
+    paths = seen.groupBy("host", "path").agg(F.sum("wt").alias("n"), F.sum("good").alias("k"), F.count("*").alias("rows"))
     paths = materialize(paths, "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("rows").alias("rows"))
+    whole = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     mu = min(1 - 1e-6, max(1e-6, whole["k"] / whole["n"])) if whole["n"] else 0.5
     s_host = _precision(hosts.withColumn("mu", F.lit(mu)), "mu")
     within = paths.join(hosts.select("host", (F.col("k") / F.col("n")).alias("rate"), F.col("n").alias("host_n"), F.col("k").alias("host_k")), "host")
     s_path = _precision(within, "rate")
 
-    sites = within.select("host", "path", F.col("n").alias("path_n"), F.col("k").alias("path_k"), "host_n", "host_k")
-    both = seen.join(sites, ["host", "path"])
+    sites = within.select("host", "path", F.col("n").alias("path_n"), F.col("k").alias("path_k"), "host_n", "host_k", paths["rows"].alias("rows"))
+    both = join_frequent(seen, sites, ["host", "path"], "rows", whole["rows"])
     host_mean = (F.col("host_k") - F.col("good") + s_host * mu) / (F.col("host_n") - F.col("wt") + s_host)
     path_mean = (F.col("path_k") - F.col("good") + s_path * host_mean) / (F.col("path_n") - F.col("wt") + s_path)
     clip = lambda c: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), c))
