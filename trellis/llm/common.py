@@ -86,7 +86,8 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 4000, size: int = 8 << 20) -> None:
-    """Keep Arrow batches small enough that a batch of long texts fits a worker."""
+    """Keep Arrow batches small enough that a batch of long texts fits a worker. The settings
+    stay, as the plans that need them run later."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:

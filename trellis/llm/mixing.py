@@ -137,22 +137,16 @@ def placements(spark: SparkSession, sources: list[Source], per_shard: int, limit
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("id").to_numpy()
-            for shard, start, n in draws(wanted, shards, seed, int(ids[0]), int(ids[-1]) + 1) if len(ids) else ():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(at.astype(np.int32)), pa.array(start[at]), pa.array(start[at] + n[at] - 1)], ["shard", "sid", "first", "last"])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sid, slot = b.column("sid").to_numpy(), b.column("slot").to_numpy()
-            n = blocks[sid]
-            turn = slot // n
-            key = mix64(sid.astype(np.uint64) * np.uint64(1 << 32) + turn.astype(np.uint64), seed)
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("sid"), pa.array(permute(slot % n, n, key)), pa.array(turn.astype(np.int32))], ["shard", "sid", "block", "pass"])
+            for shard, start, take in draws(wanted, shards, seed, int(ids[0]), int(ids[-1]) + 1) if len(ids) else ():
+                sid = np.repeat(np.arange(len(take)), take)
+                slot = np.arange(len(sid)) + np.repeat(start - np.cumsum(take) + take, take)
+                n = blocks[sid]
+                turn = slot // n
+                key = mix64(sid.astype(np.uint64) * np.uint64(1 << 32) + turn.astype(np.uint64), seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), shard)), pa.array(sid.astype(np.int32)), pa.array(permute(slot % n, n, key)), pa.array(turn.astype(np.int32))], ["shard", "sid", "block", "pass"])
 
     tasks = max(min(shards, spark.sparkContext.defaultParallelism), -(-shards // 64))
-    drawn = spark.range(0, shards, 1, tasks).mapInArrow(draw, "shard long, sid int, first long, last long")
-    exploded = drawn.select("shard", "sid", F.explode(F.sequence("first", "last")).alias("slot"))
-    return exploded.mapInArrow(place, "shard long, sid int, block long, pass int")
+    return spark.range(0, shards, 1, tasks).mapInArrow(draw, "shard long, sid int, block long, pass int")
 
 
 def _before(size: str, keys: list[str], order: str) -> Column:

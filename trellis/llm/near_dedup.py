@@ -41,7 +41,7 @@ from trellis.llm.common import arrow_batches, fresh, join_frequent, materialize,
 from trellis.llm.graph import components
 
 SHINGLE = 5
-_RANK_BITS, _FRACTION_BITS, _ROWS = 46, 32, 1 << 8
+_RANK_BITS, _FRACTION_BITS, _ROWS = 46, 32, 1 << 6
 #: 2 ** 20 cells of one byte are the table of ranks that tasks get.
 _CELL_BITS = 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
