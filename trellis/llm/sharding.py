@@ -85,14 +85,14 @@ def _sample(keyed: DataFrame, total: int, expect: int, seed: int) -> list[Key]:
     return sorted(k for r in drawn for k in [(r["h"], r["g"])] * min(int(r["n"]), expect))
 
 
-def _quantiles(sample: list[Key], parts: int, whole: bool) -> list[Key]:
+def _quantiles(sample: list[Key], parts: int, whole: bool, both: bool = False) -> list[Key]:
     """Boundaries that cut the sample in ``parts``; with ``whole`` only between different h,
-    and on both sides of an h that several quantiles fall into."""
+    and on both sides of an h that several quantiles fall into (``both``: that any does)."""
     cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
     if not whole:
         return sorted(set(cuts))
-    heavy = {x[0] + 1 for x, y in zip(cuts, cuts[1:], strict=False) if x[0] == y[0] < (1 << 63) - 1}
-    return [(h, -(1 << 63)) for h in sorted({h for h, _ in cuts} | heavy)]
+    heavy = {h for h, _ in cuts} if both else {x[0] for x, y in zip(cuts, cuts[1:], strict=False) if x[0] == y[0]}
+    return [(h, -(1 << 63)) for h in sorted({h for h, _ in cuts} | {h + 1 for h in heavy if h < (1 << 63) - 1})]
 
 
 def _measure(ranged: DataFrame) -> dict[int, dict]:
@@ -123,7 +123,8 @@ def splitters(keyed: DataFrame, shards: int, per_shard: int = 64, oversample: in
             hi = bounds[i] if i < len(bounds) else ((1 << 63) - 1, (1 << 63) - 1)
             own = drawn[bisect.bisect_left(drawn, lo) : bisect.bisect_left(drawn, hi)]
             several = r["h0"] < r["h1"]
-            more |= set(_quantiles(own, int(np.ceil(r["bytes"] / fair)), several))
+            # a group that a quantile falls into is set apart, as it may be what fills the range
+            more |= set(_quantiles(own, int(np.ceil(r["bytes"] / fair)), several, several))
             # the last group alone, or the middle of a single one
             more |= {(r["h1"], -(1 << 63)) if several else (r["h0"], (r["g0"] + r["g1"]) // 2 + 1)}
         bounds = sorted(set(bounds) | more)
