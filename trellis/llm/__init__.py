@@ -1,4 +1,4 @@
-"""Training-data operators: ten distributed corpus operators and their queries.
+"""Training-data operators: thirteen distributed corpus operators and their queries.
 
 Nothing else in the package imports this subpackage, so it can be removed as a whole.
 """

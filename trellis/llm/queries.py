@@ -1,6 +1,6 @@
 """The queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from trellis.llm import decontam, exact_dedup, line_dedup, lm, mixing, near_dedup, quality, sharding, token_counts, toxicity
+from trellis.llm import bpe, decontam, exact_dedup, line_dedup, lm, merkle, mixing, near_dedup, quality, runs, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_deletion_neighbourhood": line_dedup.query,
@@ -13,8 +13,12 @@ QUERIES = {
     "op8_hierarchical_quality": quality.query,
     "op9_streaming_exact_dedup": exact_dedup.query,
     "op10_segment_toxicity": toxicity.query,
+    "op11_merkle_manifest": merkle.query,
+    "op12_prefix_bpe": bpe.query,
+    "op13_periodic_runs": runs.query,
 }
 
 SQL = {
     "op9_streaming_exact_dedup": exact_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
