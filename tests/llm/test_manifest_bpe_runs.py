@@ -168,7 +168,6 @@ def test_prefixes_against_merging_by_rank():
     for _ in range(60):
         ranks = small(r, r.randint(1, 40))
         v = bpe.Vocabulary(ranks)
-        v.ends
         for _ in range(40):
             data = bytes(r.choice(b"abcd") for _ in range(r.randint(0, 30)))
             want = [ranks[p] for p in bpe.merge(data, ranks)] if data else []

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 
 from trellis.llm.common import arrow_batches, table
 
-#: Pieces handled at once, entries of a task's look-up tables, bytes of a piece that is looked up.
-_RUN, _MEMO, _MEMO_BYTES = 1 << 15, 1 << 18, 64
+#: Pieces handled at once, entries of a generation of looked-up pieces, letters of such a piece.
+_RUN, _MEMO, _MEMO_BYTES = 1 << 15, 1 << 17, 64
 
 
 class Vocabulary:
-    """Tokens by id, and what encoding needs; the latter is built on first use in a process."""
+    """Tokens by id, and what encoding needs; the latter is built on first use in a process, see
+    :meth:`build`."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         if not all(bytes([b]) in ranks for b in range(256)):
@@ -51,7 +52,7 @@ class Vocabulary:
         if len(self.token) != len(ranks):
             raise ValueError("two tokens have one rank")
         self.longest = max(map(len, ranks))
-        self._ends: dict | None = None
+        self.go: dict[int, int] | None = None
 
     def __getstate__(self) -> dict:
         return {"ranks": self.ranks}
@@ -59,35 +60,56 @@ class Vocabulary:
     def __setstate__(self, state: dict) -> None:
         self.__init__(state["ranks"])
 
-    def _build(self) -> None:
-        """``split``: the two tokens that a token's last merge joins (none: a single byte);
-        ``_ends``: the reachable tokens' bytes backwards, as a trie."""
-        self.split: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self._ends = {}
+    def build(self) -> Vocabulary:
+        """``split``: the two tokens that a token's last merge joins (none: a single byte).
+        ``go``: state * 256 + byte to the next state of an automaton over the reachable tokens;
+        ``ending``: of each state the (token, bytes) that end there, the longest first."""
+        if self.go is not None:
+            return self
+        self.split, self.pairs = {}, {}
+        go: dict[int, int] = {}
+        own: list[tuple] = [()]
+        nodes: list[tuple[int, int, int]] = []  # state, the one before it, byte; by depth below
+        depth = [0]
         for t, i in self.ranks.items():
             parts = merge(t, self.ranks, 2) if len(t) > 1 else [t]
             if len(t) > 1 and len(parts) > 2:
                 continue  # merging does not lead to it
             self.split[i] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(t) > 1 else None
-            at = self._ends
-            for b in reversed(t):
-                at = at.setdefault(b, {})
-            at[-1] = i
-
-    @property
-    def ends(self) -> dict:
-        if self._ends is None:
-            self._build()
-        return self._ends
+            at = 0
+            for b in t:
+                to = go.get(at << 8 | b)
+                if to is None:
+                    to = go[at << 8 | b] = len(own)
+                    nodes.append((to, at, b))
+                    own.append(())
+                    depth.append(depth[at] + 1)
+                at = to
+            own[at] = ((i, len(t)),)
+        self.back = [0] * len(own)
+        self.go, self.ending, self.edges = go, own, len(go)
+        for state, before, b in sorted(nodes, key=lambda x: depth[x[0]]):
+            if before:
+                self.back[state] = self.step(self.back[before], b)
+            own[state] += own[self.back[state]]
+        return self
+
+    def step(self, state: int, b: int) -> int:
+        """The state of the longest ending that is the start of a token, one byte on."""
+        to = self.go.get(state << 8 | b)
+        if to is None:
+            to = self.step(self.back[state], b) if state else 0
+            if len(self.go) - self.edges < 4 * _MEMO:
+                self.go[state << 8 | b] = to
+        return to
 
     def side_by_side(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' bytes leaves just these two."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) >= _MEMO:
+            if len(self.pairs) >= 4 * _MEMO:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._compatible(a, b)
+            known = self.pairs[a << 32 | b] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -124,31 +146,34 @@ class Prefixes:
     """The last token of every prefix of some bytes. ``last[i]`` belongs to the first i + 1."""
 
     def __init__(self, v: Vocabulary, data: bytes = b"") -> None:
-        self.v, self.data, self.last = v, bytearray(), []
+        self.v, self.data, self.last, self._state = v.build(), bytearray(), [], 0
         self.extend(data)
 
-    def _last(self, end: int) -> int:
-        """The last token of the first ``end`` bytes, those before them being known."""
-        v, data, last = self.v, self.data, self.last
-        at, i, found = v.ends, end, []
-        while i:
-            at = at.get(data[i - 1])
-            if at is None:
-                break
-            i -= 1
-            t = at.get(-1)
-            if t is not None:
-                found.append((t, i))
-        for t, i in reversed(found):  # the longest first, as it mostly is the one
-            if not i or v.side_by_side(last[i - 1], t):
-                return t
-        raise AssertionError("no token fits")
+    def _grow(self, data: bytes | bytearray) -> None:
+        """Last tokens of the prefixes that end with each of the next bytes."""
+        v, last, state = self.v, self.last, self._state
+        go, ending, pairs = v.go, v.ending, v.pairs
+        end = len(last)
+        for b in data:
+            end += 1
+            to = go.get(state << 8 | b)
+            state = v.step(state, b) if to is None else to
+            for t, n in ending[state]:  # the longest first, as it mostly is the one
+                if n == end:
+                    break
+                before = last[end - n - 1]
+                fits = pairs.get(before << 32 | t)
+                if v.side_by_side(before, t) if fits is None else fits:
+                    break
+            else:
+                raise AssertionError("no token fits")
+            last.append(t)
+        self._state = state
 
     def extend(self, data: bytes) -> None:
         """Append bytes; nothing that is stored changes."""
         self.data += data
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        self._grow(data)
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` in place of the bytes from ``start`` to ``stop``; returns for how many
@@ -157,16 +182,22 @@ class Prefixes:
             raise ValueError("start and stop must lie in the data, in this order")
         old, self.last = self.last[stop:], self.last[:start]
         self.data[start:stop] = data
-        same = done = 0
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
-            done += 1
-            j = end - 1 - start - len(data)  # the place in what followed the edit
-            same = same + 1 if j >= 0 and old[j] == self.last[-1] else 0
+        self._state = 0
+        for b in self.data[max(0, start - self.v.longest) : start]:
+            self._state = self.v.step(self._state, b)
+        self._grow(data)
+        same = 0
+        for j in range(len(old)):  # the places in what followed the edit
+            self._grow(self.data[len(self.last) : len(self.last) + 1])
+            same = same + 1 if old[j] == self.last[-1] else 0
             if same >= self.v.longest:
+                done = len(self.last) - start
                 self.last += old[j + 1 :]
-                break
-        return done
+                self._state = 0
+                for b in self.data[-self.v.longest :]:
+                    self._state = self.v.step(self._state, b)
+                return done
+        return len(self.last) - start
 
     def tokens(self, whole: bool = True) -> list[int]:
         """The encoding; with ``whole``, of a piece that may be a token itself."""
@@ -183,11 +214,13 @@ class Prefixes:
 
 
 class Encoder:
-    """Pieces of texts to ids; what it remembers of pieces met before is bounded."""
+    """Pieces of texts to ids, or to what ``make`` makes of their ids. What it remembers of pieces
+    met before is bounded: two generations, of which the older goes when the younger is full."""
 
-    def __init__(self, v: Vocabulary, pattern: str) -> None:
-        self.v, self.pattern, self.known = v, regex.compile(pattern), {}
-        self.v.ends  # noqa: B018  built before the first text
+    def __init__(self, v: Vocabulary, pattern: str, make: Callable[[list[int]], object] = list) -> None:
+        self.v, self.pattern, self.make = v.build(), regex.compile(pattern), make
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def piece(self, p: str) -> list[int]:
         """Ids of one match of the pattern."""
@@ -195,26 +228,28 @@ class Encoder:
         one = self.v.ranks.get(raw)
         return [one] if one is not None else Prefixes(self.v, raw).tokens(False)
 
-    def runs(self, text: str) -> Iterator[list[list[int]]]:
-        """Lists of ids of consecutive pieces, a bounded number at a time."""
-        known = self.known
+    def _new(self, p: str) -> object:
+        """Of a piece that the younger generation does not have."""
+        found = self.young.get(p)  # it may have come earlier in the same run
+        if found is None:
+            found = self.old.get(p)
+        if found is None:
+            found = self.make(self.piece(p))
+        if len(p) <= _MEMO_BYTES:
+            if len(self.young) >= _MEMO:
+                self.old, self.young = self.young, {}
+            self.young[p] = found
+        return found
+
+    def runs(self, text: str) -> Iterator[list]:
+        """What is made of consecutive pieces, a bounded number at a time."""
         short = len(text) <= _RUN and not self.pattern.groups
         matches = iter(self.pattern.findall(text)) if short else (m.group() for m in self.pattern.finditer(text))
         while run := list(islice(matches, _RUN)):
-            try:
-                yield [known[p] for p in run]  # mostly all were met before
-            except KeyError:
-                out = []
-                for p in run:
-                    ids = known.get(p)
-                    if ids is None:
-                        ids = self.piece(p)
-                        if len(p) <= _MEMO_BYTES:
-                            if len(known) >= _MEMO:
-                                known.clear()
-                            known[p] = ids
-                    out.append(ids)
-                yield out
+            out = list(map(self.young.get, run))
+            if None in out:
+                out = [self._new(p) if x is None else x for x, p in zip(out, run, strict=True)]
+            yield out
 
 
 def read_ranks(path: str, max_tokens: int = 2_000_000) -> dict[bytes, int]:
@@ -273,17 +308,17 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(shipped.value, pattern)
         name, token = {i: str(i) for i in shipped.value.token}, shipped.value.token
+        e = Encoder(shipped.value, pattern, lambda ids: (len(ids), ",".join([name[t] for t in ids]), b"".join([token[t] for t in ids])))
         for b in batches:
             rows = []
             for x in b.column("text"):
                 n, ids_sha, bytes_sha = 0, hashlib.sha256(), hashlib.sha256()
-                for pieces in e.runs(x.as_py()):
-                    ids = [t for p in pieces for t in p]
-                    ids_sha.update(((("," if n else "") + ",".join([name[t] for t in ids])) if ids else "").encode())
-                    bytes_sha.update(b"".join([token[t] for t in ids]))
-                    n += len(ids)
+                for run in e.runs(x.as_py()):
+                    count, ids, data = zip(*run, strict=True)
+                    ids_sha.update((("," if n else "") + ",".join(ids)).encode())
+                    bytes_sha.update(b"".join(data))
+                    n += sum(count)
                 rows.append((n, ids_sha.hexdigest(), bytes_sha.hexdigest()))
             cols = [b.column("doc_id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
