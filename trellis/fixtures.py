@@ -72,3 +72,50 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.concat_ws("-", "event_type", (F.col("user_id") % 10).cast("string")).alias("cache_key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.array((F.col("user_id") % 7).cast("string"), (F.col("user_id") % 5 + 10).cast("string")).alias("doc_ids"))
+
+
+def _event(e: DataFrame, *results: str):
+    """One of five words by the kind of event."""
+    kinds = ("signup", "click", "view", "purchase", "error")
+    c = F.when(F.col("event_type") == kinds[0], results[0])
+    for k, r in zip(kinds[1:], results[1:], strict=True):
+        c = c.when(F.col("event_type") == k, r)
+    return c
+
+
+def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as changes of users, many of a user; every other one is of an unknown user."""
+    e = table(spark, sf_dir, "events")
+    role = F.element_at(F.array(*[F.lit(r) for r in access.ROLES]), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select(
+        (F.col("user_id") + F.when(F.col("event_id") % 2 == 0, 0).otherwise(1_000_000)).alias("user_id"),
+        F.col("event_id").alias("seq"),
+        _event(e, "create", "update", "update", "update", "delete").alias("op"),
+        F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("username"),
+        F.when(F.col("event_type") != "click", role).alias("role"),
+        F.when(F.col("event_type") == "view", F.col("value") > 50).alias("is_active"),
+        F.col("event_id").alias("created_at"),
+    )
+
+
+def client_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks that a client knows: every other one."""
+    known = table(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("position")).distinct()
+    return known.select(F.col("position").cast("string").alias("task_id"), "position", F.lit("queued").alias("status"), F.lit("known").alias("stage"), F.lit(0.0).alias("pct"))
+
+
+def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as what a client hears of tasks."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), _event(e, "upsert", "update", "update", "cancel", "delete").alias("op"), F.lit("running").alias("status"), F.col("event_type").alias("stage"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("pct"))
+
+
+def task_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    action = F.when((F.col("event_type") == "purchase") & (F.col("value") > 80), "cancel").otherwise(_event(e, "create", "start", "requeue", "finish", "fail"))
+    return e.select(F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"), action.alias("action"))
+
+
+def restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One at the start of each day that has events."""
+    return table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).distinct()

@@ -63,16 +63,21 @@ def format_timestamp(ts: Column) -> Column:
     return F.date_format(ts, "d MMM yyyy, hh:mm a")
 
 
-def highlight(c: Column, terms: list[str]) -> Column:
-    """Segments (text, highlight) of a text around any of the terms, whatever their case."""
-    if not terms:
-        return F.array(F.struct(c.alias("text"), F.lit(False).alias("highlight")))
-    quoted = "|".join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in terms)
-    between = F.split(c, f"(?i)(?:{quoted})")
-    found = F.regexp_extract_all(c, F.lit(f"(?i)((?:{quoted}))"), F.lit(1))
-    pairs = F.arrays_zip(between.alias("b"), found.alias("f"))
-    segments = F.flatten(F.transform(pairs, lambda p: F.array(F.struct(p["b"].alias("text"), F.lit(False).alias("highlight")), F.struct(p["f"].alias("text"), F.lit(True).alias("highlight")))))
-    return F.filter(segments, lambda x: x["text"].isNotNull())
+def highlight(c: Column, terms: Column | list[str]) -> Column:
+    """Segments (text, highlight) of a text around any of the terms, whatever their case; ``terms``
+    is a list or a column of arrays, so each row may have its own. Where two terms could start,
+    the longer is taken. Null and empty terms are none, without terms the text is one segment;
+    null for a null text."""
+    own = F.array(*[F.lit(t) for t in terms]).cast("array<string>") if isinstance(terms, list) else terms
+    plain = F.filter(F.array_distinct(F.coalesce(own, F.array().cast("array<string>"))), lambda t: t.isNotNull() & (t != ""))
+    longest = F.array_sort(plain, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    pattern = F.concat(F.lit("(?i)("), F.array_join(F.transform(longest, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}\s])", r"\\$1")), "|"), F.lit(")"))
+    mark = F.lit("\x00")  # stands in no text
+    found = F.transform(F.regexp_extract_all(c, pattern, F.lit(1)), lambda t: F.struct(t.alias("text"), F.lit(True).alias("highlight")))
+    between = F.transform(F.split(F.regexp_replace(c, pattern, mark), mark), lambda t: F.struct(t.alias("text"), F.lit(False).alias("highlight")))
+    pairs = F.flatten(F.transform(F.arrays_zip(between.alias("b"), found.alias("f")), lambda p: F.array(p["b"], p["f"])))
+    whole = F.array(F.struct(c.alias("text"), F.lit(False).alias("highlight")))
+    return F.when(c.isNotNull(), F.when(F.size(plain) == 0, whole).otherwise(F.filter(pairs, lambda x: x.isNotNull())))
 
 
 def first_words(c: Column, n: int) -> Column:
@@ -187,6 +192,7 @@ def reject_reason(mime: Column, filename: Column, size: Column, head: Column) ->
 
 
 def client_reject(mime: Column, size: Column) -> Column:
+    # What the client says.
     limit = CONFIG.max_upload_bytes
     return F.when(~mime.isin(*CLIENT_TYPES), "Only PDF and image files (PNG, JPG, JPEG, WEBP) are supported.").when(size > limit, "File is too large. Maximum size is 50.0 MB.").when(size == 0, "File is empty.")
 

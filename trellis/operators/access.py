@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.operators import changes
+
 #: Roles from most to least privileged, and the permissions of each.
 ROLES = ("admin", "manager", "analyst", "viewer")
 PERMISSIONS = {
@@ -82,20 +84,12 @@ def collisions(new: DataFrame, users: DataFrame) -> DataFrame:
 PROTECTED = ("user_id", "created_at", "created_by", "login_count")
 
 
-def merge_users(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Users with the changed fields written over; null leaves a field, protected ones stay.
-    ``changes`` has an ``op``: create, update or delete (which removes the row)."""
+def merge_users(users: DataFrame, feed: DataFrame, order: list[str]) -> DataFrame:
+    """Users after a feed of changes (user_id, ``op``: create, update or delete, the columns of
+    ``order``, and fields), any number a user; null leaves a field, protected ones stay."""
     own = [c for c in users.columns if c != "user_id"]
-    ch = changes.select("user_id", "op", *[(F.col(c) if c in changes.columns else F.lit(None).cast(users.schema[c].dataType)).alias(f"_{c}") for c in own])
-    both = users.join(ch, "user_id", "full_outer").where(F.coalesce("op", F.lit("")) != "delete")
-    new = F.coalesce("op", F.lit("")) == "create"
-    return both.select("user_id", *[(F.when(new, F.coalesce(c, f"_{c}")).otherwise(F.col(c)) if c in PROTECTED else F.coalesce(f"_{c}", c)).alias(c) for c in own])
-
-
-def audit_tail(log: DataFrame, limit: int, user_id: str | None = None) -> DataFrame:
-    """The newest entries by their order in the log."""
-    own = log if user_id is None else log.where(F.col("user_id") == user_id)
-    return own.orderBy(F.col("seq").desc()).limit(limit)
+    ch = feed.select("user_id", "op", *order, *[(F.col(c) if c in feed.columns else F.lit(None)).cast(users.schema[c].dataType).alias(c) for c in own if c not in order])
+    return changes.applied(users, ch, "user_id", order, own, PROTECTED).drop("made")
 
 
 def audit_search(log: DataFrame, text: str) -> DataFrame:

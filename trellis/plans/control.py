@@ -10,7 +10,7 @@ from trellis.functions import scalar as sc
 from trellis.operators import access, cache, tasks, tree
 from trellis.plans import retrieval as rt
 from trellis.schema import NO_DOCUMENTS
-from trellis.sources import ingest
+from trellis.sources import ingest, stages
 from trellis.sources.scratch import folder
 from trellis.streaming import progress
 
@@ -61,12 +61,12 @@ def described(spark, d):
 
 
 def s06(spark: SparkSession, d: str) -> DataFrame:
-    """Trees written as nested JSON and walked again."""
+    """All trees written as nested JSON, a file each, and read again."""
     n = fx.nodes(spark, d).select("tree_id", "node_id", "ord", "parent_id", "depth", "title", F.lit("").alias("summary"))
     roots = n.select("tree_id").distinct().select("tree_id", F.lit("0000").alias("node_id"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit("Document").alias("title"), F.lit("").alias("summary"))
-    json = ingest.nested_json(n.unionByName(roots), content=False)
-    json.select("tree_id", F.parse_json("json").alias("v")).createOrReplaceTempView("trellis_raw_trees")
-    return ingest.walk(spark).select("tree_id", "node_id", "ord", "parent_id", "depth", "title")
+    path = folder(spark, "trees")
+    ingest.write_trees(n.unionByName(roots), path, content=False)
+    return ingest.read_trees(spark, path).select("tree_id", "node_id", "ord", "parent_id", "depth", "title")
 
 
 def s07(spark: SparkSession, d: str) -> DataFrame:
@@ -194,16 +194,33 @@ def new_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eta_times(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("value").alias("seconds"))
+    return fx.table(spark, d, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("value").alias("seconds"))
+
+
+def eta(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's task, of which only some have begun."""
+    known = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("task_id"), (F.col("c_custkey") % 900 + 100).alias("total"))
+    return tasks.eta(eta_times(spark, d), known).select("task_id", "done", F.round("ema", 6).alias("ema"), F.round("eta_seconds", 4).alias("eta"))
 
 
 def p01(spark: SparkSession, d: str) -> DataFrame:
-    """Progress as a stream over the events, read back as the current state."""
+    """Progress as a watcher sees it: the events come in two halves, with a restart between them,
+    then every customer asks for the task of their number. What is told for sure, whatever the
+    clock: the end of each run, and the answers."""
     base = folder(spark, "progress")
-    fx.task_events(spark, d).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    progress.start(stream, f"{base}/check", path=f"{base}/out").awaitTermination()
-    return progress.current(spark.read.parquet(f"{base}/out")).select("task_id", "status", "stage", F.round("pct", 6).alias("pct"), "error")
+    events = fx.task_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    early = F.coalesce(F.unix_micros("ts") <= ((lo or 0) + (hi or 0)) // 2, F.lit(True))
+    asks = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("task_id"))
+    asks.limit(0).write.parquet(f"{base}/asks")
+    read = lambda df, name: spark.readStream.schema(df.schema).parquet(f"{base}/{name}")
+    for half, asked in ((early, asks.limit(0)), (~early, asks)):
+        events.where(half).write.mode("append").parquet(f"{base}/events")
+        asked.write.mode("append").parquet(f"{base}/asks")
+        feed = progress.feed(read(events, "events"), read(asks, "asks"))
+        progress.stop_when_idle(progress.start(feed, f"{base}/check", f"{base}/out", "append", processingTime="500 milliseconds"))
+    told = spark.read.schema(progress.FEED).parquet(f"{base}/out").where("kind <> 'progress'")
+    return told.select("task_id", "kind", "status", "stage", F.round("pct", 6).alias("pct"), "error", "seq")
 
 
 def task_state(spark: SparkSession, d: str) -> DataFrame:
@@ -219,15 +236,61 @@ PERMS = "perm(role, permission) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r
 
 
 def p10(spark: SparkSession, d: str) -> DataFrame:
-    known = task_state(spark, d).where("cast(task_id as long) % 2 = 0").select("task_id", "status", "stage")
-    updates = task_state(spark, d).where("cast(task_id as long) % 3 = 0").select("task_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("stage"))
-    return tasks.merge_updates(known, updates, ["status", "stage"])
+    out = tasks.merged(fx.client_tasks(spark, d), fx.client_updates(spark, d), ["status", "stage", "pct"])
+    return out.orderBy(F.col("new_at").desc_nulls_last(), "position").select("task_id", "status", "stage", F.round("pct", 6).alias("pct"), "new_at", "position")
 
 
 def g05(spark: SparkSession, d: str) -> DataFrame:
-    u = fx.users(spark, d)
-    changes = u.where("user_id % 5 = 0").select("user_id", F.when(F.col("user_id") % 2 == 0, "update").otherwise("delete").alias("op"), F.lit("viewer").alias("role"), F.lit(0).cast("long").alias("created_at"))
-    return access.merge_users(u, changes).select("user_id", "username", "role", "created_at")
+    return access.merge_users(fx.users(spark, d), fx.user_changes(spark, d), ["seq"]).select("user_id", "username", "full_name", "role", "is_active", "created_at")
+
+
+def moves(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.lifecycle(fx.task_actions(spark, d), fx.restarts(spark, d))
+
+
+def p05(spark: SparkSession, d: str) -> DataFrame:
+    """Errors cancel a task, signups submit it again, all else is work."""
+    e = fx.task_events(spark, d)
+    controls = e.where("stage in ('error', 'signup')").select("task_id", "ts", F.when(F.col("stage") == "error", "cancel").otherwise("submit").alias("action"))
+    work = e.where("stage not in ('error', 'signup')").select("task_id", "ts", "seq", "stage")
+    return tasks.cancelled(work, controls).select("task_id", "seq", "stage", "dropped")
+
+
+def p04(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries taken up again: first of every other tree, with some sections as they were
+    before, then of all trees as they are. ``redone`` is what the second run worked on."""
+    path = folder(spark, "stages")
+    now = rt.md_nodes(spark, d).select("tree_id", "node_id", "ord", "parent_id", "depth", "title", "content")
+    old = now.where(F.substring("tree_id", 2, 20).cast("long") % 2 == 0).withColumn("content", F.when(F.col("ord") % 3 == 2, F.concat("content", F.lit(" as it was"))).otherwise(F.col("content")))
+    stages.summaries(spark, path, old, ingest.seams.extractive_summary)
+    return stages.summaries(spark, path, now, ingest.seams.extractive_summary).select("tree_id", "node_id", "summary", "redone")
+
+
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    """The log in three appends, broken lines among them, and its newest entries of a user."""
+    path = folder(spark, "audit")
+    log = fx.audit(spark, d)
+    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
+    third = F.floor((F.col("seq") - lo) * 3 / (hi - lo + 1))
+    for i in range(3):
+        ingest.append_audit(log.where(third == i), path)
+        log.where(third == i).select(F.concat(F.lit('{"user_id": "7", "seq": '), F.col("seq").cast("string")).alias("value")).write.text(f"{path}/batch={i + 1:020d}")
+    return ingest.audit_tail(spark, path, 100, "7").select("user_id", "action", "detail", "seq")
+
+
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each document that has an id, under one of two suffixes or both, others a folder
+    deeper, and all ids looked up."""
+    path = folder(spark, "served")
+    ids = doc_ids(spark, d)
+    own = ids.where(sc.is_doc_id(F.col("id")) & (F.col("doc_id") % 8 == 0))
+    name = lambda end: F.concat("id", F.lit(end)).alias("name")
+    both = own.select(name(".pdf"), F.lit("x").alias("content")).unionByName(own.where("doc_id % 3 = 0").select(name(".md"), F.lit("y").alias("content")))
+    ingest.write_files(both, path)
+    ingest.write_files(ids.where(sc.is_doc_id(F.col("id")) & (F.col("doc_id") % 8 != 0)).select(name(".pdf"), F.lit("z").alias("content")), f"{path}/deeper")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    found = ingest.find_documents(ids, files, path)
+    return ids.join(found, "id").select("doc_id", "id", F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
 def _val(spark, d):
@@ -251,10 +314,11 @@ QUERIES = {
     "S09": lambda s, d: ingest.titles(rt.meta(s, d)),
     "S10": lambda s, d: fx.nodes(s, d).select("tree_id").distinct().orderBy("tree_id"),
     "S11": s11,
-    "S12": lambda s, d: access.audit_tail(fx.audit(s, d), 100, "7").select("user_id", "action", "detail", "seq"),
+    "S12": s12,
     "S13": s13,
     "S14": s14,
-    "S15": lambda s, d: doc_ids(s, d).where(sc.is_doc_id(F.col("id"))).select("doc_id", "id"),
+    "S15": s15,
+    "S15_ids": lambda s, d: doc_ids(s, d).where(sc.is_doc_id(F.col("id"))).select("doc_id", "id"),
     "T11": lambda s, d: tree.image_nodes(described(s, d), F.lit(100)).select("tree_id", "ord", "node_id", "title", "content", "summary"),
     "T12": lambda s, d: described(s, d).select("doc_id", "idx", "description", "image_type"),
     "M01": lambda s, d: rt.md_nodes(s, d).select("tree_id", "node_id", sc.meaningful(F.col("content")).alias("m")),
@@ -283,7 +347,7 @@ QUERIES = {
     "C07": no_documents,
     "A01": lambda s, d: fx.users(s, d).agg(F.count("*").alias("users"), F.count_if("is_active").alias("active")),
     "A02": lambda s, d: rt.meta(s, d).agg(F.sum("nodes").alias("nodes")),
-    "A08": lambda s, d: tasks.eta(eta_times(s, d), 100).select("task_id", "done", F.round("ema", 6).alias("ema"), F.round("eta_seconds", 5).alias("eta")),
+    "A08": eta,
     "A09": lambda s, d: fx.nodes(s, d).groupBy("depth").agg(F.count("*").alias("n")),
     "O02": lambda s, d: task_state(s, d).orderBy(F.col("updated_at").desc(), "task_id").select("task_id", "updated_at"),
     "O02_users": lambda s, d: fx.users(s, d).orderBy("created_at", "user_id").select("user_id", "created_at"),
@@ -297,7 +361,7 @@ QUERIES = {
     "X05": lambda s, d: fx.table(s, d, "benchmark").select("item_id", sc.truncate(F.col("text"), 150).alias("t")),
     "X06": lambda s, d: _val(s, d).select("event_id", sc.time_ago(1_700_000_000 - F.col("value") * F.col("value") * 10, F.lit(1_700_000_000)).alias("t")),
     "X07": lambda s, d: fx.table(s, d, "events").select("event_id", sc.format_timestamp(F.col("ts")).alias("t")),
-    "X08": lambda s, d: fx.table(s, d, "benchmark").select("item_id", F.explode(sc.highlight(F.col("text"), ["the", "an."])).alias("s")).select("item_id", "s.text", "s.highlight"),
+    "X08": lambda s, d: fx.table(s, d, "benchmark").select("item_id", F.explode(sc.highlight(F.col("text"), F.slice(F.split("text", " "), 2, 3))).alias("s")).select("item_id", "s.text", "s.highlight"),
     "X09": lambda s, d: fx.table(s, d, "documents").select("doc_id", sc.first_words(F.col("text"), 7).alias("t")),
     "X10": lambda s, d: fx.table(s, d, "part").select("p_partkey", sc.slugify(F.concat(F.lit("?"), F.col("p_name"), F.lit(" / "), F.col("p_brand"), F.lit("!"))).alias("t")),
     "X11": lambda s, d: fx.users(s, d).select("user_id", (access.role_rank(F.col("role")) >= access.role_rank(F.lit("analyst"))).alias("ok"), access.role_rank(F.lit("guest")).alias("none")),
@@ -310,9 +374,13 @@ QUERIES = {
     "X18": lambda s, d: fx.table(s, d, "documents").select("doc_id", F.left("text", F.lit(60)).alias("node"), F.length(F.left("text", F.lit(500))).alias("n")),
     "P01": p01,
     "P02": lambda s, d: task_state(s, d).select("task_id", "status", "stage", F.round("pct", 6).alias("pct"), "error"),
-    "P03": lambda s, d: tasks.after_restart(task_state(s, d)).select("task_id", "status", "resumable"),
+    "P03": lambda s, d: moves(s, d).select("task_id", "seq", "action", "before", "after", "legal"),
+    "P03_now": lambda s, d: tasks.now(moves(s, d), fx.restarts(s, d)),
+    "P03_restart": lambda s, d: tasks.after_restart(task_state(s, d)).select("task_id", "status", "resumable"),
     "P03_pct": lambda s, d: tasks.monotone_pct(fx.task_events(s, d)),
-    "P04": lambda s, d: (lambda n: tasks.unfinished(n, n.where("ord % 3 = 0")).select("tree_id", "node_id"))(fx.nodes(s, d)),
+    "P04": p04,
+    "P04_open": lambda s, d: (lambda n: tasks.unfinished(n, n.where("ord % 3 = 0")).select("tree_id", "node_id"))(fx.nodes(s, d)),
+    "P05": p05,
     "P06": lambda s, d: cache.replay_lru(fx.query_log(s, d), size=20, ttl=36000).select("seq", "hit"),
     "P06_ttl": lambda s, d: cache.replay_ttl(fx.query_log(s, d), ttl=36000),
     "P07": lambda s, d: cache.without(cache.entries(fx.query_log(s, d)), "3").select("cache_key", "at"),
@@ -336,15 +404,31 @@ DECENT = "length(trim(regexp_replace(coalesce(content, ''), '(?m)^#+\\s+.*$', ''
 SUMMARY = "trim(left(regexp_replace(regexp_replace(%s, '(?m)^#+\\s+.*$', ' ', 'g'), '\\s+', ' ', 'g'), 300))"
 
 
-def _fold_sql() -> str:
-    """Summaries level by level: each takes the lines of the level below."""
-    out = W_MD + ", tn AS (SELECT * FROM mdnodes JOIN dp USING (tree_id, node_id)), s4 AS (SELECT *, '' AS summary FROM tn WHERE false)"
+def _fold(tag: str = "", content: str = "content", where: str = "true") -> str:
+    """Inputs and summaries level by level, s0 to s3; each level takes the lines of the one below."""
+    decent = DECENT.replace("content", "body")
+    out = f", tn{tag} AS (SELECT *, {content} AS body FROM mdnodes JOIN dp USING (tree_id, node_id) WHERE {where}), s4{tag} AS (SELECT *, '' AS input, '' AS summary FROM tn{tag} WHERE false)"
     for k in (3, 2, 1, 0):
-        out += f""", k{k} AS (SELECT tree_id, parent_id AS node_id, string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY ord) AS l FROM s{k + 1} WHERE summary <> '' GROUP BY 1, 2),
-        i{k} AS (SELECT tn.*, left(CASE WHEN {DECENT} AND l IS NOT NULL THEN content || chr(10) || chr(10) || 'Child sections:' || chr(10) || l WHEN l IS NOT NULL THEN l WHEN {DECENT} THEN content END, 5000) AS input FROM tn LEFT JOIN k{k} USING (tree_id, node_id) WHERE depth = {k}),
-        s{k} AS (SELECT * EXCLUDE (input), CASE WHEN input IS NOT NULL THEN coalesce(nullif({SUMMARY % "input"}, ''), 'Summary unavailable for section: ' || title) END AS summary FROM i{k})"""
-    return out + " SELECT tree_id, node_id, summary FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2 UNION ALL FROM s3)"
+        out += f""", k{k}{tag} AS (SELECT tree_id, parent_id AS node_id, string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY ord) AS l FROM s{k + 1}{tag} WHERE summary <> '' GROUP BY 1, 2),
+        i{k}{tag} AS (SELECT tn{tag}.*, left(CASE WHEN {decent} AND l IS NOT NULL THEN body || chr(10) || chr(10) || 'Child sections:' || chr(10) || l WHEN l IS NOT NULL THEN l WHEN {decent} THEN body END, 5000) AS input FROM tn{tag} LEFT JOIN k{k}{tag} USING (tree_id, node_id) WHERE depth = {k}),
+        s{k}{tag} AS (SELECT *, CASE WHEN input IS NOT NULL THEN coalesce(nullif({SUMMARY % "input"}, ''), 'Summary unavailable for section: ' || title) END AS summary FROM i{k}{tag})"""
+    return out + f", folded{tag} AS (FROM s0{tag} UNION ALL FROM s1{tag} UNION ALL FROM s2{tag} UNION ALL FROM s3{tag})"
+
+
+def _fold_sql() -> str:
+    return W_MD + _fold() + " SELECT tree_id, node_id, summary FROM folded"
+
 
+#: What an action makes of a state, as a plain table.
+MOVE = """CASE WHEN {s} = '' AND {a} = 'create' THEN 'queued' WHEN {s} = 'queued' AND {a} = 'start' THEN 'running' WHEN {s} = 'running' AND {a} = 'finish' THEN 'done' WHEN {s} = 'running' AND {a} = 'fail' THEN 'failed'
+  WHEN {s} IN ('queued', 'running', 'interrupted') AND {a} = 'cancel' THEN 'cancelled' WHEN {s} IN ('interrupted', 'failed') AND {a} = 'requeue' THEN 'queued' END"""
+_S = "CASE WHEN w.after = 'running' AND ac.day > w.day THEN 'interrupted' ELSE w.after END"
+MOVES = f"""WITH RECURSIVE ac AS (SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(ts AS DATE) AS day, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+  CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'start' WHEN 'view' THEN 'requeue' WHEN 'error' THEN 'fail' ELSE CASE WHEN value > 80 THEN 'cancel' ELSE 'finish' END END AS action FROM events),
+w AS (SELECT DISTINCT task_id, 0 :: BIGINT AS i, DATE '1900-01-01' AS day, 0 :: BIGINT AS seq, '' AS action, '' AS before, '' AS after, false AS legal FROM ac
+  UNION ALL SELECT ac.task_id, ac.i, ac.day, ac.seq, ac.action, {_S}, coalesce({MOVE.format(s=f"({_S})", a="ac.action")}, {_S}), {MOVE.format(s=f"({_S})", a="ac.action")} IS NOT NULL FROM w JOIN ac ON ac.task_id = w.task_id AND ac.i = w.i + 1)"""
+RUNS = """, rn AS (SELECT *, coalesce(sum(CAST(status IN ('done', 'failed', 'cancelled') AS INTEGER)) OVER (PARTITION BY task_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM ev),
+fr AS (SELECT task_id, run, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) AS stage, arg_max(pct, (ts, seq)) FILTER (pct IS NOT NULL) AS pct, arg_max(error, (ts, seq)) FILTER (error IS NOT NULL) AS error, arg_max(seq, (ts, seq)) AS seq FROM rn GROUP BY 1, 2)"""
 
 SQL = {
     "S01": W_MD + "SELECT tree_id, CAST(length(text) + 1 AS INTEGER) AS n, md5(text || chr(10)) AS h FROM md",
@@ -359,13 +443,14 @@ SQL = {
     "S06": W_N + ", roots AS (SELECT DISTINCT tree_id, '0000' AS node_id, 0 AS ord, NULL AS parent_id, 0 AS depth, 'Document' AS title FROM nodes) SELECT tree_id, node_id, CAST(ord AS INTEGER) AS ord, parent_id, CAST(header_level AS INTEGER) AS depth, title FROM nodes UNION ALL SELECT * FROM roots",
     "S07": W_N + "SELECT tree_id, count(*) AS n, CAST(sum(len(embedding)) AS BIGINT) AS floats FROM nodes WHERE embedding IS NOT NULL GROUP BY tree_id",
     "S08": f"WITH {rt.META} SELECT * FROM meta ORDER BY doc_id",
-    "S09": f"WITH {rt.META} SELECT string_agg(filename, ', ' ORDER BY doc_id) AS titles FROM meta WHERE filename <> ''",
+    "S09": f"WITH {rt.META} SELECT doc_id, filename FROM meta WHERE filename <> '' ORDER BY doc_id",
     "S10": "SELECT DISTINCT source AS tree_id FROM documents ORDER BY 1",
     "S11": "SELECT event_type AS action, count(*) AS n, max(ts) AS last, CAST(sum(length(props)) AS BIGINT) AS chars FROM events GROUP BY 1",
     "S12": "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS action, props AS detail, event_id AS seq FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 100",
     "S13": W_I + "SELECT doc_id, page, idx, width, height FROM cp",
     "S14": "SELECT o_orderkey || '.png' AS doc_id, 1 AS page, 0 AS idx, 'standalone' AS source, CASE WHEN o_orderkey % 10 = 3 THEN 'map' ELSE 'photo' END AS image_type, 'img/' || o_orderkey AS image_path, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 900 + 1 ELSE 0 END AS INTEGER) AS width, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 700 + 1 ELSE 0 END AS INTEGER) AS height, 'TYPE: ' || CASE WHEN o_orderkey % 10 = 3 THEN 'Map' ELSE 'photo' END || chr(10) || 'img/' || o_orderkey AS description FROM orders",
-    "S15": "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS id FROM documents WHERE doc_id % 4 = 0",
+    "S15": "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS id, md5(CAST(doc_id AS VARCHAR)) || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.pdf' END AS file FROM documents WHERE doc_id % 8 = 0",
+    "S15_ids": "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS id FROM documents WHERE doc_id % 4 = 0",
     "T11": W_I + "SELECT doc_id AS tree_id, CAST(o AS INTEGER) AS ord, printf('%04d', o) AS node_id, 'Image — ' || CASE WHEN source = 'pdf' THEN 'Page ' || page ELSE 'standalone' END || ' (' || image_type || ')' AS title, '[IMAGE_PATH:' || image_path || ']' || chr(10) || 'Source: ' || source || chr(10) || 'Page: ' || page || chr(10) || 'Type: ' || image_type || chr(10) || 'Size: ' || width || '×' || height || 'px' || chr(10) || chr(10) || description AS content, description AS summary FROM (SELECT *, 99 + row_number() OVER (PARTITION BY doc_id ORDER BY page, idx) AS o FROM ps WHERE description <> '')",
     "T12": W_I + "SELECT doc_id, idx, description, image_type FROM ps",
     "M01": W_MD + f"SELECT tree_id, node_id, {DECENT} AS m FROM mdnodes",
@@ -391,7 +476,7 @@ SQL = {
     "C07": "SELECT DISTINCT source AS scope, CAST(NULL AS VARCHAR) AS answer FROM documents UNION ALL SELECT s, 'No documents have been ingested yet. Please upload a document first.' FROM (VALUES ('missing'), ('src')) t(s)",
     "A01": W_US + "SELECT count(*) AS users, count(*) FILTER (is_active) AS active FROM us",
     "A02": "SELECT count(*) + count(DISTINCT source) AS nodes FROM documents",
-    "A08": "WITH RECURSIVE t AS (SELECT CAST(user_id AS VARCHAR) AS task_id, value AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'view'), e AS (SELECT task_id, i, s AS ema FROM t WHERE i = 1 UNION ALL SELECT t.task_id, t.i, 0.3 * t.s + 0.7 * e.ema FROM e JOIN t ON t.task_id = e.task_id AND t.i = e.i + 1) SELECT task_id, CAST(max(i) AS INTEGER) AS done, round(arg_max(ema, i), 6) AS ema, round(greatest(100 - max(i), 0) * arg_max(ema, i), 5) AS eta FROM e GROUP BY task_id",
+    "A08": "WITH RECURSIVE t AS (SELECT CAST(user_id AS VARCHAR) AS task_id, value AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), e AS (SELECT task_id, i, s AS ema FROM t WHERE i = 1 UNION ALL SELECT t.task_id, t.i, 0.3 * t.s + 0.7 * e.ema FROM e JOIN t ON t.task_id = e.task_id AND t.i = e.i + 1), x AS (SELECT task_id, max(i) AS n, arg_max(ema, i) AS ema FROM e GROUP BY 1) SELECT CAST(c_custkey AS VARCHAR) AS task_id, CAST(coalesce(n, 0) AS INTEGER) AS done, round(coalesce(ema, 15.0), 6) AS ema, round(greatest(c_custkey % 900 + 100 - coalesce(n, 0), 0) * coalesce(ema, 15.0), 4) AS eta FROM customer LEFT JOIN x ON x.task_id = CAST(c_custkey AS VARCHAR)",
     "A09": W_N + "SELECT header_level AS depth, count(*) AS n FROM nodes GROUP BY 1",
     "O02": W_S + "SELECT task_id, updated_at FROM state ORDER BY updated_at DESC, task_id",
     "O02_users": W_US + "SELECT user_id, created_at FROM us ORDER BY created_at, user_id",
@@ -414,24 +499,50 @@ SQL = {
     "X16": W_U + "SELECT o_orderkey, left(md5(filename), 8) AS p, CASE WHEN contains(filename, '.') THEN upper(string_split(filename, '.')[-1]) ELSE 'PDF' END AS e FROM u",
     "X17": "SELECT c_custkey, c_custkey % 3 = 0 AS ok FROM customer",
     "X18": "SELECT doc_id, left(text, 60) AS node, CAST(least(500, length(text)) AS INTEGER) AS n FROM documents",
-    "P01": W_S + "SELECT task_id, status, stage, round(pct, 6) AS pct, error FROM state",
+    "P01": W_S + RUNS + " SELECT task_id, 'closed' AS kind, status, stage, round(pct, 6) AS pct, error, seq FROM fr WHERE status IN ('done', 'failed', 'cancelled') UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN l.task_id IS NULL THEN 'error' ELSE 'answer' END, status, stage, round(pct, 6), CASE WHEN l.task_id IS NULL THEN 'task not found' ELSE error END, seq FROM customer LEFT JOIN (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY run DESC) = 1) l ON l.task_id = CAST(c_custkey AS VARCHAR)",
     "P02": W_S + "SELECT task_id, status, stage, round(pct, 6) AS pct, error FROM state",
-    "P03": W_S + "SELECT task_id, CASE status WHEN 'running' THEN 'interrupted' ELSE status END AS status, status IN ('queued', 'running', 'failed') AS resumable FROM state",
+    "P03": MOVES + " SELECT task_id, seq, action, before, after, legal FROM w WHERE i > 0",
+    "P03_now": MOVES + ", l AS (SELECT task_id, arg_max(after, i) AS after, max(day) AS day FROM w WHERE i > 0 GROUP BY 1), f AS (SELECT task_id, CASE WHEN after = 'running' AND day < (SELECT max(CAST(ts AS DATE)) FROM events) THEN 'interrupted' ELSE after END AS status FROM l) SELECT task_id, status, status IN ('queued', 'interrupted', 'failed') AS resumable FROM f",
+    "P03_restart": W_S + "SELECT task_id, CASE status WHEN 'running' THEN 'interrupted' ELSE status END AS status, status IN ('queued', 'running', 'failed') AS resumable FROM state",
     "P03_pct": W_S + "SELECT task_id, max(pct) AS pct FROM ev GROUP BY task_id",
-    "P04": W_N + "SELECT tree_id, node_id FROM nodes WHERE ord % 3 <> 0",
+    "P04": W_MD + _fold() + _fold("_old", "CASE WHEN ord % 3 = 2 THEN content || ' as it was' ELSE content END", "CAST(substr(tree_id, 2) AS BIGINT) % 2 = 0") + " SELECT a.tree_id, a.node_id, a.summary, b.node_id IS NULL OR a.input IS DISTINCT FROM b.input AS redone FROM folded a LEFT JOIN folded_old b ON a.tree_id = b.tree_id AND a.node_id = b.node_id",
+    "P04_open": W_N + "SELECT tree_id, node_id FROM nodes WHERE ord % 3 <> 0",
+    "P05": W_S + ", ct AS (SELECT task_id, ts, max(CASE stage WHEN 'error' THEN 'cancel' ELSE 'submit' END) AS action FROM ev WHERE stage IN ('error', 'signup') GROUP BY 1, 2) SELECT w.task_id, w.seq, w.stage, coalesce(ct.action = 'cancel', false) AS dropped FROM ev w ASOF LEFT JOIN ct ON w.task_id = ct.task_id AND w.ts >= ct.ts WHERE w.stage NOT IN ('error', 'signup')",
     "P06_ttl": "WITH RECURSIVE " + LOG + ", o AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY \"at\", seq) AS i FROM lg), r AS (SELECT cache_key, i, seq, \"at\" AS stored, false AS hit FROM o WHERE i = 1 UNION ALL SELECT o.cache_key, o.i, o.seq, CASE WHEN o.\"at\" - r.stored < 36000 THEN r.stored ELSE o.\"at\" END, o.\"at\" - r.stored < 36000 FROM r JOIN o ON o.cache_key = r.cache_key AND o.i = r.i + 1) SELECT cache_key, seq, hit FROM r",
     "P07": W_L + "SELECT cache_key, \"at\" FROM (SELECT cache_key, max(\"at\") AS \"at\", arg_max(doc_ids, (\"at\", seq)) AS doc_ids FROM lg GROUP BY 1) WHERE NOT list_contains(doc_ids, '3')",
     "P08": W_L + "SELECT count(DISTINCT cache_key) AS entries, CAST(1000 AS INTEGER) AS max_entries, CAST(604800 AS INTEGER) AS ttl_seconds, true AS enabled FROM lg",
     "P09": W_L + "SELECT cache_key, max(\"at\") AS \"at\" FROM lg GROUP BY 1 HAVING 1706000000 - max(\"at\") < 40 * 86400",
-    "P10": W_S + "SELECT task_id, CASE WHEN CAST(task_id AS BIGINT) % 3 = 0 THEN 'done' ELSE status END AS status, stage FROM state WHERE CAST(task_id AS BIGINT) % 2 = 0",
+    "P10": """WITH RECURSIVE ch AS (SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'signup' THEN 'upsert' WHEN 'purchase' THEN 'cancel' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, event_type AS stage, CASE WHEN event_id % 3 <> 0 THEN value END AS pct FROM events),
+        st AS (SELECT DISTINCT task_id, 0 :: BIGINT AS i, CAST(task_id AS BIGINT) % 2 = 0 AS there, 'queued' AS status, 'known' AS stage, 0.0 :: DOUBLE AS pct, NULL :: BIGINT AS new_at, CAST(task_id AS BIGINT) AS position FROM ch
+          UNION ALL SELECT ch.task_id, ch.i, CASE op WHEN 'delete' THEN false WHEN 'upsert' THEN true ELSE there END,
+            CASE WHEN op = 'upsert' OR op = 'update' AND there THEN 'running' WHEN op = 'cancel' AND there THEN 'cancelled' ELSE st.status END,
+            CASE WHEN op = 'upsert' OR op = 'update' AND there THEN ch.stage ELSE st.stage END, CASE WHEN op = 'upsert' OR op = 'update' AND there THEN ch.pct ELSE st.pct END,
+            CASE WHEN op = 'upsert' AND NOT there THEN ch.seq ELSE new_at END, CASE WHEN op = 'upsert' AND NOT there THEN NULL ELSE position END
+          FROM st JOIN ch ON ch.task_id = st.task_id AND ch.i = st.i + 1)
+        SELECT task_id, status, stage, round(pct, 6) AS pct, new_at, position FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY i DESC) = 1) WHERE there ORDER BY new_at DESC NULLS LAST, position""",
     "G01": W_US + "SELECT user_id FROM us WHERE user_id % 3 <> 0 AND role IN ('admin', 'manager', 'analyst')",
     "G02": f"WITH {PERMS} SELECT role, string_agg(permission, ',' ORDER BY permission) AS permissions FROM perm GROUP BY role",
     "G03": f"WITH {PERMS} SELECT role, bool_or(permission IN ('cache:view', 'admin:users')) AS some, count(*) FILTER (permission IN ('cache:view', 'admin:users')) = 2 AS every FROM perm GROUP BY role",
     "G04": W_US + ", nu AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') ELSE lower(s_name) END AS n, CASE WHEN s_suppkey % 5 = 0 THEN 'customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '@example.com' ELSE 'new@example.com' END AS m FROM supplier) SELECT s_suppkey FROM nu WHERE n IN (SELECT lower(username) FROM us) OR m IN (SELECT email FROM us)",
-    "G05": W_US + "SELECT user_id, username, CASE WHEN user_id % 10 = 0 THEN 'viewer' ELSE role END AS role, created_at FROM us WHERE user_id % 5 <> 0 OR user_id % 2 = 0",
+    "G05": "WITH RECURSIVE " + USERS + """, ch AS (SELECT user_id + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1000000 END AS user_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, 'u' || event_id AS username,
+          CASE WHEN event_type <> 'click' THEN (['admin', 'manager', 'analyst', 'viewer'])[event_id % 4 + 1] END AS role, CASE WHEN event_type = 'view' THEN value > 50 END AS is_active, event_id AS created_at FROM events),
+        co AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i FROM ch),
+        st AS (SELECT k.user_id, 0 :: BIGINT AS i, us.user_id IS NOT NULL AS there, us.username, us.full_name, us.role, us.is_active, us.created_at FROM (SELECT user_id FROM us UNION SELECT user_id FROM ch) k LEFT JOIN us USING (user_id)
+          UNION ALL SELECT st.user_id, co.i, CASE op WHEN 'delete' THEN false WHEN 'create' THEN true ELSE there END,
+            CASE WHEN op = 'create' AND NOT there THEN co.username WHEN op = 'update' AND there THEN coalesce(co.username, st.username) ELSE st.username END,
+            CASE WHEN op = 'create' AND NOT there THEN NULL ELSE st.full_name END,
+            CASE WHEN op = 'create' AND NOT there THEN co.role WHEN op = 'update' AND there THEN coalesce(co.role, st.role) ELSE st.role END,
+            CASE WHEN op = 'create' AND NOT there THEN co.is_active WHEN op = 'update' AND there THEN coalesce(co.is_active, st.is_active) ELSE st.is_active END,
+            CASE WHEN op = 'create' AND NOT there THEN co.created_at ELSE st.created_at END
+          FROM st JOIN co ON co.user_id = st.user_id AND co.i = st.i + 1)
+        SELECT user_id, username, full_name, role, is_active, created_at FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1) WHERE there""",
     "G06": "SELECT count(*) AS live FROM events WHERE event_id % 3600 > 1800",
     "G07": "SELECT event_type AS action, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1",
-    "X08": "WITH p AS (SELECT item_id, regexp_split_to_array(text, '(?i)(?:the|an\\.)') AS b, regexp_extract_all(text, '(?i)(?:the|an\\.)') AS f FROM benchmark), i AS (SELECT item_id, b, f, unnest(range(1, len(b) + 1)) AS k FROM p) SELECT item_id, b[k] AS text, false AS highlight FROM i UNION ALL SELECT item_id, f[k], true FROM i WHERE f[k] IS NOT NULL",
+    "X08": r"""WITH t AS (SELECT item_id, text, list_distinct(list_filter(string_split(text, ' ')[2:4], lambda x: x <> '')) AS terms FROM benchmark),
+        q AS (SELECT item_id, text, '(?i)(?:' || array_to_string(list_transform(list_sort(list_transform(terms, lambda x: {'n': -length(x), 't': x})), lambda x: regexp_replace(x.t, '([^\p{L}\p{N}\s])', '\\\1', 'g')), '|') || ')' AS p, len(terms) AS k FROM t),
+        p AS (SELECT item_id, text, k, string_split(regexp_replace(text, p, chr(1), 'g'), chr(1)) AS b, regexp_extract_all(text, p) AS f FROM q),
+        i AS (SELECT *, unnest(range(1, len(b) + 1)) AS j FROM p WHERE k > 0)
+        SELECT item_id, b[j] AS text, false AS highlight FROM i UNION ALL SELECT item_id, f[j], true FROM i WHERE f[j] IS NOT NULL UNION ALL SELECT item_id, text, false FROM p WHERE k = 0""",
     # in the cache: at most 20 keys since, its own among them; then the time to live, key by key
     "P06": "WITH RECURSIVE " + LOG + """, o AS (SELECT *, row_number() OVER (ORDER BY "at", seq) AS rn FROM lg),
         w AS (SELECT *, lag(rn) OVER (PARTITION BY cache_key ORDER BY rn) AS prev, row_number() OVER (PARTITION BY cache_key ORDER BY rn) AS i FROM o),

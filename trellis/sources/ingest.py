@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window
 from trellis import schema, seams
 from trellis.functions import images, scalar
 from trellis.operators import tree
+from trellis.sources import treejson
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -28,13 +32,19 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), F.decode(F.substring("content", 1, 4), "ISO-8859-1").alias("head"), "content")
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """A file for each (name, content), written by the tasks, so the folder has to be a mounted
-    one; under a temporary name first, so a retried task does no harm."""
+def _mounted(path: str) -> str:
+    """A new folder that tasks can write to."""
     if not path.startswith(("file:", "/")):
         raise ValueError(f"tasks write the files, so the shared folder must be mounted, not {path}")
     own = "/" + path.removeprefix("file:").lstrip("/")
     os.makedirs(own)
+    return own
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """A file for each (name, content), written by the tasks, so the folder has to be a mounted
+    one; under a temporary name first, so a retried task does no harm."""
+    own = _mounted(path)
 
     def write(rows) -> None:
         for r in rows:
@@ -91,52 +101,74 @@ def standalone_images(files: DataFrame, describe: Callable[[Column], Column]) ->
     return sized.select(F.col("filename").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("idx"), F.lit("standalone").alias("source"), kind.alias("image_type"), F.col("path").alias("image_path"), "_size.width", "_size.height", text.alias("description"))
 
 
+_NODE = "node_id string, ord int, parent_id string, depth int, title string, content string, summary string, embedding array<float>"
+
+
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes out of nested tree JSON (title, node_id, content, summary, embedding, nodes);
-    missing fields get their defaults, unknown ones are dropped. Nesting is unbounded, so
-    the levels are walked by a recursive query over variants."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("tree_id"), F.try_parse_json("value").alias("v")).where("v is not null")
-    raw.createOrReplaceTempView("trellis_raw_trees")
-    return walk(spark)
-
-
-def walk(spark: SparkSession) -> DataFrame:
-    """Nodes of the variants v in the view trellis_raw_trees (tree_id, v), in pre-order."""
-    return spark.sql("""
-        WITH RECURSIVE walk(tree_id, v, parent_id, depth, path) AS (
-          SELECT tree_id, v, CAST(NULL AS STRING), 0, CAST('' AS STRING) FROM trellis_raw_trees
-          UNION ALL
-          SELECT w.tree_id, c.value, try_variant_get(w.v, '$.node_id', 'string'), w.depth + 1, concat(w.path, lpad(CAST(c.pos AS STRING), 8, '0'))
-          FROM walk w, LATERAL variant_explode(variant_get(w.v, '$.nodes', 'variant')) c
-        )
-        SELECT tree_id, try_variant_get(v, '$.node_id', 'string') AS node_id,
-               CAST(row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS INT) AS ord,
-               parent_id, depth, try_variant_get(v, '$.title', 'string') AS title,
-               coalesce(try_variant_get(v, '$.content', 'string'), '') AS content,
-               coalesce(try_variant_get(v, '$.summary', 'string'), '') AS summary,
-               CASE WHEN size(try_variant_get(v, '$.embedding', 'array<float>')) > 0 THEN try_variant_get(v, '$.embedding', 'array<float>') END AS embedding
-        FROM walk""")
-
-
-def nested_json(nodes: DataFrame, max_depth: int = 3, content: bool = True, embedding: bool = False) -> DataFrame:
-    """(tree_id, json): trees as nested JSON, deepest level first. A tree's level is one
-    shuffle by (tree, parent), so no task holds more than one parent's children."""
-    own = nodes.select("tree_id", "node_id", "ord", "parent_id", "depth", "title", *(["content"] if content else []), F.coalesce("summary", F.lit("")).alias("summary"), *(["embedding"] if embedding else []))
-    text = lambda c: F.to_json(F.struct(F.col(c)))
+    """Nodes out of nested tree JSON (title, node_id, content, summary, embedding, nodes), in
+    pre-order; missing fields get their defaults, unknown ones are dropped. A file is one tree of
+    any depth; files that are not JSON objects are left out."""
+    files = spark.read.text(path, wholetext=True)
+    name = F.regexp_replace(_unescaped(F.col("_metadata.file_name")), r"\.json$", "")
+    return walk(files.select(_unescaped(name).alias("tree_id"), F.col("value").alias("json")))
+
+
+def _unescaped(name: Column) -> Column:
+    """A percent-encoded name as it was; one that is not so encoded stays."""
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+
+
+def walk(trees: DataFrame) -> DataFrame:
+    """Nodes of (tree_id, json). A text is read once from left to right, without recursion."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for tree_id, text in zip(b["tree_id"], b["json"], strict=True):
+                rows = treejson.nodes(text) if text is not None else []
+                for lo in range(0, len(rows), 10_000):
+                    part = pd.DataFrame(rows[lo : lo + 10_000], columns=treejson.COLUMNS)
+                    part.insert(0, "tree_id", tree_id)
+                    yield part
+
+    return trees.select("tree_id", "json").mapInPandas(run, f"tree_id string, {_NODE}")
+
+
+def json_pieces(nodes: DataFrame, content: bool = True, embedding: bool = False) -> DataFrame:
+    """(tree_id, ord, piece): the pieces of each tree's JSON, one a node, in the order of ``ord``,
+    which is pre-order with one root of depth 0. A node's object opens where it stands; how many
+    objects end behind it is told by the next node's depth, so depth is unbounded and no row
+    holds more than a node."""
+    own = nodes.select("tree_id", "ord", "depth", "title", "node_id", *(["content"] if content else []), F.coalesce("summary", F.lit("")).alias("summary"), *(["embedding"] if embedding else []))
     fields = [c for c in ("title", "node_id", "content", "summary", "embedding") if c in own.columns]
-    below = None
-    for d in range(max_depth, -1, -1):
-        level = own.where(F.col("depth") == d)
-        if below is not None:
-            level = level.join(below, ["tree_id", "node_id"], "left")
-        else:
-            level = level.withColumn("kids", F.lit("").cast("string"))
-        inner = [F.regexp_replace(text(c), r"^\{|\}$", "") for c in fields]
-        json = F.concat(F.lit("{"), F.concat_ws(",", *[F.when(x != "", x) for x in inner]), F.lit(',"nodes":['), F.coalesce("kids", F.lit("")), F.lit("]}"))
-        done = level.withColumn("json", json)
-        if d:
-            below = done.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "json"))).alias("k")).select("tree_id", "node_id", F.array_join("k.json", ",").alias("kids"))
-    return done.select("tree_id", "json")
+    w = Window.partitionBy("tree_id").orderBy("ord")
+    before, after = F.lag("depth").over(w), F.coalesce(F.lead("depth").over(w), F.lit(0))
+    inner = F.regexp_replace(F.to_json(F.struct(*fields)), r"\}$", "")
+    opened = F.concat(F.when(before >= F.col("depth"), ",").otherwise(""), inner, F.when(inner != "{", ",").otherwise(""), F.lit('"nodes":['))
+    ends = F.when(F.lead("depth").over(w).isNull(), F.col("depth") + 1).otherwise(F.greatest(F.col("depth") - after + 1, F.lit(0)))
+    return own.select("tree_id", "ord", F.concat(opened, F.repeat(F.lit("]}"), ends)).alias("piece"))
+
+
+def nested_json(nodes: DataFrame, content: bool = True, embedding: bool = False) -> DataFrame:
+    """(tree_id, json): each tree as one text; for trees that fit a row, see :func:`write_trees`."""
+    lists = json_pieces(nodes, content, embedding).groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("ord", "piece"))).alias("p"))
+    return lists.select("tree_id", F.array_join("p.piece", "").alias("json"))
+
+
+def write_trees(nodes: DataFrame, path: str, content: bool = True, embedding: bool = False) -> None:
+    """A file <tree_id>.json for each tree, written piece by piece by the task that has the tree;
+    a file gets its name when it is whole. Ids are percent-encoded in file names."""
+    own = _mounted(path)
+    pieces = json_pieces(nodes, content, embedding).repartition("tree_id").sortWithinPartitions("tree_id", "ord").select(F.replace(F.url_encode("tree_id"), F.lit("+"), F.lit("%20")).alias("name"), "piece")
+
+    def write(rows) -> None:
+        for name, part in itertools.groupby(rows, lambda r: r["name"]):
+            tmp = f"{own}/.{uuid.uuid4().hex}"
+            with open(tmp, "w", encoding="utf-8") as f:
+                for r in part:
+                    f.write(r["piece"] + "\n")
+            os.replace(tmp, f"{own}/{name}.json")
+
+    pieces.foreachPartition(write)
 
 
 def write_index(nodes: DataFrame, path: str) -> None:
@@ -156,15 +188,52 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def titles(meta: DataFrame) -> DataFrame:
-    """File names that are not empty, in id order, as one text."""
-    named = meta.where(F.coalesce("filename", F.lit("")) != "")
-    return named.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "filename"))), lambda x: x["filename"]), ", ").alias("titles"))
+    """(doc_id, filename) of the documents that have a name, in id order: a prompt's list of titles
+    as rows, which may be many."""
+    return meta.where(F.coalesce("filename", F.lit("")) != "").select("doc_id", "filename").orderBy("doc_id")
+
+
+AUDIT = "ts timestamp_ntz, user_id string, action string, detail string, seq long"
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
-    """One JSON object an entry; times keep their microseconds."""
+def append_audit(entries: DataFrame, path: str, order: str = "seq") -> None:
+    """One JSON object an entry, in a folder for each append, its files in the order of ``order``;
+    times keep their microseconds."""
     micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    entries.write.mode("append").option("timestampNTZFormat", micros).option("timestampFormat", micros + "XXX").json(path)
+    own = entries.repartitionByRange(order).sortWithinPartitions(order)
+    own.write.option("timestampNTZFormat", micros).option("timestampFormat", micros + "XXX").json(f"{path}/batch={time.time_ns():020d}")
+
+
+def audit_lines(spark: SparkSession, path: str, schema_: str = AUDIT) -> DataFrame:
+    """The log's entries with ``place``, which orders them as they were written: append, file,
+    start of the piece of the file, line in it. Lines that are not JSON objects are left out."""
+    # A line's number in its piece of a file comes from the task that reads it, so nothing is sorted.
+    lines = spark.read.option("basePath", path).text(path).select("value", F.struct(F.col("batch").cast("string").alias("batch"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    parsed = F.from_json("value", f"{schema_}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return lines.select(parsed.alias("e"), "place").where("e is not null and e._broken is null").select("e.*", "place").drop("_broken")
+
+
+def audit_tail(spark: SparkSession, path: str, limit: int, user_id: str | None = None, schema_: str = AUDIT) -> DataFrame:
+    """The newest ``limit`` entries, of one user if given, the newest first. Each file is cut to
+    ``limit`` before files are merged, so that no more than that of a file is shuffled."""
+    own = audit_lines(spark, path, schema_)
+    if user_id is not None:
+        own = own.where(F.col("user_id") == user_id)
+    w = Window.partitionBy("place.batch", "place.file").orderBy(F.col("place").desc())
+    cut = own.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    return cut.orderBy(F.col("place").desc()).limit(limit)
+
+
+def find_documents(ids: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """(id, path): the file ``<id>.<suffix>`` of each asked ``id`` that is well formed and has one,
+    the first by path. Only files right in ``folder`` count; a path that leads out of it, or
+    deeper, is not served. ``files`` has a ``path`` a row, as file sources list them."""
+    base = re.sub(r"^file:/*", "/", folder.rstrip("/")) + "/"
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    rest = F.substring(plain, len(base) + 1, 1 << 20)
+    inside = files.where(plain.startswith(base) & ~F.contains(rest, F.lit("/"))).select(F.regexp_extract(rest, r"^([^.]+)\.", 1).alias("id"), plain.alias("path"))
+    first = inside.where("id <> ''").groupBy("id").agg(F.min("path").alias("path"))
+    return ids.select("id").where(scalar.is_doc_id(F.col("id"))).distinct().join(first, "id")
 
 
 def summarise(nodes: DataFrame, summariser: Callable[[Column, Column], Column] = seams.extractive_summary, max_depth: int | None = None, scratch: str | None = None, cfg: schema.RetrievalConfig = schema.CONFIG) -> DataFrame:

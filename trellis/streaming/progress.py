@@ -1,26 +1,173 @@
-"""Progress of tasks as a stream: the latest state of each task, kept in the state store."""
+"""Progress of tasks as a stream.
+
+:func:`feed` is what a watcher sees: the state of each task at most once in a while, as long
+as it changes, and at once when the task is over; whoever asks for a task is told its state, or
+that there is none. :func:`latest` is the plain fold of all events, without a clock.
+"""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trellis.operators import tasks
 
+FIELDS = ("status", "stage", "pct", "error")
+_TYPES = {"status": "string", "stage": "string", "pct": "double", "error": "string"}
+FEED = "task_id string, kind string, status string, stage string, pct double, error string, at timestamp, seq long"
+# of each field its value, and when it was set; then the end of the run before this one, and the clock
+_STATE = ", ".join(f"{f} {t}, {f}_at long, {f}_seq long" for f, t in _TYPES.items()) + ", over_at long, over_seq long, emitted long, changed boolean, closed boolean"
+#: Fixed value: what a watcher of an unknown task is told.
+UNKNOWN = "task not found"
+
 
 def latest(events: DataFrame) -> DataFrame:
     """The same fold as in batch; ``events`` is a stream or a table."""
     return tasks.state(events)
 
 
-def start(events: DataFrame, checkpoint: str, name: str | None = None, path: str | None = None) -> StreamingQuery:
-    """Emit changed tasks of each micro-batch: to a memory table ``name``, or as one
-    Parquet folder a batch below ``path`` (written again as a whole if a batch is retried)."""
-    out = latest(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if path:
-        return out.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).start()
-    return out.format("memory").queryName(name).start()
+def _known(s: tuple) -> tuple[list[dict], dict]:
+    """The stored fields as rows, one a field, as if they had just come; and the rest."""
+    v = dict(zip((c.split()[0] for c in _STATE.split(", ")), s, strict=True))
+    rows = [{"ts": v[f"{f}_at"], "seq": v[f"{f}_seq"], f: v[f]} for f in FIELDS if v[f] is not None]
+    return rows, {k: v[k] for k in ("over_at", "over_seq", "emitted", "changed", "closed")}
+
+
+def _stored(fields: dict, more: dict) -> tuple:
+    flat = []
+    for f in FIELDS:
+        flat += fields.get(f) or (None, None, None)
+    return (*flat, more["over_at"], more["over_seq"], more["emitted"], more["changed"], more["closed"])
+
+
+def _fold(rows: pd.DataFrame) -> dict:
+    """field -> (value, ts, seq) of the last row that has it."""
+    out = {}
+    for f in FIELDS:
+        at = rows[f].last_valid_index()
+        if at is not None:
+            v = rows.at[at, f]
+            out[f] = (float(v) if f == "pct" else v, int(rows.at[at, "ts"]), int(rows.at[at, "seq"]))
+    return out
+
+
+def _line(task: str, kind: str, fields: dict) -> dict:
+    at, seq = max((x[1:] for x in fields.values()), default=(None, None))
+    return {"task_id": task, "kind": kind, **{f: (fields[f][0] if f in fields else None) for f in FIELDS}, "at": None if at is None else pd.Timestamp(at, unit="us"), "seq": seq}
+
+
+def feed(events: DataFrame, asks: DataFrame | None = None, every_ms: int = 1000, remember_ms: int = 3_600_000) -> DataFrame:
+    """A stream of (task_id, kind, status, stage, pct, error, at, seq) from the stream ``events``
+    (task_id, ts, seq, status, stage, pct, error) and the stream ``asks`` (task_id):
+
+    * ``progress``: the state of a task that changed, at most once in ``every_ms`` of processing
+      time; what changes in between is held back until a timer is due;
+    * ``closed``: its last state, as soon as it is over. Then its state goes but for this row,
+      which is kept for ``remember_ms``; a later event starts a new run of the task from nothing;
+    * ``answer``: the state of a task that was asked for; ``error``: there is none.
+
+    Fields change in the order of (ts, seq), whatever the order they come in: an older event fills
+    only what no newer one has set, and one from before the end of the last run is left out. A
+    field that an event leaves null stays. Events without a task are ignored. State is one row
+    a task; what is held at once are the events of a task in a micro-batch, which the source's
+    ``maxFilesPerTrigger`` bounds."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select("task_id", micros.alias("ts"), F.col("seq").cast("long").alias("seq"), *[F.col(f).cast(t).alias(f) for f, t in _TYPES.items()], F.lit(False).alias("ask"))
+    if asks is not None:
+        nothing = [F.lit(None).cast("long").alias(c) for c in ("ts", "seq")] + [F.lit(None).cast(t).alias(f) for f, t in _TYPES.items()]
+        rows = rows.unionByName(asks.select("task_id", *nothing, F.lit(True).alias("ask")))
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (task,), now, out = key, state.getCurrentProcessingTimeMs(), []
+        if state.hasTimedOut:
+            held, more = _known(state.get)
+            if more["closed"]:
+                state.remove()
+                return
+            fields = _fold(pd.DataFrame(held, columns=["ts", "seq", *FIELDS]).astype({f: object for f in FIELDS}))
+            if more["changed"]:
+                state.update(_stored(fields, more | {"emitted": now, "changed": False}))
+                yield _table([_line(task, "progress", fields)])
+            return
+        held, more = _known(state.get) if state.exists else ([], {"over_at": None, "over_seq": None, "emitted": 0, "changed": False, "closed": False})
+        new, asked = [], False
+        for c in chunks:
+            asked |= bool(c["ask"].any())
+            new.append(c.loc[~c["ask"], ["ts", "seq", *FIELDS]])
+        own = pd.DataFrame(held, columns=["ts", "seq", *FIELDS])
+        fields = _fold(own.astype({f: object for f in FIELDS}))
+        fresh = pd.concat(new).astype({f: object for f in FIELDS})
+        if more["closed"]:  # what is kept is the end of the last run
+            more |= dict(zip(("over_at", "over_seq"), max(x[1:] for x in fields.values()), strict=True))
+        if more["over_at"] is not None:
+            late = (fresh["ts"] < more["over_at"]) | ((fresh["ts"] == more["over_at"]) & (fresh["seq"] <= more["over_seq"]))
+            fresh = fresh[~late]
+        if len(fresh):
+            before = [] if more["closed"] else [own.astype({f: object for f in FIELDS})]
+            every = pd.concat([*before, fresh]).sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+            over = every["status"].isin(tasks.TERMINAL)
+            run = over.cumsum().shift(fill_value=0)
+            for _, part in every.groupby(run, sort=True):
+                fields = _fold(part)
+                more["closed"] = bool(over[part.index[-1]])
+                if more["closed"]:
+                    out.append(_line(task, "closed", fields))
+                    end = part.iloc[-1]
+                    more |= {"over_at": int(end["ts"]), "over_seq": int(end["seq"]), "emitted": now, "changed": False}
+                elif now - more["emitted"] >= every_ms:
+                    out.append(_line(task, "progress", fields))
+                    more |= {"emitted": now, "changed": False}
+                else:
+                    more["changed"] = True
+            state.update(_stored(fields, more))
+        if asked:
+            out.append(_line(task, "answer", fields) if fields else _line(task, "error", {}) | {"error": UNKNOWN})
+        if state.exists and (more["closed"] or more["changed"]):
+            state.setTimeoutDuration(remember_ms if more["closed"] else max(1, more["emitted"] + every_ms - now))
+        if out:
+            yield _table(out)
+
+    return rows.where("task_id is not null").groupBy("task_id").applyInPandasWithState(step, FEED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _table(rows: list[dict]) -> pd.DataFrame:
+    t = pd.DataFrame(rows)
+    return t.assign(pct=t["pct"].astype("float64"), seq=t["seq"].astype("Int64"), at=pd.to_datetime(t["at"]))
+
+
+def start(out: DataFrame, checkpoint: str, path: str, mode: str = "update", **trigger: object) -> StreamingQuery:
+    """Run a stream into one Parquet folder a micro-batch below ``path``, each written again as
+    a whole if its batch is retried, so that a restart from ``checkpoint`` repeats nothing. The
+    trigger is all there is now unless another is given; a feed has a clock and goes on until it
+    is stopped, so it needs one of processing time."""
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    return writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).start()
+
+
+def stop_when_idle(query: StreamingQuery, quiet_s: float = 0.0, timeout_s: float = 600.0) -> None:
+    """Stop a feed once nothing has come in for ``quiet_s``, so that what its timers hold back
+    for no longer is out."""
+    end, last, idle_since = time.time() + timeout_s, -1, None
+    while query.isActive:
+        p = query.lastProgress
+        if p and p["batchId"] != last:
+            last = p["batchId"]
+            idle_since = None if p["numInputRows"] else idle_since or time.time()
+        if idle_since and time.time() - idle_since >= quiet_s:
+            query.stop()
+            return
+        if time.time() > end:
+            query.stop()
+            raise TimeoutError("the stream did not come to rest")
+        time.sleep(0.05)
+    if query.exception():
+        raise query.exception()
 
 
 def current(changes: DataFrame) -> DataFrame:
