@@ -67,7 +67,8 @@ def test_the_times_of_a_long_task_are_cut_into_blocks(spark, monkeypatch):
         want[task] = (n + 1, 0.3 * x + 0.7 * s)
     sizes, collect = [], F.collect_list
     monkeypatch.setattr(F, "collect_list", lambda c: sizes.append(1) or collect(c))
-    got = tasks.eta(spark.createDataFrame(rows, "task_id string, seq long, seconds double"), 5000, alpha=0.3).collect()
+    known = spark.createDataFrame([(k, 5000) for k in want], "task_id string, total long")
+    got = tasks.eta(spark.createDataFrame(rows, "task_id string, seq long, seconds double"), known, alpha=0.3, block_rows=400).collect()
     assert {t["task_id"]: t["done"] for t in got} == {k: n for k, (n, _) in want.items()}
     assert all(t["ema"] == pytest.approx(want[t["task_id"]][1]) and t["eta_seconds"] == pytest.approx((5000 - t["done"]) * t["ema"]) for t in got)
     assert len(sizes) == 2  # the times of a block, and the blocks of a task

@@ -160,7 +160,7 @@ def test_blocks_of_queries_find_the_same(spark):
     vec = lambda: [r.uniform(-1, 1) for _ in range(5)]
     nodes = spark.createDataFrame([(f"t{i % 3}", f"{i:04d}", i, "0000" if i % 4 == 0 else f"{i - i % 4:04d}", "", "", "", None if i % 7 == 3 else vec()) for i in range(60)], NODE)
     q = spark.createDataFrame([(i, 0, "q", vec()) for i in range(23)] + [(99, 0, "q", None)], "query_id long, variant_no int, query_text string, query_vec array<float>")
-    parts = vector.blocks(q, 5)
+    parts = list(vector.blocks(q, 5))
     assert len(parts) == 5 and sum(len(b.query_id) for b in parts) == 23
     best = lambda bs: sorted(tuple(x) for b in bs for x in vector.flat_top(nodes, b, 4).select("query_id", "tree_id", "node_id", "rank").collect())
     want = {}
@@ -169,7 +169,7 @@ def test_blocks_of_queries_find_the_same(spark):
         for t in ("t0", "t1", "t2"):
             own = sorted((-round(sum(a * b for a, b in zip(n["embedding"], x["query_vec"])), 9), n["ord"], k) for k, n in vs.items() if n["tree_id"] == t)
             want |= {(x["query_id"], t, k, i + 1): 0 for i, (_, _, k) in enumerate(own[:4])}
-    assert best(parts) == best(vector.blocks(q)) == sorted(want)
+    assert best(parts) == best(list(vector.blocks(q))) == sorted(want)
     assert retrieve.beam(nodes, q.limit(0)).count() == 0 and vector.similarities(nodes, q.limit(0)).count() == 0
 
 

@@ -37,8 +37,8 @@ def beam(nodes: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG) ->
     facts = skinny.groupBy("tree_id").agg(F.count_if(vector.embedded(F.col("embedding"))).alias("n"), F.bool_or(F.col("parent_id").eqNullSafe(tree.ROOT)).alias("top"))
     routes = keep(facts.select("tree_id", ((F.col("n") >= cfg.min_embedded) & F.col("top")).alias("beam")), "routes")
     columns = [*PLACE, "query_text", "node_id", "ord", "sim"]
-    found = []
-    for block in vector.blocks(queries):
+
+    def search(block: vector.Block) -> DataFrame:
         level = F.coalesce("sim", F.lit(0.0))
         tops = skinny.where(F.col("parent_id") == tree.ROOT).join(routes.where("beam").select("tree_id"), "tree_id")
         best = vector.top(vector.scored(tops, block, cfg.beam_root).withColumn("level", level), cfg.beam_root, "level", PLACE, ["ord"])
@@ -49,10 +49,12 @@ def beam(nodes: DataFrame, queries: DataFrame, cfg: RetrievalConfig = CONFIG) ->
             best = vector.top(kids, k, "level", [*PLACE, "parent_id"], ["ord"]).select(*columns, "_q")
             picked.append(best if last else keep(best, "beam"))
         flat = vector.flat_top(skinny.join(routes.where("not beam").select("tree_id"), "tree_id"), block, cfg.flat_k)
-        found += [x.select(*columns) for x in (*picked, flat)]
-    if not found:
+        return vector.union([x.select(*columns) for x in (*picked, flat)])
+
+    found = vector.each_block(queries, search)
+    if found is None:
         return vector.flat_search(nodes, queries).select(*columns)
-    return keep(vector.union(found), "candidates")
+    return keep(found, "candidates")
 
 
 def term_counts(candidates: DataFrame, nodes: DataFrame) -> DataFrame:

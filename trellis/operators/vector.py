@@ -2,13 +2,14 @@
 
 Queries are the given side of a search. They are collected in blocks of bounded size and
 shipped to the nodes, where a batch of nodes and a block of queries meet in one matrix
-product; blocks follow on each other, so any number of queries can be asked.
+product; blocks follow on each other, so any number of queries can be asked: with more than one
+block, what a block finds is written before the next is collected.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from trellis.sources.scratch import keep
+
 #: Pairs in a batch that a task hands on.
 _PAIRS = 1 << 16
 #: More than two scores can differ by and still be equal when rounded to nine digits.
@@ -49,19 +52,29 @@ class Block:
     variant_no: pa.Array
     query_text: pa.Array
     vectors: np.ndarray
+    only: bool = True
 
 
-def blocks(queries: DataFrame, size: int = 20_000) -> list[Block]:
-    """The queries (query_id, variant_no, query_text, query_vec) in blocks of about ``size``;
-    those without a vector find nothing."""
+def blocks(queries: DataFrame, size: int = 20_000) -> Iterator[Block]:
+    """The queries (query_id, variant_no, query_text, query_vec) in blocks of about ``size``, one
+    after the other; those without a vector find nothing."""
     own = queries.where(embedded(F.col("query_vec"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("variant_no").cast("int").alias("variant_no"), "query_text", F.col("query_vec").cast("array<double>").alias("query_vec"))
     rows = own.limit(size + 1).collect()
-    found = [rows]
+    parts = 1
     if len(rows) > size:
+        own, rows = keep(own, "queries"), []
         parts = math.ceil(own.count() / size)
-        part = F.pmod(F.xxhash64("query_id", "variant_no"), F.lit(parts))
-        found = [own.where(part == i).collect() for i in range(parts)]
-    return [Block(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), np.array([r[3] for r in rows])) for rows in found if rows]
+    part = F.pmod(F.xxhash64("query_id", "variant_no"), F.lit(parts))
+    for i in range(parts):
+        rows = rows if parts == 1 else own.where(part == i).collect()
+        if rows:
+            yield Block(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), np.array([r[3] for r in rows]), parts == 1)
+
+
+def each_block(queries: DataFrame, search: Callable[[Block], DataFrame], size: int = 20_000) -> DataFrame | None:
+    """What ``search`` finds for all blocks; None if there are none."""
+    found = [out if b.only else keep(out, "block") for b in blocks(queries, size) for out in [search(b)]]
+    return union(found) if found else None
 
 
 def matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +91,12 @@ def _asked(nodes: DataFrame, *more: T.StructField) -> T.StructType:
     return T.StructType([*plain, T.StructField("query_id", T.LongType()), T.StructField("variant_no", T.IntegerType()), T.StructField("query_text", T.StringType()), T.StructField("_q", T.IntegerType()), T.StructField("sim", T.DoubleType()), *more])
 
 
-def _can_be_top(tree: pa.Array, score: np.ndarray, k: int) -> np.ndarray:
-    """Whether each (node, query) of the batch may be among the k best of its tree."""
-    code = tree.dictionary_encode()
-    code = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+def _can_be_top(groups: list[pa.Array], score: np.ndarray, k: int) -> np.ndarray:
+    """Whether each (node, query) of the batch may be among the k best of its group."""
+    code = np.zeros(len(score), np.int64)
+    for g in groups:
+        own = g.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
     order = np.argsort(code, kind="stable")
     cut = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
     good = np.ones(score.shape, bool)
@@ -92,10 +107,11 @@ def _can_be_top(tree: pa.Array, score: np.ndarray, k: int) -> np.ndarray:
     return good
 
 
-def scored(nodes: DataFrame, block: Block, k: int | None = None, unknown: bool = True) -> DataFrame:
+def scored(nodes: DataFrame, block: Block, k: int | None = None, unknown: bool = True, by: tuple[str, ...] = ("tree_id",)) -> DataFrame:
     """Nodes (less their embedding) with the queries of ``block``, _q (place in the block) and
     ``sim``, null for a node without a vector; these are left out unless ``unknown``. With
-    ``k``, only what can be among the k best of a query and tree, null counting as 0."""
+    ``k``, only what can be among the k best of a query and tree, or other group ``by`` columns,
+    null counting as 0."""
     fields = _asked(nodes)
     plain = [c for c in nodes.columns if c != "embedding"]
 
@@ -107,7 +123,7 @@ def scored(nodes: DataFrame, block: Block, k: int | None = None, unknown: bool =
                 sim = vec @ block.vectors[lo : lo + step].T
                 good = np.ones(sim.shape, bool) if unknown else np.repeat(known[:, None], sim.shape[1], axis=1)
                 if k is not None:
-                    good &= _can_be_top(b.column("tree_id"), np.where(good, sim, -np.inf), k)
+                    good &= _can_be_top([b.column(c) for c in by], np.where(good, sim, -np.inf), k)
                 at, q = np.nonzero(good)
                 who = pa.array(q + lo)
                 cols = [b.column(c).take(pa.array(at)) for c in plain]
@@ -134,10 +150,11 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def similarities(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query against every node, with ``sim`` (null without an embedding)."""
-    found = [scored(nodes, b).drop("_q") for b in blocks(queries)]
-    return union(found) if found else nodes.sparkSession.createDataFrame([], _asked(nodes)).drop("_q")
+def similarities(nodes: DataFrame, queries: DataFrame, k: int | None = None, by: tuple[str, ...] = ("tree_id",)) -> DataFrame:
+    """Every query against every node, with ``sim`` (null without an embedding); with ``k`` at
+    least the k best of each query and group."""
+    found = each_block(queries, lambda b: scored(nodes, b, k, by=by).drop("_q"))
+    return found if found is not None else nodes.sparkSession.createDataFrame([], _asked(nodes)).drop("_q")
 
 
 def top(df: DataFrame, k: int, by: str, keys: list[str], ties: list[str]) -> DataFrame:
@@ -153,8 +170,8 @@ def flat_top(nodes: DataFrame, block: Block, k: int) -> DataFrame:
 
 def flat_search(nodes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Exact top k of each query and tree among embedded nodes."""
-    found = [flat_top(nodes, b, k).drop("_q") for b in blocks(queries)]
-    if found:
-        return union(found)
+    found = each_block(queries, lambda b: flat_top(nodes, b, k).drop("_q"))
+    if found is not None:
+        return found
     own = nodes.select("tree_id", "node_id", "ord")
     return own.sparkSession.createDataFrame([], _asked(own, T.StructField("rank", T.IntegerType()))).drop("_q")

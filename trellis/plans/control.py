@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis import fixtures as fx
 from trellis.functions import scalar as sc
-from trellis.operators import access, cache, tasks, tree
+from trellis.operators import access, cache, index, tasks, tree
 from trellis.plans import retrieval as rt
 from trellis.schema import NO_DOCUMENTS
 from trellis.sources import ingest, stages
@@ -70,9 +70,10 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s07(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of all embedded nodes written as an index and read again."""
     path = folder(spark, "index")
-    ingest.write_index(fx.nodes(spark, d), path)
-    return ingest.read_index(spark, path).groupBy("tree_id").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).cast("long").alias("floats"))
+    index.write(rt.corpus(spark, d), path)
+    return index.unpacked(index.read(spark, path)).groupBy("tree_id").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).cast("long").alias("floats"))
 
 
 def s02(spark: SparkSession, d: str) -> DataFrame:

@@ -171,15 +171,6 @@ def write_trees(nodes: DataFrame, path: str, content: bool = True, embedding: bo
     pieces.foreachPartition(write)
 
 
-def write_index(nodes: DataFrame, path: str) -> None:
-    """The vectors of embedded nodes, a folder for each tree."""
-    nodes.where("embedding is not null and size(embedding) > 0").select("tree_id", "node_id", "ord", "embedding").write.mode("overwrite").partitionBy("tree_id").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("node_id string, ord int, embedding array<float>, tree_id string").parquet(path)
-
-
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, filename, nodes) of all *.meta.json below ``path``, in path order; broken
     files are left out."""
