@@ -33,6 +33,28 @@ def near_duplicates(ranked: DataFrame, nodes: DataFrame, cfg: RetrievalConfig =
     return lists.select("query_id", F.explode(kept).alias("r")).select("query_id", "r.*")
 
 
+def diversified(ranked: DataFrame, nodes: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+    """k of the ranked rows of each query, picked one after the other: the next one has the most of
+    ``weight`` times its score less (1 - weight) times its largest similarity to what is picked;
+    then the better rank. ``pick`` numbers them. Rows without an embedding are similar to none.
+    What is compared are the ranked rows of one query, which are few; contents stay out of it."""
+    vectors = ranked.select("query_id", "tree_id", "node_id", "rank", "score").join(nodes.select("tree_id", "node_id", "embedding"), ["tree_id", "node_id"])
+    lists = vectors.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "embedding"))).alias("rows"))
+
+    def worth(x, picked):
+        near = F.array_max(F.transform(picked, lambda p: F.when(embedded(p["embedding"]) & embedded(x["embedding"]), dot(p["embedding"], x["embedding"])).otherwise(0.0)))
+        return F.round(F.lit(weight) * x["score"] - F.lit(1 - weight) * F.coalesce(near, F.lit(0.0)), 9)
+
+    def step(picked, _):
+        left = F.filter("rows", lambda x: ~F.exists(picked, lambda p: p["rank"] == x["rank"]))
+        best = F.array_max(F.transform(left, lambda x: F.struct(worth(x, picked).alias("worth"), (-x["rank"]).alias("rank"))))
+        return F.concat(picked, F.filter("rows", lambda x: F.coalesce(x["rank"] == -best["rank"], F.lit(False))))
+
+    picked = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.slice("rows", 1, 0), step)
+    found = lists.select("query_id", F.posexplode(F.transform(picked, lambda p: p["rank"])).alias("pick", "rank"))
+    return ranked.join(found.withColumn("pick", F.col("pick") + 1), ["query_id", "rank"])
+
+
 def prune_parents(kept: DataFrame) -> DataFrame:
     """Kept rows without those that have a kept child."""
     above = F.collect_set("parent_id").over(Window.partitionBy("query_id", "tree_id"))

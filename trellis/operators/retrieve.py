@@ -84,10 +84,26 @@ def bm25(candidates: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG)
     return out.select(*candidates.columns, "bm25")
 
 
-def hybrid(candidates: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
-    """Weighted sum of semantic, lexical and metadata scores; the last is always zero."""
+def metadata_match(wanted: DataFrame, meta: DataFrame, fields: list[str]) -> DataFrame:
+    """(query_id, tree_id, meta): which share of what a query wants of a document (wanted: query_id,
+    field, value) its metadata (meta: doc_id and ``fields``) has, whatever the case; a row only
+    where it is more than nothing. Fields that are not known are never met, nulls neither."""
+    asked = wanted.where("field is not null and value is not null").select("query_id", "field", F.lower("value").alias("value")).distinct()
+    each = asked.withColumn("of", F.count("*").over(Window.partitionBy("query_id")))
+    own = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.col(f).cast("string")).alias("value")) for f in fields]))
+    held = meta.select(F.col("doc_id").alias("tree_id"), own.alias("x")).where("x.value is not null").select("tree_id", "x.*")
+    return each.join(held, ["field", "value"]).groupBy("query_id", "tree_id").agg((F.count("*") / F.first("of")).alias("meta"))
+
+
+def hybrid(candidates: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG, meta: DataFrame | None = None) -> DataFrame:
+    """Weighted sum of semantic, lexical and metadata scores; the last is zero unless ``meta``
+    (query_id, tree_id, meta) is given."""
     top = F.max("bm25").over(Window.partitionBy(*PLACE))
-    scored = bm25(candidates, nodes, cfg).withColumn("sem", (F.coalesce("sim", F.lit(0.0)) + 1) / 2).withColumn("lex", F.when(top > 0, F.col("bm25") / top).otherwise(0.0)).withColumn("meta", F.lit(0.0))
+    scored = bm25(candidates, nodes, cfg).withColumn("sem", (F.coalesce("sim", F.lit(0.0)) + 1) / 2).withColumn("lex", F.when(top > 0, F.col("bm25") / top).otherwise(0.0))
+    if meta is None:
+        scored = scored.withColumn("meta", F.lit(0.0))
+    else:
+        scored = scored.join(meta.select("query_id", "tree_id", "meta"), ["query_id", "tree_id"], "left").withColumn("meta", F.coalesce("meta", F.lit(0.0)))
     return scored.withColumn("score", cfg.w_semantic * F.col("sem") + cfg.w_bm25 * F.col("lex") + cfg.w_meta * F.col("meta"))
 
 
@@ -108,8 +124,8 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, tokens(text))).cast("double") / F.greatest(F.size(q), F.lit(1))
 
 
-def single(nodes: DataFrame, queries: DataFrame, k: int, scorer=None, cfg: RetrievalConfig = CONFIG) -> DataFrame:
-    return rerank(hybrid(beam(nodes, queries, cfg), nodes, cfg), nodes, scorer, k, cfg)
+def single(nodes: DataFrame, queries: DataFrame, k: int, scorer=None, cfg: RetrievalConfig = CONFIG, meta: DataFrame | None = None) -> DataFrame:
+    return rerank(hybrid(beam(nodes, queries, cfg), nodes, cfg, meta), nodes, scorer, k, cfg)
 
 
 def max_over_variants(results: DataFrame) -> DataFrame:
@@ -130,7 +146,13 @@ def merge(fused: DataFrame, k: int, bare_ids: bool = False) -> DataFrame:
     return vector.top(fused, k, "score", ["query_id"], ["tree_id", "ord"])
 
 
-def retrieve(nodes: DataFrame, queries: DataFrame, scope: DataFrame | None = None, scorer=None, cfg: RetrievalConfig = CONFIG) -> DataFrame:
-    """(query_id, tree_id, node_id, ord, score, rank): the whole chain."""
-    per = single(scoped(nodes, scope), queries, 2 * cfg.top_k, scorer, cfg)
+def retrieve(nodes: DataFrame, queries: DataFrame, scope: DataFrame | None = None, scorer=None, cfg: RetrievalConfig = CONFIG, meta: DataFrame | None = None, only_matching: bool = False) -> DataFrame:
+    """(query_id, tree_id, node_id, ord, score, rank): the whole chain. ``meta``: scores of
+    :func:`metadata_match`; with ``only_matching`` a query sees only documents that have all it
+    wants of them, and no other document is read."""
+    if only_matching:
+        full = keep(meta.where("meta >= 1").select("query_id", "tree_id"), "matching")
+        per = single(scoped(scoped(nodes, scope), full), queries, 2 * cfg.top_k, scorer, cfg, meta).join(full, ["query_id", "tree_id"], "left_semi")
+    else:
+        per = single(scoped(nodes, scope), queries, 2 * cfg.top_k, scorer, cfg, meta)
     return merge(fuse(per, cfg.top_k), cfg.top_k)

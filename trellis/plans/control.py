@@ -12,7 +12,7 @@ from trellis.plans import retrieval as rt
 from trellis.schema import NO_DOCUMENTS
 from trellis.sources import ingest, stages
 from trellis.sources.scratch import folder
-from trellis.streaming import progress
+from trellis.streaming import progress, windows
 
 
 def uploads(spark: SparkSession, d: str) -> DataFrame:
@@ -294,6 +294,38 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(found, "id").select("doc_id", "id", F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
+def _delivered(spark: SparkSession, d: str, late: bool):
+    """Events as a stream in two deliveries; with ``late``, a part of the old ones comes in the
+    second. The result of a function of the stream, as it was emitted in both."""
+    base = folder(spark, "windows")
+    e = fx.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("action"), "event_id")
+    lo, hi = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    first = F.unix_micros("ts") <= (lo + hi) // 2
+    if late:
+        first = first & (F.col("action") != "error")
+
+    def run(window) -> DataFrame:
+        for half in (first, ~first):
+            e.where(half).write.mode("append").parquet(f"{base}/in")
+            out = window(spark.readStream.schema(e.schema).parquet(f"{base}/in"))
+            progress.start(out, f"{base}/check", f"{base}/out", "append").awaitTermination()
+        return spark.read.parquet(f"{base}/out").drop("batch")
+
+    return run
+
+
+def audit_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Entries an hour, user and action, all of the old errors delivered late."""
+    out = _delivered(spark, d, True)(lambda e: windows.counts(e, ["user_id", "action"]))
+    return out.select(F.unix_seconds("start").alias("start"), "user_id", "action", "n")
+
+
+def task_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Spells of activity of each task that have ended."""
+    out = _delivered(spark, d, False)(lambda e: windows.sessions(e, "user_id", "6 hours"))
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
 def _val(spark, d):
     return fx.table(spark, d, "events").select("event_id", "value", "props", "event_type")
 
@@ -388,6 +420,8 @@ QUERIES = {
     "P08": lambda s, d: cache.stats(cache.entries(fx.query_log(s, d))),
     "P09": lambda s, d: (lambda e: cache.younger(e, 1_706_000_000, 40 * 86400).select("cache_key", "at"))(cache.entries(fx.query_log(s, d))),
     "P10": p10,
+    "P13_hours": audit_hours,
+    "P13_sessions": task_sessions,
     "G01": lambda s, d: access.has_permission(fx.users(s, d).withColumn("role", F.when(F.col("user_id") % 3 == 0, "guest").otherwise(F.col("role"))), access.role_permissions(s), "documents:list").select("user_id"),
     "G02": lambda s, d: access.role_matrix(access.role_permissions(s)).select("role", F.array_join("permissions", ",").alias("permissions")),
     "G03": lambda s, d: access.role_matrix(access.role_permissions(s)).select("role", access.can(F.col("permissions"), ["cache:view", "admin:users"], False).alias("some"), access.can(F.col("permissions"), ["cache:view", "admin:users"], True).alias("every")),
@@ -521,6 +555,12 @@ SQL = {
             CASE WHEN op = 'upsert' AND NOT there THEN ch.seq ELSE new_at END, CASE WHEN op = 'upsert' AND NOT there THEN NULL ELSE position END
           FROM st JOIN ch ON ch.task_id = st.task_id AND ch.i = st.i + 1)
         SELECT task_id, status, stage, round(pct, 6) AS pct, new_at, position FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY i DESC) = 1) WHERE there ORDER BY new_at DESC NULLS LAST, position""",
+    "P13_hours": """WITH e AS (SELECT epoch_us(ts) AS t, epoch_us(date_trunc('hour', ts)) AS s, CAST(user_id AS VARCHAR) AS user_id, event_type AS action FROM events), m AS (SELECT (min(t) + max(t)) // 2 AS mid, max(t) AS last FROM e),
+        f AS (SELECT max(t) - 3600000000 AS mark FROM e, m WHERE t <= mid AND action <> 'error')
+        SELECT s // 1000000 AS start, user_id, action, count(*) AS n FROM e, m, f WHERE (t <= mid AND action <> 'error' OR s + 3600000000 > (mark // 1000) * 1000) AND s + 3600000000 <= ((last - 3600000000) // 1000) * 1000 GROUP BY ALL""",
+    "P13_sessions": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) AS t FROM events), b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 21600000000 THEN 0 ELSE 1 END AS new FROM e),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM b)
+        SELECT user_id, min(t) AS start, max(t) + 21600000000 AS "end", count(*) AS n FROM g GROUP BY user_id, k HAVING max(t) + 21600000000 <= (SELECT (max(t) - 3600000000) // 1000 * 1000 FROM e)""",
     "G01": W_US + "SELECT user_id FROM us WHERE user_id % 3 <> 0 AND role IN ('admin', 'manager', 'analyst')",
     "G02": f"WITH {PERMS} SELECT role, string_agg(permission, ',' ORDER BY permission) AS permissions FROM perm GROUP BY role",
     "G03": f"WITH {PERMS} SELECT role, bool_or(permission IN ('cache:view', 'admin:users')) AS some, count(*) FILTER (permission IN ('cache:view', 'admin:users')) = 2 AS every FROM perm GROUP BY role",

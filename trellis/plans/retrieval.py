@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis import fixtures as fx
 from trellis.functions import scalar
-from trellis.operators import context, index, retrieve, tree, vector
+from trellis.operators import context, index, retrieve, service, tree, vector
 from trellis.operators.retrieve import PLACE
 from trellis.sources.scratch import folder, keep
 
@@ -192,6 +192,59 @@ def r_rerank(spark, d):
     return out.select("query_id", "tree_id", "node_id", _score(), "rank")
 
 
+def wanted(spark, d):
+    """Of each query: a file name and a number of nodes that it wants."""
+    q = fx.queries(spark, d).select("query_id")
+    k = F.col("query_id")
+    field = F.explode(F.array(F.struct(F.lit("filename").alias("field"), F.concat(F.lit("SRC"), (k % 20).cast("string"), F.lit(".pdf")).alias("value")), F.struct(F.lit("nodes").alias("field"), ((k % 3) * 10 + 31).cast("string").alias("value"))))
+    return q.select("query_id", field.alias("x")).select("query_id", "x.*")
+
+
+WANTED = """, mt AS (SELECT q.query_id, m.doc_id AS tree_id, (CAST(lower(m.filename) = 'src' || (q.query_id % 20) || '.pdf' AS INTEGER) * 1.0 + CAST(m.nodes = (q.query_id % 3) * 10 + 31 AS INTEGER)) / 2 AS a, (CAST(m.nodes = (q.query_id % 3) * 10 + 31 AS INTEGER)) / 2 AS b FROM queries q, meta m),
+mw AS (SELECT query_id, tree_id, CAST(coalesce(a, b) AS DOUBLE) AS meta FROM mt)"""
+
+
+def _matched(spark, d):
+    return retrieve.metadata_match(wanted(spark, d), meta(spark, d), ["filename", "nodes"])
+
+
+def r_metadata(spark, d):
+    """Hybrid scores with metadata that counts."""
+    n, q = _chain(spark, d)
+    return retrieve.hybrid(retrieve.beam(n, q), n, meta=_matched(spark, d)).select("query_id", "tree_id", "node_id", F.round("meta", 6).alias("meta"), _score())
+
+
+def r_filtered(spark, d):
+    """Only documents with the file name that a query wants."""
+    n, q = _chain(spark, d)
+    only = retrieve.metadata_match(wanted(spark, d).where("field = 'filename'"), meta(spark, d), ["filename"])
+    return retrieve.retrieve(n, q, meta=only, only_matching=True).select("query_id", "tree_id", "node_id", _score(), "rank")
+
+
+def c_diverse(spark, d):
+    """Five of the twenty best of each query, unlike each other."""
+    n, q = _chain(spark, d)
+    pool = retrieve.merge(retrieve.fuse(retrieve.single(n, q, 10), 5), 20)
+    return context.diversified(pool, n, 5).select("query_id", "tree_id", "node_id", "pick")
+
+
+def asked_twice(spark, d):
+    """All queries, every other one of them asked before: over all documents, or over two for
+    every fifth one, and each twice in the batch."""
+    n, q = _chain(spark, d)
+    vectors = keep(q.select("query_id", "query_vec"), "vectors")
+    k = F.col("query_id")
+    plain = q.select("query_id", "query_text", F.when(k % 5 == 0, F.array(F.lit("src1"), F.lit("src2"))).alias("doc_ids"))
+    encode = lambda x: x.join(vectors, "query_id")
+    none = spark.createDataFrame([], service.ENTRY)
+    at = 1_700_000_000
+    _, entries = service.ask(plain.where(k % 2 == 0), n, meta(spark, d), none, at, encode)
+    cached = keep(service.put(none, entries), "cache")
+    again = plain.unionByName(plain.withColumn("query_id", k + 1_000_000).withColumn("query_text", F.concat(F.lit("  "), F.translate("query_text", "abcdefghij", "ABCDEFGHIJ"), F.lit("?"))))
+    answers, _ = service.ask(again, n, meta(spark, d), cached, at + 60, encode)
+    return answers.select("query_id", "hit", F.md5("answer").alias("answer"), F.to_json("sources").alias("sources"), "thinking")
+
+
 def r_variants(spark, d):
     n, q = _chain(spark, d)
     out = retrieve.fuse(retrieve.single(n, fx.as_variants(q), 10), 5)
@@ -309,7 +362,10 @@ QUERIES = {
     "R08": lambda s, d: r_hybrid(s, d).select("query_id", "tree_id", "node_id", "lex"),
     "R09": lambda s, d: r_hybrid(s, d).select("query_id", "tree_id", "node_id", "sem"),
     "R10": lambda s, d: r_hybrid(s, d).select("query_id", "tree_id", "node_id", "meta"),
+    "R10_on": r_metadata,
+    "R10_filter": r_filtered,
     "R11": r_hybrid,
+    "Q07": asked_twice,
     "R12": r_rerank,
     "R13": lambda s, d: retrieve.single(*_chain(s, d), 5).select("query_id", "tree_id", "node_id", _score(), "rank"),
     "R14": r_variants,
@@ -323,6 +379,7 @@ QUERIES = {
     "J03": lambda s, d: (lambda n, q: retrieve.retrieve(n, q).join(n.select("tree_id", "node_id", "title"), ["tree_id", "node_id"]).select("query_id", "tree_id", "node_id", "title"))(*_chain(s, d)),
     "J04": lambda s, d: r_merge(s, d).join(meta(s, d), F.col("tree_id") == F.col("doc_id"), "left").select("query_id", "tree_id", "node_id", F.coalesce("filename", "tree_id").alias("filename")),
     "C01": lambda s, d: _kept(s, d)[3].select("query_id", "tree_id", "node_id", "rank"),
+    "C01_mmr": c_diverse,
     "C02": lambda s, d: context.prune_parents(_kept(s, d)[3]).select("query_id", "tree_id", "node_id", "rank"),
     "C03": lambda s, d: (lambda x: context.contexts(context.prune_parents(x[3]), x[0]))(_kept(s, d)),
     "C04": lambda s, d: fx.table(s, d, "benchmark").select("item_id", context.guard(F.when(F.col("item_id") % 3 != 0, F.when(F.col("item_id") % 3 == 1, "  ").otherwise(F.col("text")))).alias("answer")),
@@ -407,3 +464,30 @@ SQL = {
     "W03": MD + "SELECT tree_id, CAST(pos - 1 AS INTEGER) AS pos, ord, is_header FROM sg",
 }
 SQL["R04_index"] = SQL["R04"]
+SQL["R10_on"] = N + HYBRID + f", {META}" + WANTED + " SELECT query_id, tree_id, node_id, round(coalesce(meta, 0), 6) AS meta, round(score + 0.2 * coalesce(meta, 0), 6) AS score FROM hybrid LEFT JOIN mw USING (query_id, tree_id)"
+SQL["R10_filter"] = (
+    N + HYBRID + f", {META}" + """,
+  hw AS (SELECT hybrid.* EXCLUDE (score), score + 0.2 AS score FROM hybrid JOIN meta ON doc_id = tree_id AND lower(filename) = 'src' || (query_id % 20) || '.pdf'),
+  hr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tree_id ORDER BY round(score, 9) DESC, ord) AS k FROM hw) WHERE k <= 5)
+  SELECT CAST(query_id AS BIGINT) AS query_id, tree_id, node_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM hr"""
+)
+SQL["C01_mmr"] = (
+    N.replace("WITH ", "WITH RECURSIVE ", 1) + FUSED + """,
+  pool AS MATERIALIZED (SELECT p.*, n.embedding FROM (SELECT query_id, tree_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, tree_id, ord) AS rank FROM fused) p JOIN nodes n USING (tree_id, node_id) WHERE rank <= 20),
+  ps AS MATERIALIZED (SELECT a.query_id, a.rank, any_value(a.score) AS score, list(coalesce(list_inner_product(a.embedding, b.embedding), 0) ORDER BY b.rank) AS sims FROM pool a JOIN pool b USING (query_id) GROUP BY a.query_id, a.rank),
+  g AS (SELECT DISTINCT query_id, 0 AS step, [] :: BIGINT[] AS picked FROM pool
+    UNION ALL SELECT query_id, step, picked FROM (
+      SELECT g.query_id, g.step + 1 AS step, list_append(g.picked, r.rank) AS picked, row_number() OVER (PARTITION BY g.query_id ORDER BY round(0.7 * r.score - 0.3 * coalesce(list_max(list_transform(g.picked, lambda p: r.sims[p])), 0), 9) DESC, r.rank) AS k
+      FROM g JOIN ps r ON r.query_id = g.query_id AND NOT list_contains(g.picked, r.rank) WHERE g.step < 5) WHERE k = 1),
+  w AS (SELECT query_id, max_by(picked, step) AS picked FROM g GROUP BY 1),
+  u AS (SELECT query_id, unnest(picked) AS rank, unnest(range(1, len(picked) + 1)) AS pick FROM w)
+  SELECT query_id, tree_id, node_id, CAST(pick AS INTEGER) AS pick FROM u JOIN pool USING (query_id, rank)"""
+)
+# the merge sees only the documents that a query asks for
+_ASKED = CONTEXT.replace("FROM fused) WHERE rank <= 5)", "FROM fused WHERE query_id % 5 <> 0 OR tree_id IN ('src1', 'src2')) WHERE rank <= 5)")
+SQL["Q07"] = N + _ASKED + f", {META}" + """,
+  so AS (SELECT query_id, CAST(to_json(list({'doc_id': tree_id, 'node_id': node_id, 'title': title, 'filename': coalesce(filename, tree_id)} ORDER BY rank)) AS VARCHAR) AS sources FROM ranked LEFT JOIN meta ON doc_id = tree_id GROUP BY 1),
+  an AS (SELECT q.query_id, query_text, md5(context) AS answer, sources FROM queries q JOIN ctx USING (query_id) JOIN so USING (query_id))
+  SELECT query_id + o AS query_id, query_id % 2 = 0 AS hit, answer, sources,
+    CASE WHEN query_id % 2 = 0 THEN '[Cache hit — age 60s] Query rewritten and variants generated at first call.' ELSE 'Original: ' || query_text || chr(10) || 'Rewritten: ' || query_text || chr(10) || 'Variants (0): ' END AS thinking
+  FROM an, (VALUES (0 :: BIGINT), (1000000)) t(o)"""
