@@ -3,11 +3,14 @@
 Texts are multisets (or, with ``weights="set"``, sets) of shingles of five words, and a
 shingle weighs as much as it occurs. Every
 element owns a plane of weight and rank over which a fixed hash throws darts, one expected
-in each unit cell. A text takes the darts under its elements' weights whose rank is below
+in each cell of area one. Cells are as wide as high for weights below one, and twice as wide and
+half as high from each power of two on, so a text visits about as many cells as it has darts, and
+for each element the logarithm of its weight, however heavy elements are. A text takes the darts under its elements' weights whose rank is below
 a bound chosen so that about k ln k + 2k darts fall in; each dart belongs to one of k
 coordinates, and the lowest rank of a coordinate is its signature. Two texts agree in a
 coordinate with a probability equal to their weighted Jaccard similarity. Texts with an
-empty coordinate throw again with the bound doubled, which changes no filled one.
+empty coordinate throw again with the bound doubled, which changes no filled one; a coordinate
+that no throw fills counts as the highest rank, which all such texts share.
 
 Signatures are cut into bands. First, texts with the same words fall together by a 128-bit
 digest, whatever the size of the group. Then each text is compared with the smallest of
@@ -90,23 +93,26 @@ def _throw(s: np.ndarray, row: np.ndarray, weight: np.ndarray | None, rows: int,
     while len(s):
         mass = np.bincount(row, weights=weight, minlength=rows)
         bound = np.minimum(darts / np.maximum(mass, 1e-12), float(1 << (_RANK_BITS - _FRACTION_BITS - 1)))
-        layers = np.ones(len(s), np.int64) if weight is None else np.ceil(weight).astype(np.int64)
-        ranks = np.ceil(bound[row]).astype(np.int64)
-        cells = layers * ranks
-        e = np.repeat(np.arange(len(s)), cells)
-        cell = np.arange(len(e)) - np.repeat(np.cumsum(cells) - cells, cells)
-        layer, rank = cell // ranks[e], cell % ranks[e]
-        h = textvec.mix(s[e] ^ textvec.mix((layer << 32) | rank, 6))
+        # region 0 holds weights from 0 to 1, region g those from 2 ** (g - 1) to 2 ** g
+        regions = np.ones(len(s), np.int64) if weight is None else 1 + np.ceil(np.log2(np.maximum(weight, 1.0))).astype(np.int64)
+        e = np.repeat(np.arange(len(s)), regions)
+        region = np.arange(len(e)) - np.repeat(np.cumsum(regions) - regions, regions)
+        flat = np.maximum(region - 1, 0)  # halvings of the height
+        cells = np.ceil(np.ldexp(bound[row[e]], flat)).astype(np.int64)
+        c = np.repeat(np.arange(len(e)), cells)
+        rank = np.arange(len(c)) - np.repeat(np.cumsum(cells) - cells, cells)
+        h = textvec.mix(s[e[c]] ^ textvec.mix((region[c] << 32) | rank, 6))
         n = np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) * 2.0**-53, "right")
-        at = np.repeat(np.arange(len(e)), n)
+        at = np.repeat(np.arange(len(c)), n)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         d = textvec.mix(h[at] + nth.astype(np.uint64), 8)
-        r = (rank[at].astype(np.uint64) << np.uint64(_FRACTION_BITS)) | (d >> np.uint64(64 - _FRACTION_BITS))
-        own = row[e[at]]
+        of = c[at]
+        r = ((rank[at].astype(np.uint64) << np.uint64(_FRACTION_BITS)) | (d >> np.uint64(64 - _FRACTION_BITS))) >> flat[of].astype(np.uint64)
+        own = row[e[of]]
         keep = r < (bound[own] * 2.0**_FRACTION_BITS).astype(np.uint64)
         if weight is not None:
             high = (textvec.mix(d, 9) >> np.uint64(11)).astype(float) * 2.0**-53
-            keep &= layer[at] + high < weight[e[at]]
+            keep &= np.ldexp((region[of] > 0) + high, flat[of]) < weight[e[of]]
         r, own, d = r[keep], own[keep], d[keep]
         slot = own * k + ((d & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)
         packed = np.sort((slot.astype(np.uint64) << np.uint64(_RANK_BITS)) | (r + np.uint64(1))) if rows * k < 1 << (64 - _RANK_BITS) else None
@@ -120,8 +126,10 @@ def _throw(s: np.ndarray, row: np.ndarray, weight: np.ndarray | None, rows: int,
         empty = (out == 0).any(axis=1) & (mass > 0)
         again = empty[row]
         s, row, weight, darts = s[again], row[again], None if weight is None else weight[again], darts * 2
-        if darts > k * float(1 << 20):
-            raise ValueError("darts leave a coordinate empty")
+        if len(s) and darts > k * float(1 << 20):
+            left = empty[:, None] & (out == 0)
+            out[left] = (1 << _RANK_BITS) - 1
+            break
     return out
 
 
