@@ -85,7 +85,7 @@ def test_line_dedup_against_all_pairs(spark):
             if line.strip() and any(line == o or (len(line) >= 20 and len(o) >= 20 and near(line, o)) for o in seen):
                 want.setdefault(i, []).append(n)
             seen.append(line)
-    found, _ = line_dedup.verdicts(spark.createDataFrame(rows, "doc_id long, text string"))
+    found, _ = line_dedup.verdicts(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=20)
     got = defaultdict(list)
     for x in found.where("goes").select("doc.doc_id", "nth").collect():
         got[x["doc_id"]].append(x["nth"])
@@ -201,6 +201,43 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert (few > 0).all()
 
 
+@pytest.mark.parametrize("top", [1.0, 2.0, 3.5, 900.0])
+def test_dart_signatures_of_any_weights(top):
+    r = np.random.default_rng(2)
+    s = r.integers(0, 2**62, 80).astype(np.uint64)
+    w1 = r.uniform(0.01, top, 80)
+    w2 = np.where(r.random(80) < 0.4, r.uniform(0.01, top, 80), w1)
+    sig = near_dedup.dart_minhash(np.concatenate([s, s]), np.repeat([0, 1], 80), np.concatenate([w1, w2]), 2, 3000)
+    assert (sig > 0).all()
+    assert abs((sig[0] == sig[1]).mean() - np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()) < 0.03
+
+
+def test_heavy_elements_cost_no_more_darts(monkeypatch):
+    s, sizes, mix = np.arange(1, 101, dtype=np.uint64), [], textvec.mix
+    monkeypatch.setattr(textvec, "mix", lambda x, seed=0: sizes.append(len(x)) or mix(x, seed))
+    for w in (1.0, 1e4, 1e9):
+        near_dedup.dart_minhash(s, np.zeros(100, int), np.full(100, w), 1, 180)
+        sizes.append(-1)
+    one, two, three = (sum(map(int, part.split())) for part in " ".join(map(str, sizes)).split("-1")[:3])
+    assert three < 4 * one and two < 4 * one  # a logarithm of the weight, not the weight
+
+
+def test_an_empty_coordinate_has_a_value():
+    tiny = near_dedup.dart_minhash(np.array([5], np.uint64), np.zeros(1, int), np.array([1e-9]), 1, 180)
+    assert (tiny > 0).all()
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    from trellis.llm.graph import components
+
+    r = random.Random(12)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 301), (301, 300), (300, 301)]
+    r.shuffle(edges)
+    got = {x["v"]: x["comp"] for x in components(spark.createDataFrame([e if r.random() < 0.5 else e[::-1] for e in edges], "a long, b long")).collect()}
+    assert got == {v: 0 if v <= 40 else v // 100 * 100 for e in edges for v in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def brute_classes(rows, threshold=0.8, weights="count"):
     sets = {}
     for i, t in rows:
@@ -571,6 +608,34 @@ def test_quality_and_sites(spark, odd, none, labels):
     assert quality.score(odd, labels.where("doc_id < 0")).where("score is null").count() == 0
 
 
+def test_sites_tell_what_texts_do_not(spark):
+    """Texts say little, hosts and folders much: the score loses less than the evidence."""
+    r = random.Random(28)
+    share = {("good.org", "a"): 0.95, ("good.org", "b"): 0.6, ("bad.com", "a"): 0.05, ("bad.com", "b"): 0.4, **{(f"rare{i}.net", "a"): r.choice([0.1, 0.9]) for i in range(40)}}
+    keys, rows, marks = list(share), [], []
+    texts = make(1500, 29)
+    for i in range(1500):
+        host, path = r.choice(keys[:4]) if r.random() < 0.8 else r.choice(keys)
+        good = r.random() < share[host, path]
+        text = texts[i][1] if r.random() < (0.6 if good else 0.4) else "!!! ### " * 10
+        rows.append((i, text, f"https://www.{host}:80/{path}/page{i}.html?x=1"))
+        marks.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string")
+    host, path = quality.sites(F.col("url"))
+    out = quality.score(docs.withColumn("host", host).withColumn("folder", path), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), host="host", path="folder").where("held_out").collect()
+    loss = lambda c: -sum(math.log(x[c] if marks[x["doc_id"]][1] else 1 - x[c]) for x in out) / len(out)
+    assert loss("score") < 0.85 * loss("evidence")
+    odd_ones = spark.createDataFrame([("http://A.b/c/d",), ("ftp://u:p@www.x.y",), ("no address",), ("",), (None,), ("http://h/x",)], "u string").select(*quality.sites(F.col("u"))).collect()
+    assert [tuple(x) for x in odd_ones] == [("a.b", "c"), ("x.y", ""), (None, None), (None, None), (None, None), ("h", "")]
+
+
+def test_scores_take_ids_of_any_kind(spark, labels):
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t, *_ in make(20, 30)] + [(None, None)], "doc_id string, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit(1))
+    own = labels.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "quality", "toxic")
+    assert quality.score(docs, own).where("score between 0 and 1").count() == 21
+    assert {x["doc_id"] for x in mixing.takes(docs).collect()} == {None, *[f"d{i}" for i in range(20)]}
+
+
 def test_sites_against_formula(spark):
     """Site shares and scores recomputed from each row's own evidence and the labels."""
     r = random.Random(27)

@@ -165,7 +165,7 @@ def variants(found: DataFrame, parts: int) -> DataFrame:
     return found.mapInArrow(run, "h1 long, h2 long, full boolean, key long").distinct()
 
 
-def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def verdicts(docs: DataFrame, parts: int = 2, min_chars: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines, rows): every line with ``goes``; and the numbered rows (doc, text) they come from."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rowid")).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -217,6 +217,6 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the lines of each document that go."""
-    found, _ = verdicts(table(spark, sf_dir, "documents"), min_chars=0)
+    found, _ = verdicts(table(spark, sf_dir, "documents"))
     per = found.groupBy("doc").agg(F.count("*").alias("n_lines"), F.sum(F.col("goes").cast("long")).alias("n_gone"), F.sum((F.col("goes") & F.col("near")).cast("long")).alias("n_near"), F.sort_array(F.collect_list(F.when(F.col("goes"), F.col("nth").cast("int")))).alias("gone"))
     return per.select("doc.doc_id", "n_lines", (F.col("n_lines") - F.col("n_gone")).alias("n_kept"), "n_near", "gone")

@@ -17,7 +17,7 @@ number of sources is checked against ``max_sources``. Positions are summed in th
 of parts, so a source that holds a third of all rows is spread over many tasks.
 
 Defined results: a null or empty text has no words and is never taken; null is a source
-of its own, after all others; repeated rows are separate documents, told apart by a hash of
+of its own, after all others; a source of another type counts by its text; repeated rows are separate documents, told apart by a hash of
 all their columns; an empty table gives no rows; other columns are ignored by :func:`takes`
 and kept by :func:`mixed`.
 """
@@ -157,7 +157,7 @@ def _placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: s
     """Documents with sid, blk (words in the source's blocks) and pos, the words of the source
     before them. Parts of a source have PART_ROWS rows and are summed by parts of parts."""
     spark = docs.sparkSession
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("h"), row_hash(docs).alias("r")), "mix-sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("h"), row_hash(docs).alias("r")), "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources only as far as the driver can hold one row each")
@@ -235,7 +235,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
     whole = F.col(words_) == F.col(size_)
     texts = docs.withColumn(key_, F.xxhash64(text_col)).withColumn(row_, row_hash(docs)).withColumn(nth_, F.row_number().over(Window.partitionBy(id_col, key_, source_col).orderBy(row_)))
-    both = texts.join(spans.hint("merge"), texts[id_col].eqNullSafe(spans[id_]) & (texts[key_] == spans[h_]) & texts[source_col].eqNullSafe(spans[source_]) & (texts[nth_] == spans[dup_]))
+    both = texts.join(spans.hint("merge"), texts[id_col].eqNullSafe(spans[id_]) & (texts[key_] == spans[h_]) & texts[source_col].cast("string").eqNullSafe(spans[source_]) & (texts[nth_] == spans[dup_]))
     out = both.where(whole).unionByName(both.where(~whole).withColumn(text_col, F.pandas_udf(_cut, T.StringType())(F.col(text_col), F.col(cuts_))))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))

@@ -8,7 +8,7 @@ and between the paths of a host, so a path with few rows is drawn to its host, a
 with few rows to the global share. A document's own row is taken out of its site's sums.
 The score adds the site's log-odds to the document's, less the global ones counted twice.
 
-``host`` and ``path`` are any two columns; ``documents`` has no address, so the query takes
+``host`` and ``path`` are any two columns, as :func:`sites` makes of an address; ``documents`` has no address, so the query takes
 source as host and language as path. Labels are learned only from rows outside the held-out
 fold (remainder 1 of 3), and the curve from at most ``max_train`` of them.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import textvec
@@ -116,6 +116,14 @@ def _precision(sites: DataFrame, centre: str) -> float:
     return float(min(1e4, max(1.0, v / between - 1))) if between > 0 and v > 0 else 1e4
 
 
+def sites(address: Column) -> tuple[Column, Column]:
+    """(host, path) of web addresses: the host in lower case without "www." and port, and the first
+    folder of the path; null for what is no address."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    path = F.regexp_extract(address, r"^[^:]+://[^/?#]*/([^/?#]+)/", 1)
+    return F.when(host != "", host), F.when(host != "", path)
+
+
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", soft: float = 0.2, max_train: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, evidence (probability by text alone), site (the posterior share of
     its path without the row itself), score."""
