@@ -14,22 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One section tree for each source of documents."""
+    """One section tree for each source of documents. Numbers, parents and depths are worked out on
+    ids alone; texts and vectors are joined to them afterwards."""
     docs, emb = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    flat = docs.select(
-        F.col("source").alias("tree_id"),
-        "doc_id",
-        (r + 1).cast("int").alias("ord"),
-        F.when(r % 7 == 0, 1).when((r % 7).isin(1, 4), 2).otherwise(3).cast("int").alias("header_level"),
-        F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("title"),
-        F.col("text").alias("content"),
-        F.left("text", F.lit(300)).alias("summary"),
-    )
-    vec = F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % F.col("n_vec")).alias("vec_id")
-    numbered = flat.crossJoin(F.broadcast(emb.agg(F.count("*").alias("n_vec")))).select("*", vec)
-    with_vec = numbered.join(emb.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id", "n_vec", "doc_id")
-    return tree.with_depth(tree.with_parents(with_vec)).withColumn("kind", F.lit("section"))
+    level = F.when(r % 7 == 0, 1).when((r % 7).isin(1, 4), 2).otherwise(3).cast("int")
+    bare = docs.select(F.col("source").alias("tree_id"), "doc_id", (r + 1).cast("int").alias("ord"), level.alias("header_level"))
+    placed = tree.with_depth(tree.with_parents(bare))
+    texts = docs.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("title"), F.col("text").alias("content"), F.left("text", F.lit(300)).alias("summary"))
+    vec = F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % F.lit(emb.count())).alias("vec_id")
+    both = placed.join(texts, "doc_id").select("*", vec).join(emb.select("vec_id", "embedding"), "vec_id", "left")
+    return both.select("tree_id", "ord", "header_level", "title", "content", "summary", "embedding", "node_id", "parent_id", "depth", F.lit("section").alias("kind"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,7 +233,10 @@ STATE = """ev AS (SELECT CAST(user_id AS VARCHAR) AS task_id, ts, event_id AS se
 state AS (SELECT task_id, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) AS stage, arg_max(pct, (ts, seq)) FILTER (pct IS NOT NULL) AS pct, arg_max(error, (ts, seq)) FILTER (error IS NOT NULL) AS error, max(ts) AS updated_at FROM ev GROUP BY task_id)"""
 LOG = """lg AS (SELECT event_type || '-' || (user_id % 10) AS cache_key, CAST(floor(epoch(ts)) AS BIGINT) AS "at", event_id AS seq, [CAST(user_id % 7 AS VARCHAR), CAST(user_id % 5 + 10 AS VARCHAR)] AS doc_ids FROM events)"""
 USERS = """us AS (SELECT c_custkey AS user_id, c_name AS username, lower(c_name) || '@example.com' AS email, 'Full ' || c_name AS full_name, (['admin', 'manager', 'analyst', 'viewer'])[c_custkey % 4 + 1] AS role, c_custkey % 10 <> 0 AS is_active, c_custkey % 97 AS created_at FROM customer)"""
-PERMS = "perm(role, permission) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r, own in access.PERMISSIONS.items() for p in own) + ")"
+PERMS = """perm(role, permission) AS (VALUES
+  ('admin', 'ingest:create'), ('admin', 'ingest:view_progress'), ('admin', 'documents:list'), ('admin', 'documents:delete'), ('admin', 'query:execute'), ('admin', 'citations:view'), ('admin', 'tasks:cancel'), ('admin', 'tasks:view_all'), ('admin', 'cache:view'), ('admin', 'cache:manage'), ('admin', 'admin:users'), ('admin', 'admin:roles'), ('admin', 'admin:view_audit'),
+  ('manager', 'ingest:create'), ('manager', 'ingest:view_progress'), ('manager', 'documents:list'), ('manager', 'documents:delete'), ('manager', 'query:execute'), ('manager', 'citations:view'), ('manager', 'tasks:cancel'), ('manager', 'tasks:view_all'), ('manager', 'cache:view'), ('manager', 'cache:manage'),
+  ('analyst', 'ingest:view_progress'), ('analyst', 'documents:list'), ('analyst', 'query:execute'), ('analyst', 'citations:view'), ('analyst', 'cache:view'), ('viewer', 'query:execute'), ('viewer', 'citations:view'))"""
 
 
 def p10(spark: SparkSession, d: str) -> DataFrame:
@@ -326,6 +329,18 @@ def task_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Each prompt with its number of variables, and how often the tables' nodes, images and
+    questions need it."""
+    need = rt.corpus(spark, d).where("content <> ''").select(F.lit("node_summary").alias("key"))
+    need = need.unionByName(rt.corpus(spark, d).where("content = ''").select(F.lit("node_summary_fallback").alias("key")))
+    need = need.unionByName(ingest.capped_images(images(spark, d)).select(F.lit("image_description").alias("key")))
+    for key in ("answer", "query_rewrite"):
+        need = need.unionByName(fx.queries(spark, d).select(F.lit(key).alias("key")))
+    used = need.groupBy("key").agg(F.count("*").alias("uses"))
+    return ingest.prompts(spark).join(used, "key", "left").select("key", F.size("variables").alias("n"), F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
+
+
 def _val(spark, d):
     return fx.table(spark, d, "events").select("event_id", "value", "props", "event_type")
 
@@ -361,7 +376,7 @@ QUERIES = {
     "M05": lambda s, d: fx.table(s, d, "benchmark").select("item_id", ingest.seams.extractive_summary(F.concat(F.lit("item "), F.col("item_id").cast("string")), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("# only a header")).alias("summary")),
     "M06": lambda s, d: fx.table(s, d, "benchmark").select("item_id", F.concat(F.lit("SCOPE: s"), F.col("item_id").cast("string"), F.lit("\nTOPICS: a, b\nENTITIES: "), F.left("text", F.lit(5)), F.lit("\nKEYWORDS: k")).alias("t")).select("item_id", *sc.summary_fields(F.col("t"))),
     "M07": m07,
-    "M10": lambda s, d: ingest.prompts(s).select("key", F.size("variables").alias("n")),
+    "M10": prompts,
     "F04": lambda s, d: fx.table(s, d, "documents").select("doc_id", sc.valid_query(F.when(F.col("doc_id") % 9 == 0, " \n ").otherwise(F.col("text"))).alias("ok")),
     "F05": lambda s, d: tasks.active(task_state(s, d)).select("task_id", "status"),
     "F06": lambda s, d: access.audit_search(fx.audit(s, d), "12").select("seq", "action"),
@@ -385,7 +400,7 @@ QUERIES = {
     "O02": lambda s, d: task_state(s, d).orderBy(F.col("updated_at").desc(), "task_id").select("task_id", "updated_at"),
     "O02_users": lambda s, d: fx.users(s, d).orderBy("created_at", "user_id").select("user_id", "created_at"),
     "O03": lambda s, d: fx.audit(s, d).orderBy(F.col("seq").desc()).limit(50).orderBy("seq").select("seq", "action"),
-    "U02": lambda s, d: access.role_permissions(s).select("permission").distinct().orderBy("permission"),
+    "U02": lambda s, d: fx.users(s, d).where("is_active").select("role").distinct().join(access.role_permissions(s), "role").select("permission").distinct().orderBy("permission"),
     "U03": lambda s, d: (lambda n: n.select("tree_id", "node_id").join(n.where("ord % 2 = 0").select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi"))(fx.nodes(s, d)),
     "X01": lambda s, d: _val(s, d).select("event_id", sc.format_duration(F.col("value") * 37).alias("t")),
     "X02": lambda s, d: _val(s, d).select("event_id", sc.format_eta(F.when(F.col("event_id") % 5 != 0, F.col("value") * 3 - 50)).alias("t")),
@@ -423,8 +438,8 @@ QUERIES = {
     "P13_hours": audit_hours,
     "P13_sessions": task_sessions,
     "G01": lambda s, d: access.has_permission(fx.users(s, d).withColumn("role", F.when(F.col("user_id") % 3 == 0, "guest").otherwise(F.col("role"))), access.role_permissions(s), "documents:list").select("user_id"),
-    "G02": lambda s, d: access.role_matrix(access.role_permissions(s)).select("role", F.array_join("permissions", ",").alias("permissions")),
-    "G03": lambda s, d: access.role_matrix(access.role_permissions(s)).select("role", access.can(F.col("permissions"), ["cache:view", "admin:users"], False).alias("some"), access.can(F.col("permissions"), ["cache:view", "admin:users"], True).alias("every")),
+    "G02": lambda s, d: fx.users(s, d).groupBy("role").agg(F.count("*").alias("users")).join(access.role_matrix(access.role_permissions(s)), "role").select("role", "users", F.array_join("permissions", ",").alias("permissions")),
+    "G03": lambda s, d: fx.users(s, d).join(access.role_matrix(access.role_permissions(s)), "role").select("user_id", access.can(F.col("permissions"), ["cache:view", "admin:users"], False).alias("some"), access.can(F.col("permissions"), ["cache:view", "admin:users"], True).alias("every")),
     "G04": lambda s, d: access.collisions(new_users(s, d), fx.users(s, d)).select("s_suppkey"),
     "G05": g05,
     "G06": lambda s, d: tokens_table(s, d).where("exp > 1800").agg(F.count("*").alias("live")),
@@ -492,7 +507,7 @@ SQL = {
     "M02": W_MD + f", k AS (SELECT n.tree_id, n.parent_id AS node_id, string_agg('- ' || n.title || ': s' || n.ord, chr(10) ORDER BY n.ord) AS l FROM mdnodes n JOIN dp USING (tree_id, node_id) WHERE depth = 2 GROUP BY 1, 2) SELECT tree_id, node_id, left(CASE WHEN {DECENT} AND l IS NOT NULL THEN content || chr(10) || chr(10) || 'Child sections:' || chr(10) || l WHEN l IS NOT NULL THEN l WHEN {DECENT} THEN content END, 5000) AS input FROM mdnodes JOIN dp USING (tree_id, node_id) LEFT JOIN k USING (tree_id, node_id) WHERE depth = 1",
     "M03": "SELECT doc_id, md5(left(text, 5000)) AS h FROM documents",
     "M06": "SELECT item_id, 's' || item_id AS scope, 'a, b' AS topics, left(text, 5) AS entities, 'k' AS keywords FROM benchmark",
-    "M10": "SELECT * FROM (VALUES ('answer', 2), ('image_description', 1), ('node_summary', 2), ('node_summary_fallback', 2), ('query_rewrite', 2)) t(key, n)",
+    "M10": f"WITH {rt.NODES}, {IMAGES}, u AS (SELECT 'node_summary' AS key, count(*) AS uses FROM nodes WHERE content <> '' UNION ALL SELECT 'node_summary_fallback', count(*) FROM nodes WHERE content = '' UNION ALL SELECT 'image_description', count(*) FROM cp UNION ALL SELECT 'answer', count(*) FROM queries UNION ALL SELECT 'query_rewrite', count(*) FROM queries) SELECT key, n, uses FROM (VALUES ('answer', 2), ('image_description', 1), ('node_summary', 2), ('node_summary_fallback', 2), ('query_rewrite', 2)) t(key, n) JOIN u USING (key)",
     "F04": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN false ELSE length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) BETWEEN 1 AND 2000 END AS ok FROM documents",
     "F05": W_S + "SELECT task_id, status FROM state WHERE status NOT IN ('done', 'failed', 'cancelled')",
     "F06": "SELECT event_id AS seq, event_type AS action FROM events WHERE contains(event_type, '12') OR contains(lower(props), '12') OR contains(CAST(user_id AS VARCHAR), '12')",
@@ -516,7 +531,7 @@ SQL = {
     "O02": W_S + "SELECT task_id, updated_at FROM state ORDER BY updated_at DESC, task_id",
     "O02_users": W_US + "SELECT user_id, created_at FROM us ORDER BY created_at, user_id",
     "O03": "SELECT seq, action FROM (SELECT event_id AS seq, event_type AS action FROM events ORDER BY 1 DESC LIMIT 50) ORDER BY seq",
-    "U02": f"WITH {PERMS} SELECT DISTINCT permission FROM perm ORDER BY 1",
+    "U02": f"WITH {USERS}, {PERMS} SELECT DISTINCT permission FROM us JOIN perm USING (role) WHERE is_active ORDER BY 1",
     "U03": W_N + "SELECT tree_id, node_id FROM nodes WHERE ord % 2 = 0",
     "X01": f"SELECT event_id, {DUR.format(x='(value * 37)')} AS t FROM events",
     "X02": f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Estimating…' WHEN value * 3 - 50 <= 0 THEN 'Almost done…' ELSE '~' || {DUR.format(x='(value * 3 - 50)')} || ' remaining' END AS t FROM events",
@@ -562,8 +577,8 @@ SQL = {
         g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM b)
         SELECT user_id, min(t) AS start, max(t) + 21600000000 AS "end", count(*) AS n FROM g GROUP BY user_id, k HAVING max(t) + 21600000000 <= (SELECT (max(t) - 3600000000) // 1000 * 1000 FROM e)""",
     "G01": W_US + "SELECT user_id FROM us WHERE user_id % 3 <> 0 AND role IN ('admin', 'manager', 'analyst')",
-    "G02": f"WITH {PERMS} SELECT role, string_agg(permission, ',' ORDER BY permission) AS permissions FROM perm GROUP BY role",
-    "G03": f"WITH {PERMS} SELECT role, bool_or(permission IN ('cache:view', 'admin:users')) AS some, count(*) FILTER (permission IN ('cache:view', 'admin:users')) = 2 AS every FROM perm GROUP BY role",
+    "G02": f"WITH {USERS}, {PERMS}, p AS (SELECT role, string_agg(permission, ',' ORDER BY permission) AS permissions FROM perm GROUP BY role) SELECT role, count(*) AS users, permissions FROM us JOIN p USING (role) GROUP BY role, permissions",
+    "G03": f"WITH {USERS}, {PERMS} SELECT user_id, bool_or(permission IN ('cache:view', 'admin:users')) AS some, count(*) FILTER (permission IN ('cache:view', 'admin:users')) = 2 AS every FROM us JOIN perm USING (role) GROUP BY user_id",
     "G04": W_US + ", nu AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') ELSE lower(s_name) END AS n, CASE WHEN s_suppkey % 5 = 0 THEN 'customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '@example.com' ELSE 'new@example.com' END AS m FROM supplier) SELECT s_suppkey FROM nu WHERE n IN (SELECT lower(username) FROM us) OR m IN (SELECT email FROM us)",
     "G05": "WITH RECURSIVE " + USERS + """, ch AS (SELECT user_id + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1000000 END AS user_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, 'u' || event_id AS username,
           CASE WHEN event_type <> 'click' THEN (['admin', 'manager', 'analyst', 'viewer'])[event_id % 4 + 1] END AS role, CASE WHEN event_type = 'view' THEN value > 50 END AS is_active, event_id AS created_at FROM events),
