@@ -480,6 +480,57 @@ def test_language_model_against_formula(spark, odd, none):
     assert lm.score(odd, empty).where("n_known > 0").count() == 0 and lm.score(none, model).count() == 0
 
 
+def test_three_words_against_formula(spark, odd, none):
+    """Order 3 from the definition: counts of triples, then how many words stand before a pair,
+    then before a word."""
+    docs = odd.where("doc_id is not null").unionByName(spark.createDataFrame([(500 + i, f"a b c a b d a b c {'x y z' if i % 3 else 'b c a'} a b", "en", "s", 0, 0, "") for i in range(20)], odd.schema))
+    toks = lambda t: [*WORD.findall(low(t)), None]
+    train = [toks(r["text"]) for r in docs.where("doc_id % 3 <> 0").collect()]
+    c = Counter(w for t in train for w in t)
+    v = len(c)
+    triples = Counter(x for t in train for x in zip(["<s>", "<s>", *t[:-1]][: len(t)], ["<s>", *t[:-1]], t, strict=True))
+    pairs = Counter(x for t in train for x in zip(["<s>", *t[:-1]], t, strict=True))
+    ends = Counter((b, w) for a, b, w in triples if b != "<s>") + Counter({x: n for x, n in pairs.items() if x[0] == "<s>"})
+    ahead = Counter(w for _, w in pairs)
+
+    def cuts(counts):
+        k1, k2, k3, k4 = (sum(x == i for x in counts) for i in (1, 2, 3, 4))
+        y = k1 / (k1 + 2 * k2) if k1 else 0.5
+        raw = (1 - 2 * y * k2 / k1 if k1 else 0.5, 2 - 3 * y * k3 / k2 if k2 else 1.0, 3 - 4 * y * k4 / k3 if k3 else 1.5)
+        return (0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(raw)))
+
+    d1, d2, d3 = cuts([x for w, x in ahead.items() if w is not None]), cuts(ends.values()), cuts(triples.values())
+    rest = sum(d1[min(3, x)] for x in ahead.values()) / len(pairs)
+    sums = [defaultdict(float) for _ in range(4)]
+    for (b, _), x in ends.items():
+        sums[0][b] += x
+        sums[1][b] += d2[min(3, x)]
+    for (a, b, _), x in triples.items():
+        sums[2][a, b] += x
+        sums[3][a, b] += d3[min(3, x)]
+
+    def prob(a, b, w):
+        p = max(0, ahead[w] - d1[min(3, ahead[w])]) / len(pairs) + rest / (v + 1)
+        if sums[0][b]:
+            x = ends[b, w]
+            p = (max(0, x - d2[min(3, x)]) + sums[1][b] * p) / sums[0][b]
+        if sums[2][a, b]:
+            x = triples[a, b, w]
+            p = (max(0, x - d3[min(3, x)]) + sums[3][a, b] * p) / sums[2][a, b]
+        return p
+
+    for part_tokens in (60, 3000):
+        model = lm.train(docs.where("doc_id % 3 <> 0"), part_tokens=part_tokens, order=3)
+        assert part_tokens > 60 or len(model.hot_two) > 1
+        for r, t in zip(lm.score(docs, model).orderBy("doc_id", "score").collect(), docs.orderBy("doc_id").collect(), strict=True):
+            x = toks(t["text"])
+            assert r["score"] == pytest.approx(sum(math.log10(prob(a, b, w)) for a, b, w in zip(["<s>", "<s>", *x[:-1]][: len(x)], ["<s>", *x[:-1]], x, strict=True)))
+    empty = lm.train(none, order=3)
+    assert lm.score(odd, empty).where("n_known > 0").count() == 0 and lm.score(none, model).count() == 0
+    with pytest.raises(ValueError):
+        lm.train(none, order=4)
+
+
 @pytest.mark.parametrize("part_tokens", [50, 400, 10**6])
 def test_scores_do_not_depend_on_the_parts(spark, monkeypatch, part_tokens):
     monkeypatch.setattr(lm, "MAPPED", 3)

@@ -1,5 +1,5 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from
-memory-mapped sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of two or three words, counted in Spark and scored
+from memory-mapped sorted hash arrays.
 
 Counting. Map tasks turn texts into 64-bit word hashes and send (key, count) arrays, summed
 within the task and packed small, to parts by key; one group of a part adds them up and
@@ -11,6 +11,11 @@ follows a context lies together and its kinds (continuations seen once, twice, m
 array by id. Contexts so frequent that they would fill a part are spread over all parts by
 word instead, and only their sums meet.
 
+With ``order`` 3 a third pass counts what follows each pair, in parts by the pair's hash, and
+says of each pair before how many different words it stands. These numbers take the place of
+the pair's counts below the highest order; pairs at the start of a text, which nothing stands
+before, keep their counts.
+
 Scoring. Workers map the arrays and look up the distinct words, contexts and pairs of a
 slice of texts, each in ascending order, part by part as they occur; the model is never in
 their own memory. The number of parts grows with the input. The driver gets two numbers a
@@ -36,6 +41,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,11 +64,15 @@ class Model:
     words: int = 0
     tokens: int = 0
     texts: int = 0
-    discounts: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0,) * 4, (0.0,) * 4)
+    discounts: tuple[tuple[float, ...], ...] = ((0.0,) * 4,) * 3
     kinds: int = 0  # different pairs
     end_before: int = 0  # different words before the end
     unigram_rest: float = 1.0
     hot: dict[int, tuple[int, ...]] = field(default_factory=dict)  # context id: its kinds
+    order: int = 2
+    # with order 3, of frequent contexts of one and of two words: kinds and sum
+    hot_one: dict[int, tuple[int, ...]] = field(default_factory=dict)
+    hot_two: dict[int, tuple[int, ...]] = field(default_factory=dict)
 
     @property
     def offsets(self) -> np.ndarray:
@@ -274,8 +284,10 @@ def _sums(df: DataFrame, n: int) -> list[int]:
     return [int(x or 0) for x in df.agg(*[F.sum(F.col("facts")[i]) for i in range(n)]).first()]
 
 
-def train(docs: DataFrame, text_col: str = "text", part_tokens: int = 2_000_000) -> Model:
+def train(docs: DataFrame, text_col: str = "text", part_tokens: int = 2_000_000, order: int = 2) -> Model:
     """Count ``docs`` and write the arrays. ``part_tokens``: about so many tokens a part."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -286,7 +298,7 @@ def train(docs: DataFrame, text_col: str = "text", part_tokens: int = 2_000_000)
     path = "/" + where.removeprefix("file:").lstrip("/")
     os.makedirs(path)
     parts = max(8, math.ceil(size[0] / 6 / part_tokens))
-    model = Model(path, parts, texts=size[1])
+    model = Model(path, parts, texts=size[1], order=order)
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _flushing(batches, lambda w: w.hashes(), lambda k: _part_of_hash(k, parts))
@@ -363,13 +375,153 @@ def train(docs: DataFrame, text_col: str = "text", part_tokens: int = 2_000_000)
         return pa.table({"part": pa.array([p], pa.int32()), "facts": pa.array([[*_count_counts(n), int((n > 2).sum())]], pa.list_(pa.int64()))})
 
     ends = _sums(second.where("part >= 0").select("part", "n", "keys", "counts").groupBy("part").applyInArrow(add_before, "part int, facts array<long>"), 5)
-    model.discounts = (_discounts(ends[:4]), _discounts(sums[2:6]))
+    model.discounts = (_discounts(ends[:4]), _discounts(sums[2:6]), (0.0,) * 4)
     d = model.discounts[0]
     end_d = d[min(3, model.end_before)]
     model.unigram_rest = (d[1] * ends[0] + d[2] * ends[1] + d[3] * ends[4] + end_d) / model.kinds if model.kinds else 1.0
+    if order == 3:
+        _count_triples(texts, model)
     return model
 
 
+PACKED_TWO = "part int, n long, keys binary, words binary, counts binary"
+
+
+def _contexts_of_two(before: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """The two ids before each token of a stream, the farther one in the high bits."""
+    far = np.empty_like(before)
+    far[1:] = before[:-1]
+    far[textvec.run_starts(n)] = start
+    return (far.astype(np.uint64) << _ID) | before.astype(np.uint64)
+
+
+def _summed_two(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((words, keys))
+    keys, words, counts = keys[order], words[order], counts[order]
+    at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (words[1:] != words[:-1])))[: len(keys)]
+    return keys[at], words[at], np.add.reduceat(counts.astype(np.int64), at) if len(at) else counts.astype(np.int64)
+
+
+def _part_of_two(keys: np.ndarray, words: np.ndarray, model: Model) -> np.ndarray:
+    """Parts of triples: by their context, those of frequent contexts by the word as well."""
+    hot = _find(np.array(sorted(model.hot_two), np.uint64), keys)[1]
+    return _part_of_hash(textvec.mix(np.where(hot, textvec.mix(keys, 61) ^ textvec.mix(words, 62), keys), 63), model.parts)
+
+
+def _emit_two(keys: np.ndarray, words: np.ndarray, counts: np.ndarray, model: Model) -> pa.RecordBatch:
+    part = _part_of_two(keys, words, model)
+    order = np.argsort(part, kind="stable")
+    keys, words, counts = keys[order], words[order].astype(np.uint32), counts[order].astype(np.uint32)
+    rows = [(p, j - i, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(words[i:j]), _pack(counts[i:j])) for p, i, j in _runs(part[order])]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "keys", "words", "counts"])
+
+
+def _kinds(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each run of counts that starts at ``at``: how many are 1, 2 and more, and their sum."""
+    if not len(at):
+        return np.zeros((0, 4), np.int64)
+    return np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts == 1, counts == 2, counts > 2, counts)], axis=1)
+
+
+def _least(counts: np.ndarray) -> np.ndarray:
+    """In as few bytes as they need."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if counts.size else counts.astype(np.uint8)
+
+
+def _hot_sums(df: DataFrame) -> dict[int, tuple[int, ...]]:
+    """Sums of (context, kinds and sum) rows of the column ``hot``; there are fewer than parts."""
+    rows = df.select(F.explode("hot").alias("h")).groupBy(F.col("h")[0].alias("k")).agg(*[F.sum(F.col("h")[i]).alias(f"s{i}") for i in range(1, 5)]).collect()
+    return {int(r["k"]) & (2**64 - 1): tuple(int(r[f"s{i}"]) for i in range(1, 5)) for r in rows}
+
+
+_TOLD = ", facts array<long>, hot array<array<long>>"
+
+
+def _count_triples(texts: DataFrame, model: Model) -> None:
+    spark, parts, path, start = texts.sparkSession, model.parts, model.path, model.words + 1
+    tasks = max(1, min(parts, spark.sparkContext.defaultParallelism))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_load(path, f"pairs-{p}")[np.flatnonzero(_load(path, f"pair-counts-{p}") > model.tokens / parts)] for p in b.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["id"])
+
+    hot = [r["id"] & (2**64 - 1) for r in spark.range(0, parts, 1, tasks).mapInArrow(frequent, "id long").collect()]
+    model.hot_two = dict.fromkeys([*hot, start << 32 | start], (0, 0, 0, 0))
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _emit_two(*_summed_two(keys, words, np.ones(len(keys), np.int64)), model)
+
+        for b in batches:
+            for w in textvec.words(b.column("text"), size=SLICE):
+                ids, back = _distinct(w, model)
+                before, own, n = _pairs(w, ids[back], model)
+                held.append((_contexts_of_two(before, n, start), own.astype(np.uint64)))
+                size += len(own)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def add_triples(group: pa.Table) -> pa.Table:
+        p = group.column("part")[0].as_py()
+        cols = [[_unpack(x, n, kind) for x, n in zip(group.column(c).to_pylist(), group.column("n").to_pylist(), strict=True)] for c, kind in (("keys", np.uint64), ("words", np.uint32), ("counts", np.uint32))]
+        keys, words, counts = _summed_two(np.concatenate([np.cumsum(k, dtype=np.uint64) for k in cols[0]]), np.concatenate(cols[1]).astype(np.uint64), np.concatenate(cols[2]))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        place = np.repeat(np.arange(len(at), dtype=np.uint64), np.diff(np.append(at, len(keys))))
+        _save(path, f"contexts-{p}", keys[at])
+        _save(path, f"triples-{p}", (place << _ID) | words)
+        _save(path, f"triple-counts-{p}", _least(counts))
+        kinds = _kinds(counts, at)
+        _save(path, f"triple-kinds-{p}", _least(kinds))
+        known = _find(np.array(sorted(model.hot_two), np.uint64), keys[at])[1]
+        hot_rows = [[int(k), *map(int, x)] for k, x in zip(keys[at][known].view(np.int64), kinds[known], strict=True)]
+        inner = (keys & _LOW) != np.uint64(start)
+        ends, before = _summed(((keys & _LOW)[inner] << _ID) | words[inner], None)
+        sent = pa.Table.from_batches([_emit(ends, before, _part_of_pair(ends, model))])
+        sent = sent.append_column("facts", pa.array([None] * len(sent), pa.list_(pa.int64()))).append_column("hot", pa.array([None] * len(sent), pa.list_(pa.list_(pa.int64()))))
+        told = pa.table({"part": pa.array([-1], pa.int32()), "n": pa.array([0], pa.int64()), "keys": pa.array([None], pa.binary()), "counts": pa.array([None], pa.binary()), "facts": pa.array([_count_counts(counts)], pa.list_(pa.int64())), "hot": pa.array([hot_rows], pa.list_(pa.list_(pa.int64())))})
+        return pa.concat_tables([sent, told])
+
+    third = materialize(texts.mapInArrow(triples, PACKED_TWO).groupBy("part").applyInArrow(add_triples, PACKED + _TOLD), "lm-triples")
+    highest = _sums(third.where("part < 0"), 4)
+    model.hot_two |= _hot_sums(third.where("part < 0"))
+
+    def add_ends(group: pa.Table) -> pa.Table:
+        """How many different words stand before each pair of a part."""
+        p = group.column("part")[0].as_py()
+        pairs = _load(path, f"pairs-{p}")
+        counts = np.zeros(len(pairs), np.int64)
+        some = group.filter(pa.compute.greater(group.column("n"), 0))
+        if len(some):
+            keys, n = _merged(some)
+            counts[_find(pairs, keys)[0]] = n
+        ctx = pairs >> _ID
+        first = ctx == np.uint64(start)
+        counts[first] = _load(path, f"pair-counts-{p}")[first] if first.any() else 0
+        _save(path, f"ends-{p}", _least(counts))
+        at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))[: len(ctx)]
+        kinds, own = _kinds(counts, at), ~_is_hot(ctx[at], model)
+        lo = model.first_context(p)
+        table = np.zeros((model.first_context(p + 1) - lo, 4), np.int64)
+        table[ctx[at][own].astype(np.int64) - lo] = kinds[own]
+        _save(path, f"end-kinds-{p}", _least(table))
+        hot_rows = [[int(c), *map(int, k)] for c, k in zip(ctx[at][~own], kinds[~own], strict=True)]
+        return pa.table({"part": pa.array([p], pa.int32()), "facts": pa.array([_count_counts(counts)], pa.list_(pa.int64())), "hot": pa.array([hot_rows], pa.list_(pa.list_(pa.int64())))})
+
+    every = spark.range(0, parts, 1, tasks).select(F.col("id").cast("int").alias("part"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
+    ends = third.where("part >= 0").select("part", "n", "keys", "counts").unionByName(every)
+    told = materialize(ends.groupBy("part").applyInArrow(add_ends, "part int" + _TOLD), "lm-ends")
+    model.hot_one = _hot_sums(told)
+    model.discounts = (model.discounts[0], _discounts(_sums(told, 4)), _discounts(highest))
+
+
 def _discounted(c: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     return np.maximum(0.0, c - np.array(d)[np.minimum(c, 3)])
 
@@ -388,7 +540,40 @@ def _rest(ctx: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-def _pair_counts(keys: np.ndarray, model: Model) -> np.ndarray:
+def _end_kinds(ctx: np.ndarray, model: Model) -> np.ndarray:
+    """Kinds and sum of ascending contexts of one word, with order 3."""
+    out = np.zeros((len(ctx), 4), np.int64)
+    known = np.flatnonzero(ctx < model.words + 2)
+    for p, i, j in _runs(_part_of_context(ctx[known], model)):
+        x = _load(model.path, f"end-kinds-{p}")
+        if len(x):
+            out[known[i:j]] = x[ctx[known[i:j]] - model.first_context(p)]
+    for i in np.flatnonzero(_is_hot(ctx.astype(np.uint64), model)):
+        out[i] = model.hot_one.get(int(ctx[i]), (0,) * 4)
+    return out
+
+
+def _triples(keys: np.ndarray, words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of triples, kinds and sum of their contexts) in the order given."""
+    counts, kinds = np.zeros(len(keys), np.int64), np.zeros((len(keys), 4), np.int64)
+    part = _part_of_two(keys, words, model)
+    order = np.lexsort((words, keys, part))
+    for p, i, j in _runs(part[order]):
+        own = order[i:j]
+        at, hit = _find(_load(model.path, f"contexts-{p}"), keys[own])
+        own, at = own[hit], at[hit]
+        if len(own):
+            kinds[own] = _load(model.path, f"triple-kinds-{p}")[at]
+            place, there = _find(_load(model.path, f"triples-{p}"), (at.astype(np.uint64) << _ID) | words[own])
+            counts[own[there]] = _load(model.path, f"triple-counts-{p}")[place[there]]
+    hot = np.array(sorted(model.hot_two), np.uint64)
+    at, hit = _find(hot, keys)
+    if hit.any():
+        kinds[hit] = np.array([model.hot_two[int(k)] for k in hot])[at[hit]]
+    return counts, kinds
+
+
+def _pair_counts(keys: np.ndarray, model: Model, name: str = "pair-counts") -> np.ndarray:
     """Counts of ascending pairs; 0 for an unknown one."""
     out = np.zeros(len(keys), np.int64)
     ctx = keys >> _ID
@@ -401,7 +586,7 @@ def _pair_counts(keys: np.ndarray, model: Model) -> np.ndarray:
         for p, i, j in _runs(part):
             place, hit = _find(_load(model.path, f"pairs-{p}"), keys[at[i:j]])
             if hit.any():
-                out[at[i:j][hit]] = _load(model.path, f"pair-counts-{p}")[place[hit]]
+                out[at[i:j][hit]] = _load(model.path, f"{name}-{p}")[place[hit]]
     return out
 
 
@@ -415,8 +600,12 @@ def token_scores(w: textvec.Words, model: Model) -> tuple[np.ndarray, np.ndarray
     ahead = np.append(_by_id(ids, model, "before"), [model.end_before, 0])
     ids = np.append(ids, [size, size + 1])
     order = np.argsort(ids, kind="stable")
-    rest = np.empty(len(ids))
-    rest[order] = _rest(ids[order], model)
+    rest, followed = np.empty(len(ids)), count.copy()
+    if model.order == 2:
+        rest[order] = _rest(ids[order], model)
+    else:
+        kinds = _end_kinds(ids[order], model)
+        rest[order], followed[order] = kinds[:, :3] @ np.array(model.discounts[1][1:]), kinds[:, 3]
     uniform = 1 / (size + 2)  # all words, the end, and one for all unknown ones
     p1 = _discounted(ahead, model.discounts[0]) / max(1, model.kinds) + model.unigram_rest * uniform
 
@@ -430,9 +619,16 @@ def token_scores(w: textvec.Words, model: Model) -> tuple[np.ndarray, np.ndarray
     known = (ids[before] <= size + 1) & (ids[own] <= size) & (count[before] > 0)
     keys, pair = np.unique((ids[before[known]].astype(np.uint64) << _ID) | ids[own[known]].astype(np.uint64), return_inverse=True)
     seen = np.zeros(len(own), np.int64)
-    seen[known] = _pair_counts(keys, model)[pair]
-    total = np.where(ids[before] <= size + 1, count[before], 0)
+    seen[known] = _pair_counts(keys, model, "pair-counts" if model.order == 2 else "ends")[pair]
+    total = np.where(ids[before] <= size + 1, followed[before], 0)
     p = np.where(total > 0, (_discounted(seen, model.discounts[1]) + rest[before] * p1[own]) / np.maximum(1, total), p1[own])
+    if model.order == 3:
+        two = _contexts_of_two(ids[before], n, size + 1)
+        far = (two >> _ID).astype(np.int64)
+        known = np.flatnonzero((ids[before] <= size + 1) & (far <= size + 1))
+        seen, kinds = _triples(two[known], np.minimum(ids[own[known]], size + 2).astype(np.uint64), model)
+        total, rest = kinds[:, 3], kinds[:, :3] @ np.array(model.discounts[2][1:])
+        p[known] = np.where(total > 0, (_discounted(seen, model.discounts[2]) + rest * p[known]) / np.maximum(1, total), p[known])
     told = np.append(count[: kind + 1], 0)
     return p, told[own], n, textvec.run_starts(n)
 
