@@ -25,8 +25,10 @@ and is an error; no rows, no result rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import pyarrow as pa
@@ -152,22 +154,22 @@ class Prefixes:
     def _grow(self, data: bytes | bytearray) -> None:
         """Last tokens of the prefixes that end with each of the next bytes."""
         v, last, state = self.v, self.last, self._state
-        go, ending, pairs = v.go, v.ending, v.pairs
+        go, ending, pairs, add = v.go.get, v.ending, v.pairs.get, last.append
         end = len(last)
         for b in data:
-            end += 1
-            to = go.get(state << 8 | b)
+            to = go(state << 8 | b)
             state = v.step(state, b) if to is None else to
             for t, n in ending[state]:  # the longest first, as it mostly is the one
-                if n == end:
+                if n > end:
                     break
-                before = last[end - n - 1]
-                fits = pairs.get(before << 32 | t)
+                before = last[end - n]
+                fits = pairs(before << 32 | t)
                 if v.side_by_side(before, t) if fits is None else fits:
                     break
             else:
                 raise AssertionError("no token fits")
-            last.append(t)
+            add(t)
+            end += 1
         self._state = state
 
     def extend(self, data: bytes) -> None:
@@ -252,6 +254,19 @@ class Encoder:
             yield out
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """No search for cyclic garbage meanwhile: there is none, and it takes a third of the time to
+    walk over the look-up tables again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def read_ranks(path: str, max_tokens: int = 2_000_000) -> dict[bytes, int]:
     """Tokens and ranks of a file of lines "base64 rank"."""
     with open(path, "rb") as f:
@@ -267,6 +282,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _no_cycles():
+            yield from encoded(batches)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(shipped.value, pattern)
         for b in batches:
             for lo in range(0, len(b), 256):
@@ -308,6 +327,10 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _no_cycles():
+            yield from digested(batches)
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, token = {i: str(i) for i in shipped.value.token}, shipped.value.token
         e = Encoder(shipped.value, pattern, lambda ids: (len(ids), ",".join([name[t] for t in ids]), b"".join([token[t] for t in ids])))
         for b in batches:
