@@ -81,3 +81,22 @@ def test_best_of_each_parent_in_the_batch(spark):
     cut = vector.similarities(nodes, q, 2, ("tree_id", "parent_id"))
     best = lambda df: sorted(tuple(x) for x in vector.top(df, 2, "sim", ["query_id", "tree_id", "parent_id"], ["ord"]).select("parent_id", "node_id", "rank").collect())
     assert best(cut) == best(vector.similarities(nodes, q)) and cut.count() < 200
+
+
+def test_a_root_with_a_vector_is_found(spark):
+    nodes = spark.createDataFrame([("t", "0000", 0, None, [1.0, 0.0]), ("t", "0001", 1, "0000", [0.0, 1.0])], NODE)
+    q = spark.createDataFrame([(0, 0, "q", [1.0, 0.0])], QUERY)
+    assert [r["node_id"] for r in vector.flat_search(nodes, q, 1).collect()] == ["0000"]
+
+
+def test_written_folders_are_released(spark, tmp_path):
+    from trellis.plans import retrieval
+    from trellis.sources import scratch
+
+    sf = "/root/testdata/sf0.001"
+    one = retrieval.corpus(spark, sf)
+    assert retrieval.corpus(spark, sf) is one and one.count() == 200
+    scratch.keep(spark.range(3), "some")
+    assert scratch.release(spark) >= 2 and scratch.release(spark) == 0
+    again = retrieval.corpus(spark, sf)  # ingested anew, as its files are gone
+    assert again is not one and again.count() == 200

@@ -21,16 +21,18 @@ def attached(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(ranked: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
     """Ranked rows less those too close to a better row that was kept; greedy by rank.
-    Rows without an embedding always stay and are never compared with."""
-    row = F.struct("rank", "tree_id", "node_id", "score", *PARTS)
-    lists = attached(ranked, nodes).groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    Rows without an embedding always stay and are never compared with. Ranks and vectors alone
+    go through the list; contents are joined to what is kept."""
+    full = attached(ranked, nodes)
+    lists = full.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "embedding"))).alias("rows"))
 
     def step(kept, x):
         close = F.exists(kept, lambda k: embedded(k["embedding"]) & embedded(x["embedding"]) & (dot(k["embedding"], x["embedding"]) >= cfg.near_duplicate))
         return F.when(close, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), step)
-    return lists.select("query_id", F.explode(kept).alias("r")).select("query_id", "r.*")
+    kept = F.transform(F.aggregate("rows", F.slice("rows", 1, 0), step), lambda r: r["rank"])
+    own = full.select("query_id", "rank", "tree_id", "node_id", "score", *PARTS)
+    return own.join(lists.select("query_id", F.explode(kept).alias("rank")), ["query_id", "rank"])
 
 
 def diversified(ranked: DataFrame, nodes: DataFrame, k: int, weight: float = 0.7) -> DataFrame:

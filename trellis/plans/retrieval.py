@@ -123,7 +123,9 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
         fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
         files += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where)]
     key = (spark.sparkContext.applicationId, *sorted(files))
-    if key not in _CORPORA:
+    served = _CORPORA.get(key)
+    where = served and spark._jvm.org.apache.hadoop.fs.Path(served.inputFiles()[0]).getParent()
+    if not where or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         _CORPORA[key] = keep(fx.nodes(spark, d), "nodes")
     return _CORPORA[key]
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -23,7 +24,18 @@ def folder(spark: SparkSession, label: str) -> str:
             _OWN.append(tempfile.mkdtemp(prefix="trellis-"))
             atexit.register(shutil.rmtree, _OWN[0], True)
         base = f"file://{_OWN[0]}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all folders that this process was given and has not released yet, once what was
+    built on them has been used; returns how many there were."""
+    n = 0
+    while _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
 
 
 #: With it, Spark removes an execution's shuffle files as soon as it has ended.
