@@ -145,7 +145,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     spark = index.sparkSession
 
     def one(block: vector.Block) -> DataFrame:
-        looked, first, rest = _phases(index, block, k)
+        _, _, first, rest = _phases(index, block, k)
         best = vector.top(vector.union([first, _looked_into(index, rest, block, k)]), k, "sim", ["q", "tree_id"], ["ord"])
         names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(block.query_id)), pa.int32()), "query_id": block.query_id, "variant_no": block.variant_no, "query_text": block.query_text}))
         return best.join(F.broadcast(names), "q").drop("q")  # one block of queries
@@ -156,23 +156,27 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     return spark.createDataFrame([], "tree_id string, node_id string, ord int, sim double, rank int, query_id long, variant_no int, query_text string")
 
 
-def _phases(index: DataFrame, block: vector.Block, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bounds of all balls; what the most promising balls hold; the balls to look into after that."""
+def _phases(index: DataFrame, block: vector.Block, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Bounds of all balls; the most promising balls, which hold k vectors; what these hold; the
+    balls to look into after that. No more than k balls of a query and tree can be among the most
+    promising, so a tree of any size is cut to these before its balls meet."""
     bounds = keep(_bounds(index, block), "index-bounds")
-    before = F.sum("n").over(Window.partitionBy("q", "tree_id").orderBy(F.col("near").desc(), "ball").rowsBetween(Window.unboundedPreceding, -1))
-    marked = keep(bounds.withColumn("first", F.coalesce(before, F.lit(0)) < k), "index-marked")
-    first = keep(_looked_into(index, marked.where("first"), block, k), "index-first")
+    best = Window.partitionBy("q", "tree_id").orderBy(F.col("near").desc(), "ball")
+    few = bounds.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
+    before = F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    promising = keep(few.withColumn("_b", before).where(F.col("_b") < k).select("tree_id", "ball", "q"), "index-promising")
+    first = keep(_looked_into(index, promising, block, k), "index-first")
     kth = vector.top(first, k, "sim", ["q", "tree_id"], ["ord"]).where(F.col("rank") == k).select("q", "tree_id", F.col("sim").alias("kth"))
-    rest = marked.where("not first").join(kth, ["q", "tree_id"], "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - _SLACK))
-    return marked, first, rest
+    hope = bounds.join(kth, ["q", "tree_id"], "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - _SLACK))
+    return bounds, promising, first, hope.join(promising, ["tree_id", "ball", "q"], "left_anti")
 
 
 def share_skipped(index: DataFrame, queries: DataFrame, k: int = 20) -> float:
     """The share of (ball, query) pairs that a search does not look into."""
     every = skipped = 0
     for b in vector.blocks(queries):
-        marked, _, rest = _phases(index, b, k)
-        n = marked.count()
+        bounds, promising, _, rest = _phases(index, b, k)
+        n = bounds.count()
         every += n
-        skipped += n - marked.where("first").count() - rest.count()
+        skipped += n - promising.count() - rest.count()
     return skipped / every if every else 0.0

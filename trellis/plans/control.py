@@ -168,10 +168,10 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stories(spark: SparkSession, d: str) -> DataFrame:
-    """Summary inputs of the nodes of level 2 with their children's titles as summaries."""
+    """Summary inputs of all nodes, with their children's titles as summaries."""
     n = rt.md_nodes(spark, d)
-    kids = n.where("depth = 2").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("ord", F.concat(F.lit("- "), F.col("title"), F.lit(": s"), F.col("ord").cast("string")).alias("l")))).alias("k"))
-    return n.where("depth = 1").join(kids, ["tree_id", "node_id"], "left").select("tree_id", "node_id", F.left(sc.summary_input(F.col("content"), F.array_join("k.l", "\n")), F.lit(5000)).alias("input"))
+    kids = n.where("depth > 0").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("ord", F.concat(F.lit("- "), F.col("title"), F.lit(": s"), F.col("ord").cast("string")).alias("l")))).alias("k"))
+    return n.join(kids, ["tree_id", "node_id"], "left").select("tree_id", "node_id", F.left(sc.summary_input(F.col("content"), F.array_join("k.l", "\n")), F.lit(5000)).alias("input"))
 
 
 def rewrites(spark: SparkSession, d: str) -> DataFrame:
@@ -504,7 +504,7 @@ SQL = {
     "T11": W_I + "SELECT doc_id AS tree_id, CAST(o AS INTEGER) AS ord, printf('%04d', o) AS node_id, 'Image — ' || CASE WHEN source = 'pdf' THEN 'Page ' || page ELSE 'standalone' END || ' (' || image_type || ')' AS title, '[IMAGE_PATH:' || image_path || ']' || chr(10) || 'Source: ' || source || chr(10) || 'Page: ' || page || chr(10) || 'Type: ' || image_type || chr(10) || 'Size: ' || width || '×' || height || 'px' || chr(10) || chr(10) || description AS content, description AS summary FROM (SELECT *, 99 + row_number() OVER (PARTITION BY doc_id ORDER BY page, idx) AS o FROM ps WHERE description <> '')",
     "T12": W_I + "SELECT doc_id, idx, description, image_type FROM ps",
     "M01": W_MD + f"SELECT tree_id, node_id, {DECENT} AS m FROM mdnodes",
-    "M02": W_MD + f", k AS (SELECT n.tree_id, n.parent_id AS node_id, string_agg('- ' || n.title || ': s' || n.ord, chr(10) ORDER BY n.ord) AS l FROM mdnodes n JOIN dp USING (tree_id, node_id) WHERE depth = 2 GROUP BY 1, 2) SELECT tree_id, node_id, left(CASE WHEN {DECENT} AND l IS NOT NULL THEN content || chr(10) || chr(10) || 'Child sections:' || chr(10) || l WHEN l IS NOT NULL THEN l WHEN {DECENT} THEN content END, 5000) AS input FROM mdnodes JOIN dp USING (tree_id, node_id) LEFT JOIN k USING (tree_id, node_id) WHERE depth = 1",
+    "M02": W_MD + f", k AS (SELECT n.tree_id, n.parent_id AS node_id, string_agg('- ' || n.title || ': s' || n.ord, chr(10) ORDER BY n.ord) AS l FROM mdnodes n JOIN dp USING (tree_id, node_id) WHERE depth > 0 GROUP BY 1, 2) SELECT tree_id, node_id, left(CASE WHEN {DECENT} AND l IS NOT NULL THEN content || chr(10) || chr(10) || 'Child sections:' || chr(10) || l WHEN l IS NOT NULL THEN l WHEN {DECENT} THEN content END, 5000) AS input FROM mdnodes LEFT JOIN k USING (tree_id, node_id)",
     "M03": "SELECT doc_id, md5(left(text, 5000)) AS h FROM documents",
     "M06": "SELECT item_id, 's' || item_id AS scope, 'a, b' AS topics, left(text, 5) AS entities, 'k' AS keywords FROM benchmark",
     "M10": f"WITH {rt.NODES}, {IMAGES}, u AS (SELECT 'node_summary' AS key, count(*) AS uses FROM nodes WHERE content <> '' UNION ALL SELECT 'node_summary_fallback', count(*) FROM nodes WHERE content = '' UNION ALL SELECT 'image_description', count(*) FROM cp UNION ALL SELECT 'answer', count(*) FROM queries UNION ALL SELECT 'query_rewrite', count(*) FROM queries) SELECT key, n, uses FROM (VALUES ('answer', 2), ('image_description', 1), ('node_summary', 2), ('node_summary_fallback', 2), ('query_rewrite', 2)) t(key, n) JOIN u USING (key)",

@@ -136,11 +136,10 @@ def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def entry_query(spark: SparkSession, d: str) -> DataFrame:
-    """The first query: context and sources over all trees."""
+    """All queries over all trees: context, answer and sources."""
     nodes, q = _chain(spark, d)
-    q = q.where("query_id = 0")
-    ranked = retrieve.retrieve(nodes, q)
-    return context.answers(q, ranked, nodes, meta(spark, d))
+    found = context.answers(q, retrieve.retrieve(nodes, q), nodes, meta(spark, d))
+    return found.select("query_id", "query_text", "context", "answer", F.to_json("sources").alias("sources"))
 
 
 def meta(spark: SparkSession, d: str) -> DataFrame:
@@ -493,3 +492,6 @@ SQL["Q07"] = N + _ASKED + f", {META}" + """,
   SELECT query_id + o AS query_id, query_id % 2 = 0 AS hit, answer, sources,
     CASE WHEN query_id % 2 = 0 THEN '[Cache hit — age 60s] Query rewritten and variants generated at first call.' ELSE 'Original: ' || query_text || chr(10) || 'Rewritten: ' || query_text || chr(10) || 'Variants (0): ' END AS thinking
   FROM an, (VALUES (0 :: BIGINT), (1000000)) t(o)"""
+SQL["entry"] = N + CONTEXT + f", {META}" + """,
+  so AS (SELECT query_id, CAST(to_json(list({'doc_id': tree_id, 'node_id': node_id, 'title': title, 'filename': coalesce(filename, tree_id)} ORDER BY rank)) AS VARCHAR) AS sources FROM ranked LEFT JOIN meta ON doc_id = tree_id GROUP BY 1)
+  SELECT query_id, query_text, context, coalesce(context, 'I could not find this information in the available documents.') AS answer, sources FROM queries LEFT JOIN ctx USING (query_id) LEFT JOIN so USING (query_id)"""
