@@ -114,25 +114,27 @@ def _unfold(blocks: DataFrame, bits: int) -> DataFrame:
     return leaves.select("t", "x.rank", "x.hash", "x.own", "x.path", "above")
 
 
-def _tiers(nodes: DataFrame, bits: int) -> tuple[list[DataFrame], DataFrame]:
+def _tiers(nodes: DataFrame, bits: int) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
     """The leaves, the roots of their blocks, the roots of those, until each tree is one
-    block; and the roots of all trees (t, rank, hash)."""
-    tiers = [nodes]
+    block, with the digits of each; and the roots of all trees (t, rank, hash)."""
+    tiers = []
     while True:
-        last = tiers[-1].agg(F.max("rank")).first()[0] or 0
-        roots = _rollup(tiers[-1], bits).select("t", F.col("block").alias("rank"), F.greatest(F.col("height") - bits, F.lit(0)).alias("height"), "node.hash", F.lit(None).cast("string").alias("own"))
+        last = nodes.agg(F.max("rank")).first()[0] or 0
+        own = min(bits, max(1, last.bit_length()))
+        roots = _rollup(nodes, own).select("t", F.col("block").alias("rank"), F.greatest(F.col("height") - own, F.lit(0)).alias("height"), "node.hash", F.lit(None).cast("string").alias("own"))
         roots = materialize(roots, "merkle-roots")
+        tiers.append((nodes, own))
         if last < 1 << bits:
             return tiers, roots.select("t", "rank", "hash")
-        tiers.append(roots)
+        nodes = roots
 
 
-def _proofs(tiers: list[DataFrame], above: DataFrame, bits: int) -> DataFrame:
+def _proofs(tiers: list[tuple[DataFrame, int]], above: DataFrame) -> DataFrame:
     """Leaves of the first tier with their whole path, tier by tier from the top."""
-    for tier in reversed(tiers[1:]):
+    for tier, bits in reversed(tiers[1:]):
         rows = _unfold(_rollup(tier, bits, above), bits)
         above = materialize(rows.select("t", "rank", F.struct("path", "above.subroot", "above.root").alias("above")), "merkle-above")
-    return _unfold(_rollup(tiers[0], bits, above), bits)
+    return _unfold(_rollup(tiers[0][0], tiers[0][1], above), tiers[0][1])
 
 
 def manifest(leaves: DataFrame, tree_col: str, key_col: str, leaf_col: str, carry: list[str] | None = None, block_bits: int = 10) -> DataFrame:
@@ -149,9 +151,9 @@ def manifest(leaves: DataFrame, tree_col: str, key_col: str, leaf_col: str, carr
     over = ranked(subroots.select(F.lit("").alias("t"), F.col("t").alias("key"), "hash", F.col("t").alias("own")))
     top, root = _tiers(over, block_bits)
     first = root.select("t", "rank", F.struct(F.array().cast(f"array<{_STEP}>").alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("hash").alias("root")).alias("above"))
-    langs = _proofs(top, first, block_bits)
+    langs = _proofs(top, first)
     above = materialize(langs.select(F.col("own").alias("t"), F.lit(0).cast("long").alias("rank"), F.struct("path", F.col("hash").alias("subroot"), "above.root").alias("above")), "merkle-trees")
-    found = _proofs(tiers, above, block_bits)
+    found = _proofs(tiers, above)
     return found.select("own.tree", "rank", F.col("hash").alias("leaf"), *[F.col(f"own.`{c}`") for c in carry or []], "path", "above.subroot", "above.root")
 
 
