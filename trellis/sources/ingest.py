@@ -199,7 +199,7 @@ def audit_lines(spark: SparkSession, path: str, schema_: str = AUDIT) -> DataFra
     """The log's entries with ``place``, which orders them as they were written: append, file,
     start of the piece of the file, line in it. Lines that are not JSON objects are left out."""
     # A line's number in its piece of a file comes from the task that reads it, so nothing is sorted.
-    lines = spark.read.option("basePath", path).text(path).select("value", F.struct(F.col("batch").cast("string").alias("batch"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    lines = spark.read.option("basePath", path).text(path).select("value", F.struct(F.lpad(F.col("batch").cast("string"), 20, "0").alias("batch"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("place"))
     parsed = F.from_json("value", f"{schema_}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
     return lines.select(parsed.alias("e"), "place").where("e is not null and e._broken is null").select("e.*", "place").drop("_broken")
 

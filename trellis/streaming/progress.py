@@ -59,7 +59,7 @@ def _fold(rows: pd.DataFrame) -> dict:
 
 def _line(task: str, kind: str, fields: dict) -> dict:
     at, seq = max((x[1:] for x in fields.values()), default=(None, None))
-    return {"task_id": task, "kind": kind, **{f: (fields[f][0] if f in fields else None) for f in FIELDS}, "at": None if at is None else pd.Timestamp(at, unit="us"), "seq": seq}
+    return {"task_id": task, "kind": kind, **{f: (fields[f][0] if f in fields else None) for f in FIELDS}, "at": at, "seq": seq}
 
 
 def feed(events: DataFrame, asks: DataFrame | None = None, every_ms: int = 1000, remember_ms: int = 3_600_000) -> DataFrame:
@@ -133,12 +133,14 @@ def feed(events: DataFrame, asks: DataFrame | None = None, every_ms: int = 1000,
         if out:
             yield _table(out)
 
-    return rows.where("task_id is not null").groupBy("task_id").applyInPandasWithState(step, FEED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    raw = FEED.replace("at timestamp", "at long")
+    out = rows.where("task_id is not null").groupBy("task_id").applyInPandasWithState(step, raw, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return out.withColumn("at", F.timestamp_micros("at"))
 
 
 def _table(rows: list[dict]) -> pd.DataFrame:
     t = pd.DataFrame(rows)
-    return t.assign(pct=t["pct"].astype("float64"), seq=t["seq"].astype("Int64"), at=pd.to_datetime(t["at"]))
+    return t.assign(pct=t["pct"].astype("float64"), seq=t["seq"].astype("Int64"), at=t["at"].astype("Int64"))
 
 
 def start(out: DataFrame, checkpoint: str, path: str, mode: str = "update", **trigger: object) -> StreamingQuery:
