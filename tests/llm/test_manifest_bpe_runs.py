@@ -99,6 +99,16 @@ def test_manifest_against_pairing_up(spark, odd, bits):
     assert {w[-1] for w in want} == {True, False}
 
 
+def test_manifest_as_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(merkle.SQL)
+    got = merkle.query(spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_manifest_whole_proofs(spark, odd):
     found = merkle.documents_manifest(odd, 3).collect()
     assert len(found) == odd.count()
