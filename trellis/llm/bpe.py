@@ -29,7 +29,7 @@ import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -148,13 +148,13 @@ class Prefixes:
     """The last token of every prefix of some bytes. ``last[i]`` belongs to the first i + 1."""
 
     def __init__(self, v: Vocabulary, data: bytes = b"") -> None:
-        self.v, self.data, self.last, self._state = v.build(), bytearray(), [], 0
+        self.v, self.data, self.last, self._states = v.build(), bytearray(), [], [0]
         self.extend(data)
 
     def _grow(self, data: bytes | bytearray) -> None:
         """Last tokens of the prefixes that end with each of the next bytes."""
-        v, last, state = self.v, self.last, self._state
-        go, ending, pairs, add = v.go.get, v.ending, v.pairs.get, last.append
+        v, last, state = self.v, self.last, self._states[-1]
+        go, ending, pairs, add, keep = v.go.get, v.ending, v.pairs.get, last.append, self._states.append
         end = len(last)
         for b in data:
             to = go(state << 8 | b)
@@ -169,35 +169,36 @@ class Prefixes:
             else:
                 raise AssertionError("no token fits")
             add(t)
+            keep(state)
             end += 1
-        self._state = state
 
     def extend(self, data: bytes) -> None:
         """Append bytes; nothing that is stored changes."""
         self.data += data
         self._grow(data)
 
+    def cut(self, n: int) -> None:
+        """Keep the first ``n`` bytes and what is stored of them."""
+        del self.data[n:], self.last[n:], self._states[n + 1 :]
+
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` in place of the bytes from ``start`` to ``stop``; returns for how many
         places the last token was worked out."""
         if not 0 <= start <= stop <= len(self.data):
             raise ValueError("start and stop must lie in the data, in this order")
-        old, self.last = self.last[stop:], self.last[:start]
-        self.data[start:stop] = data
-        self._state = 0
-        for b in self.data[max(0, start - self.v.longest) : start]:
-            self._state = self.v.step(self._state, b)
-        self._grow(data)
+        old, states = self.last[stop:], self._states[stop + 1 :]
+        rest = self.data[stop:]
+        self.cut(start)
+        self.extend(data)
         same = 0
-        for j in range(len(old)):  # the places in what followed the edit
-            self._grow(self.data[len(self.last) : len(self.last) + 1])
+        for j in range(len(rest)):  # the places in what followed the edit
+            self.extend(rest[j : j + 1])
             same = same + 1 if old[j] == self.last[-1] else 0
             if same >= self.v.longest:
                 done = len(self.last) - start
+                self.data += rest[j + 1 :]
                 self.last += old[j + 1 :]
-                self._state = 0
-                for b in self.data[-self.v.longest :]:
-                    self._state = self.v.step(self._state, b)
+                self._states += states[j + 1 :]
                 return done
         return len(self.last) - start
 
@@ -217,41 +218,62 @@ class Prefixes:
 
 class Encoder:
     """Pieces of texts to ids, or to what ``make`` makes of their ids. What it remembers of pieces
-    met before is bounded: two generations, of which the older goes when the younger is full."""
+    met before is bounded: two generations, of which the older goes when the younger is full.
+    New pieces are worked on in order, so that each keeps what it has in common with the one before."""
 
     def __init__(self, v: Vocabulary, pattern: str, make: Callable[[list[int]], object] = list) -> None:
         self.v, self.pattern, self.make = v.build(), regex.compile(pattern), make
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    def piece(self, p: str) -> list[int]:
-        """Ids of one match of the pattern."""
-        raw = p.encode("utf-8", "replace")
-        one = self.v.ranks.get(raw)
-        return [one] if one is not None else Prefixes(self.v, raw).tokens(False)
-
-    def _new(self, p: str) -> object:
-        """Of a piece that the younger generation does not have."""
-        found = self.young.get(p)  # it may have come earlier in the same run
-        if found is None:
-            found = self.old.get(p)
-        if found is None:
-            found = self.make(self.piece(p))
+    def known(self, pieces: Iterable[str]) -> dict[str, object]:
+        """What is made of each of some matches of the pattern."""
+        out: dict[str, object] = {}
+        new: list[tuple[bytes, str]] = []
+        for p in set(pieces):
+            found = self.young.get(p)
+            if found is None:
+                found = self.old.get(p)
+                if found is None:
+                    new.append((p.encode("utf-8", "replace"), p))
+                    continue
+                self._remember(p, found)
+            out[p] = found
+        ranks, held, before = self.v.ranks, Prefixes(self.v), b""
+        new.sort()
+        for raw, p in new:
+            one = ranks.get(raw)
+            if one is None:
+                n = 0
+                for x, y in zip(before, raw, strict=False):
+                    if x != y:
+                        break
+                    n += 1
+                held.cut(n)
+                held.extend(raw[n:])
+                before = raw
+            out[p] = found = self.make(held.tokens(False) if one is None else [one])
+            self._remember(p, found)
+        return out
+
+    def _remember(self, p: str, found: object) -> None:
         if len(p) <= _MEMO_BYTES:
             if len(self.young) >= _MEMO:
                 self.old, self.young = self.young, {}
             self.young[p] = found
-        return found
 
     def runs(self, text: str) -> Iterator[list]:
         """What is made of consecutive pieces, a bounded number at a time."""
-        short = len(text) <= _RUN and not self.pattern.groups
-        matches = iter(self.pattern.findall(text)) if short else (m.group() for m in self.pattern.finditer(text))
+        matches = (m.group() for m in self.pattern.finditer(text))
         while run := list(islice(matches, _RUN)):
-            out = list(map(self.young.get, run))
-            if None in out:
-                out = [self._new(p) if x is None else x for x, p in zip(out, run, strict=True)]
-            yield out
+            yield list(map(self.known(run).__getitem__, run))
+
+    def many(self, texts: Iterable[str]) -> Iterator[Iterable[list]]:
+        """:meth:`runs` of each text; those of short ones are looked up together."""
+        some = [(t, self.pattern.findall(t) if len(t) <= _RUN and not self.pattern.groups else None) for t in texts]
+        get = self.known(chain.from_iterable(pieces for _, pieces in some if pieces)).__getitem__
+        for t, pieces in some:
+            yield self.runs(t) if pieces is None else [list(map(get, pieces))] if pieces else []
 
 
 @contextmanager
@@ -290,7 +312,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         for b in batches:
             for lo in range(0, len(b), 256):
                 texts = b.column("text")[lo : lo + 256]
-                rows = [pa.array([t for r in e.runs(x.as_py()) for ids in r for t in ids], pa.int32()) for x in texts]
+                rows = [pa.array([t for r in runs for ids in r for t in ids], pa.int32()) for runs in e.many(texts.to_pylist())]
                 offsets = pa.array([0, *_sums(map(len, rows))], pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + 256], pa.ListArray.from_arrays(offsets, pa.concat_arrays(rows))], ["doc_id", "ids"])
 
@@ -335,14 +357,15 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
         e = Encoder(shipped.value, pattern, lambda ids: (len(ids), ",".join([name[t] for t in ids]), b"".join([token[t] for t in ids])))
         for b in batches:
             rows = []
-            for x in b.column("text"):
-                n, ids_sha, bytes_sha = 0, hashlib.sha256(), hashlib.sha256()
-                for run in e.runs(x.as_py()):
-                    count, ids, data = zip(*run, strict=True)
-                    ids_sha.update((("," if n else "") + ",".join(ids)).encode())
-                    bytes_sha.update(b"".join(data))
-                    n += sum(count)
-                rows.append((n, ids_sha.hexdigest(), bytes_sha.hexdigest()))
+            for lo in range(0, len(b), 256):
+                for runs in e.many(b.column("text")[lo : lo + 256].to_pylist()):
+                    n, ids_sha, bytes_sha = 0, hashlib.sha256(), hashlib.sha256()
+                    for run in runs:
+                        count, ids, data = zip(*run, strict=True)
+                        ids_sha.update((("," if n else "") + ",".join(ids)).encode())
+                        bytes_sha.update(b"".join(data))
+                        n += sum(count)
+                    rows.append((n, ids_sha.hexdigest(), bytes_sha.hexdigest()))
             cols = [b.column("doc_id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
