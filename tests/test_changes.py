@@ -251,6 +251,25 @@ def test_feed_holds_back_closes_and_restarts(spark, tmp_path):
     assert [x[1:] for x in last if x[2] == "answer"] == [("a", "answer", "three", 2.0), ("b", "answer", "anew", 0.0)]
 
 
+def test_feed_serves_many_tasks_in_a_call(spark, tmp_path):
+    """Asks and events of 300 tasks meet in few rows of state, each task for itself."""
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(f"t{i}", at + dt.timedelta(seconds=k), 10 * i + k, s, f"s{k}", float(k) if k < 2 else None, None) for i in range(300) for k, s in enumerate(["queued", "running", "done" if i % 3 == 0 else "running", None][: 3 + (i % 2)])]
+    spark.createDataFrame(rows, EVENT).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(f"t{i}",) for i in range(600)], "task_id string").write.parquet(f"{tmp_path}/asks")
+    feed = progress.feed(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), spark.readStream.schema("task_id string").parquet(f"{tmp_path}/asks"), buckets=4)
+    q = progress.start(feed, f"{tmp_path}/check", f"{tmp_path}/out", "append", processingTime="300 milliseconds")
+    progress.stop_when_idle(q)
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    got = spark.read.schema(progress.FEED).parquet(f"{tmp_path}/out").collect()
+    assert sorted(r["task_id"] for r in got if r["kind"] == "closed") == sorted(f"t{i}" for i in range(0, 300, 3))
+    assert {r["task_id"]: (r["error"], r["status"], r["stage"], r["pct"], r["seq"]) for r in got if r["kind"] in ("answer", "error")} == {
+        f"t{i}": (progress.UNKNOWN, None, None, None, None) if i >= 300 else (None, None, "s3", None, 10 * i + 3) if i % 6 == 3 else (None, "done" if i % 3 == 0 else "running", f"s{2 + i % 2}", 1.0, 10 * i + 2 + i % 2) for i in range(600)
+    }
+
+
 def test_plain_fold_as_a_stream(spark, tmp_path):
     import datetime as dt
 
