@@ -212,6 +212,12 @@ def test_highlight_by_each_rows_terms(spark):
     assert got[5] == [("", False), ("a", True), ("", False), ("a", True), ("", False)]
 
 
+def test_highlight_whatever_the_alphabet(spark):
+    rows = [("Öl. und öl.", ["öl."]), ("ΣΑΣ σας", ["Σας"]), ("STRAẞE straße", ["straße"]), ("Iı iİ", ["i"]), ("ıI", ["ı"])]
+    got = [[x["text"] for x in r["h"] if x["highlight"]] for r in spark.createDataFrame(rows, "t string, terms array<string>").select(sc.highlight(F.col("t"), F.col("terms")).alias("h")).collect()]
+    assert got == [["Öl.", "öl."], ["ΣΑΣ", "σας"], ["STRAẞE", "straße"], ["I", "i"], ["ı"]]
+
+
 # Progress
 
 
