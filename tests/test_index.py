@@ -100,3 +100,15 @@ def test_written_folders_are_released(spark, tmp_path):
     assert scratch.release(spark) >= 2 and scratch.release(spark) == 0
     again = retrieval.corpus(spark, sf)  # ingested anew, as its files are gone
     assert again is not one and again.count() == 200
+
+
+def test_contents_are_only_moved_for_those_who_need_them(spark):
+    from trellis.plans import retrieval
+
+    sf = "/root/testdata/sf0.001"
+    one, full = retrieval.corpus(spark, sf), retrieval.corpus(spark, sf, content=True)
+    assert "content" not in one.columns and one is not full
+    assert sorted(map(str, one.collect())) == sorted(map(str, full.select(*one.columns).collect()))
+    ranked = full.where("ord % 3 = 0").select("tree_id", "node_id")
+    found = retrieval.with_contents(spark, sf, ranked)
+    assert sorted(map(tuple, found.select("tree_id", "node_id", "content").collect())) == sorted(map(tuple, full.where("ord % 3 = 0").select("tree_id", "node_id", "content").collect()))

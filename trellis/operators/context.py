@@ -15,8 +15,9 @@ PARTS = ["parent_id", "title", "content", "embedding"]
 
 
 def attached(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ranked rows with what the later steps need of their nodes, looked up once."""
-    return ranked if set(PARTS) <= set(ranked.columns) else ranked.join(nodes.select("tree_id", "node_id", *PARTS), ["tree_id", "node_id"])
+    """Ranked rows with what the later steps need of their nodes, looked up once; nodes without a
+    column, as contents, do for steps that do without it."""
+    return ranked if set(PARTS) <= set(ranked.columns) else ranked.join(nodes.select("tree_id", "node_id", *[c for c in PARTS if c in nodes.columns]), ["tree_id", "node_id"])
 
 
 def near_duplicates(ranked: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = CONFIG) -> DataFrame:
@@ -31,7 +32,7 @@ def near_duplicates(ranked: DataFrame, nodes: DataFrame, cfg: RetrievalConfig =
         return F.when(close, kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = F.transform(F.aggregate("rows", F.slice("rows", 1, 0), step), lambda r: r["rank"])
-    own = full.select("query_id", "rank", "tree_id", "node_id", "score", *PARTS)
+    own = full.select("query_id", "rank", "tree_id", "node_id", "score", *[c for c in PARTS if c in full.columns])
     return own.join(lists.select("query_id", F.explode(kept).alias("rank")), ["query_id", "rank"])
 
 
