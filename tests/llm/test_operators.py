@@ -589,6 +589,27 @@ def test_leaks(spark, odd, none):
     assert found.where(F.size("hits") > 0).count() == len({a for a, _ in leaked})
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """The products of all tiles, by hand and in both ways of adding them up."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in r.zipf(1.3, int(r.integers(0, 90))) % 50) for _ in range(300)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    items = spark.createDataFrame([(i, " ".join(f"w{(7 * i + k) % 40}" for k in range(12))) for i in range(6)], "item_id long, text string")
+    (b,) = decontam.load(items)
+    decontam.fit(docs, b)
+    place = {w: int(np.searchsorted(b.vocab, h[0])) for w in {f"w{k}" for k in range(40)} for h in decontam._hashed([w])}
+    want = np.zeros((len(b.vocab), len(b.vocab)))
+    for t in texts:
+        words = (t or "").split()
+        for lo in range(0, len(words), decontam.TILE):
+            i = [place[w] for w in words[lo : lo + decontam.TILE] if w in place]
+            row = np.bincount(i, b.idf[i], len(b.vocab)) / max(1e-9, np.sqrt((b.idf[i] ** 2).sum()))
+            want += np.outer(row, row)
+    coded = decontam._encoded(docs.select("text"), b)
+    assert np.allclose(decontam._products(coded, b), want, rtol=1e-4, atol=1e-4)
+    assert np.allclose(decontam._gram(coded, b, np.eye(len(b.vocab))), want, rtol=1e-4, atol=1e-4)
+
+
 def test_leaks_against_all_windows(spark):
     """Every item against every stretch of a document that is as long, without the latent
     search: what shares ``strong`` of an item's words in order is found."""

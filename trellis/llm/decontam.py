@@ -3,10 +3,11 @@
 Passages are windows of two and of four tiles of 16 words. Their TF-IDF vectors are kept
 on the words that the benchmark uses, as no other word adds to a product with an item;
 document frequencies are counted over the tiles of all documents. A randomised SVD, by
-subspace iteration with passes over the passages in Spark, gives the latent space. It is
-fitted on the benchmark's items, weighted up to half of the total energy, and on the
-passages of at most about ``fit_docs`` documents drawn by a hash. All passages of all
-documents are then projected, and those with a cosine of ``cosine`` or more to an item are
+subspace iteration on the products A'A of all tiles A of all documents, gives the latent space.
+The benchmark's items are in it too, weighted up to half of the total energy. The benchmark's
+words of all tiles are written once as numbers; of vocabularies up to ``dense`` words, A'A itself
+is then added up in one pass over them, of larger ones its two products with a basis in a
+pass each. All passages of all documents are then projected, and those with a cosine of ``cosine`` or more to an item are
 its candidates. A candidate is a leak if the longest common subsequence with the item's
 words covers ``strong`` of the item, or covers ``weak`` of it and holds the item's answer
 (an answer column, or else the last sentence, however short) to ``strong``.
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trellis.llm import textvec
-from trellis.llm.common import arrow_batches, fresh, table, without
+from trellis.llm.common import arrow_batches, fresh, shared_dir, table, without
 
 TILE, SPANS = 16, (2, 4)
 _FOUND = T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.DoubleType()), T.StructField("answer", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType())])
@@ -107,25 +108,51 @@ def _tiles(w: textvec.Words, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, i, tile, first
 
 
-def _frequencies(docs: DataFrame, bench: Bench) -> tuple[np.ndarray, int]:
-    """Number of tiles that hold each word of the vocabulary, and of all tiles."""
+def _encoded(docs: DataFrame, bench: Bench) -> DataFrame:
+    """(word, filled), a row for each slice of texts, written once: the places in the vocabulary of
+    the known words of all tiles, one tile after the other, and how many of them each tile has."""
     vocab = bench.vocab
+    spark = docs.sparkSession
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, tiles = np.zeros(len(vocab), np.int64), 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in textvec.words(b.column("text"), True, True):
                 if len(w.start):
                     _, i, tile, _ = _tiles(w, vocab)
-                    tiles += int(tile[-1]) + 1
-                    known = i >= 0
-                    df += np.bincount(np.unique(tile[known] * len(vocab) + i[known]) % len(vocab), minlength=len(vocab))
+                    filled = np.bincount(tile[i >= 0], minlength=int(tile[-1]) + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([i[i >= 0].astype(_code(vocab)).tobytes()], pa.binary()), pa.array([filled.astype(np.uint8).tobytes()], pa.binary())], ["word", "filled"])
+
+    path = shared_dir(spark, "op7-tiles")
+    docs.mapInArrow(encode, "word binary, filled binary").write.parquet(path)
+    return spark.read.schema("word binary, filled binary").parquet(path)
+
+
+def _code(vocab: np.ndarray) -> type:
+    return np.uint16 if len(vocab) <= 1 << 16 else np.uint32
+
+
+def _read(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of the known words, number of them in each tile) of each slice."""
+    for b in batches:
+        for word, filled in zip(b.column("word"), b.column("filled"), strict=True):
+            yield np.frombuffer(word.as_buffer(), _code(vocab)).astype(np.int64), np.frombuffer(filled.as_buffer(), np.uint8).astype(np.int64)
+
+
+def _frequencies(coded: DataFrame, bench: Bench) -> tuple[np.ndarray, int]:
+    """Number of tiles that hold each word of the vocabulary, and of all tiles."""
+    vocab = bench.vocab
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, tiles = np.zeros(len(vocab), np.int64), 0
+        for i, filled in _read(batches, vocab):
+            tiles += len(filled)
+            df += np.bincount(np.unique(np.repeat(np.arange(len(filled)), filled) * len(vocab) + i) % len(vocab), minlength=len(vocab))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], tiles))], ["i", "n"])
 
     df = np.zeros(len(vocab), np.int64)
     total = 0
-    for r in docs.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in coded.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         if r["i"] < 0:
             total = r["n"]
         else:
@@ -133,6 +160,56 @@ def _frequencies(docs: DataFrame, bench: Bench) -> tuple[np.ndarray, int]:
     return df, total
 
 
+def _added(parts: DataFrame, n: int) -> list[tuple[int, np.ndarray]]:
+    """The sums of the arrays y of each part, of ``n`` parts, added up in Spark."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, y in zip(b.column("part").to_pylist(), b.column("y"), strict=True):
+                sums[p] = sums.get(p, 0) + np.frombuffer(y.as_buffer(), np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "y"])
+
+    return [(r["part"], np.frombuffer(r["y"])) for r in parts.repartition(n, "part").mapInArrow(add, "part int, y binary").collect()]
+
+
+def _products(coded: DataFrame, bench: Bench, parts: int = 16) -> np.ndarray:
+    """A'A for all tiles A: the products of any two words of a tile are added up by task, then in
+    Spark by blocks of rows of the upper triangle, so that the driver gets one matrix."""
+    vocab, idf, n = bench.vocab, bench.idf, len(bench.vocab)
+    cuts = np.linspace(0, n, parts + 1).astype(int)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, own = np.zeros(n * n), np.zeros(n)
+        for i, filled in _read(batches, vocab):
+            if not len(i):
+                continue
+            # tiles with more known words first, and the words of each side by side
+            order = np.argsort(-filled, kind="stable")
+            order = order[: np.count_nonzero(filled)]
+            start, size = (np.cumsum(filled) - filled)[order], filled[order]
+            norm = np.sqrt(np.add.reduceat(idf[i] ** 2, np.sort(start)))[np.argsort(np.argsort(start))]
+            having = [int(np.searchsorted(-size, -k, "left")) for k in range(int(size[0]))]
+            word = [i[start[:m] + k] for k, m in enumerate(having)]
+            value = [idf[w] / np.maximum(1e-9, norm[: len(w)]) for w in word]
+            for b, (w, v) in enumerate(zip(word, value, strict=True)):
+                own += np.bincount(w, v * v, n)
+                for a in range(b):
+                    np.add.at(y, word[a][: len(w)] * n + w, value[a][: len(w)] * v)
+        if own.any():
+            y = y.reshape(n, n)
+            y += y.T.copy()
+            y[np.arange(n), np.arange(n)] += own
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([y[p:q, p:].astype(np.float32).tobytes() for p, q in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "y"])
+
+    out = np.zeros((n, n))
+    for p, y in _added(coded.mapInArrow(multiply, "part int, y binary"), parts):
+        lo, hi = cuts[p], cuts[p + 1]
+        out[lo:hi, lo:] = y.reshape(hi - lo, n - lo)
+        out[lo:, lo:hi] = out[lo:hi, lo:].T
+    return out
+
+
 def _windows(x: np.ndarray, span: int) -> np.ndarray:
     """Sums of ``span`` consecutive rows, one for each row; those past the end are zero."""
     out = x.copy()
@@ -141,43 +218,32 @@ def _windows(x: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _gram(docs: DataFrame, bench: Bench, basis: np.ndarray, parts: int = 16) -> np.ndarray:
-    """A'A basis for the passages A of ``docs``: partial sums by task, added up in Spark by
-    blocks of rows, so that the driver gets one matrix."""
+def _gram(coded: DataFrame, bench: Bench, basis: np.ndarray, parts: int = 16) -> np.ndarray:
+    """A'A basis for all tiles A: partial sums by task, added up in Spark by blocks of rows, so
+    that the driver gets one matrix."""
     vocab, idf = bench.vocab, bench.idf.astype(np.float32)
     basis = basis.astype(np.float32)
     cuts = np.linspace(0, len(vocab), parts + 1).astype(int)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = np.zeros(basis.shape)
-        for b in batches:
-            for w in textvec.words(b.column("text"), True, True):
-                if not len(w.start):
-                    continue
-                _, i, tile, _ = _tiles(w, vocab)
-                i, tile = i[i >= 0], tile[i >= 0]
-                if not len(i):
-                    continue
-                starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-                a = np.add.reduceat(basis[i] * idf[i][:, None], starts, axis=0)
-                a /= np.maximum(1e-9, np.sqrt(np.add.reduceat(idf[i] ** 2, starts)))[:, None] ** 2
-                own = np.repeat(a, np.diff(np.append(starts, len(i))), axis=0) * idf[i][:, None]
-                order = np.argsort(i, kind="stable")
-                at = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
-                y[i[order][at]] += np.add.reduceat(own[order], at, axis=0)
+        for i, filled in _read(batches, vocab):
+            if not len(i):
+                continue
+            filled = filled[filled > 0]
+            starts = textvec.run_starts(filled)
+            a = np.add.reduceat(basis[i] * idf[i][:, None], starts, axis=0)
+            a /= np.maximum(1e-9, np.sqrt(np.add.reduceat(idf[i] ** 2, starts)))[:, None] ** 2
+            own = np.repeat(a, filled, axis=0) * idf[i][:, None]
+            order = np.argsort(i, kind="stable")
+            at = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
+            y[i[order][at]] += np.add.reduceat(own[order], at, axis=0)
         if y.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([y[p:q].astype(np.float64).tobytes() for p, q in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "y"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, y in zip(b.column("part").to_pylist(), b.column("y").to_pylist(), strict=True):
-                sums[p] = sums.get(p, 0) + np.frombuffer(y)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([y[p:q].astype(np.float32).tobytes() for p, q in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "y"])
 
     out = np.zeros(basis.shape)
-    for r in docs.mapInArrow(multiply, "part int, y binary").repartition(parts, "part").mapInArrow(add, "part int, y binary").collect():
-        out[cuts[r["part"]] : cuts[r["part"] + 1]] += np.frombuffer(r["y"]).reshape(-1, basis.shape[1])
+    for p, y in _added(coded.mapInArrow(multiply, "part int, y binary"), parts):
+        out[cuts[p] : cuts[p + 1]] = y.reshape(-1, basis.shape[1])
     return out
 
 
@@ -222,24 +288,23 @@ def _item_rows(bench: Bench) -> Rows:
     return Rows(np.concatenate(place), np.concatenate(value), np.array(start))
 
 
-def fit(docs: DataFrame, bench: Bench, rank: int = 256, over: int = 16, fit_docs: int = 8_000, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> Bench:
-    """Document frequencies over all of ``docs``; the latent space over items and a sample."""
+def fit(docs: DataFrame, bench: Bench, rank: int = 256, over: int = 16, text_col: str = "text", seed: int = 3, dense: int = 2_048) -> Bench:
+    """Document frequencies, and the latent space, over all tiles of ``docs`` and the items."""
     arrow_batches(docs.sparkSession)
-    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_id"))
-    df, tiles = _frequencies(texts.select("text"), bench)
+    coded = _encoded(docs.select(F.col(text_col).alias("text")), bench)
+    df, tiles = _frequencies(coded, bench)
     bench.idf = np.log((tiles + 1) / (df + 0.5)).clip(0.05)
     items = _item_rows(bench)
     energy = lambda x: items.turned_times(items.times(x), len(bench.vocab))
-    rows = docs.count()
-    sample = texts.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(max(1, rows))) < fit_docs).select("text")
     width = min(len(bench.vocab), min(rank, len(bench.ids)) + over)
     omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(bench.vocab), width)))[0]
-    # A row of A has length 1, so the energy of a part is its number of rows.
-    n_fit = max(1.0, min(1.0, fit_docs / max(1, rows)) * tiles)
-    up = n_fit / len(bench.ids)
-    first = _gram(sample, bench, omega) + up * energy(omega)
+    # A row of A has length 1, so the energy of all is their number.
+    up = max(1.0, tiles) / len(bench.ids)
+    products = _products(coded, bench) if len(bench.vocab) <= dense else None
+    gram = lambda x: _gram(coded, bench, x) if products is None else products @ x
+    first = gram(omega) + up * energy(omega)
     q = np.linalg.qr(first)[0]
-    second = _gram(sample, bench, q) + up * energy(q)
+    second = gram(q) + up * energy(q)
     core = q.T @ second
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     top = np.argsort(values)[::-1][: min(rank, len(bench.ids))]
@@ -378,7 +443,7 @@ def clear(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` that no item leaks into, with all their columns."""
     (hits,) = fresh(docs, "_hits")
     for b in load(items, **how):
-        found = search(docs, fit(docs, b, id_col=id_col, text_col=text_col), text_col=text_col, out=hits)
+        found = search(docs, fit(docs, b, text_col=text_col), text_col=text_col, out=hits)
         docs = found.where(F.size(hits) == 0).drop(hits)
     return docs
 
