@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -610,6 +611,33 @@ def test_latent_space_is_fitted_on_all_documents(spark):
     assert np.allclose(decontam._gram(coded, b, np.eye(len(b.vocab))), want, rtol=1e-4, atol=1e-4)
 
 
+def test_products_cost_no_more_with_a_wide_basis(spark, monkeypatch):
+    """Words meet a basis as sums only, so 216 columns cost about as much as one; the sums of
+    frequent and of rare words are those of the matrix."""
+    r = np.random.default_rng(6)
+    vocab = np.array([f"w{k}" for k in range(300)])
+    docs = spark.createDataFrame([(" ".join(vocab[r.integers(0, 300, 100_000)]),) for _ in range(20)], "text string").coalesce(1)
+    (b,) = decontam.load(spark.createDataFrame([(1, " ".join(vocab)), (2, "w1 w2 w3")], "item_id long, text string"))
+    coded = decontam._encoded(docs, b)
+    df, tiles = decontam._frequencies(coded, b)
+    b.idf = np.log((tiles + 1) / (df + 0.5)).clip(0.05)
+    wide = r.standard_normal((300, 216))
+    took = []
+    for basis in (wide[:, :1], wide[:, :1], wide):
+        begun = time.monotonic()
+        got = decontam._gram(coded, b, basis)
+        took.append(time.monotonic() - begun)
+    assert took[2] < 4 * took[1]
+    want = decontam._products(coded, b) @ wide
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3 * abs(want).max())
+    some = decontam._encoded(docs.select(F.substring("text", 1, 9_000).alias("text")), b)
+    want = decontam._products(some, b) @ wide
+    monkeypatch.setattr(decontam, "LISTED", 700)
+    for square in (0, 1, 40, 299):
+        monkeypatch.setattr(decontam, "SQUARE", square)
+        assert np.allclose(decontam._gram(some, b, wide), want, rtol=1e-4, atol=1e-4 * abs(want).max())
+
+
 def test_leaks_against_all_windows(spark):
     """Every item against every stretch of a document that is as long, without the latent
     search: what shares ``strong`` of an item's words in order is found."""

@@ -7,7 +7,7 @@ subspace iteration on the products A'A of all tiles A of all documents, gives th
 The benchmark's items are in it too, weighted up to half of the total energy. The benchmark's
 words of all tiles are written once as numbers; of vocabularies up to ``dense`` words, A'A itself
 is then added up in one pass over them, of larger ones its two products with a basis in a
-pass each. All passages of all documents are then projected, and those with a cosine of ``cosine`` or more to an item are
+pass each, in which single products of words are added up before they meet the basis. All passages of all documents are then projected, and those with a cosine of ``cosine`` or more to an item are
 its candidates. A candidate is a leak if the longest common subsequence with the item's
 words covers ``strong`` of the item, or covers ``weak`` of it and holds the item's answer
 (an answer column, or else the last sentence, however short) to ``strong``.
@@ -40,6 +40,8 @@ from trellis.llm import textvec
 from trellis.llm.common import arrow_batches, fresh, shared_dir, table, without
 
 TILE, SPANS = 16, (2, 4)
+#: Frequent words whose products a task keeps in a matrix, and products of others it lists at once.
+SQUARE, LISTED = 4_096, 1 << 20
 _FOUND = T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.DoubleType()), T.StructField("answer", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType())])
 
 
@@ -173,6 +175,31 @@ def _added(parts: DataFrame, n: int) -> list[tuple[int, np.ndarray]]:
     return [(r["part"], np.frombuffer(r["y"])) for r in parts.repartition(n, "part").mapInArrow(add, "part int, y binary").collect()]
 
 
+def _pairs(slices: Iterator[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, word, share) of any two known words of a tile, once, where the share is one over the
+    tile's squared length. A word with itself has half of it, as it is both words. So the sum of
+    the shares of two words in either order, times their weights, is their entry in A'A."""
+    square = idf**2
+    for i, filled in slices:
+        # tiles with more known words first, and the words of each side by side
+        order = np.argsort(-filled, kind="stable")
+        order = order[: np.count_nonzero(filled)]
+        if not len(order):
+            continue
+        start, size = (np.cumsum(filled) - filled)[order], filled[order]
+        having = [int(np.searchsorted(-size, -k, "left")) for k in range(int(size[0]))]
+        word = [i[start[:m] + k] for k, m in enumerate(having)]
+        share = np.zeros(len(size))
+        for w in word:
+            share[: len(w)] += square[w]
+        share = 1 / share
+        for b, w in enumerate(word):
+            own = share[: len(w)]
+            yield w, w, own / 2
+            for a in word[:b]:
+                yield a[: len(w)], w, own
+
+
 def _products(coded: DataFrame, bench: Bench, parts: int = 16) -> np.ndarray:
     """A'A for all tiles A: the products of any two words of a tile are added up by task, then in
     Spark by blocks of rows of the upper triangle, so that the driver gets one matrix."""
@@ -180,26 +207,14 @@ def _products(coded: DataFrame, bench: Bench, parts: int = 16) -> np.ndarray:
     cuts = np.linspace(0, n, parts + 1).astype(int)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, own = np.zeros(n * n), np.zeros(n)
-        for i, filled in _read(batches, vocab):
-            if not len(i):
-                continue
-            # tiles with more known words first, and the words of each side by side
-            order = np.argsort(-filled, kind="stable")
-            order = order[: np.count_nonzero(filled)]
-            start, size = (np.cumsum(filled) - filled)[order], filled[order]
-            norm = np.sqrt(np.add.reduceat(idf[i] ** 2, np.sort(start)))[np.argsort(np.argsort(start))]
-            having = [int(np.searchsorted(-size, -k, "left")) for k in range(int(size[0]))]
-            word = [i[start[:m] + k] for k, m in enumerate(having)]
-            value = [idf[w] / np.maximum(1e-9, norm[: len(w)]) for w in word]
-            for b, (w, v) in enumerate(zip(word, value, strict=True)):
-                own += np.bincount(w, v * v, n)
-                for a in range(b):
-                    np.add.at(y, word[a][: len(w)] * n + w, value[a][: len(w)] * v)
-        if own.any():
+        y = np.zeros(n * n)
+        for a, b, share in _pairs(_read(batches, vocab), idf):
+            np.add.at(y, a * n + b, share)
+        if y.any():
             y = y.reshape(n, n)
             y += y.T.copy()
-            y[np.arange(n), np.arange(n)] += own
+            y *= idf
+            y *= idf[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([y[p:q, p:].astype(np.float32).tobytes() for p, q in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "y"])
 
     out = np.zeros((n, n))
@@ -220,33 +235,62 @@ def _windows(x: np.ndarray, span: int) -> np.ndarray:
 
 def _gram(coded: DataFrame, bench: Bench, basis: np.ndarray, parts: int = 16) -> np.ndarray:
     """A'A basis for all tiles A: partial sums by task, added up in Spark by blocks of rows, so
-    that the driver gets one matrix."""
-    vocab, idf = bench.vocab, bench.idf.astype(np.float32)
-    basis = basis.astype(np.float32)
-    cuts = np.linspace(0, len(vocab), parts + 1).astype(int)
+    that the driver gets one matrix. A task adds up single products of words, and meets the basis
+    with sums only: those of two of the ``SQUARE`` most frequent words are a matrix, which is
+    multiplied once; those with a rarer word are summed and multiplied ``LISTED`` at a time."""
+    vocab, n = bench.vocab, len(bench.vocab)
+    near, listed = min(n, SQUARE), LISTED
+    # words by falling frequency
+    by = np.argsort(bench.idf, kind="stable")
+    rank = np.argsort(by)
+    idf = bench.idf[by]
+    z = (basis[by] * idf[:, None]).astype(np.float32)
+    cuts = np.linspace(0, n, parts + 1).astype(int)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = np.zeros(basis.shape)
-        for i, filled in _read(batches, vocab):
-            if not len(i):
-                continue
-            filled = filled[filled > 0]
-            starts = textvec.run_starts(filled)
-            a = np.add.reduceat(basis[i] * idf[i][:, None], starts, axis=0)
-            a /= np.maximum(1e-9, np.sqrt(np.add.reduceat(idf[i] ** 2, starts)))[:, None] ** 2
-            own = np.repeat(a, filled, axis=0) * idf[i][:, None]
-            order = np.argsort(i, kind="stable")
-            at = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
-            y[i[order][at]] += np.add.reduceat(own[order], at, axis=0)
+        y, often = np.zeros(z.shape), np.zeros(near * near)
+        rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for a, b, share in _pairs(((rank[i], filled) for i, filled in _read(batches, vocab)), idf):
+            if n > near:
+                far = np.maximum(a, b) >= near
+                if far.any():
+                    rare.append((a[far], b[far], share[far]))
+                    waiting += len(rare[-1][0])
+                    if waiting >= listed:
+                        _add_listed(y, z, rare)
+                        rare, waiting = [], 0
+                    a, b, share = a[~far], b[~far], share[~far]
+            np.add.at(often, a * near + b, share)
+        if rare:
+            _add_listed(y, z, rare)
+        often = often.reshape(near, near)
+        for lo in range(0, near, 512):
+            hi = min(near, lo + 512)
+            y[lo:hi] += (often[lo:hi] + often[:, lo:hi].T).astype(np.float32) @ z[:near]
+        y *= idf[:, None]
         if y.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([y[p:q].astype(np.float32).tobytes() for p, q in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "y"])
 
     out = np.zeros(basis.shape)
     for p, y in _added(coded.mapInArrow(multiply, "part int, y binary"), parts):
-        out[cuts[p] : cuts[p + 1]] = y.reshape(-1, basis.shape[1])
+        out[by[cuts[p] : cuts[p + 1]]] = y.reshape(-1, basis.shape[1])
     return out
 
 
+def _add_listed(y: np.ndarray, z: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Adds to ``y`` the products of :func:`_pairs` with ``z``, after pairs that repeat are summed."""
+    a, b, share = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    key, place = np.unique(np.minimum(a, b) * len(z) + np.maximum(a, b), return_inverse=True)
+    share = np.bincount(place, share).astype(np.float32)
+    for row, other in (key // len(z), key % len(z)), (key % len(z), key // len(z)):
+        order = np.argsort(row, kind="stable")
+        for lo in range(0, len(order), 4096):
+            own = order[lo : lo + 4096]
+            at = np.flatnonzero(np.append(True, row[own][1:] != row[own][:-1]))
+            y[row[own[at]]] += np.add.reduceat(z[other[own]] * share[own][:, None], at, axis=0)
+
+
 @dataclass
 class Rows:
     """A sparse matrix by rows: the place and value of each entry, and where a row starts."""
